@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corpusloom.llm.ann import neighbour_digest
 from corpusloom.llm.bpe import default_ranks, token_digest
 from corpusloom.llm.decontaminate import leak_digest
+from corpusloom.llm.html_extract import extract
 from corpusloom.llm.line_dedup import line_digest
 from corpusloom.llm.sharding import shard_digest
 from corpusloom.llm.shared import table
 from corpusloom.llm.simhash_dedup import near_digest
+from corpusloom.llm.toxicity import toxicity_digest
 from corpusloom.llm.url_filter import verdict_digest
+from corpusloom.llm.warc import archive_digest
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +28,18 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digest(table(spark, sf_dir, "documents"), path=path, pattern=pattern)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_digest(table(spark, sf_dir, "pages"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdict_digest(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
@@ -32,6 +48,10 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_digest(table(spark, sf_dir, "documents"))
 
 
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbour_digest(table(spark, sf_dir, "embeddings"))
+
+
 def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_digest(table(spark, sf_dir, "documents"))
 
@@ -41,7 +61,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_line_dedup, op2_byte_bpe, op6_url_filter, op7_sharding, op9_simhash_dedup, op10_decontaminate)
+    f.__name__: f for f in (op1_line_dedup, op2_byte_bpe, op3_toxicity, op4_html_extract, op5_warc, op6_url_filter, op7_sharding, op8_ann, op9_simhash_dedup, op10_decontaminate)
 }
 
 ORACLE_SQL: dict[str, str] = {}
