@@ -2,7 +2,7 @@
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; ``run`` chains them over
 ``documents``, writing each stage's result as Parquet in the shared folder and reading it
-back as the next one's input.
+back as the next one's input.  All stages but the last return the columns they were given.
 """
 
 from __future__ import annotations
@@ -11,11 +11,62 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from corpusloom.llm.bpe import default_ranks, token_digest
+from corpusloom.llm.decontaminate import contaminated
+from corpusloom.llm.line_dedup import dedup_lines
 from corpusloom.llm.shared import shared_dir, table
+from corpusloom.llm.simhash_dedup import near_duplicates
+from corpusloom.llm.toxicity import fit, score
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-STAGES: list[tuple[str, Stage]] = []
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored 0.5 or more go."""
+    model = fit(docs, table(spark, sf_dir, "labels"))
+    return score(docs, model).where(F.col("toxicity") < 0.5).select(docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that three or more documents hold stay in the largest id; ``n_chars`` follows the text."""
+    out = dedup_lines(docs)
+    if "n_chars" in docs.columns:
+        length = F.when(F.col("n_dropped") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+        out = out.withColumn("n_chars", length)
+    return out.select(docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each near-duplicate component, only the document with the smallest id stays; of rows with one id, one."""
+    found = near_duplicates(docs)
+    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct()
+    kept = docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
+    repeated = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id"])
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    leaks = contaminated(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_leak")).distinct()
+    return docs.join(leaks, docs["doc_id"].eqNullSafe(leaks["_leak"]), "left_anti")
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    path, pattern = default_ranks()
+    return token_digest(docs, path=path, pattern=pattern)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", toxicity),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("decontaminate", decontaminate),
+    ("tokens", tokens),
+]
+
+#: No SQL expresses the trained classifier or the SimHash components; the tests compare with brute force.
 ORACLE_SQL = None
 
 

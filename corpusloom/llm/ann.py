@@ -89,7 +89,7 @@ def scan(query: np.ndarray, rotated_query: np.ndarray, blocks: list[np.ndarray],
 
 def search(
     table: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 100, k: int = 10,
-    sample: int = 20_000, lists: int | None = None, probes: float = 0.25, rows_a_block: int = 4096, column_block: int = 16, doubt: float = 2.1,
+    sample: int = 20_000, lists: int | None = None, probes: float = 0.75, rows_a_block: int = 4096, column_block: int = 16, doubt: float = 2.1,
 ) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: for ids divisible by ``every``, the ``k`` nearest other rows found.
 
