@@ -26,14 +26,14 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored 0.5 or more go."""
     model = fit(docs, table(spark, sf_dir, "labels"))
-    return score(docs, model).where(F.col("toxicity") < 0.5).select(docs.columns)
+    return score(docs, model, out="_score").where(F.col("_score") < 0.5).select(docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that three or more documents hold stay in the largest id; ``n_chars`` follows the text."""
-    out = dedup_lines(docs)
+    out = dedup_lines(docs, counts=("_lines", "_dropped"))
     if "n_chars" in docs.columns:
-        length = F.when(F.col("n_dropped") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+        length = F.when(F.col("_dropped") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
         out = out.withColumn("n_chars", length)
     return out.select(docs.columns)
 

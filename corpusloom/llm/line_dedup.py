@@ -79,21 +79,24 @@ def kept_lines(lines: Column, lost: Column) -> Column:
     return F.flatten(runs)
 
 
-def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
-    """``docs`` with the lost lines taken out of ``text_col`` and two more columns, ``n_lines`` and ``n_dropped``.
+def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", counts: tuple[str, str] = ("n_lines", "n_dropped"), **limits) -> DataFrame:
+    """``docs`` with the lost lines taken out of ``text_col`` and two more columns, named by ``counts``.
 
-    Rows, their number and all other columns stay; a text that loses nothing, null
-    included, stays as it is, and one that loses all its lines becomes empty.
+    Rows, their number and all other columns stay; columns of ``docs`` that have a name of
+    ``counts`` give way to them.  A text that loses nothing, null included, stays as it is,
+    and one that loses all its lines becomes empty.
     """
     marks = keep_bitmaps(docs, id_col=id_col, text_col=text_col, **limits)
-    sig = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    own = docs.withColumn("_own_sig", sig)
-    joined = own.join(marks, own[id_col].eqNullSafe(marks["_id"]) & (own["_own_sig"] == marks["_sig"]), "left")
-    lines = _lines(F.col(text_col))
+    # The row travels as one struct, so its columns can have any names.
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_own"))
+    joined = own.join(marks, F.col(f"_row.`{id_col}`").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_sig")), "left")
+    text = F.col(f"_row.`{text_col}`")
+    lines = _lines(text)
     lost = joined.withColumn("_lost", F.when(F.col("keep_words").isNotNull(), lost_positions(F.col("keep_words"))))
-    kept = F.when(F.col("_lost").isNull(), F.col(text_col)).otherwise(F.array_join(kept_lines(lines, F.col("_lost")), "\n"))
-    counted = lost.withColumns({"_kept": kept, "n_lines": F.size(lines).cast("long"), "n_dropped": F.when(F.col("_lost").isNull(), F.lit(0)).otherwise(F.size("_lost")).cast("long")})
-    return counted.select(*(F.col("_kept").alias(c) if c == text_col else F.col(c) for c in docs.columns), "n_lines", "n_dropped")
+    kept = F.when(F.col("_lost").isNull(), text).otherwise(F.array_join(kept_lines(lines, F.col("_lost")), "\n"))
+    dropped = F.when(F.col("_lost").isNull(), F.lit(0)).otherwise(F.size("_lost")).cast("long")
+    columns = [kept.alias(c) if c == text_col else F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c not in counts]
+    return lost.select(*columns, F.size(lines).cast("long").alias(counts[0]), dropped.alias(counts[1]))
 
 
 def line_digest(docs: DataFrame) -> DataFrame:

@@ -205,8 +205,8 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
     return train([t for _, t in rows], [label_of[i] for i, _ in rows], settings)
 
 
-def score(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``toxicity``, 0 to 1; null and word-less texts get the bias alone."""
+def score(docs: DataFrame, model: Model, *, text_col: str = "text", out: str = "toxicity") -> DataFrame:
+    """``docs`` with the column ``out``, 0 to 1; null and word-less texts get the bias alone."""
     weights, bias, settings = model.weights, model.bias, model.settings
 
     @F.pandas_udf("double")
@@ -215,7 +215,7 @@ def score(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame
         for batch in texts:
             yield pd.Series(own.scores(batch))
 
-    return docs.withColumn("toxicity", toxicity(F.col(text_col).cast("string")))
+    return docs.withColumn(out, toxicity(F.col(text_col).cast("string")))
 
 
 def toxicity_digest(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
