@@ -431,6 +431,7 @@ def streaming_incremental_dedupe(spark: SparkSession, d: str) -> DataFrame:
     """Documents as a stream of files, each batch checked against all that came before."""
     folder = f"{storage.shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     schema = table(spark, d, "documents").schema
-    source = spark.readStream.schema(schema).parquet(f"{d}/documents.parquet")
+    # A pattern, since the table may be a file or a folder of files.
+    source = spark.readStream.schema(schema).parquet(f"{d}/document[s].parquet")
     incremental.dedupe_stream(source.select("doc_id", "text"), f"{folder}/out", f"{folder}/state").awaitTermination()
     return spark.read.parquet(f"{folder}/out").select("doc_id", "key")
