@@ -102,7 +102,7 @@ def mark_summarized(spark: SparkSession, d: str) -> DataFrame:
     return labelling.mark_summarized(domain.articles(spark, d), domain.labels(spark, d)).select("id", "status")
 
 
-@query(f"WITH {WITH} SELECT count(*) AS requested, count(lab.article_fk) AS labelled, count_if(lab.qc_passed) AS qc_passed, count_if(NOT lab.qc_passed) AS qc_failed, count_if(lab.article_fk IS NULL) AS llm_errors, round(count_if(lab.qc_passed) / count(lab.article_fk), 6) AS qc_pass_rate FROM art LEFT JOIN lab ON lab.article_fk = art.id")
+@query(f"WITH {WITH} SELECT count(*) AS requested, count(lab.article_fk) AS labelled, count(*) FILTER (lab.qc_passed) AS qc_passed, count(*) FILTER (NOT lab.qc_passed) AS qc_failed, count(*) FILTER (lab.article_fk IS NULL) AS llm_errors, round(count(*) FILTER (lab.qc_passed) / count(lab.article_fk), 6) AS qc_pass_rate FROM art LEFT JOIN lab ON lab.article_fk = art.id")
 def label_batch_counts(spark: SparkSession, d: str) -> DataFrame:
     joined = domain.articles(spark, d, "id").join(domain.labels(spark, d).withColumnRenamed("article_fk", "id"), "id", "left")
     outcome = F.when(F.col("qc_passed").isNull(), F.lit("error")).when(F.col("qc_passed"), F.lit("passed")).otherwise(F.lit("failed"))
@@ -303,7 +303,7 @@ def qc_reason_histogram(spark: SparkSession, d: str) -> DataFrame:
     return reports.reason_histogram(_checked(spark, d))
 
 
-@query(f"WITH {WITH} SELECT src.source_id, count_if(qc_passed) AS n_passed, count_if(NOT qc_passed) AS n_failed, round(count_if(qc_passed) / count(*), 6) AS pass_rate FROM lab JOIN art ON art.id = lab.article_fk JOIN src ON src.id = art.source_fk GROUP BY 1")
+@query(f"WITH {WITH} SELECT src.source_id, count(*) FILTER (qc_passed) AS n_passed, count(*) FILTER (NOT qc_passed) AS n_failed, round(count(*) FILTER (qc_passed) / count(*), 6) AS pass_rate FROM lab JOIN art ON art.id = lab.article_fk JOIN src ON src.id = art.source_fk GROUP BY 1")
 def qc_pass_rate_by_source(spark: SparkSession, d: str) -> DataFrame:
     joined = domain.labels(spark, d).drop("source").join(domain.articles(spark, d, "id", "source_fk").withColumnRenamed("id", "article_fk"), "article_fk").join(domain.sources(spark, d).select(F.col("id").alias("source_fk"), "source_id"), "source_fk")
     return reports.pass_rates(joined).withColumn("pass_rate", F.round("pass_rate", 6))
@@ -402,7 +402,7 @@ def _outcomes(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select(F.concat(F.lit("src"), (F.col("user_id") % 20).cast("string")).alias("source_id"), F.get(kinds, (F.col("event_id") % 6).cast("int")).alias("outcome"))
 
 
-RUNS = "c AS (SELECT 'src' || (user_id % 20) AS source_id, count(*) AS discovered, " + ", ".join(f"count_if(event_id % 6 = {k}) AS {o}" for k, o in enumerate(reports.OUTCOMES)) + " FROM events GROUP BY 1)"
+RUNS = "c AS (SELECT 'src' || (user_id % 20) AS source_id, count(*) AS discovered, " + ", ".join(f"count(*) FILTER (event_id % 6 = {k}) AS {o}" for k, o in enumerate(reports.OUTCOMES)) + " FROM events GROUP BY 1)"
 
 
 @query(f"WITH {RUNS} SELECT * FROM c")
