@@ -64,4 +64,35 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_line_dedup, op2_byte_bpe, op3_toxicity, op4_html_extract, op5_warc, op6_url_filter, op7_sharding, op8_ann, op9_simhash_dedup, op10_decontaminate)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+LINES_SQL = """
+WITH l AS (SELECT doc_id, unnest(a) AS line, generate_subscripts(a, 1) AS pos FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS a FROM documents)),
+ k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+ held AS (SELECT key, max(doc_id) AS keep FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+ m AS (SELECT k.doc_id, k.line, k.pos, held.keep IS NOT NULL AND held.keep <> k.doc_id AS gone FROM k LEFT JOIN held ON held.key = k.key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256 FROM m GROUP BY doc_id
+"""
+
+BASE32 = "array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(sha, 5 * (i // 4) + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::INT, 1)), '')"
+
+WARC_SQL = f"""
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS html, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS keep FROM pages),
+ h AS (SELECT page_id, url, keep, octet_length(encode(html)) AS payload_bytes, sha1(html) AS sha FROM p)
+SELECT page_id, payload_bytes, {BASE32} AS payload_digest, CASE WHEN page_id = keep THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> keep THEN keep END AS refers_to, url FROM h
+"""
+
+#: Every window that a shared shingle places is compared; no fingerprints.
+LEAKS_SQL = r"""
+WITH d AS MATERIALIZED (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w FROM documents),
+ b AS MATERIALIZED (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w FROM benchmark),
+ ds AS MATERIALIZED (SELECT doc_id, m, unnest(s) AS g, generate_subscripts(s, 1) - 1 AS pos FROM (SELECT doc_id, greatest(1, len(w) - 4) AS m, list_transform(range(1, greatest(2, len(w) - 3)), lambda i: array_to_string(list_slice(w, i, i + 4), ' ')) AS s FROM d WHERE len(w) > 0)),
+ bs AS MATERIALIZED (SELECT item_id, n, unnest(s) AS g, generate_subscripts(s, 1) - 1 AS off FROM (SELECT item_id, len(w) AS n, list_transform(range(1, greatest(2, len(w) - 3)), lambda i: array_to_string(list_slice(w, i, i + 4), ' ')) AS s FROM b WHERE len(w) > 0)),
+ win AS MATERIALIZED (SELECT DISTINCT ds.doc_id, bs.item_id, bs.n, greatest(1, bs.n - 4) AS width, greatest(0, least(ds.pos - bs.off, ds.m - greatest(1, bs.n - 4))) AS start FROM ds JOIN bs ON bs.g = ds.g),
+ ww AS (SELECT win.doc_id, win.item_id, win.n, win.width, win.start, ds.g, count(*) AS c FROM win JOIN ds ON ds.doc_id = win.doc_id AND ds.pos >= win.start AND ds.pos < win.start + win.width GROUP BY ALL),
+ t AS (SELECT doc_id, item_id, start, sum(c) AS total FROM ww GROUP BY ALL), bc AS (SELECT item_id, g, count(*) AS c FROM bs GROUP BY ALL),
+ sim AS (SELECT ww.doc_id, ww.item_id, ww.n, ww.start, sum(least(ww.c, bc.c)) AS m FROM ww JOIN bc ON bc.item_id = ww.item_id AND bc.g = ww.g GROUP BY ALL),
+ r AS (SELECT sim.doc_id, sim.item_id, sim.n, sim.start, m / (t.total + greatest(1, sim.n - 4) - m) AS s FROM sim JOIN t ON t.doc_id = sim.doc_id AND t.item_id = sim.item_id AND t.start = sim.start)
+SELECT doc_id, item_id, round(s, 6) AS similarity, start::BIGINT AS window_start, n::BIGINT AS window_words FROM r WHERE s >= 0.8 QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY s DESC, start) = 1
+"""
+
+#: The others are tested against brute force, a round trip or held-out accuracy.
+ORACLE_SQL: dict[str, str] = {"op1_line_dedup": LINES_SQL, "op5_warc": WARC_SQL, "op10_decontaminate": LEAKS_SQL}
