@@ -4,8 +4,8 @@ A URL is a set of tokens: host labels and their hyphenated parts, host suffixes,
 directories, extension and query keys.  FP-growth over labelled URLs finds frequent token
 combinations; a combination predicts its label if enough URLs bear it out.  Rules that a
 shorter rule with the same or more confidence implies are pruned.  Matching inverts the
-rules: each rule is listed under each of its tokens, a URL's tokens are looked up, and a
-rule fires for a URL when it is met as many times as it has tokens.  Explicit rules on
+rules: each rule is listed under its rarest token, a URL's tokens are looked up, and a rule
+fires for a URL that has all the rule's tokens.  Explicit rules on
 host and path go first; the longest one that fits wins.
 """
 
@@ -83,7 +83,7 @@ def mine_rules(urls: DataFrame, labels: DataFrame, *, min_support: float = 0.001
     """
     from pyspark.ml.fpm import FPGrowth
 
-    known = cut_lineage(urls.select("id", url_tokens(F.col("url")).alias("items")).join(labels.where(F.col("bad").isNotNull()).select("id", "bad"), "id").where(F.size("items") > 0))
+    known = cut_lineage(urls.select("id", F.array_sort(url_tokens(F.col("url"))).alias("items")).join(labels.where(F.col("bad").isNotNull()).select("id", "bad"), "id").where(F.size("items") > 0))
     total = known.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("bad").cast("long")).alias("bad")).first()
     empty = urls.sparkSession.createDataFrame([], "rule_id long, items array<string>, confidence double, bad long")
     if not total["bad"]:
@@ -91,7 +91,9 @@ def mine_rules(urls: DataFrame, labels: DataFrame, *, min_support: float = 0.001
     floor = max(min_rows, total["n"] * min_support)
     sets = FPGrowth(itemsCol="items", minSupport=min(1.0, floor / total["bad"]), minConfidence=0.0).fit(known.where("bad").select("items")).freqItemsets
     bad_sets = cut_lineage(sets.where(F.size("items") <= longest).select(F.array_sort("items").alias("items"), F.col("freq").alias("bad")).withColumn("rule_id", F.xxhash64("items")))
-    every = matches(known.select("id", "items"), bad_sets.select("rule_id", "items")).groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"))
+    # URLs alike in their tokens are one row with its number.
+    alike = known.groupBy("items").agg(F.count(F.lit(1)).alias("id_n")).withColumn("id", F.struct(F.xxhash64("items"), F.col("id_n").alias("n")))
+    every = matches(alike.select("id", "items"), bad_sets.select("rule_id", "items")).groupBy("rule_id").agg(F.sum("id.n").alias("n"))
     base = total["bad"] / total["n"]
     scored = cut_lineage(bad_sets.join(every, "rule_id").withColumn("confidence", F.col("bad") / F.col("n")).where((F.col("confidence") >= min_confidence) & (F.col("confidence") >= lift * base)))
     # A rule goes if a proper part of it is a rule at least as sure: parts are found through the same index.
@@ -101,10 +103,17 @@ def mine_rules(urls: DataFrame, labels: DataFrame, *, min_support: float = 0.001
 
 
 def matches(rows: DataFrame, rules: DataFrame) -> DataFrame:
-    """``(id, rule_id)`` where all of the rule's items are among the row's: an inverted index tallied by rule."""
-    index = rules.select("rule_id", F.size("items").alias("need"), F.explode("items").alias("item"))
-    met = rows.select("id", F.explode(F.array_distinct("items")).alias("item")).join(index, "item")
-    return met.groupBy("id", "rule_id", "need").agg(F.count(F.lit(1)).alias("met")).where(F.col("met") == F.col("need")).select("id", "rule_id")
+    """``(id, rule_id)`` where all of the rule's items are among the row's.
+
+    An inverted index: each rule is listed once, under the one of its items that fewest rows
+    have, so a row meets only rules that share their rarest item with it; those are then
+    compared in full.
+    """
+    posted = rows.select("id", "items", F.explode_outer(F.array_distinct("items")).alias("item")).where(F.col("item").isNotNull())
+    often = posted.groupBy("item").agg(F.count(F.lit(1)).alias("often"))
+    listed = rules.select("rule_id", F.col("items").alias("need"), F.explode_outer("items").alias("item")).join(often, "item", "left")
+    index = listed.groupBy("rule_id", "need").agg(F.min_by("item", F.struct(F.coalesce("often", F.lit(0)), "item")).alias("item"))
+    return posted.join(index, "item").where(F.size(F.array_except("need", "items")) == 0).select("id", "rule_id")
 
 
 def judge(pages: DataFrame, labels: DataFrame, *, id_col: str = "page_id", url_col: str = "url", rules: tuple[Rule, ...] = RULES, **limits) -> DataFrame:
