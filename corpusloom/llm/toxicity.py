@@ -2,7 +2,8 @@
 
 A word is a bag of features: itself and its character n-grams between boundary marks,
 hashed into ``buckets`` rows of an embedding.  A word's vector is the mean of its rows, a
-passage's the mean of its words', and a linear softmax reads the passage.  Embedding and
+passage's the mean of its words', where a word that is repeated counts once, and a linear
+softmax reads the passage.  Embedding and
 softmax are trained jointly in numpy by Adagrad, on the driver, over a bounded sample of
 labelled documents.  A misspelling that was never seen still shares most n-grams, and so
 most of its vector, with the word it stands for.
@@ -94,28 +95,32 @@ def word_values(words: list[str], weights: np.ndarray, s: Settings) -> np.ndarra
 
 
 class Model:
-    """One number per bucket and a bias: the logit of a passage is the mean over its words of the mean over their buckets."""
+    """One number per bucket and a bias: a word's value is the mean over its buckets, a passage's logit the mean over its words and the bias."""
 
     def __init__(self, weights: np.ndarray, bias: float, settings: Settings, limit: int = 300_000):
         self.weights, self.bias, self.settings, self.limit = weights, bias, settings, limit
-        self.known: dict[str, float] = {}
-
-    def _learn(self, words: set[str]) -> None:
-        if len(self.known) + len(words) > self.limit:
-            self.known.clear()
-        new = list(words)
-        self.known.update(zip(new, word_values(new, self.weights, self.settings).tolist(), strict=True))
+        self.place: dict[str, int] = {}
+        self.value = np.zeros(limit)
+
+    def _places(self, words: list[str]) -> np.ndarray:
+        """A number for each word; ``value`` has the words' values at these."""
+        if new := list(set(words).difference(self.place)):
+            if len(self.place) + len(new) > len(self.value):
+                self.place.clear()
+                new = list(set(words))
+                if len(new) > len(self.value):
+                    self.value = np.zeros(len(new))
+            start = len(self.place)
+            self.place.update(zip(new, range(start, start + len(new)), strict=True))
+            self.value[start : start + len(new)] = word_values(new, self.weights, self.settings)
+        return np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
 
     def logit(self, text: str | None) -> float:
         """The logit of the most toxic passage."""
         words = words_of(text)
         if not words:
             return self.bias
-        if unknown := set(words).difference(self.known):
-            self._learn(unknown if len(self.known) + len(unknown) <= self.limit else set(words))
-        per_word = np.fromiter(map(self.known.__getitem__, words), np.float64, len(words))
-        edges = passage_edges(len(words), self.settings.passage)
-        return float((np.add.reduceat(per_word, edges[:-1]) / np.diff(edges)).max() + self.bias)
+        return float(passage_means(self.value, self._places(words), self.settings.passage).max() + self.bias)
 
     def scores(self, texts) -> np.ndarray:
         logits = np.array([self.logit(t) for t in texts], np.float64)
@@ -128,6 +133,14 @@ def passage_edges(n: int, size: int) -> np.ndarray:
     return np.arange(parts + 1) * n // parts
 
 
+def passage_means(value: np.ndarray, words: np.ndarray, size: int) -> np.ndarray:
+    """For each passage, the sum of its distinct words' values over its number of words: a word that is repeated adds nothing."""
+    edges = passage_edges(len(words), size)
+    passage = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
+    once = np.unique((passage << 32) | words)
+    return np.bincount(once >> 32, value[once & 0xFFFFFFFF], len(edges) - 1) / np.diff(edges)
+
+
 def train(texts: list[str], labels: list[int], s: Settings) -> Model:
     """Fit embedding and softmax jointly; with one class only, the model gives that class's prior everywhere."""
     rng = np.random.default_rng(s.seed)
@@ -146,23 +159,27 @@ def train(texts: list[str], labels: list[int], s: Settings) -> Model:
     table = rng.uniform(-1 / s.dim, 1 / s.dim, (s.buckets, s.dim)).astype(np.float32)
     soft, bias = np.array([[-0.1, 0.1]] * s.dim, np.float32), np.zeros(2, np.float32)
     seen, soft_seen, bias_seen = np.full(s.buckets, 1e-3, np.float32), np.full_like(soft, 1e-3), np.full_like(bias, 1e-3)
-    for _ in range(min(s.most_epochs, max(s.epochs, -(-s.steps * s.batch // len(docs))))):
+    epochs = min(s.most_epochs, max(s.epochs, -(-s.steps * s.batch // len(docs))))
+    for epoch in range(epochs):
         value = np.bincount(owner, (table @ (soft[:, 1] - soft[:, 0]))[bucket], len(ids)) / sizes
-        passages = [_worst(value, d, s.passage) for d in docs]
+        # At first any passage will do, else chance decides which ones are ever looked at.
+        early = epoch < epochs // 3
+        passages = [_worst(value, d, s.passage, rng if early else None) for d in docs]
         shuffled = rng.permutation(len(docs))
         for at in range(0, len(docs), s.batch):
             chosen = shuffled[at : at + s.batch]
-            lengths = np.array([len(passages[i]) for i in chosen])
-            words, flat = np.unique(np.concatenate([passages[i] for i in chosen]), return_inverse=True)
+            lengths = np.array([len(passages[i][0]) for i in chosen])
+            whole = np.array([passages[i][1] for i in chosen])
+            words, flat = np.unique(np.concatenate([passages[i][0] for i in chosen]), return_inverse=True)
             rows = np.concatenate([bucket[starts[w] : starts[w + 1]] for w in words])
             vectors = _means(table[rows], sizes[words])
-            hidden = _means(vectors[flat], lengths)
+            hidden = _means(vectors[flat], lengths) * (lengths / whole)[:, None]
             logits = hidden @ soft + bias
             p = np.exp(logits - logits.max(axis=1, keepdims=True))
             error = p / p.sum(axis=1, keepdims=True)
             error[np.arange(len(chosen)), y[chosen]] -= 1
             g_words = np.zeros((len(words), s.dim))
-            np.add.at(g_words, flat, np.repeat(error @ soft.T / lengths[:, None], lengths, axis=0))
+            np.add.at(g_words, flat, np.repeat(error @ soft.T / whole[:, None], lengths, axis=0))
             touched, slot = np.unique(rows, return_inverse=True)
             g_rows = np.zeros((len(touched), s.dim), np.float32)
             np.add.at(g_rows, slot, np.repeat(g_words / sizes[words][:, None], sizes[words], axis=0).astype(np.float32))
@@ -174,11 +191,12 @@ def train(texts: list[str], labels: list[int], s: Settings) -> Model:
     return Model((table @ (soft[:, 1] - soft[:, 0])).astype(np.float32), float(bias[1] - bias[0]), s)
 
 
-def _worst(value: np.ndarray, doc: np.ndarray, size: int) -> np.ndarray:
-    """The words of the passage with the highest mean value."""
+def _worst(value: np.ndarray, doc: np.ndarray, size: int, rng: np.random.Generator | None) -> tuple[np.ndarray, int]:
+    """(distinct words, number of words) of the passage with the highest value, or of any if there is an ``rng``."""
     edges = passage_edges(len(doc), size)
-    best = int(np.argmax(np.add.reduceat(value[doc], edges[:-1]) / np.diff(edges)))
-    return doc[edges[best] : edges[best + 1]]
+    best = int(np.argmax(passage_means(value, doc, size))) if rng is None else int(rng.integers(len(edges) - 1))
+    passage = doc[edges[best] : edges[best + 1]]
+    return np.unique(passage), len(passage)
 
 
 def held_out(doc_id) -> object:
