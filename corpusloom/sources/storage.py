@@ -76,3 +76,31 @@ def insert_new(stored: DataFrame, rows: DataFrame, keys: list[str]) -> tuple[Dat
         fresh = fresh.join(stored.select(key).where(F.col(key).isNotNull()).distinct(), key, "left_anti")
     skipped = rows.join(fresh.select(keys[0]), keys[0], "left_anti")
     return fresh.select(rows.columns), skipped
+
+
+def without_sources(tables: dict[str, DataFrame], gone: DataFrame) -> dict[str, DataFrame]:
+    """``tables`` without the sources in ``gone`` (column ``id``) and all that hangs on them: runs, articles, their summaries and labels."""
+    ids = gone.select("id").distinct()
+    articles = tables["articles"].join(ids.withColumnRenamed("id", "source_fk"), "source_fk", "left_semi").select("id")
+    out = without_articles(tables, articles)
+    out["articles"] = out["articles"].select(tables["articles"].columns)
+    out["sources"] = tables["sources"].join(ids, "id", "left_anti")
+    if "crawl_runs" in tables:
+        out["crawl_runs"] = tables["crawl_runs"].join(ids.withColumnRenamed("id", "source_fk"), "source_fk", "left_anti")
+    return out
+
+
+def without_articles(tables: dict[str, DataFrame], gone: DataFrame) -> dict[str, DataFrame]:
+    """``tables`` without the articles in ``gone`` (column ``id``), their summaries and labels."""
+    ids = gone.select("id").distinct()
+    out = dict(tables, articles=tables["articles"].join(ids, "id", "left_anti"))
+    for name in ("summaries", "labels"):
+        if name in tables:
+            out[name] = tables[name].join(ids.withColumnRenamed("id", "article_fk"), "article_fk", "left_anti")
+    return out
+
+
+def metrics_row(spark: SparkSession, folder: str, run: str, params: dict, metrics: dict) -> None:
+    """Append one run's parameters and metrics, as text, to a Parquet table."""
+    row = [(run, {k: str(v) for k, v in params.items()}, {k: str(v) for k, v in metrics.items()})]
+    spark.createDataFrame(row, "run string, params map<string,string>, metrics map<string,string>").write.mode("append").parquet(folder)

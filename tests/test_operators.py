@@ -289,3 +289,16 @@ def test_upsert_and_insert(spark):
 def test_retention(spark):
     df = spark.createDataFrame([(1, NOW), (2, NOW - dt.timedelta(31)), (3, NOW)], "id int, fetched_at timestamp")
     assert [r["id"] for r in incremental.retained(df, F.lit(NOW), taken_down=spark.createDataFrame([(3,)], "id int")).collect()] == [1]
+
+
+def test_takedown_cascades(spark):
+    one = lambda rows, ddl: spark.createDataFrame(rows, ddl)
+    tables = {"sources": one([(1,), (2,)], "id int"), "articles": one([(10, 1), (11, 2)], "id int, source_fk int"), "labels": one([(10,), (11,)], "article_fk int"), "crawl_runs": one([(1,), (2,)], "source_fk int")}
+    left = storage.without_sources(tables, one([(1,)], "id int"))
+    assert {k: [r[0] for r in v.collect()] for k, v in left.items()} == {"sources": [2], "articles": [11], "labels": [11], "crawl_runs": [2]}
+
+
+def test_metrics_are_appended(spark, tmp_path):
+    for k in range(2):
+        storage.metrics_row(spark, f"{tmp_path}/m", f"run{k}", {"lr": 0.1}, {"rouge1": 0.5})
+    assert spark.read.parquet(f"{tmp_path}/m").count() == 2
