@@ -152,16 +152,14 @@ def train(texts: list[str], labels: list[int], s: Settings) -> Model:
     y, docs = np.array([label for label, d in zip(labels, docs, strict=True) if len(d)]), [d for d in docs if len(d)]
     if not docs:
         return Model(np.zeros(s.buckets, np.float32), float(np.log(share / (1 - share))), s)
-    owner, bucket = features(list(ids), s)
-    order = np.argsort(owner, kind="stable")
-    owner, bucket, sizes = owner[order], bucket[order], np.bincount(owner, minlength=len(ids))
+    bucket, sizes = _grouped_features(list(ids), s)
     starts = np.concatenate(([0], np.cumsum(sizes)))
     table = rng.uniform(-1 / s.dim, 1 / s.dim, (s.buckets, s.dim)).astype(np.float32)
     soft, bias = np.array([[-0.1, 0.1]] * s.dim, np.float32), np.zeros(2, np.float32)
     seen, soft_seen, bias_seen = np.full(s.buckets, 1e-3, np.float32), np.full_like(soft, 1e-3), np.full_like(bias, 1e-3)
     epochs = min(s.most_epochs, max(s.epochs, -(-s.steps * s.batch // len(docs))))
     for epoch in range(epochs):
-        value = np.bincount(owner, (table @ (soft[:, 1] - soft[:, 0]))[bucket], len(ids)) / sizes
+        value = np.add.reduceat((table @ (soft[:, 1] - soft[:, 0]))[bucket], starts[:-1]) / sizes
         # At first any passage will do, else chance decides which ones are ever looked at.
         early = epoch < epochs // 3
         passages = [_worst(value, d, s.passage, rng if early else None) for d in docs]
@@ -191,6 +189,17 @@ def train(texts: list[str], labels: list[int], s: Settings) -> Model:
     return Model((table @ (soft[:, 1] - soft[:, 0])).astype(np.float32), float(bias[1] - bias[0]), s)
 
 
+def _grouped_features(words: list[str], s: Settings, chunk: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of all words, word after word, and how many each has; made in chunks, since hashing takes several times their space."""
+    buckets, sizes = [], []
+    for lo in range(0, len(words), chunk):
+        part = words[lo : lo + chunk]
+        owner, bucket = features(part, s)
+        buckets.append(bucket[np.argsort(owner, kind="stable")].astype(np.int32))
+        sizes.append(np.bincount(owner, minlength=len(part)))
+    return np.concatenate(buckets), np.concatenate(sizes)
+
+
 def _worst(value: np.ndarray, doc: np.ndarray, size: int, rng: np.random.Generator | None) -> tuple[np.ndarray, int]:
     """(distinct words, number of words) of the passage with the highest value, or of any if there is an ``rng``."""
     edges = passage_edges(len(doc), size)
