@@ -32,9 +32,14 @@ from corpusloom.llm.shared import UPPER, LOWER, cut_lineage
 #: Element and region names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-RAW = frozenset("script style textarea title noscript iframe template svg math object noframes xmp".split())
+RAW = frozenset("script style textarea title iframe noframes xmp".split())
+#: Rejected with all they hold, but made of tags: a start tag without any later end tag is ignored.
+EMBEDDED = frozenset("svg math object template noscript".split())
+FOREIGN = frozenset(("svg", "math"))
+#: Start tags that end open svg and math elements.
+BREAKOUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
-REJECTED = frozenset("head nav footer aside form button select option input dialog menu menuitem datalist".split()) | RAW
+REJECTED = frozenset("head nav footer aside form button select option input dialog menu menuitem datalist".split()) | RAW | EMBEDDED
 REJECTED_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adslot adsense banner sponsor sponsored promo promotion promoted menu nav navbar navigation breadcrumb breadcrumbs sidebar "
     "footer comment comments disqus replies respond cookie cookies consent gdpr notice notices alert newsletter subscribe subscription signup login social share sharing related recommended "
@@ -64,6 +69,7 @@ class Page:
         # open elements: (name, path, rejected, place in tags, inside an article)
         stack: list[tuple[str, str, bool, int, bool]] = [("", "", False, -1, False)]
         block, at, size = 0, 0, len(source)
+        last_end: dict[str, int] = {}
         while at < size:
             m = TOKEN.match(source, at)
             if m is None:
@@ -80,6 +86,8 @@ class Page:
             if m[1] or m[4]:
                 self._close(name, stack)
                 continue
+            foreign = self._foreign(name, stack)
+            closed = m[3] is not None and m[3].endswith("/") and (foreign or name in FOREIGN)
             if name in CLOSES_P:
                 self._close_p(stack)
             elif name in ("li", "dt", "dd", "tr", "td", "th", "option"):
@@ -89,6 +97,13 @@ class Page:
                     self._text(" ", stack, block)
                 continue
             path, rejected, article = self._enter(name, m[3], stack[-1])
+            if closed:
+                continue
+            if name in EMBEDDED:
+                if name not in last_end:
+                    last_end[name] = max((e.start() for e in re.finditer(rf"</{name}\b", source, re.I)), default=-1)
+                if last_end[name] < at:
+                    continue
             if name in RAW:
                 end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(source, at)
                 at = end.end() if end else size
@@ -120,6 +135,18 @@ class Page:
             for entry in stack[1:]:
                 self.tags[entry[3]][1] += n
 
+    def _foreign(self, name: str, stack: list) -> bool:
+        """Whether a start tag is inside svg or math; one that cannot be there closes them."""
+        for k in range(len(stack) - 1, 0, -1):
+            if stack[k][0] in ("foreignobject", "annotation-xml"):
+                return False
+            if stack[k][0] in FOREIGN:
+                if name not in BREAKOUT:
+                    return True
+                del stack[k:]
+                return self._foreign(name, stack)
+        return False
+
     def _close(self, name: str, stack: list) -> None:
         for k in range(len(stack) - 1, 0, -1):
             if stack[k][0] == name:

@@ -34,6 +34,16 @@ def test_extraction_of_odd_pages(spark):
     assert html_extract.extract(df.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize(
+    "inside",
+    ["<svg width='1'/>", "<math/>", "<svg><g><path d='M0'/><svg><path/></svg><text>no</text></g></svg>", "<svg><title/><text>no</text></svg>", "<object data='x'>", "<noscript>", "<template><p>no</p></template>", "<object><object>no</object>no</object>", "<svg>no<p></svg>"],
+)
+def test_embedded_elements_cut_nothing(inside):
+    source = f"<html><body><article><p>before</p>{inside}<p>after</p></article><article><p>end</p></article></body></html>"
+    p = html_extract.Page(source)
+    assert p.blocks(p.own_main(), frozenset()) == ["before", "after", "end"]
+
+
 def test_template_finds_the_main_slot_without_names(spark):
     shell = lambda k: f"<html><body><div class='q1'><p>Same words on every page of this host</p></div><div class='q2'><p>{'Own story number ' + str(k) + ' goes on and on. ' * 8}</p><p>Its end {k}</p></div></body></html>"
     got = extract(spark, [(k, "http://t.example/", shell(k)) for k in range(6)])
