@@ -1,27 +1,35 @@
 """Main text of web pages by template deduction over a host's pages.
 
 A page is a sequence of tokens: opening tags, told apart by their path of open elements
-and first class or id, and text runs, told apart by path and content.  Tokens that occur
-equally often in every page of a host have the same occurrence vector and form an
-equivalence class; a class with enough pages and tokens is valid if each of its tags sits
-below a tag of its own class or of one that encloses it.  The class of tokens that every
-page has once is the template's skeleton; other valid classes nest in the skeleton tag
-above them, and what lies between template tokens are the slots.  The slot that holds most
-text that is not part of the template is the main one, and extraction takes the blocks in
-it, without regions whose element or name says that they are menus, adverts and the like.
+and first class or id, and text runs, told apart by path and content.  Pages of a host are
+grouped by layout, the containers that each has once.  Tokens that occur equally often in
+the same pages of a group have the same occurrence vector and form an equivalence class,
+which counts if at least half of the pages have it.  A class is valid if each of its tags
+sits below a tag of its own class or of a valid one; the largest class of tags that its
+pages have once is the template's skeleton.  Text of the
+skeleton's class is the template's; once-per-page tags of valid
+classes are the slots.  The slot that holds most text that is not part of the template is
+the main one, and extraction takes the blocks in it, without the template's text and without
+regions whose element or name says that they are menus, adverts and the like.
 
 Occurrence vectors are compared by the exclusive or of a hash of (page, count), summed up
 before any shuffle, so all pages count and a host with a third of them is no heavier than
-another.  Hosts with fewer than ``support`` pages, and pages that lack their host's main
-slot, use the page's own article or main element, else the element with most text.
+another.  Pages of a layout that is too rare use the template made of all pages of their
+host, unless an article of their own lies deeper.  Hosts with fewer than ``support`` pages
+with tags, and pages that lack the main slot, use the page's own article or main element,
+else the element with most text.
 """
 
 from __future__ import annotations
 
 import html as entities
+import json
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -49,6 +57,10 @@ REJECTED_NAMES = frozenset(
 REJECTED_OUTSIDE = frozenset(("header", "masthead", "topbar"))
 REJECTED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 
+#: Elements of running text say nothing about a page's layout.
+NO_FRAME = INLINE | frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th pre blockquote figure figcaption address hgroup details summary".split())
+LAYOUT_DEPTH = 5
+
 #: Comments and declarations; tags; tags with a broken quote or no end; text.
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|([^<]+|<)""", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -66,6 +78,7 @@ class Page:
     def __init__(self, source: str):
         self.runs: list[tuple[str, int, str, bool]] = []
         self.tags: list[list] = []
+        self.frame: set[str] = set()
         # open elements: (name, path, rejected, place in tags, inside an article)
         stack: list[tuple[str, str, bool, int, bool]] = [("", "", False, -1, False)]
         block, at, size = 0, 0, len(source)
@@ -108,6 +121,8 @@ class Page:
                 end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(source, at)
                 at = end.end() if end else size
                 continue
+            if not rejected and not stack[-1][4] and name not in NO_FRAME and path.count("/") <= LAYOUT_DEPTH:
+                self.frame.add(path)
             self.tags.append([path, 0])
             stack.append((name, path, rejected, len(self.tags) - 1, article))
 
@@ -198,88 +213,175 @@ class Page:
         return enough[-1] if enough and whole else ""
 
 
+    def layout(self) -> int:
+        """A hash, never 0, of the kept containers down to ``LAYOUT_DEPTH`` that the page has once, articles' insides apart."""
+        often = Counter(path for path, _ in self.tags)
+        once = sorted(path for path, n in often.items() if n == 1 and path in self.frame)
+        return 1 + zlib.crc32("\n".join(once).encode("utf-8", "surrogatepass"))
+
+
 def run_token(path: str, text: str) -> int:
     return zlib.crc32(f"{path}\n{' '.join(text.split())}".encode("utf-8", "surrogatepass"))
 
 
-TOKENS = "host string, page long, kind string, path string, token long, count int, place int, chars long"
+TOKENS = "host string, layout long, kind string, path string, token long, page long, count int, place int, chars long"
+TOKEN_COLUMNS = [c.split()[0] for c in TOKENS.split(", ")]
+#: Stands for all layouts of a host.
+WHOLE = 0
+
+
+def last_name(path: str) -> str:
+    return path.rsplit("/", 1)[-1].split(".")[0]
 
 
-def tokens_of(pages: DataFrame) -> DataFrame:
-    """Tokens per page of ``pages(host, page, html)``: kind ``tag`` or ``text``, how often, where first, and text below."""
+def tokens_of(pages: DataFrame, *, rows: int = 20_000) -> DataFrame:
+    """Tokens per page of ``pages(host, page, html)`` that has any tag.
+
+    Kind ``tag`` or ``text``, how often, where first, and kept characters other than
+    blanks in or below it; and one of kind ``page`` to count pages by.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out = []
         for batch in batches:
-            out = []
             for host, key, source in zip(batch["host"], batch["page"], batch["html"], strict=True):
                 page, found = Page(source), {}
+                if not page.tags:
+                    continue
                 for place, (path, chars) in enumerate(page.tags):
                     own = found.setdefault(("tag", path), [0, place, 0])
                     own[0] += 1
                     own[2] += chars
                 for place, (path, _, text, rejected) in enumerate(page.runs):
                     if not rejected and len(text) <= 400 and not text.isspace():
-                        found.setdefault(("text", path, run_token(path, text)), [0, place, len(text)])[0] += 1
+                        own = found.setdefault(("text", path, run_token(path, text)), [0, place, 0])
+                        own[0] += 1
+                        own[2] += len(text) - text.count(" ")
+                layout = page.layout()
+                out.append((host, layout, "page", "", 0, key, 1, 0, 0))
                 for token, (count, place, chars) in found.items():
-                    out.append((host, key, token[0], token[1], token[2] if token[0] == "text" else zlib.crc32(token[1].encode("utf-8", "surrogatepass")), count, place, chars))
-            yield pd.DataFrame(out, columns=["host", "page", "kind", "path", "token", "count", "place", "chars"])
+                    out.append((host, layout, token[0], token[1], token[2] if token[0] == "text" else zlib.crc32(token[1].encode("utf-8", "surrogatepass")), key, count, place, chars))
+                if len(out) >= rows:
+                    yield pd.DataFrame(out, columns=TOKEN_COLUMNS)
+                    out = []
+        yield pd.DataFrame(out, columns=TOKEN_COLUMNS)
 
     return pages.mapInPandas(run, TOKENS)
 
 
-TEMPLATE = "host string, main string, constant array<long>"
+class Token(NamedTuple):
+    """A frequent token of a host or layout: on how many pages, and the least, most and sum of its counts there."""
 
+    kind: str
+    path: str
+    token: int
+    pages: int
+    vector: int
+    low: int
+    high: int
+    place: int
+    chars: int
+    times: int
 
-def deduce(tokens: list[tuple], pages: int) -> tuple[str, list[int]]:
-    """(path of the main slot or '', template text runs) from a host's frequent tokens.
 
-    ``tokens`` has (kind, path, token, pages, vector, lowest count, highest count, place, chars).
+def deduce(tokens: list[Token]) -> tuple[str, list[int], list[int]]:
+    """(path of the main slot or '', text runs of the skeleton or of all pages, text runs of nested classes) from frequent tokens.
     """
-    classes: dict[tuple, list[tuple]] = {}
+    classes: dict[tuple, list[Token]] = {}
     for t in tokens:
-        classes.setdefault((t[4], t[3]), []).append(t)
-    skeleton_key = next((k for k, ts in classes.items() if k[1] == pages and any(t[5] == t[6] == 1 and t[0] == "tag" for t in ts)), None)
-    if skeleton_key is None:
-        return "", []
-    skeleton = {t[1] for t in classes[skeleton_key] if t[0] == "tag"}
-    valid = [classes[skeleton_key]]
-    known = set(skeleton)
-    for key, ts in sorted(classes.items(), key=lambda x: (-x[0][1], min(t[7] for t in x[1]))):
-        tags = {t[1] for t in ts if t[0] == "tag"}
-        if key != skeleton_key and tags and all(p.rsplit("/", 1)[0] in known | tags for p in tags):
-            valid.append(ts)
+        classes.setdefault((t.pages, t.vector), []).append(t)
+    once = {key: [t for t in ts if t.kind == "tag" and t.low == t.high == 1] for key, ts in classes.items()}
+    skeleton = max(classes, key=lambda k: (k[0] * len(once[k]), k), default=None)
+    if skeleton is None or not once[skeleton]:
+        return "", [], []
+    most_pages = max(key[0] for key in classes)
+    slots: list[Token] = []
+    sure: dict[int, Token] = {}
+    nested: dict[int, Token] = {}
+    known, left = {""}, sorted(classes, key=lambda k: (-k[0], min(t.place for t in classes[k])))
+    found = True
+    while found:
+        found = []
+        for key in left:
+            tags = {t.path for t in classes[key] if t.kind == "tag"}
+            everywhere = key == skeleton or key[0] >= most_pages
+            if (not tags and not everywhere) or any(p.rsplit("/", 1)[0] not in known | tags for p in tags):
+                continue
+            found.append(key)
             known |= tags
-    constant = {t[2]: t for t in classes[skeleton_key] if t[0] == "text"}
-    fixed = lambda path: sum(t[8] for t in constant.values() if t[1] == path or t[1].startswith(path + "/"))
-    free = {t[1]: t[8] - fixed(t[1]) for t in classes[skeleton_key] if t[0] == "tag" and t[1].rsplit("/", 1)[-1].split(".")[0] not in INLINE | {"p", "h1", "h2", "h3"}}
+            slots += once[key]
+            for t in classes[key]:
+                if t.kind == "text" and key == skeleton:
+                    sure[t.token] = t
+        left = [key for key in left if key not in found]
+    texts = [*sure.values(), *nested.values()]
+    fixed = lambda path: sum(t.chars for t in texts if t.path == path or t.path.startswith(path + "/"))
+    free = {t.path: t.chars - fixed(t.path) for t in slots if last_name(t.path) not in INLINE | {"p", "h1", "h2", "h3"}}
     most = max(free.values(), default=0)
     if most <= 0:
-        return "", []
-    named = [p for p in free if p.rsplit("/", 1)[-1].split(".")[0] in ("article", "main") and free[p] > 0]
+        return "", [], []
+    named = [p for p in free if last_name(p) in ("article", "main") and free[p] > 0]
     # The innermost slot that still has most of the host's free text.
     main = max(named, key=lambda p: (free[p], len(p))) if named else max((p for p in free if free[p] >= 0.6 * most), key=lambda p: (p.count("/"), free[p]))
-    return main, sorted(k for k, t in constant.items() if not named and (t[1] == main or t[1].startswith(main + "/")))
+    inside = lambda t: t.path == main or t.path.startswith(main + "/")
+    out = lambda t: inside(t) and not named
+    return main, sorted(k for k, t in sure.items() if out(t)), sorted(k for k, t in nested.items() if out(t))
 
 
-def templates(pages: DataFrame, *, support: int = 3) -> DataFrame:
-    """``(host, main, constant)`` for the hosts with at least ``support`` pages."""
-    each = tokens_of(pages)
+def templates(pages: DataFrame, *, support: int = 3, share: float = 0.02) -> DataFrame:
+    """``(host, template)``: by layout, as JSON, what ``deduce`` finds.
+
+    Layouts that have ``support`` pages and ``share`` of their host's have their own entry,
+    so a host has at most ``1 / share`` of them; ``WHOLE`` is made of all its pages with tags.
+    """
+    each = tokens_of(pages).select("*", F.explode_outer(F.array("layout", F.lit(WHOLE).cast("long"))).alias("group"))
     vector = F.bit_xor(F.xxhash64("page", "count"))
-    counted = each.groupBy("host", "kind", "path", "token").agg(F.count(F.lit(1)).alias("pages"), vector.alias("vector"), F.min("count").alias("low"), F.max("count").alias("high"), F.min("place").alias("place"), F.sum("chars").alias("chars"))
-    sizes = pages.groupBy("host").agg(F.count(F.lit(1)).alias("total")).where(F.col("total") >= support)
-    # A frequent token is on at least half of its host's pages, so a host has at most twice as many as a page.
-    frequent = counted.join(sizes, "host").where(F.col("pages") * 2 >= F.col("total"))
-    grouped = frequent.groupBy("host", "total").agg(F.collect_list(F.struct("kind", "path", "token", "pages", "vector", "low", "high", "place", "chars")).alias("tokens"))
+    by = each.groupBy("host", "group", "kind", "path", "token")
+    counted = by.agg(F.count(F.lit(1)).alias("pages"), vector.alias("vector"), F.min("count").alias("low"), F.max("count").alias("high"), F.min("place").alias("place"), F.sum("chars").alias("chars"), F.sum("count").alias("times"))
+    # A token on fewer than half of ``support`` pages is frequent nowhere.
+    kept = cut_lineage(counted.where((F.col("pages") * 2 >= support) | (F.col("kind") == "page")))
+    totals = kept.where((F.col("kind") == "page") & (F.col("pages") >= support)).select("host", "group", F.col("pages").alias("total"))
+    hosts = totals.where(F.col("group") == WHOLE).select("host", F.col("total").alias("all"))
+    sizes = totals.join(hosts, "host").where(F.col("total") >= share * F.col("all")).select("host", "group", "total")
+    # A frequent token is on at least half of its group's pages, so a group has at most twice as many as a page.
+    frequent = kept.where(F.col("kind") != "page").join(sizes, ["host", "group"]).where(F.col("pages") * 2 >= F.col("total"))
+    grouped = frequent.groupBy("host", "group").agg(F.collect_list(F.struct(*Token._fields)).alias("tokens"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ("kind", "path", "token", "pages", "vector", "low", "high", "place", "chars")
         for batch in batches:
             rows = []
-            for host, total, tokens in zip(batch["host"], batch["total"], batch["tokens"], strict=True):
-                rows.append((host, *deduce([tuple(t[n] for n in names) for t in tokens], total)))
-            yield pd.DataFrame(rows, columns=["host", "main", "constant"])
+            for host, group, tokens in zip(batch["host"], batch["group"], batch["tokens"], strict=True):
+                rows.append((host, json.dumps([group, *deduce([Token(*(t[n] for n in Token._fields)) for t in tokens])])))
+            yield pd.DataFrame(rows, columns=["host", "template"])
+
+    found = grouped.mapInPandas(run, "host string, template string")
+    return found.groupBy("host").agg(F.concat(F.lit("["), F.array_join(F.array_sort(F.collect_list("template")), ","), F.lit("]")).alias("template"))
+
+
+@lru_cache(maxsize=256)
+def read_template(template: str) -> dict[int, tuple[str, frozenset[int], frozenset[int]]]:
+    return {group: (main, frozenset(sure), frozenset(sure) | frozenset(nested)) for group, main, sure, nested in json.loads(template)}
 
-    return grouped.mapInPandas(run, TEMPLATE)
+
+def main_text(source: str, template: str | None) -> str:
+    """The page's main text by its layout's template, else by its host's, else by its own elements.
+
+    A page that would lose most of its main slot to the text of nested classes is taken
+    for one of several copies and loses only what all pages have.
+    """
+    page = Page(source)
+    known = read_template(template) if template else {}
+    layout = page.layout() if known else WHOLE
+    main, sure, every = known.get(layout) or known.get(WHOLE) or ("", frozenset(), frozenset())
+    if main and layout not in known and last_name(main) not in ("article", "main"):
+        # An odd page's own article says more than a slot that fits the other pages.
+        own = page.own_main()
+        main = "" if last_name(own) in ("article", "main") and own.startswith(main + "/") else main
+    blocks = page.blocks(main, sure) if main else []
+    if blocks and every != sure:
+        fewer = page.blocks(main, every)
+        blocks = fewer if 2 * sum(map(len, fewer)) >= sum(map(len, blocks)) else blocks
+    return "\n".join(blocks or page.blocks(page.own_main(), frozenset()))
 
 
 def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", support: int = 3, broadcast_hosts: int = 20_000) -> DataFrame:
@@ -295,13 +397,8 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
     joined = own.join(F.broadcast(known) if known.count() <= broadcast_hosts else known, "host", "left")
 
     @F.pandas_udf("string")
-    def text(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for sources, mains, constants in batches:
-            out = []
-            for source, main, constant in zip(sources, mains, constants, strict=True):
-                page = Page(source)
-                blocks = page.blocks(main, frozenset() if constant is None else frozenset(constant)) if main else []
-                out.append("\n".join(blocks or page.blocks(page.own_main(), frozenset())))
-            yield pd.Series(out, dtype=object)
-
-    return joined.select("page_id", "url", text("html", "main", "constant").alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))
+    def text(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for sources, found in batches:
+            yield pd.Series([main_text(source, template) for source, template in zip(sources, found, strict=True)], dtype=object)
+
+    return joined.select("page_id", "url", text("html", "template").alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))

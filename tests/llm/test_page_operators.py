@@ -50,6 +50,20 @@ def test_template_finds_the_main_slot_without_names(spark):
     assert all(t.startswith(f"Own story number {k}") and t.endswith(f"Its end {k}") and "Same words" not in t for k, t in got.items())
 
 
+def test_odd_pages_leave_their_hosts_template_alone(spark):
+    shell = lambda k: f"<html><body><div class='q1'><p>Same words on every page of this host</p></div><div class='q2'><p>{'Own story number ' + str(k) + ' goes on and on. ' * 8}</p><p>Its end {k}</p></div></body></html>"
+    story = lambda k: f"<html><body><div class='q1'><p>Outside of the article</p></div><article><h1>Title {k}</h1><p>{f'story {k} ' * 9}</article></body></html>"
+    index = "<html><body><div class='list'><p>All our stories in one long list</p></div></body></html>"
+    rows = [(k, "http://t.example/", shell(k)) for k in range(6)] + [(6, "http://t.example/", None), (7, "http://t.example/", ""), (8, "http://t.example/", "no tags")]
+    rows += [(10 + k, "http://s.example/", story(k)) for k in range(6)] + [(16, "http://s.example/", index)]
+    # Two layouts on one host, neither of them on all pages.
+    rows += [(20 + k, "http://u.example/", shell(k)) for k in range(4)] + [(30 + k, "http://u.example/", story(k)) for k in range(6)]
+    got = extract(spark, rows)
+    assert all(got[k + n].startswith(f"Own story number {n}") and got[k + n].endswith(f"Its end {n}") and "Same words" not in got[k + n] for k, m in ((0, 6), (20, 4)) for n in range(m))
+    assert all(got[k + n] == f"Title {n}\n{f'story {n} ' * 9}".strip() for k in (10, 30) for n in range(6))
+    assert (got[6], got[7], got[8], got[16]) == ("", "", "no tags", "All our stories in one long list")
+
+
 def test_copies_on_a_host_are_not_taken_for_its_template(spark):
     rows = [(k, "http://c.example/", page(k, "Copied", "The same article everywhere")) for k in range(6)]
     assert set(extract(spark, rows).values()) == {"Copied\nThe same article everywhere"}
