@@ -6,8 +6,8 @@ grouped by layout, the containers that each has once.  Tokens that occur equally
 the same pages of a group have the same occurrence vector and form an equivalence class,
 which counts if at least half of the pages have it.  A class is valid if each of its tags
 sits below a tag of its own class or of a valid one; the largest class of tags that its
-pages have once is the template's skeleton.  Text of the
-skeleton's class is the template's; once-per-page tags of valid
+pages have once is the template's skeleton.  Text of valid classes is the template's where
+it stands below their tags, in the skeleton or on all pages; once-per-page tags of valid
 classes are the slots.  The slot that holds most text that is not part of the template is
 the main one, and extraction takes the blocks in it, without the template's text and without
 regions whose element or name says that they are menus, adverts and the like.
@@ -253,7 +253,7 @@ def tokens_of(pages: DataFrame, *, rows: int = 20_000) -> DataFrame:
                     own[0] += 1
                     own[2] += chars
                 for place, (path, _, text, rejected) in enumerate(page.runs):
-                    if not rejected and len(text) <= 400 and not text.isspace():
+                    if not rejected and not text.isspace():
                         own = found.setdefault(("text", path, run_token(path, text)), [0, place, 0])
                         own[0] += 1
                         own[2] += len(text) - text.count(" ")
@@ -284,8 +284,11 @@ class Token(NamedTuple):
     times: int
 
 
-def deduce(tokens: list[Token]) -> tuple[str, list[int], list[int]]:
+def deduce(tokens: list[Token], *, chance: int = 20) -> tuple[str, list[int], list[int]]:
     """(path of the main slot or '', text runs of the skeleton or of all pages, text runs of nested classes) from frequent tokens.
+
+    In an article or main element a run of under ``chance`` characters is left in, unless
+    all text at its path is the template's: short runs recur there by chance.
     """
     classes: dict[tuple, list[Token]] = {}
     for t in tokens:
@@ -311,8 +314,10 @@ def deduce(tokens: list[Token]) -> tuple[str, list[int], list[int]]:
             known |= tags
             slots += once[key]
             for t in classes[key]:
-                if t.kind == "text" and key == skeleton:
+                if t.kind == "text" and everywhere:
                     sure[t.token] = t
+                elif t.kind == "text" and any(t.path == p or t.path.startswith(p + "/") for p in tags):
+                    nested[t.token] = t
         left = [key for key in left if key not in found]
     texts = [*sure.values(), *nested.values()]
     fixed = lambda path: sum(t.chars for t in texts if t.path == path or t.path.startswith(path + "/"))
@@ -323,8 +328,12 @@ def deduce(tokens: list[Token]) -> tuple[str, list[int], list[int]]:
     named = [p for p in free if last_name(p) in ("article", "main") and free[p] > 0]
     # The innermost slot that still has most of the host's free text.
     main = max(named, key=lambda p: (free[p], len(p))) if named else max((p for p in free if free[p] >= 0.6 * most), key=lambda p: (p.count("/"), free[p]))
+    held = {t.path: t.chars for t in tokens if t.kind == "tag"}
+    # Where an article is mostly the same text everywhere, its pages are near copies and not a template.
+    if named and 2 * sum(t.chars for t in sure.values() if t.path == main or t.path.startswith(main + "/")) > held[main]:
+        return main, [], []
     inside = lambda t: t.path == main or t.path.startswith(main + "/")
-    out = lambda t: inside(t) and not named
+    out = lambda t: inside(t) and (not named or t.chars >= chance * t.times or held.get(t.path, 0) == fixed(t.path) > 0)
     return main, sorted(k for k, t in sure.items() if out(t)), sorted(k for k, t in nested.items() if out(t))
 
 

@@ -69,6 +69,22 @@ def test_copies_on_a_host_are_not_taken_for_its_template(spark):
     assert set(extract(spark, rows).values()) == {"Copied\nThe same article everywhere"}
 
 
+def test_text_of_nested_classes_is_the_templates(spark):
+    notice = "All rights are with the owner of this host. " * 12
+    box = "<div class='q7'><b>Try one of our other wonderful papers</b></div>"
+    twice = "<p>Read this page aloud, please</p>"
+    source = lambda k: f"<html><body><article><h1>Title {k}</h1>{twice}<p>{f'story {k} ' * 200}</p>{box if k % 5 < 3 else ''}{twice}<p>{notice}</p></article></body></html>"
+    got = extract(spark, [(k, "http://n.example/", source(k)) for k in range(10)])
+    assert got == {k: f"Title {k}\n{f'story {k} ' * 200}".strip() for k in range(10)}
+
+
+def test_near_copies_on_a_host_keep_their_text(spark):
+    same = "".join(f"<p>Paragraph {n} of an article that many have copied</p>" for n in range(9))
+    source = lambda k: f"<html><body><article><h1>Title {k}</h1>{same if k < 6 else f'<p>own words {k}</p><p>more of {k}</p>'}</article></body></html>"
+    got = extract(spark, [(k, "http://m.example/", source(k)) for k in range(10)])
+    assert all(got[k].count("Paragraph") == 9 for k in range(6)) and got[7] == "Title 7\nown words 7\nmore of 7"
+
+
 def test_warc_round_trip(spark, tmp_path):
     rows = [(1, "http://a/", "same"), (2, None, "same"), (3, "http://c/", None), (4, "", ""), (5, "http://e/\nx", "été\r\n\r\nWARC/1.1"), (None, "http://n/", "same"), (6, "http://f/", "z" * 700_000)]
     df = spark.createDataFrame([(*r, "x", "h", "b") for r in rows], PAGE)
