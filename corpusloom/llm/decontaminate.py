@@ -1,17 +1,20 @@
 """Benchmark decontamination by SimHash windows of each item's own length.
 
 1. Words are runs of letters and digits, lower-cased; a shingle is five words (a shorter
-   text is one shingle).  A window similar enough to an item shares most shingles with it,
-   so only windows that hold a shared shingle are looked at, placed where that shingle
-   puts the item's beginning.  This pruning is exact in what it drops: a window that
-   shares no shingle with any item has similarity 0 to all.
-2. Each placed window has the item's number of words and gets the SimHash of its shingles.
+   text is one shingle).  A window of w shingles similar enough to an item of k holds at
+   least ``similarity * (w + k) / (1 + similarity)`` shingles that the item has.  So of all
+   starts only those are looked at whose window holds that many.  This pruning is exact in
+   what it drops: no other window can reach the similarity.
+2. Each such window has the item's number of words and gets the SimHash of its shingles.
 3. Fingerprints of windows and of items of the same length meet in a multi-index: 8 blocks
    of 8 bits.  Two fingerprints within ``radius`` differ in at most ``radius // 8`` bits in
    some block, and the items' side lists every block value that near, so all pairs within
    the radius are found; the rest is cut by counting differing bits.
 4. Exact similarity, the weighted Jaccard of the shingle multisets, decides.
 
+Items of fewer than five words are one shingle of their own length and are looked up among
+the documents' runs of as many words.
+
 Everything is DataFrame code.  Shared shingles are joined by hash after both sides are
 pre-aggregated per document; the item side is broadcast only if it is counted to be small.
 """
@@ -43,6 +46,11 @@ def shingle_hashes(words: Column, size: int = SHINGLE) -> Column:
     return F.when(F.size(words) == 0, F.array().cast("array<long>")).when(F.size(words) < size, whole).otherwise(F.transform(F.sequence(F.lit(0), F.size(words) - size), at))
 
 
+def runs_of(words: Column, size: int) -> Column:
+    """XXH64 of each run of ``size`` words, as ``shingle_hashes`` has it for a text of that many."""
+    return F.transform(F.sequence(F.lit(0), F.size(words) - size), lambda i: F.xxhash64(F.array_join(F.slice(words, i + 1, size), " ")))
+
+
 def with_shingles(df: DataFrame, text_col: str, size: int = SHINGLE) -> DataFrame:
     """``df`` with ``w`` (words) and ``hs`` (shingle hashes).
 
@@ -90,20 +98,29 @@ def contaminated(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", i
     """
     bench = with_shingles(items.select(F.col(item_id).alias("item_id"), F.col(text_col).alias("text")), "text", size)
     item = cut_lineage(bench.select("item_id", F.size("w").alias("n"), F.posexplode_outer("hs").alias("off", "h")))
+    shorter = item.where(F.col("n").between(1, size - 1))
+    lengths = sorted(r["n"] for r in shorter.select("n").distinct().collect())
+    short_rows = shorter.count() if lengths else 0
+    item = item.where(F.col("n") >= size)
     rows = item.count()
 
     own = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("sig"), F.col(text_col).alias("text"))
     shingled = with_shingles(own, "text", size)
     hit = shingled.select("doc_id", "sig", F.size("hs").alias("m"), F.posexplode_outer("hs").alias("pos", "h")).join(_small(item, rows), "h")
-    # A window starts where a shared shingle puts the item's first word, moved inside the document.
-    width = F.greatest(F.col("n") - (size - 1), F.lit(1))
-    start = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("off"), F.col("m") - width))
-    window = cut_lineage(hit.select("doc_id", "sig", "n", start.alias("start"), width.alias("width")).distinct())
+    hits = hit.groupBy("doc_id", "sig", "item_id", "n", "m").agg(F.array_sort(F.collect_set("pos")).alias("at"))
+    # A window of ``wide`` shingles that holds ``need`` hits lies around ``need`` consecutive ones.
+    width = F.col("n") - (size - 1)
+    need = F.greatest(F.lit(1), F.ceil(similarity * (F.col("wide") + F.col("width")) / (1 + similarity) - 1e-9)).cast("int")
+    enough = hits.withColumn("width", width).withColumn("wide", F.least("width", "m")).withColumn("need", need).where(F.size("at") >= F.col("need"))
+    low = lambda i: F.greatest(F.lit(0), F.get("at", i + F.col("need") - 1) - F.col("wide") + 1)
+    high = lambda i: F.least(F.get("at", i), F.col("m") - F.col("wide"))
+    around = F.transform(F.sequence(F.lit(0), F.size("at") - F.col("need")), lambda i: F.when(low(i) <= high(i), F.sequence(low(i), high(i))).otherwise(F.array().cast("array<int>")))
+    window = cut_lineage(enough.select("doc_id", "sig", "n", "width", F.explode_outer(F.flatten(around)).alias("start")).where(F.col("start").isNotNull()).distinct())
 
     by_doc = window.groupBy("doc_id", "sig").agg(F.collect_set(F.struct("n", "start", "width")).alias("windows"))
     found = cut_lineage(by_doc)
-    leaking = found.count()
-    held = own.join(_small(found.select(F.col("doc_id").alias("d"), F.col("sig").alias("s"), "windows"), leaking * 8), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("sig") == F.col("s")))
+    leaking = found.agg(F.coalesce(F.sum(F.size("windows") + 8), F.lit(0)).alias("n")).first()["n"]
+    held = own.join(_small(found.select(F.col("doc_id").alias("d"), F.col("sig").alias("s"), "windows"), leaking), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("sig") == F.col("s")))
     again = with_shingles(held.dropDuplicates(["doc_id", "sig"]), "text", size)
     pieces = again.select("doc_id", "sig", "hs", F.explode("windows").alias("win")).select("doc_id", "sig", "win.n", "win.start", F.slice("hs", F.col("win.start") + 1, F.col("win.width")).alias("part"))
     win = cut_lineage(pieces.select("doc_id", "sig", "n", "start", F.size("part").alias("total"), F.explode("part").alias("h")).groupBy("doc_id", "sig", "n", "start", "total", "h").agg(F.count(F.lit(1)).alias("c")))
@@ -122,6 +139,12 @@ def contaminated(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", i
     with_h = candidate.alias("a").join(win.alias("b"), same).select("a.*", F.col("b.h").alias("h"), F.col("b.c").alias("cw"))
     shared = with_h.join(item_h.withColumnRenamed("c", "ci"), ["item_id", "n", "h"]).groupBy("doc_id", "sig", "item_id", "n", "start", "total").agg(F.sum(F.least("cw", "ci")).alias("m"))
     scored = shared.withColumn("similarity", F.col("m") / (F.col("total") + item_total - F.col("m"))).where(F.col("similarity") >= similarity)
+    scored = scored.select("doc_id", "item_id", "similarity", "start", "n")
+    for k in lengths:
+        runs = own.withColumn("w", words_of(F.col("text"))).withColumn("runs", F.when(F.size("w") >= k, runs_of(F.col("w"), k)))
+        of_length = shorter.where(F.col("n") == k).select("item_id", "n", "h")
+        found_runs = runs.select("doc_id", F.posexplode_outer("runs").alias("start", "h")).join(_small(of_length, short_rows), "h")
+        scored = scored.unionByName(found_runs.select("doc_id", "item_id", F.lit(1.0).alias("similarity"), "start", "n"))
     best = scored.groupBy("doc_id", "item_id").agg(F.max(F.struct(F.col("similarity").alias("s"), (-F.col("start")).alias("p"), F.col("n").alias("n"))).alias("best"))
     return best.select("doc_id", "item_id", F.col("best.s").alias("similarity"), (-F.col("best.p")).alias("window_start"), F.col("best.n").alias("window_words"))
 

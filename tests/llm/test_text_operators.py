@@ -1,6 +1,6 @@
 import hashlib
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -189,6 +189,51 @@ def test_decontamination_without_broadcast(spark, monkeypatch):
     assert [(r["doc_id"], r["similarity"]) for r in decontaminate.leak_digest(df, spark.createDataFrame([(1, ITEM)], "item_id long, text string")).collect()] == [(1, 1.0)]
 
 
+def brute_leaks(docs, items, size=5, least=0.8):
+    """Best window over all starts, the earliest of equals."""
+
+    def shingles(words):
+        return [tuple(words[k : k + size]) for k in range(len(words) - size + 1)] or [tuple(words)]
+
+    out = {}
+    for d, text in docs:
+        for i, item in items:
+            words, own = text.split(), item.split()
+            for start in range(max(1, len(words) - len(own) + 1)):
+                a, b = Counter(shingles(words[start : start + len(own)])), Counter(shingles(own))
+                m = sum((a & b).values())
+                s = m / (a.total() + b.total() - m)
+                if s >= least and s > out.get((d, i), (0, 0))[0]:
+                    out[d, i] = (s, start)
+    return {k: (round(s, 6), start) for k, (s, start) in out.items()}
+
+
+def test_decontamination_looks_at_all_starts(spark):
+    rnd = random.Random(11)
+    item = [f"word{k}" for k in range(60)]
+    loop = ["one", "two", "three", "four", "five", "six", "seven"] * 5
+    edited = ["first", *item[1:38], "new", "words", *item[38:59], "last"]
+    around = lambda words: " ".join([*(f"a{k}" for k in range(30)), *words, *(f"b{k}" for k in range(30))])
+    docs = [(0, around(edited)), (1, around(loop + loop)), (2, " ".join(item[2:58])), (3, around([*item[:59], "last"]))]
+    for d in range(4, 60):
+        words = list(item if d % 2 else loop)
+        for _ in range(rnd.randint(1, 3)):
+            at = rnd.choice((0, len(words) - 1, rnd.randrange(len(words))))
+            words[at : at + rnd.randint(0, 1)] = [f"x{rnd.random()}".replace(".", "")] * rnd.randint(0, 2)
+        docs.append((d, around(words)))
+    items = [(1, " ".join(item)), (2, " ".join(loop))]
+    got = decontaminate.leak_digest(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert (0, 1) in {(r["doc_id"], r["item_id"]) for r in got}
+    assert {(r["doc_id"], r["item_id"]): (r["similarity"], r["window_start"]) for r in got} == brute_leaks(docs, items)
+
+
+def test_decontamination_finds_short_items_in_long_documents(spark):
+    docs = [(1, "a b c d e f g two words h two words"), (2, "two"), (3, "two words"), (4, "words two and one alone"), (5, None)]
+    items = [(1, "Two words"), (2, "alone"), (3, "c d e f"), (4, "two other words")]
+    got = decontaminate.leak_digest(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {tuple(r) for r in got} == {(1, 1, 1.0, 7, 2), (3, 1, 1.0, 0, 2), (4, 2, 1.0, 4, 1), (1, 3, 1.0, 2, 4)}
+
+
 def toxic_corpus(n=240):
     rnd = random.Random(5)
     clean = ["river", "window", "table", "garden", "music", "letter", "summer", "winter", "paper", "market", "street", "number"]
