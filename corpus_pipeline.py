@@ -10,7 +10,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm.bpe import default_ranks, token_digest
@@ -38,19 +38,28 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.select(docs.columns)
 
 
+def _sig() -> Column:
+    """With the id, what tells rows apart: ids can be null or repeated."""
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each near-duplicate component, only the document with the smallest id stays; of rows with one id, one."""
-    found = near_duplicates(docs)
-    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
-    repeated = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id"])
+    """Of each near-duplicate component, only the row with the smallest id stays, null being the largest; of equal rows, one."""
+    own = docs.select(F.col("doc_id").alias("_id"), _sig().alias("_sig"), "text")
+    found = near_duplicates(own.withColumn("_key", F.xxhash64("_id", "_sig")), id_col="_key", keep=("_id", "_sig"))
+    least = found.groupBy("component_id").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_sig")).alias("least"))
+    first = least.select("least._id", F.col("least._sig").alias("_first"))
+    marked = docs.withColumn("_sig", _sig())
+    kept = marked.join(first, marked["doc_id"].eqNullSafe(first["_id"]) & (marked["_sig"] == first["_first"]), "left_semi")
+    repeated = found.groupBy("_id", "_sig").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    return (kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id", "_sig"])).select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    leaks = contaminated(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(leaks, docs["doc_id"].eqNullSafe(leaks["_leak"]), "left_anti")
+    """Documents that hold a benchmark item go; others of the same id, or without one, stay."""
+    leaks = contaminated(docs, table(spark, sf_dir, "benchmark"), by_text=True).select(F.col("doc_id").alias("_leak"), F.col("sig").alias("_leak_sig")).distinct()
+    marked = docs.withColumn("_sig", _sig())
+    return marked.join(leaks, marked["doc_id"].eqNullSafe(leaks["_leak"]) & (marked["_sig"] == leaks["_leak_sig"]), "left_anti").select(docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

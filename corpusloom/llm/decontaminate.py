@@ -86,7 +86,7 @@ def near_values(reach: int) -> list[int]:
     return [sum(1 << b for b in bits) for n in range(reach + 1) for bits in combinations(range(BLOCK_BITS), n)]
 
 
-def contaminated(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", item_id: str = "item_id", text_col: str = "text", similarity: float = 0.8, radius: int = 23, size: int = SHINGLE) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", item_id: str = "item_id", text_col: str = "text", similarity: float = 0.8, radius: int = 23, size: int = SHINGLE, by_text: bool = False) -> DataFrame:
     """``(doc_id, item_id, similarity, window_start, window_words)``: each document's best window for each item it leaks.
 
     Similarity is the weighted Jaccard of shingle multisets, at least ``similarity``; the
@@ -94,7 +94,8 @@ def contaminated(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", i
     and ``window_start`` counts words from 0 (ties: the earliest).  Null, empty and
     word-less texts and items match nothing.  Items equal in words each match.  Documents
     with one id are told apart by their text and reported under that id, best window
-    first.  ``radius`` is the number of differing fingerprint bits searched exhaustively.
+    first; with ``by_text`` each text has its own rows, and ``sig``, the XXH64 of the text
+    (of an empty one for null), is the last column.  ``radius`` is the number of differing fingerprint bits searched exhaustively.
     """
     bench = with_shingles(items.select(F.col(item_id).alias("item_id"), F.col(text_col).alias("text")), "text", size)
     item = cut_lineage(bench.select("item_id", F.size("w").alias("n"), F.posexplode_outer("hs").alias("off", "h")))
@@ -139,14 +140,15 @@ def contaminated(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", i
     with_h = candidate.alias("a").join(win.alias("b"), same).select("a.*", F.col("b.h").alias("h"), F.col("b.c").alias("cw"))
     shared = with_h.join(item_h.withColumnRenamed("c", "ci"), ["item_id", "n", "h"]).groupBy("doc_id", "sig", "item_id", "n", "start", "total").agg(F.sum(F.least("cw", "ci")).alias("m"))
     scored = shared.withColumn("similarity", F.col("m") / (F.col("total") + item_total - F.col("m"))).where(F.col("similarity") >= similarity)
-    scored = scored.select("doc_id", "item_id", "similarity", "start", "n")
+    scored = scored.select("doc_id", "sig", "item_id", "similarity", "start", "n")
     for k in lengths:
         runs = own.withColumn("w", words_of(F.col("text"))).withColumn("runs", F.when(F.size("w") >= k, runs_of(F.col("w"), k)))
         of_length = shorter.where(F.col("n") == k).select("item_id", "n", "h")
-        found_runs = runs.select("doc_id", F.posexplode_outer("runs").alias("start", "h")).join(_small(of_length, short_rows), "h")
-        scored = scored.unionByName(found_runs.select("doc_id", "item_id", F.lit(1.0).alias("similarity"), "start", "n"))
-    best = scored.groupBy("doc_id", "item_id").agg(F.max(F.struct(F.col("similarity").alias("s"), (-F.col("start")).alias("p"), F.col("n").alias("n"))).alias("best"))
-    return best.select("doc_id", "item_id", F.col("best.s").alias("similarity"), (-F.col("best.p")).alias("window_start"), F.col("best.n").alias("window_words"))
+        found_runs = runs.select("doc_id", "sig", F.posexplode_outer("runs").alias("start", "h")).join(_small(of_length, short_rows), "h")
+        scored = scored.unionByName(found_runs.select("doc_id", "sig", "item_id", F.lit(1.0).alias("similarity"), "start", "n"))
+    told_apart = ["sig"] if by_text else []
+    best = scored.groupBy("doc_id", *told_apart, "item_id").agg(F.max(F.struct(F.col("similarity").alias("s"), (-F.col("start")).alias("p"), F.col("n").alias("n"))).alias("best"))
+    return best.select("doc_id", "item_id", F.col("best.s").alias("similarity"), (-F.col("best.p")).alias("window_start"), F.col("best.n").alias("window_words"), *told_apart)
 
 
 def leak_digest(docs: DataFrame, items: DataFrame) -> DataFrame:

@@ -56,15 +56,15 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     return int(np.packbits((2 * counts > len(hashes)).astype(np.uint8), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """``docs`` ids with ``fp``, the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``docs`` ids and the columns ``keep`` with ``fp``, the fingerprint as a signed long."""
 
     @F.pandas_udf("long")
     def fp(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in texts:
             yield pd.Series(np.array([fingerprint(t, shingle) for t in batch], np.uint64).view(np.int64))
 
-    return docs.select(F.col(id_col).alias("doc_id"), fp(F.col(text_col).cast("string")).alias("fp"))
+    return docs.select(F.col(id_col).alias("doc_id"), *keep, fp(F.col(text_col).cast("string")).alias("fp"))
 
 
 def _byte(fp: Column, k: int) -> Column:
@@ -117,21 +117,21 @@ def components(pairs: DataFrame, nodes: DataFrame, *, most_rounds: int = 64) ->
     return nodes.join(state.select("node", F.col("label").alias("least")), "node", "left").select("node", F.coalesce("least", "label").alias("label"))
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3) -> DataFrame:
-    """One row ``(doc_id, fp, component_id)`` per row of ``docs``.
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row ``(doc_id, fp, component_id)``, with the columns ``keep`` after the id, per row of ``docs``.
 
     ``component_id`` is the least id that links reach, its own included.  Null, empty and
     word-less texts have fingerprint 0 and link like any other.  A row with a null id has
     the component of its fingerprint; a component of null ids only has a null
     ``component_id``.
     """
-    prints = cut_lineage(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle))
+    prints = cut_lineage(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle, keep=keep))
     classes = cut_lineage(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     far = F.lit((1 << 63) - 1)  # a class of null ids only
     nodes = classes.select(F.col("fp").alias("node"), F.coalesce(F.col("least").cast("long"), far).alias("label"))
     found = components(links(classes.select("fp"), radius=radius), nodes)
     labels = found.select(F.col("node").alias("fp"), F.when(F.col("label") != far, F.col("label")).alias("component_id"))
-    return prints.join(labels, "fp").select("doc_id", "fp", "component_id")
+    return prints.join(labels, "fp").select("doc_id", *keep, "fp", "component_id")
 
 
 def near_digest(docs: DataFrame) -> DataFrame:

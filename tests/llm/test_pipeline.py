@@ -23,6 +23,19 @@ def test_near_dedup_keeps_one_of_each_group(spark, data):
     assert sorted(r["doc_id"] for r in out.collect()) == [1, 2]
 
 
+def test_rows_are_told_apart_by_text_too(spark, data):
+    words = lambda tag: " ".join(f"{tag}{k}" for k in range(50))
+    leak = spark.read.parquet(f"{data}/benchmark.parquet").first()["text"]
+    rows = [(1, words("a")), (None, words("a")), (None, words("b")), (None, words("c")), (None, words("c")), (2, words("d")), (2, words("e")), (2, words("e")), (3, None), (None, None)]
+    docs = lambda xs: spark.createDataFrame([(*r, "en") for r in xs], "doc_id long, text string, lang string")
+    out = corpus_pipeline.near_dedup(spark, docs(rows), data)
+    order = lambda xs: sorted(xs, key=str)
+    assert order((r["doc_id"], r["text"]) for r in out.collect()) == order([(1, words("a")), (None, words("b")), (None, words("c")), (2, words("d")), (2, words("e")), (3, None)])
+    rows = [(None, leak), (None, words("a")), (5, f"{words('b')} {leak}"), (5, words("c")), (6, None), (None, None)]
+    out = corpus_pipeline.decontaminate(spark, docs(rows), data)
+    assert order((r["doc_id"], r["text"]) for r in out.collect()) == order([(None, words("a")), (5, words("c")), (6, None), (None, None)])
+
+
 def test_every_operator_is_registered():
     numbers = {int(name[2:].split("_")[0]) for name in registry.QUERIES}
     assert numbers == set(range(1, 11))
