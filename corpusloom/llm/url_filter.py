@@ -75,7 +75,8 @@ def mine_rules(urls: DataFrame, labels: DataFrame, *, min_support: float = 0.001
 
     ``urls`` has ``id`` and ``url``; ``labels`` has ``id`` and ``bad`` (boolean).  A rule
     needs support by ``min_rows`` URLs and a share ``min_support`` of all labelled ones, a
-    confidence of ``min_confidence``, ``lift`` times the base rate, and more confidence
+    confidence of ``min_confidence`` and of ``lift`` times the base rate, or half way from
+    the base rate to 1 if that is less, and more confidence
     than every rule made of some of its tokens.  FP-growth gives the bad URLs' frequent
     sets; each set's share of bad URLs is counted over all labelled URLs.  The number of
     rules is bounded by the supports: each URL backs at most the sets of ``longest`` tokens
@@ -95,7 +96,7 @@ def mine_rules(urls: DataFrame, labels: DataFrame, *, min_support: float = 0.001
     alike = known.groupBy("items").agg(F.count(F.lit(1)).alias("id_n")).withColumn("id", F.struct(F.xxhash64("items"), F.col("id_n").alias("n")))
     every = matches(alike.select("id", "items"), bad_sets.select("rule_id", "items")).groupBy("rule_id").agg(F.sum("id.n").alias("n"))
     base = total["bad"] / total["n"]
-    scored = cut_lineage(bad_sets.join(every, "rule_id").withColumn("confidence", F.col("bad") / F.col("n")).where((F.col("confidence") >= min_confidence) & (F.col("confidence") >= lift * base)))
+    scored = cut_lineage(bad_sets.join(every, "rule_id").withColumn("confidence", F.col("bad") / F.col("n")).where(F.col("confidence") >= max(min_confidence, min(lift * base, base + (1 - base) / 2))))
     # A rule goes if a proper part of it is a rule at least as sure: parts are found through the same index.
     parts = matches(scored.select(F.col("rule_id").alias("id"), "items"), scored.select("rule_id", "items")).where(F.col("id") != F.col("rule_id"))
     surer = parts.join(scored.select("rule_id", F.col("confidence").alias("of_part")), "rule_id").groupBy(F.col("id").alias("rule_id")).agg(F.max("of_part").alias("of_part"))

@@ -158,6 +158,13 @@ def test_mined_rules_block_what_labels_show(spark):
     assert rules and all(r["confidence"] == 1.0 and len(r["items"]) == 1 for r in rules)
 
 
+def test_rules_are_mined_where_most_urls_are_bad(spark):
+    df = spark.createDataFrame([(i, f"http://{'fine-garden' if i % 4 == 0 else 'cheap-pills'}.shop{i % 7}.com/en/{i}") for i in range(400)], "page_id long, url string")
+    labels = spark.createDataFrame([(i, 1 if i % 4 == 0 else 0, 0) for i in range(200)], "doc_id long, quality int, toxic int")
+    got = {r["page_id"]: r["verdict"] for r in url_filter.verdict_digest(df, labels).collect()}
+    assert got == {i: "allow" if i % 4 == 0 else "block" for i in range(400)}
+
+
 def test_shards_by_bytes(spark):
     rows = [(i, "t" * (i * 37 % 900)) for i in range(3000)] + [(5000 + i, "one hot text " * 20) for i in range(2000)] + [(9000, None), (9001, ""), (None, "x"), (9002, "a" * 3000), (9003, "dup"), (9003, "dup")]
     df = spark.createDataFrame([(*r, "k", "s") for r in rows], "doc_id long, text string, key string, size string")
