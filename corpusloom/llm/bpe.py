@@ -3,10 +3,12 @@
 A node is the token ids of one stretch of text.  A stretch longer than ``leaf`` characters
 is halved; neighbours are joined by re-encoding a window over their boundary.  The window
 grows until both its ends are *safe cuts*: places where the pre-tokenising pattern starts a
-new match whatever stands on the other side, namely from a non-space to white space, from
-a letter to anything but a letter, and from a digit to anything but a digit.  No
+new match whatever stands on the other side, namely from a letter to anything but a letter,
+from a digit to anything but a digit, and from anything but white space to white space.  No
 alternative of the pattern crosses such a place, and none looks past it except to end a
-greedy run there, so tokens outside the window are the same in the whole text.  Where a
+greedy run there, so tokens outside the window are the same in the whole text.  Characters
+count as letters, digits or white space here only where every version of Unicode agrees,
+since the library that encodes has tables of its own; others make no cut.  Where a
 side has no safe cut (one unbroken run), the window is that whole side.  Decoding is the
 same tree with byte concatenation as its operation.
 """
@@ -15,6 +17,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -37,11 +40,12 @@ def encoding(path: str, pattern: str):
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-@lru_cache(maxsize=1)
-def safe_cut():
-    import regex
-
-    return regex.compile(r"(?<=\S)(?=\s)|(?<=\p{L})(?=[^\s\p{L}])|(?<=\p{N})(?=[^\s\p{N}])")
+#: Letters of every version of Unicode (Latin, Cyrillic, kana, ideographs, Hangul), ASCII and wide marks that
+#: are no letters, and what some version calls white space or once did.
+LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u01ff\u0410-\u044f\u3041-\u3094\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3"
+NO_LETTERS = "\\x00-@\\[-`{-~\u3001\u3002\uff01\uff0c\uff1f"
+SPACES = "\x00-\x20\x7f-\xa0\xad\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff"
+SAFE_CUT = re.compile(rf"(?<=[{LETTERS}])(?=[{NO_LETTERS}])|(?<=[0-9])(?=[\x00-/:-~])|(?<=[^{SPACES}])(?=[ \t\n\r])")
 
 
 class Tree:
@@ -70,7 +74,7 @@ class Tree:
         reach = FIRST_WINDOW
         while True:
             start = max(lo, mid - reach)
-            cuts = [m.start() for m in safe_cut().finditer(text, max(lo, start - 1), mid) if start < m.start() < mid]
+            cuts = [m.start() for m in SAFE_CUT.finditer(text, max(lo, start - 1), mid) if start < m.start() < mid]
             if cuts:
                 return cuts[-1]
             if start == lo:
@@ -82,7 +86,7 @@ class Tree:
         reach = FIRST_WINDOW
         while True:
             end = min(hi, mid + reach)
-            for m in safe_cut().finditer(text, mid, end):
+            for m in SAFE_CUT.finditer(text, mid, end):
                 if mid < m.start() < end:
                     return m.start()
             if end == hi:
