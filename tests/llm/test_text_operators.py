@@ -51,6 +51,38 @@ def test_line_dedup_keeps_columns_and_bounds_slices(spark):
     assert {r["doc_id"]: r["n_dropped"] for r in out.collect()} == {i: int(i != 199) for i in range(200)}
 
 
+def test_rebuilding_is_linear_in_lost_lines(spark):
+    import time
+
+    def seconds(n):
+        shared = "\n".join(f"Line number {k} that all of the four documents hold" for k in range(n))
+        df = spark.createDataFrame([(i, shared) for i in range(4)], "doc_id long, text string")
+        began = time.time()
+        assert sorted((r["n_lines"], r["n_dropped"]) for r in line_dedup.line_digest(df).collect()) == [(n, 0)] + [(n, n)] * 3
+        return time.time() - began
+
+    seconds(100)
+    # Splitting again for each lost line took some 25 s for the larger.
+    assert seconds(16_000) < 4 * seconds(4000) + 4
+
+
+def test_ranges_cover_the_partitions_in_order(spark):
+    from pyspark.sql import functions as F
+
+    values = [-(1 << 63), -(1 << 62), -1, 0, 1 << 61, (1 << 63) - 1]
+    df = spark.createDataFrame([(v,) for v in values], "v long")
+    of = lambda piece: [r[0] for r in df.select(line_dedup.hash_range(F.col("v"), F.lit(piece), 8, 4)).collect()]
+    assert of(0) == [0, 2, 3, 4, 5, 7] and of(1) == [2, 4, 5, 6, 7, 1]
+
+
+def test_lines_dropped_in_place(spark):
+    line = "A line that every document of them holds"
+    df = spark.createDataFrame([(i, f"{line}\nx", 0, 7.0, "keep", "also") for i in range(3)], "doc_id long, text string, n_chars int, _kept double, _lost string, _row string")
+    out = line_dedup.with_lines_dropped(df, length_col="n_chars")
+    assert out.columns == df.columns
+    assert sorted(map(tuple, out.collect())) == [(0, "x", 1, 7.0, "keep", "also"), (1, "x", 1, 7.0, "keep", "also"), (2, f"{line}\nx", 0, 7.0, "keep", "also")]
+
+
 def test_line_dedup_of_nothing(spark):
     assert line_dedup.line_digest(spark.createDataFrame([], DOCS)).collect() == []
 
@@ -78,6 +110,21 @@ def test_tree_encodes_as_the_library_whatever_the_leaf(ranks):
         assert tree.decode(ids) == text.encode()
 
 
+def test_tree_agrees_on_all_code_points(ranks):
+    enc, rnd = bpe.encoding(*ranks), random.Random(4)
+    for leaf in (1, 2):
+        tree = bpe.Tree(*ranks, leaf=leaf)
+        # All code points that have or may get a class of their own; beyond are unassigned and private ones.
+        for low in range(0x80, 0x40000, 128):
+            text = "".join(f"a{chr(c)}'re {chr(c)}\n" for c in range(low, low + 128) if not 0xD800 <= c < 0xE000)
+            assert tree.encode(text).tolist() == enc.encode_ordinary(text), hex(low)
+    text = ("\u0558" + "'re") * 2000
+    assert bpe.Tree(*ranks).encode(text).tolist() == enc.encode_ordinary(text)
+    for _ in range(1000):
+        text = "".join(chr(rnd.choice((rnd.randrange(0x20, 0x7F), rnd.randrange(0x80, 0x3000), rnd.randrange(0xE000, 0x110000), 32, 10, 39))) for _ in range(rnd.randint(0, 60)))
+        assert bpe.Tree(*ranks, leaf=rnd.choice([1, 2, 5])).encode(text).tolist() == enc.encode_ordinary(text), repr(text)
+
+
 def test_tree_on_unbroken_runs(ranks):
     enc = bpe.encoding(*ranks)
     for text in ("a" * 20_000, "中" * 5000, " " * 9000, "=" * 9000, "1" * 5000 + " " * 5000 + "x"):
