@@ -17,16 +17,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all of the cluster sees; the session's own setting wherever there is one."""
+    """The folder that all of the cluster sees: the session's own setting.
+
+    Without one, a temporary folder serves a session that runs on this machine alone; on a
+    cluster each machine would write to a disk of its own, so there it raises.
+    """
     context = spark.sparkContext._jsc.sc()
     found = spark.conf.get("spark.checkpoint.dir", None) or (context.getCheckpointDir().get() if context.getCheckpointDir().isDefined() else None)
-    found = found or f"file:///tmp/corpusloom-work-{uuid.uuid4().hex}"
+    if not found:
+        if not context.isLocal():
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = f"file:///tmp/corpusloom-work-{uuid.uuid4().hex}"
     if not context.getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(found)
     return found
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder once and read it from there afterwards."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
