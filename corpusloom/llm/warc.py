@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import json
 import struct
 import uuid
 from collections.abc import Iterator
@@ -22,12 +23,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.shared import shared_dir
+from corpusloom.llm.shared import cut_lineage, look_up, shared_dir
 
 #: Fixed values of the public seekable format: skippable frame number 0xE, its footer's magic number.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 CRLF = b"\r\n"
 DATE = "2000-01-01T00:00:00Z"
+LINE_ENDS = {10: None, 13: None}
+FRAME_BYTES = 1 << 18
 
 
 def digest32(payload: bytes) -> str:
@@ -46,9 +49,14 @@ def record_id(page_id: int | None) -> str:
 
 
 def build_record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
-    """One record; a revisit has no block, and ``Payload-Length`` keeps its payload's length."""
+    """One record; a revisit has no block, and ``Payload-Length`` keeps its payload's length.
+
+    A URL with line ends cannot stand in a header; it is kept whole, quoted, in one of its own.
+    """
     response = refers_to is None
-    target = [] if url is None else [f"WARC-Target-URI: {''.join(url.splitlines()) if url else ''}"]
+    target = [] if url is None else [f"WARC-Target-URI: {url.translate(LINE_ENDS)}"]
+    if target and url.translate(LINE_ENDS) != url:
+        target.append(f"Quoted-Target-URI: {json.dumps(url)}")
     head = [
         "WARC/1.1", f"WARC-Type: {'response' if response else 'revisit'}", f"WARC-Record-ID: {record_id(page_id)}", f"WARC-Date: {DATE}",
         *target, f"WARC-Payload-Digest: sha1:{digest32(payload)}", f"Payload-Length: {len(payload)}",
@@ -68,6 +76,11 @@ def parse_record(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
     return headers, data[start:stop], stop + 4
 
 
+def target_of(headers: dict[str, str]) -> str | None:
+    quoted = headers.get("Quoted-Target-URI")
+    return json.loads(quoted) if quoted else headers.get("WARC-Target-URI")
+
+
 def seek_table(frames: list[tuple[int, int]]) -> bytes:
     """The footer for frames of (compressed, plain) sizes."""
     body = b"".join(struct.pack("<II", c, p) for c, p in frames) + struct.pack("<IBI", len(frames), 0, SEEKABLE)
@@ -127,7 +140,7 @@ class BundleWriter:
 INDEX = "page_id long, bundle string, frame int, offset long"
 
 
-def write_archive(pages: DataFrame, folder: str, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", smallest: int = 0, frame_bytes: int = 1 << 18, bundle_bytes: int = 1 << 28) -> DataFrame:
+def write_archive(pages: DataFrame, folder: str, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", smallest: int = 0, frame_bytes: int = FRAME_BYTES, bundle_bytes: int = 1 << 28) -> DataFrame:
     """Write ``pages`` under ``folder`` and return the index ``(page_id, bundle, frame, offset)`` read back from there.
 
     Of records with equal payloads of at least ``smallest`` bytes, the one with the largest
@@ -139,8 +152,8 @@ def write_archive(pages: DataFrame, folder: str, *, id_col: str = "page_id", url
     own = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
     own = own.withColumns({"sha": F.sha1(F.col("html").cast("binary")), "size": F.octet_length("html")})
     # Counted before the shuffle, so a payload that a third of all pages share is a few rows here.
-    shared = own.where(F.col("size") >= smallest).groupBy("sha", "size").agg(F.max("page_id").alias("kept"), F.count(F.lit(1)).alias("copies")).where(F.col("copies") > 1).select("sha", "size", "kept")
-    marked = own.select("page_id", "url", "html", "sha", "size").join(shared, ["sha", "size"], "left")
+    shared = own.where(F.col("size") >= smallest).groupBy("sha", "size").agg(F.max("page_id").alias("kept"), F.count(F.lit(1)).alias("copies")).where(F.col("copies") > 1)
+    marked = look_up(own.select("page_id", "url", "html", "sha", "size"), cut_lineage(shared), ["sha", "size"], "copies")
     refers = F.when(F.col("kept").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("kept")), F.col("kept"))
     # A revisit's payload is only hashed; it needs no more than its digest and length.
     rows = marked.select("page_id", "url", "html", refers.alias("refers_to"))
@@ -175,14 +188,20 @@ def _page(identifier: str | None) -> int | None:
     return None if not identifier or identifier == "<urn:page:>" else int(identifier[len("<urn:page:") : -1])
 
 
-def read_archive(index: DataFrame, folder: str) -> DataFrame:
+def read_archive(index: DataFrame, folder: str, *, frames_a_task: int | None = None) -> DataFrame:
     """One row per record of the index, from the bundles: headers, and the block as ``html`` (null for a revisit).
 
-    Frames are the unit of work: each is decompressed once, whole, and records are cut out
-    at their offsets.  A record that is not where the index says raises.
+    Frames are decompressed once, whole, and records are cut out at their offsets.  A task
+    has the frames of one stretch of a bundle, of ``frames_a_task`` frames: as many as a
+    scan's partition would hold.  A record that is not where the index says raises.
     """
-    files = filesystem(f"{folder}/bundles")[0]
-    frames = index.groupBy("bundle", "frame").agg(F.sort_array(F.collect_list("offset")).alias("offsets"))
+    files, spark = filesystem(f"{folder}/bundles")[0], index.sparkSession
+    if frames_a_task is None:
+        frames_a_task = max(1, int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()) // FRAME_BYTES)
+    stretches = index.withColumn("stretch", F.floor(F.col("frame") / frames_a_task))
+    tasks = max(1, stretches.select("bundle", "stretch").distinct().count())
+    # By ranges, so tasks have equal numbers of stretches and a stretch is never cut.
+    frames = stretches.groupBy("bundle", "stretch", "frame").agg(F.sort_array(F.collect_list("offset")).alias("offsets")).repartitionByRange(tasks, "bundle", "stretch").drop("stretch")
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import zstandard
@@ -201,7 +220,7 @@ def read_archive(index: DataFrame, folder: str) -> DataFrame:
                             digest = headers["WARC-Payload-Digest"].removeprefix("sha1:")
                             if response and digest32(block) != digest:
                                 raise ValueError(f"{name}, frame {frame}, offset {offset}: the payload has another digest")
-                            out.append((_page(headers["WARC-Record-ID"]), headers.get("WARC-Target-URI"), headers["WARC-Type"], _page(headers.get("WARC-Refers-To")), digest, int(headers["Payload-Length"]), block.decode("utf-8", "surrogatepass") if response else None))
+                            out.append((_page(headers["WARC-Record-ID"]), target_of(headers), headers["WARC-Type"], _page(headers.get("WARC-Refers-To")), digest, int(headers["Payload-Length"]), block.decode("utf-8", "surrogatepass") if response else None))
                         got = pd.DataFrame(out, columns=["page_id", "url", "record_type", "refers_to", "payload_digest", "payload_bytes", "html"])
                         yield got.astype({"page_id": "Int64", "refers_to": "Int64"})
 
@@ -209,10 +228,10 @@ def read_archive(index: DataFrame, folder: str) -> DataFrame:
 
 
 def fetch_record(index: DataFrame, folder: str, page_id: int) -> tuple[dict[str, str], bytes]:
-    """One record by its id: a seek to its frame, no more."""
+    """One record by its id: a seek to its frame, no more.  Of several with that id, the first by bundle and place."""
     import zstandard
 
-    row = index.where(F.col("page_id") == page_id).first()
+    row = index.where(F.col("page_id") == page_id).orderBy("bundle", "frame", "offset").first()
     if row is None:
         raise KeyError(page_id)
     with filesystem(f"{folder}/bundles")[0].open_input_file(row["bundle"]) as stream:

@@ -102,6 +102,33 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.sweep(index, folder) == 1 and warc.read_archive(index, folder).count() == len(rows)
 
 
+def test_archives_are_read_back_in_many_tasks(spark, tmp_path):
+    rows = [(k, "http://a/\r\nb", f"page {k} " * 200) for k in range(300)]
+    index = warc.write_archive(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), f"file://{tmp_path}/many", frame_bytes=2000)
+    out = warc.read_archive(index, f"file://{tmp_path}/many", frames_a_task=20)
+    assert out.rdd.getNumPartitions() >= 10
+    assert {(r["page_id"], r["url"], r["html"]) for r in out.collect()} == set(rows)
+
+
+def test_a_hot_payload_meets_in_no_task(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from corpusloom.llm.shared import look_up
+
+    rows = spark.range(6000).select("id", F.when(F.col("id") < 4000, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("k")).withColumn("k", F.when(F.col("id") != 5999, F.col("k")))
+    facts = rows.where("k IS NOT NULL").groupBy("k").agg(F.max("id").alias("kept"), F.count(F.lit(1)).alias("n"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = look_up(rows, facts, ["k"], "n", least=50).withColumn("part", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert len(out) == 6000 and all(r["kept"] == (3999 if r["k"] == "hot" else None if r["k"] is None else r["id"]) for r in out)
+    sizes = [sum(r["part"] == p for r in out) for p in {r["part"] for r in out}]
+    assert max(sizes) < 2 * 6000 / len(sizes)
+
+
 def test_warc_of_nothing_and_small_payloads(spark, tmp_path):
     df = spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab")], "page_id long, url string, html string")
     assert warc.read_archive(warc.write_archive(df.limit(0), f"{tmp_path}/none"), f"{tmp_path}/none").count() == 0
