@@ -5,7 +5,10 @@ bytes, so they share at least 5 positional bytes.  Any 3 of 8 positions lie toge
 exactly one block of the Steiner system S(3,4,8); the block's complement, which is a block
 too, then holds 4 shared bytes.  So posting lists keyed by the 14 blocks and their 4 bytes
 bring together every pair that can reach the minimum count.  A pair's shared bytes are
-tallied, pairs below 5 go, and the rest are verified by their differing bits.
+tallied, pairs below 5 go, and the rest are verified by their differing bits.  Lists of
+single bytes, which the tally alone would need, hold 1/256 of all fingerprints each (200
+million of 51 billion), and their pairs could not be made; lists of four bytes hold 1/2^32,
+and a list that is dense all the same is looked up by its fingerprints' neighbours instead.
 
 Equal fingerprints are collapsed before anything is indexed, so copies cost nothing.
 Components come from alternating minimum-label rounds over checkpointed links between
@@ -15,13 +18,14 @@ distinct fingerprints.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.shared import cut_lineage
+from corpusloom.llm.shared import cut_lineage, look_up
 
 #: The 14 blocks of the Steiner system S(3,4,8) on positions 0 to 7.
 BLOCKS = (
@@ -80,40 +84,77 @@ def shared_bytes(a: Column, b: Column) -> Column:
     return sum(((_byte(a, k) == _byte(b, k)).cast("int") for k in range(8)), F.lit(0))
 
 
-def links(distinct: DataFrame, *, radius: int = 3) -> DataFrame:
-    """Pairs ``(a, b)``, a < b, of the distinct fingerprints ``fp`` at 1 to ``radius`` (3 at most) differing bits."""
+def links(distinct: DataFrame, *, radius: int = 3, dense: int = 4096) -> DataFrame:
+    """Pairs ``(a, b)``, a < b, of the distinct fingerprints ``fp`` at 1 to ``radius`` (3 at most) differing bits.
+
+    Fingerprints of a posting list are compared pair by pair if it has at most ``dense``.
+    In a longer one each fingerprint looks up all that differ from it in up to ``radius``
+    bits outside the list's bytes, 5488 at most, so a list costs no more than that times its
+    length, whatever it holds.
+    """
     if not 0 <= radius <= 3:
         raise ValueError("the blocks guarantee a radius of 3 at most")
     keyed = distinct.select("fp", F.posexplode(F.array(*(_posting(F.col("fp"), block) for block in BLOCKS))).alias("block", "key"))
-    left = keyed.select(F.col("fp").alias("a"), "block", "key")
-    right = keyed.select(F.col("fp").alias("b"), "block", "key")
+    crowded = cut_lineage(keyed.groupBy("block", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > dense).select("block", "key"))
+    if crowded.isEmpty():
+        return _met(keyed, keyed, radius)
+    few = keyed.join(crowded, ["block", "key"], "left_anti")
+    many = cut_lineage(keyed.join(crowded, ["block", "key"], "left_semi"))
+    # 14 blocks of 5488 masks at most: a proven bound.
+    masks = distinct.sparkSession.createDataFrame(_masks(radius), "block int, mask long")
+    asked = many.join(F.broadcast(masks), "block").select("block", "key", F.col("fp").alias("a"), F.col("fp").bitwiseXOR(F.col("mask")).alias("b")).where(F.col("a") < F.col("b"))
+    held = many.select("block", F.col("fp").alias("b"))
+    found = asked.where(_first_block() == F.col("block")).join(held, ["block", "b"], "left_semi").select("a", "b")
+    return _met(few, few, radius).unionByName(found)
+
+
+def _masks(radius: int) -> list[tuple[int, int]]:
+    """``(block, mask)``: all ways to set 1 to ``radius`` bits outside the block's bytes."""
+    out = []
+    for block, at in enumerate(BLOCKS):
+        free = [8 * k + bit for k in range(8) if k not in at for bit in range(8)]
+        for n in range(1, radius + 1):
+            out += [(block, m - (1 << 64) if m >> 63 else m) for m in (sum(1 << b for b in bits) for bits in combinations(free, n))]
+    return out
+
+
+def _first_block() -> Column:
+    """The first block that the shared bytes of ``a`` and ``b`` fill; a pair counts there, so it comes out once."""
+    return F.coalesce(*(F.when(_posting(F.col("a"), x) == _posting(F.col("b"), x), F.lit(k)) for k, x in enumerate(BLOCKS)))
+
+
+def _met(left: DataFrame, right: DataFrame, radius: int) -> DataFrame:
     enough = shared_bytes(F.col("a"), F.col("b")) >= 8 - radius
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius
-    # A pair counts in the first block that its shared bytes fill, so it comes out once.
-    first = F.coalesce(*(F.when(_posting(F.col("a"), x) == _posting(F.col("b"), x), F.lit(k)) for k, x in enumerate(BLOCKS)))
-    return left.join(right, ["block", "key"]).where((F.col("a") < F.col("b")) & enough & near & (F.col("block") == first)).select("a", "b")
+    met = left.select(F.col("fp").alias("a"), "block", "key").join(right.select(F.col("fp").alias("b"), "block", "key"), ["block", "key"])
+    return met.where((F.col("a") < F.col("b")) & enough & near & (F.col("block") == _first_block())).select("a", "b")
 
 
-def components(pairs: DataFrame, nodes: DataFrame, *, most_rounds: int = 64) -> DataFrame:
+def components(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """``(node, label)`` for each of ``nodes`` (column ``node`` with its ``label``): the least label that links reach.
 
     Rounds alternate between neighbours' least label and a jump to the label's own label,
     so the number of rounds grows with the logarithm of a component's diameter in practice;
-    the loop ends when no label changes.  Each round is checkpointed.
+    the loop ends when no label changes, which it must, as labels only fall.  Each round is
+    checkpointed.  Nodes without links take no part in the rounds, and the nodes of a large
+    component find its label's hook without meeting in one task.
     """
     both = cut_lineage(pairs.select(F.col("a").alias("node"), F.col("b").alias("other")).union(pairs.select(F.col("b"), F.col("a"))))
-    state = cut_lineage(nodes.join(both.select("node").distinct(), "node", "left_semi").select("node", "label", F.col("label").alias("own")))
-    for _ in range(most_rounds):
+    state = cut_lineage(nodes.join(both.select("node").distinct(), "node", "left_semi").select("node", "label"))
+    changed = not state.isEmpty()
+    while changed:
+        # A node has a bounded number of neighbours within the radius, so this join has no hot key.
         told = both.join(state.select(F.col("node").alias("other"), F.col("label").alias("heard")), "other").groupBy("node").agg(F.min("heard").alias("heard"))
-        nearer = state.join(told, "node", "left").select("node", "own", F.col("label").alias("before"), F.least("label", "heard").alias("label"))
-        hooks = nearer.groupBy(F.col("before").alias("root")).agg(F.min("label").alias("hook"))
-        jumped = nearer.join(hooks, nearer["label"] == hooks["root"], "left").select("node", "own", "before", F.least("label", "hook").alias("label"))
-        state = cut_lineage(jumped)
-        if state.where(F.col("label") < F.col("before")).isEmpty():
-            break
-        state = state.drop("before")
-    else:
-        raise RuntimeError(f"labels still change after {most_rounds} rounds")
+        nearer = cut_lineage(state.join(told, "node", "left").select("node", F.col("label").alias("before"), F.least("label", "heard").alias("label")))
+        hooks = nearer.groupBy(F.col("before").alias("label")).agg(F.min("label").alias("hook"))
+        weights = nearer.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+        falling = cut_lineage(hooks.where(F.col("hook") < F.col("label")).join(weights, "label"))
+        changed = not falling.isEmpty()
+        if changed:
+            state = cut_lineage(look_up(nearer.select("node", "label"), falling, ["label"], "n").select("node", F.least("label", "hook").alias("label")))
+        else:
+            changed = not nearer.where(F.col("label") < F.col("before")).isEmpty()
+            state = nearer.select("node", "label")
     return nodes.join(state.select("node", F.col("label").alias("least")), "node", "left").select("node", F.coalesce("least", "label").alias("label"))
 
 
@@ -123,15 +164,18 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     ``component_id`` is the least id that links reach, its own included.  Null, empty and
     word-less texts have fingerprint 0 and link like any other.  A row with a null id has
     the component of its fingerprint; a component of null ids only has a null
-    ``component_id``.
+    ``component_id``.  Columns of ``docs`` that are not named are not read; an empty table
+    gives no rows.
     """
     prints = cut_lineage(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle, keep=keep))
-    classes = cut_lineage(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    classes = cut_lineage(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")))
     far = F.lit((1 << 63) - 1)  # a class of null ids only
     nodes = classes.select(F.col("fp").alias("node"), F.coalesce(F.col("least").cast("long"), far).alias("label"))
     found = components(links(classes.select("fp"), radius=radius), nodes)
     labels = found.select(F.col("node").alias("fp"), F.when(F.col("label") != far, F.col("label")).alias("component_id"))
-    return prints.join(labels, "fp").select("doc_id", *keep, "fp", "component_id")
+    # Copies of one text have one fingerprint, which a third of all rows may share.
+    facts = cut_lineage(labels.join(classes.select("fp", "n"), "fp"))
+    return look_up(prints, facts, ["fp"], "n").select("doc_id", *keep, "fp", "component_id")
 
 
 def near_digest(docs: DataFrame) -> DataFrame:

@@ -213,6 +213,26 @@ def test_links_follow_chains(spark):
     assert {tuple(r) for r in simhash_dedup.links(df).collect()} == want
 
 
+def test_dense_lists_lose_no_link(spark):
+    rnd = random.Random(8)
+    fps = {rnd.getrandbits(16) | rnd.choice((0, 1 << 63, 5 << 40)) for _ in range(300)}
+    signed = sorted(f - (1 << 64) if f >> 63 else f for f in fps)
+    df = spark.createDataFrame([(f,) for f in signed], "fp long")
+    want = sorted((a, b) for a in signed for b in signed if a < b and ((a ^ b) & (1 << 64) - 1).bit_count() <= 3)
+    for dense in (4096, 20):
+        assert sorted(tuple(r) for r in simhash_dedup.links(df, dense=dense).collect()) == want
+
+
+def test_components_of_long_chains_and_large_groups(spark):
+    rnd = random.Random(9)
+    names = rnd.sample(range(10_000), 400)
+    chain = list(zip(names[:150], names[1:150], strict=False))
+    star = [(names[200], n) for n in names[201:400]]
+    nodes = spark.createDataFrame([(n, n) for n in names], "node long, label long")
+    got = {r["node"]: r["label"] for r in simhash_dedup.components(spark.createDataFrame(chain + star, "a long, b long"), nodes).collect()}
+    assert all(got[n] == min(names[:150]) for n in names[:150]) and all(got[n] == min(names[200:]) for n in names[200:]) and all(got[n] == n for n in names[150:200])
+
+
 ITEM = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty red green blue black white grey pink brown gold lime teal navy"
 
 
