@@ -23,6 +23,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusloom.llm.shared import cut_lineage, look_up
@@ -71,17 +72,19 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     return docs.select(F.col(id_col).alias("doc_id"), *keep, fp(F.col(text_col).cast("string")).alias("fp"))
 
 
-def _byte(fp: Column, k: int) -> Column:
-    return F.shiftrightunsigned(fp, 8 * k).bitwiseAND(F.lit(255))
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
 
 
-def _posting(fp: Column, block: tuple[int, ...]) -> Column:
-    mask = sum(255 << (8 * k) for k in block)
-    return fp.bitwiseAND(F.lit(mask - (1 << 64) if mask >= 1 << 63 else mask).cast("long"))
+#: What a block's four bytes cover.
+BLOCK_MASKS = tuple(_signed(sum(255 << (8 * k) for k in block)) for block in BLOCKS)
 
 
-def shared_bytes(a: Column, b: Column) -> Column:
-    return sum(((_byte(a, k) == _byte(b, k)).cast("int") for k in range(8)), F.lit(0))
+def shared_bytes(differing: Column) -> Column:
+    """How many of the 8 positional bytes are equal, by the bits that differ: each byte's bits are folded into its lowest."""
+    for step in (4, 2, 1):
+        differing = differing.bitwiseOR(F.shiftrightunsigned(differing, step))
+    return 8 - F.bit_count(differing.bitwiseAND(F.lit(0x0101010101010101)))
 
 
 def links(distinct: DataFrame, *, radius: int = 3, dense: int = 4096) -> DataFrame:
@@ -94,18 +97,18 @@ def links(distinct: DataFrame, *, radius: int = 3, dense: int = 4096) -> DataFra
     """
     if not 0 <= radius <= 3:
         raise ValueError("the blocks guarantee a radius of 3 at most")
-    keyed = distinct.select("fp", F.posexplode(F.array(*(_posting(F.col("fp"), block) for block in BLOCKS))).alias("block", "key"))
-    crowded = cut_lineage(keyed.groupBy("block", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > dense).select("block", "key"))
-    if crowded.isEmpty():
-        return _met(keyed, keyed, radius)
-    few = keyed.join(crowded, ["block", "key"], "left_anti")
-    many = cut_lineage(keyed.join(crowded, ["block", "key"], "left_semi"))
+    keyed = distinct.select("fp", F.posexplode(F.array(*(F.lit(m) for m in BLOCK_MASKS))).alias("block", "mask")).select("fp", "block", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
+    # Counted on the partitioning and in the order that the join needs as well.
+    sized = keyed.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("block", "key")))
+    few, many = sized.where(F.col("n") <= dense), cut_lineage(sized.where(F.col("n") > dense))
+    if many.isEmpty():
+        return _met(keyed, radius)
     # 14 blocks of 5488 masks at most: a proven bound.
     masks = distinct.sparkSession.createDataFrame(_masks(radius), "block int, mask long")
     asked = many.join(F.broadcast(masks), "block").select("block", "key", F.col("fp").alias("a"), F.col("fp").bitwiseXOR(F.col("mask")).alias("b")).where(F.col("a") < F.col("b"))
     held = many.select("block", F.col("fp").alias("b"))
-    found = asked.where(_first_block() == F.col("block")).join(held, ["block", "b"], "left_semi").select("a", "b")
-    return _met(few, few, radius).unionByName(found)
+    found = asked.where(_is_first()).join(held, ["block", "b"], "left_semi").select("a", "b")
+    return _met(few, radius).unionByName(found)
 
 
 def _masks(radius: int) -> list[tuple[int, int]]:
@@ -114,30 +117,32 @@ def _masks(radius: int) -> list[tuple[int, int]]:
     for block, at in enumerate(BLOCKS):
         free = [8 * k + bit for k in range(8) if k not in at for bit in range(8)]
         for n in range(1, radius + 1):
-            out += [(block, m - (1 << 64) if m >> 63 else m) for m in (sum(1 << b for b in bits) for bits in combinations(free, n))]
+            out += [(block, _signed(sum(1 << b for b in bits))) for bits in combinations(free, n)]
     return out
 
 
-def _first_block() -> Column:
-    """The first block that the shared bytes of ``a`` and ``b`` fill; a pair counts there, so it comes out once."""
-    return F.coalesce(*(F.when(_posting(F.col("a"), x) == _posting(F.col("b"), x), F.lit(k)) for k, x in enumerate(BLOCKS)))
+def _is_first() -> Column:
+    """Whether no earlier block's bytes are all shared by ``a`` and ``b``: a pair counts in the first such block, so it comes out once."""
+    earlier = F.slice(F.array(*(F.lit(m) for m in BLOCK_MASKS)), F.lit(1), F.col("block"))
+    return ~F.exists(earlier, lambda m: F.col("a").bitwiseXOR(F.col("b")).bitwiseAND(m) == 0)
 
 
-def _met(left: DataFrame, right: DataFrame, radius: int) -> DataFrame:
-    enough = shared_bytes(F.col("a"), F.col("b")) >= 8 - radius
-    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius
-    met = left.select(F.col("fp").alias("a"), "block", "key").join(right.select(F.col("fp").alias("b"), "block", "key"), ["block", "key"])
-    return met.where((F.col("a") < F.col("b")) & enough & near & (F.col("block") == _first_block())).select("a", "b")
+def _met(keyed: DataFrame, radius: int) -> DataFrame:
+    differing = F.col("a").bitwiseXOR(F.col("b"))
+    met = keyed.select(F.col("fp").alias("a"), "block", "key").join(keyed.select(F.col("fp").alias("b"), "block", "key"), ["block", "key"])
+    near = (F.col("a") < F.col("b")) & (shared_bytes(differing) >= 8 - radius) & (F.bit_count(differing) <= radius)
+    return met.where(near & _is_first()).select("a", "b")
 
 
-def components(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+def components(pairs: DataFrame, nodes: DataFrame, *, broadcast_rows: int = 500_000, salts: int = 64) -> DataFrame:
     """``(node, label)`` for each of ``nodes`` (column ``node`` with its ``label``): the least label that links reach.
 
     Rounds alternate between neighbours' least label and a jump to the label's own label,
     so the number of rounds grows with the logarithm of a component's diameter in practice;
     the loop ends when no label changes, which it must, as labels only fall.  Each round is
-    checkpointed.  Nodes without links take no part in the rounds, and the nodes of a large
-    component find its label's hook without meeting in one task.
+    checkpointed.  Nodes without links take no part in the rounds.  The jumps of a round
+    are broadcast if they are counted to be at most ``broadcast_rows``; else the nodes of a
+    large component are dealt into ``salts`` tasks.
     """
     both = cut_lineage(pairs.select(F.col("a").alias("node"), F.col("b").alias("other")).union(pairs.select(F.col("b"), F.col("a"))))
     state = cut_lineage(nodes.join(both.select("node").distinct(), "node", "left_semi").select("node", "label"))
@@ -146,15 +151,16 @@ def components(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
         # A node has a bounded number of neighbours within the radius, so this join has no hot key.
         told = both.join(state.select(F.col("node").alias("other"), F.col("label").alias("heard")), "other").groupBy("node").agg(F.min("heard").alias("heard"))
         nearer = cut_lineage(state.join(told, "node", "left").select("node", F.col("label").alias("before"), F.least("label", "heard").alias("label")))
-        hooks = nearer.groupBy(F.col("before").alias("label")).agg(F.min("label").alias("hook"))
-        weights = nearer.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-        falling = cut_lineage(hooks.where(F.col("hook") < F.col("label")).join(weights, "label"))
-        changed = not falling.isEmpty()
-        if changed:
-            state = cut_lineage(look_up(nearer.select("node", "label"), falling, ["label"], "n").select("node", F.least("label", "hook").alias("label")))
+        hooks = cut_lineage(nearer.groupBy(F.col("before").alias("label")).agg(F.min("label").alias("hook")).where(F.col("hook") < F.col("label")))
+        # A label falls where one of its nodes hears of a lesser one, so without hooks nothing has changed.
+        fallen = hooks.count()
+        changed = fallen > 0
+        if fallen <= broadcast_rows:
+            jumped = nearer.join(F.broadcast(hooks), "label", "left")
         else:
-            changed = not nearer.where(F.col("label") < F.col("before")).isEmpty()
-            state = nearer.select("node", "label")
+            dealt = hooks.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+            jumped = nearer.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(salts))).join(dealt, ["label", "salt"], "left")
+        state = jumped.select("node", F.least("label", "hook").alias("label"))
     return nodes.join(state.select("node", F.col("label").alias("least")), "node", "left").select("node", F.coalesce("least", "label").alias("label"))
 
 

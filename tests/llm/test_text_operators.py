@@ -229,8 +229,9 @@ def test_components_of_long_chains_and_large_groups(spark):
     chain = list(zip(names[:150], names[1:150], strict=False))
     star = [(names[200], n) for n in names[201:400]]
     nodes = spark.createDataFrame([(n, n) for n in names], "node long, label long")
-    got = {r["node"]: r["label"] for r in simhash_dedup.components(spark.createDataFrame(chain + star, "a long, b long"), nodes).collect()}
-    assert all(got[n] == min(names[:150]) for n in names[:150]) and all(got[n] == min(names[200:]) for n in names[200:]) and all(got[n] == n for n in names[150:200])
+    for broadcast_rows in (500_000, 0):
+        got = {r["node"]: r["label"] for r in simhash_dedup.components(spark.createDataFrame(chain + star, "a long, b long"), nodes, broadcast_rows=broadcast_rows).collect()}
+        assert all(got[n] == min(names[:150]) for n in names[:150]) and all(got[n] == min(names[200:]) for n in names[200:]) and all(got[n] == n for n in names[150:200])
 
 
 ITEM = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty red green blue black white grey pink brown gold lime teal navy"
