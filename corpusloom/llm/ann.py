@@ -2,15 +2,18 @@
 
 Vectors are rotated by a fixed random orthogonal matrix and dealt to the list of their
 nearest centroid (centroids are fitted on a bounded sample; every vector is indexed).  A
-query probes its nearest lists.  Inside a list, vectors lie in blocks of columns: after
-each block the partial squared distance of every remaining candidate, scaled up to all
-dimensions, is tested against the tenth best so far; a candidate that exceeds it by more
-than a random rotation would explain is abandoned.  Survivors are measured exactly, in
-double precision, on the original vectors.
-
-Equal vectors are one entry with its smallest ids, so a vector that a third of all rows
-share costs one comparison.  A long list is dealt into blocks of rows, each scanned on its
-own, so no task holds a whole list.
+query probes its nearest lists, as many as vectors of the sample need to find the wanted
+share of their true neighbours in it: few where vectors cluster, a third or more where they
+hardly do.  Inside the probed lists, vectors lie in blocks of columns: after each block the
+partial squared distance of every remaining candidate, scaled up to all dimensions, is
+tested against the tenth best so far; a candidate that exceeds it by more than a random
+rotation would explain is abandoned.  Survivors are measured exactly, in double precision,
+on the original vectors.
+
+Lists are packed into cells of ``rows_a_cell`` rows, long ones are dealt into several, and
+queries into parts of ``queries_a_part``, so a task has a bounded number of both.  Equal
+vectors are one entry with its smallest ids, so a vector that a third of all rows share
+costs one comparison, and its answer reaches its rows without meeting them in one task.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corpusloom.llm.shared import cut_lineage
+from corpusloom.llm.shared import cut_lineage, look_up
 
 
 def usable(vector, dim: int | None = None):
@@ -60,64 +63,117 @@ def rotation(dim: int, seed: int = 11) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
-def scan(query: np.ndarray, rotated_query: np.ndarray, blocks: list[np.ndarray], vectors: np.ndarray, floor: np.ndarray, k: int, doubt: float) -> np.ndarray:
-    """Places of candidates that may be among the ``k`` nearest of one list block.
+def survivors(queries: np.ndarray, vectors: np.ndarray, turn: np.ndarray, visit: np.ndarray, k: int, doubt: float | None, column_block: int = 16, pairs: int = 1 << 18):
+    """Pairs (query, vector, exact distance), as three arrays, that may be among the ``k`` nearest of each query's visited vectors.
 
-    ``blocks`` are the rotated vectors' columns, ``floor`` unused places to skip (a mask).
-    The first candidates by partial distance are measured fully to set the bar; all others
-    must pass the test after every block of columns.
+    ``visit`` is a mask of queries by vectors.  The best by partial distance over the first
+    columns are measured in full and set each query's bar; the other candidates must pass the
+    test after every block of columns.  ``doubt`` None abandons only what is surely farther.
     """
     dim = vectors.shape[1]
-    alive = np.flatnonzero(~floor)
-    if len(alive) <= 4 * k:
-        return alive
-    partial, seen = np.zeros(len(vectors)), 0
-    for b, block in enumerate(blocks):
-        width = block.shape[1]
-        partial[alive] += ((block[alive] - rotated_query[seen : seen + width]) ** 2).sum(axis=1)
-        seen += width
-        if b == 0:
-            first = alive[np.argpartition(partial[alive], 2 * k)[: 2 * k]]
-            bar = np.partition(((vectors[first] - query) ** 2).sum(axis=1), k - 1)[k - 1]
-        if seen < dim:
-            allowed = bar * (1 + doubt / np.sqrt(seen)) ** 2
-            alive = alive[partial[alive] * dim / seen <= allowed]
-        else:
-            alive = alive[partial[alive] <= bar * (1 + 1e-9) + 1e-12]
-    return alive
+    out = []
+    turned, turned_queries = vectors @ turn, queries @ turn
+    step = max(1, pairs // max(1, len(vectors)))
+    for lo in range(0, len(queries), step):
+        q, tq, alive = queries[lo : lo + step], turned_queries[lo : lo + step], visit[lo : lo + step]
+        slack = 1e-9 * ((q**2).sum(axis=1) + (vectors**2).sum(axis=1).max())
+        bar, partial, seen = np.full(len(q), np.inf), None, 0
+        at, of = np.nonzero(alive)
+        for start in range(0, dim, column_block):
+            x, y = tq[:, start : start + column_block], turned[:, start : start + column_block]
+            seen += x.shape[1]
+            if start == 0:
+                whole = np.where(alive, (x**2).sum(axis=1)[:, None] + (y**2).sum(axis=1) - 2 * x @ y.T, np.inf)
+                partial = whole[at, of]
+                if len(vectors) > 2 * k:
+                    first = np.argpartition(whole, 2 * k - 1, axis=1)[:, : 2 * k]
+                    exact = ((vectors[first] - q[:, None, :]) ** 2).sum(axis=2)
+                    exact[np.isinf(np.take_along_axis(whole, first, axis=1))] = np.inf
+                    bar = np.partition(exact, k - 1, axis=1)[:, k - 1]
+            else:
+                partial = partial + ((y[of] - x[at]) ** 2).sum(axis=1)
+            if seen < dim and doubt is not None:
+                fine = partial * dim / seen <= bar[at] * (1 + doubt / np.sqrt(seen)) ** 2 + slack[at]
+            else:
+                fine = partial <= bar[at] + slack[at]
+            at, of, partial = at[fine], of[fine], partial[fine]
+        out.append((at + lo, of, np.sqrt(((vectors[of] - q[at]) ** 2).sum(axis=1))))
+    return tuple(np.concatenate(parts) for parts in zip(*out, strict=True))
+
+
+def probes_for(sample: np.ndarray, centers: np.ndarray, k: int, recall: float, asked: int = 256) -> int:
+    """How many lists vectors of the sample must visit to find the share ``recall`` of their ``k`` nearest others in it."""
+    queries = sample[:: max(1, len(sample) // asked)][:asked]
+    far = (sample**2).sum(axis=1) - 2 * queries @ sample.T
+    near = np.argsort(far, axis=1)[:, 1 : k + 1]
+    order = nearest(queries, centers, len(centers))
+    rank = np.empty_like(order)
+    np.put_along_axis(rank, order, np.arange(len(centers))[None, :], axis=1)
+    needed = np.take_along_axis(rank, nearest(sample, centers, 1)[:, 0][near], axis=1)
+    return int(np.quantile(needed, recall, method="higher")) + 1 if needed.size else len(centers)
+
+
+def cells_of(sizes: np.ndarray, centers: np.ndarray, rows_a_cell: int) -> tuple[np.ndarray, np.ndarray]:
+    """``(first cell, number of cells)`` of each list; lists that are neighbours along the centroids' main axis share a cell."""
+    axis = np.linalg.svd(centers - centers.mean(axis=0), full_matrices=False)[2][0]
+    first, parts = np.zeros(len(sizes), np.int64), np.maximum(1, -(-sizes // rows_a_cell))
+    cell, held = 0, 0
+    for j in np.argsort(centers @ axis, kind="stable"):
+        if held and held + sizes[j] > rows_a_cell:
+            cell, held = cell + 1, 0
+        first[j] = cell
+        held += sizes[j]
+        if parts[j] > 1:
+            cell, held = cell + int(parts[j]), 0
+    return first, parts
+
+
+def visits_of(near: np.ndarray, first: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """``(query, cell, lists)`` from each query's probed lists: one entry per query and cell with the lists it visits there."""
+    lists, query = near.ravel(), np.repeat(np.arange(len(near)), near.shape[1])
+    times = parts[lists]
+    before = np.cumsum(times) - times
+    lists, query, ordinal = np.repeat(lists, times), np.repeat(query, times), np.arange(times.sum()) - np.repeat(before, times)
+    cell = first[lists] + ordinal
+    order = np.lexsort((cell, query))
+    lists, query, cell = lists[order], query[order], cell[order]
+    edges = np.flatnonzero((np.diff(query) != 0) | (np.diff(cell) != 0)) + 1
+    starts = np.concatenate(([0], edges))
+    return query[starts], cell[starts], np.split(lists.astype(np.int32), edges)
 
 
 def search(
     table: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 100, k: int = 10,
-    sample: int = 20_000, lists: int | None = None, probes: float = 0.75, rows_a_block: int = 4096, column_block: int = 16, doubt: float = 2.1,
+    sample: int = 20_000, lists: int | None = None, probes: int | None = None, recall: float = 0.98, doubt: float | None = 2.5, rows_a_cell: int = 4096, queries_a_part: int = 8192,
 ) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: for ids divisible by ``every``, the ``k`` nearest other rows found.
 
     Order is by exact Euclidean distance, then by id.  Null, zero, and non-finite vectors,
     those of another dimension than most, and null ids take no part.  Rows with one id and
-    one vector are one row.  ``lists`` defaults to the square root of the number of
-    distinct vectors (1024 at most), ``probes`` is the share of lists that a query visits,
-    4 at least.  An empty table gives no rows.
+    one vector are one row.  ``lists`` defaults to four times the square root of the number
+    of distinct vectors, an eighth of the sample at most; ``probes`` to what the share
+    ``recall`` of the sample's neighbours needs, which is above what unseen vectors reach, as the centroids fit the sample.  With as many ``probes`` as lists and
+    ``doubt`` None the answer is exact.  An empty table gives no rows.
     """
     spark = table.sparkSession
-    none = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rows = table.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v")).where(F.col("vec_id").isNotNull() & usable(F.col("v")))
     sizes = rows.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.desc("dim")).limit(1).collect()
     if not sizes:
-        return none
-    dim = sizes[0]["dim"]
-    rows = rows.where(F.size("v") == dim).withColumn("vkey", F.xxhash64("v"))
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    dim, key = sizes[0]["dim"], ["vkey", "vkey2"]
+    # Two hashes, 128 bits, stand for a vector where its numbers are not needed.
+    rows = rows.where(F.size("v") == dim).withColumns({"vkey": F.xxhash64("v"), "vkey2": F.xxhash64(F.lit("second"), "v")})
     # The k + 1 smallest ids of each distinct vector; the limit runs before the shuffle too.
-    ranked = rows.dropDuplicates(["vec_id", "v"]).withColumn("n", F.row_number().over(W.partitionBy("vkey", "v").orderBy("vec_id"))).where(F.col("n") <= k + 1)
-    entries = cut_lineage(ranked.groupBy("vkey", "v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")))
-    asked = rows.where(F.pmod("vec_id", F.lit(every)) == 0).select("vec_id", "vkey", "v").dropDuplicates(["vec_id", "v"])
-    queries = asked.select("vkey", "v").distinct()
+    ranked = rows.dropDuplicates(["vec_id", *key]).withColumn("n", F.row_number().over(W.partitionBy(*key).orderBy("vec_id"))).where(F.col("n") <= k + 1)
+    entries = cut_lineage(ranked.groupBy(*key).agg(F.first("v").alias("v"), F.array_sort(F.collect_list("vec_id")).alias("ids")))
+    asked = rows.where(F.pmod("vec_id", F.lit(every)) == 0).dropDuplicates(["vec_id", *key])
+    queries = cut_lineage(asked.groupBy(*key).agg(F.first("v").alias("v"), F.count(F.lit(1)).alias("n")))
 
     total = entries.count()
     drawn = np.array([r["v"] for r in entries.orderBy(F.xxhash64(F.lit("sample"), "vkey"), "vkey").limit(min(sample, total)).select("v").collect()])
-    lists = max(1, min(lists or int(total**0.5), 1024, len(drawn)))
+    lists = max(1, min(lists or int(4 * total**0.5), len(drawn) // 8 or 1))
     centers, turn = kmeans(drawn, lists), rotation(dim)
-    probed = min(lists, max(4, round(lists * probes)))
+    probed = min(lists, probes or max(4, probes_for(drawn, centers, k, recall)))
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -125,44 +181,45 @@ def search(
                 batch["list"] = nearest(np.array(batch["v"].tolist()), centers, 1)[:, 0]
                 yield batch
 
-    indexed = cut_lineage(entries.mapInPandas(assign, "vkey long, v array<double>, ids array<long>, list int"))
-    long_lists = {r["list"]: r["n"] for r in indexed.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}
-    parts = np.array([max(1, -(-long_lists.get(j, 0) // rows_a_block)) for j in range(lists)])
-    parts_of = F.array(*(F.lit(int(p)) for p in parts))
-    dealt = indexed.withColumn("part", F.pmod("vkey", F.get(parts_of, F.col("list"))).cast("int"))
+    indexed = cut_lineage(entries.mapInPandas(assign, "vkey long, vkey2 long, v array<double>, ids array<long>, list int"))
+    counted = {r["list"]: r["n"] for r in indexed.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}
+    first, parts = cells_of(np.array([counted.get(j, 0) for j in range(lists)]), centers, rows_a_cell)
+    of_list = lambda array: F.get(F.array(*(F.lit(int(x)) for x in array)), F.col("list"))
+    query_parts = max(1, -(-queries.count() // queries_a_part))
+    dealt = indexed.withColumn("cell", of_list(first) + F.pmod("vkey", of_list(parts))).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(query_parts - 1))))
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            if len(batch):
-                batch["list"] = list(nearest(np.array(batch["v"].tolist()), centers, probed))
-                yield batch.explode("list").astype({"list": "int32"})
+            for lo in range(0, len(batch), 256):
+                own = batch.iloc[lo : lo + 256]
+                query, cell, visited = visits_of(nearest(np.array(own["v"].tolist()), centers, probed), first, parts)
+                yield own.iloc[query].assign(cell=cell, lists=visited)
 
-    visits = queries.mapInPandas(probe, "vkey long, v array<double>, list int")
-    visits = visits.withColumn("part", F.explode(F.sequence(F.lit(0), F.get(parts_of, F.col("list")) - 1)))
+    visits = queries.select(*key, "v").mapInPandas(probe, "vkey long, vkey2 long, v array<double>, cell long, lists array<int>").withColumn("part", F.pmod("vkey2", F.lit(query_parts)).cast("int"))
 
-    def scan_block(own: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
+    def scan_cell(own: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(own) and len(asking):
-            vectors = np.array(own["v"].tolist())
-            turned, ids = vectors @ turn, own["ids"].to_list()
-            blocks = [np.ascontiguousarray(turned[:, c : c + column_block]) for c in range(0, dim, column_block)]
-            nothing = np.zeros(len(vectors), bool)
-            for vkey, v in zip(asking["vkey"], asking["v"], strict=True):
-                q = np.asarray(v)
-                alive = scan(q, q @ turn, blocks, vectors, nothing, k + 1, doubt)
-                far = np.sqrt(((vectors[alive] - q) ** 2).sum(axis=1))
-                near = alive[far <= np.partition(far, k)[k]] if len(far) > k + 1 else alive
-                exact = dict(zip(alive.tolist(), far.tolist(), strict=True))
-                best = sorted((exact[i], j) for i in near.tolist() for j in ids[i])[: k + 1]
-                out += [(vkey, v, j, d) for d, j in best]
-        return pd.DataFrame(out, columns=["vkey", "v", "vec_id", "score"])
-
-    found = dealt.groupBy("list", "part").cogroup(visits.groupBy("list", "part")).applyInPandas(scan_block, "vkey long, v array<double>, vec_id long, score double")
-    top = found.withColumn("n", F.row_number().over(W.partitionBy("vkey", "v").orderBy("score", "vec_id"))).where(F.col("n") <= k + 1).select("vkey", "v", F.col("vec_id").alias("found_id"), "score")
-    answered = asked.withColumnRenamed("vec_id", "query_id").join(top, ["vkey", "v"]).where(F.col("query_id") != F.col("found_id"))
-    rank = F.row_number().over(W.partitionBy("query_id", "vkey").orderBy("score", "found_id"))
-    return answered.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), F.col("found_id").alias("vec_id"), "score")
+            names, place = np.unique(own["list"].to_numpy(), return_inverse=True)
+            visited = np.zeros((len(asking), lists), bool)
+            for i, chosen in enumerate(asking["lists"]):
+                visited[i, chosen] = True
+            at, of, far = survivors(np.array(asking["v"].tolist()), np.array(own["v"].tolist()), turn, visited[:, names][:, place], k + 1, doubt)
+            ids, first_key, second_key = own["ids"].to_list(), asking["vkey"].to_numpy(), asking["vkey2"].to_numpy()
+            for i, found in pd.DataFrame({"at": at, "of": of, "far": far}).groupby("at"):
+                near = found.nsmallest(k + 1, "far", keep="all")
+                best = sorted((d, j) for o, d in zip(near["of"], near["far"], strict=True) for j in ids[o])[: k + 1]
+                out += [(first_key[i], second_key[i], j, d) for d, j in best]
+        return pd.DataFrame(out, columns=["vkey", "vkey2", "vec_id", "score"])
+
+    found = dealt.groupBy("cell", "part").cogroup(visits.groupBy("cell", "part")).applyInPandas(scan_cell, "vkey long, vkey2 long, vec_id long, score double")
+    top = found.withColumn("n", F.row_number().over(W.partitionBy(*key).orderBy("score", "vec_id"))).where(F.col("n") <= k + 1)
+    best = cut_lineage(top.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("score", "vec_id"))).alias("best")).join(queries.select(*key, "n"), key))
+    answered = look_up(asked.select(F.col("vec_id").alias("query_id"), *key), best, key, "n")
+    others = F.slice(F.filter("best", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
+    return answered.select("query_id", F.posexplode(others).alias("at", "found")).select("query_id", (F.col("at") + 1).alias("rank"), F.col("found.vec_id").alias("vec_id"), F.col("found.score").alias("score"))
 
 
 def neighbour_digest(table: DataFrame) -> DataFrame:
+    """The contract's columns; vectors of another dimension than most take no part."""
     return search(table.select("vec_id", "embedding"))

@@ -246,6 +246,49 @@ def test_neighbours_reach_recall(spark, vectors):
     assert got[100] == list(range(3000, 3010)) and got[3000][0] == 100
 
 
+def test_abandoning_in_several_column_blocks_loses_little():
+    rng = np.random.default_rng(4)
+    table, queries = rng.standard_normal((5000, 64)), rng.standard_normal((40, 64))
+    visit = rng.random((40, 5000)) < 0.8
+    turn = ann.rotation(64)
+    far = np.where(visit, np.sqrt(((queries[:, None, :] - table) ** 2).sum(axis=2)), np.inf)
+    want = {(i, j) for i in range(40) for j in np.argsort(far[i])[:11]}
+    at, of, exact = ann.survivors(queries, table, turn, visit, 11, None)
+    assert want <= set(zip(at.tolist(), of.tolist(), strict=True)) and np.allclose(exact, far[at, of])
+    at, of, _ = ann.survivors(queries, table, turn, visit, 11, 2.5)
+    got = set(zip(at.tolist(), of.tolist(), strict=True))
+    assert len(want & got) >= 0.98 * len(want) and len(got) < 0.2 * visit.sum() and all(visit[i, j] for i, j in got)
+
+
+def test_lists_are_packed_into_cells():
+    sizes, centers = np.array([10, 0, 25, 9, 3]), np.array([[0.0], [1.0], [2.0], [3.0], [4.0]])
+    first, parts = ann.cells_of(sizes, centers, 10)
+    assert parts.tolist() == [1, 1, 3, 1, 1]
+    used = {}
+    for j in range(5):
+        for c in range(parts[j]):
+            used.setdefault(int(first[j]) + c, []).append(j)
+    assert all(len(js) == 1 or 2 not in js for js in used.values())
+    query, cell, lists = ann.visits_of(np.array([[2, 0], [3, 4]]), first, parts)
+    assert {(q, c, tuple(x)) for q, c, x in zip(query.tolist(), cell.tolist(), map(list, lists), strict=True)} == {
+        *((0, int(first[2]) + c, (2,)) for c in range(3)), (0, int(first[0]), (0,)), *({(1, int(first[3]), (3, 4))} if first[3] == first[4] else {(1, int(first[3]), (3,)), (1, int(first[4]), (4,))}),
+    }
+
+
+def test_exact_search_in_small_cells_and_parts(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(x) for x in rng.standard_normal(24)], 0) for i in range(1500)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, list int")
+    out = ann.search(df, every=20, lists=30, probes=30, doubt=None, rows_a_cell=40, queries_a_part=30).collect()
+    got = {}
+    for r in sorted(out, key=lambda r: (r["query_id"], r["rank"])):
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    ids, table = np.arange(1500), np.array([r[1] for r in rows])
+    for i in range(0, 1500, 20):
+        far = np.sqrt(((table - table[i]) ** 2).sum(axis=1))
+        assert got[i] == [j for _, j in sorted(zip(far.tolist(), ids.tolist(), strict=True)) if j != i][:10]
+
+
 def test_few_vectors(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<double>")
     assert [(r["rank"], r["vec_id"]) for r in ann.search(df).orderBy("rank").collect()] == [(1, 1), (2, 2)]
