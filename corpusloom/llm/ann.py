@@ -144,7 +144,7 @@ def visits_of(near: np.ndarray, first: np.ndarray, parts: np.ndarray) -> tuple[n
 
 def search(
     table: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 100, k: int = 10,
-    sample: int = 20_000, lists: int | None = None, probes: int | None = None, recall: float = 0.98, doubt: float | None = 2.5, rows_a_cell: int = 4096, queries_a_part: int = 8192,
+    sample: int = 20_000, lists: int | None = None, probes: int | None = None, least_rows: int = 512, recall: float = 0.98, doubt: float | None = 2.5, rows_a_cell: int = 4096, queries_a_part: int = 8192,
 ) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: for ids divisible by ``every``, the ``k`` nearest other rows found.
 
@@ -152,7 +152,8 @@ def search(
     those of another dimension than most, and null ids take no part.  Rows with one id and
     one vector are one row.  ``lists`` defaults to four times the square root of the number
     of distinct vectors, an eighth of the sample at most; ``probes`` to what the share
-    ``recall`` of the sample's neighbours needs, which is above what unseen vectors reach, as the centroids fit the sample.  With as many ``probes`` as lists and
+    ``recall`` of the sample's neighbours needs, which is above what unseen vectors reach, as the centroids fit the sample, and to lists of
+    ``least_rows`` vectors together at least.  With as many ``probes`` as lists and
     ``doubt`` None the answer is exact.  An empty table gives no rows.
     """
     spark = table.sparkSession
@@ -173,7 +174,7 @@ def search(
     drawn = np.array([r["v"] for r in entries.orderBy(F.xxhash64(F.lit("sample"), "vkey"), "vkey").limit(min(sample, total)).select("v").collect()])
     lists = max(1, min(lists or int(4 * total**0.5), len(drawn) // 8 or 1))
     centers, turn = kmeans(drawn, lists), rotation(dim)
-    probed = min(lists, probes or max(4, probes_for(drawn, centers, k, recall)))
+    probed = min(lists, probes or max(-(-lists * least_rows // max(1, total)), probes_for(drawn, centers, k, recall)))
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

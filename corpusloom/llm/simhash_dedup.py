@@ -164,21 +164,23 @@ def components(pairs: DataFrame, nodes: DataFrame, *, broadcast_rows: int = 500_
     return nodes.join(state.select("node", F.col("label").alias("least")), "node", "left").select("node", F.coalesce("least", "label").alias("label"))
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3, keep: tuple[str, ...] = (), by_print: bool = False) -> DataFrame:
     """One row ``(doc_id, fp, component_id)``, with the columns ``keep`` after the id, per row of ``docs``.
 
     ``component_id`` is the least id that links reach, its own included.  Null, empty and
     word-less texts have fingerprint 0 and link like any other.  A row with a null id has
     the component of its fingerprint; a component of null ids only has a null
-    ``component_id``.  Columns of ``docs`` that are not named are not read; an empty table
-    gives no rows.
+    ``component_id``.  With ``by_print`` it is the component's least fingerprint instead,
+    which tells components apart whatever the ids.  Columns of ``docs`` that are not named
+    are not read; an empty table gives no rows.
     """
     prints = cut_lineage(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle, keep=keep))
     classes = cut_lineage(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")))
     far = F.lit((1 << 63) - 1)  # a class of null ids only
-    nodes = classes.select(F.col("fp").alias("node"), F.coalesce(F.col("least").cast("long"), far).alias("label"))
-    found = components(links(classes.select("fp"), radius=radius), nodes)
-    labels = found.select(F.col("node").alias("fp"), F.when(F.col("label") != far, F.col("label")).alias("component_id"))
+    label = F.col("fp") if by_print else F.coalesce(F.col("least").cast("long"), far)
+    found = components(links(classes.select("fp"), radius=radius), classes.select(F.col("fp").alias("node"), label.alias("label")))
+    known = F.col("label") if by_print else F.when(F.col("label") != far, F.col("label"))
+    labels = found.select(F.col("node").alias("fp"), known.alias("component_id"))
     # Copies of one text have one fingerprint, which a third of all rows may share.
     facts = cut_lineage(labels.join(classes.select("fp", "n"), "fp"))
     return look_up(prints, facts, ["fp"], "n").select("doc_id", *keep, "fp", "component_id")
