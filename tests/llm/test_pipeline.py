@@ -36,6 +36,43 @@ def test_rows_are_told_apart_by_text_too(spark, data):
     assert order((r["doc_id"], r["text"]) for r in out.collect()) == order([(None, words("a")), (5, words("c")), (6, None), (None, None)])
 
 
+CLASHING = "doc_id long, text string, score double, _score double, row string, id long, sig long, _kept string, _hot string, leak string, label int, fp string"
+
+
+def clashing_rows(data, spark):
+    leak = spark.read.parquet(f"{data}/benchmark.parquet").first()["text"]
+    words = lambda tag: " ".join(f"{tag}{k}" for k in range(40))
+    line = "A line that three of these documents have in common"
+    texts = [(1, words("a")), (1, words("a")), (2, words("a")), (3, None), (4, ""), (None, words("b")), (5, f"{words('c')} {leak}"), (6, f"{line}\n{words('d')}"), (7, f"{line}\n{words('e')}"), (8, f"{line}\n{words('f')}"), (9, "long " * 50_000), (9, "long " * 50_000)]
+    return [(i, t, 7.0, 8.0, "row", 9, 10, "kept", "hot", "leak", k, "fp") for k, (i, t) in enumerate(texts)]
+
+
+def test_stages_keep_odd_rows_and_columns_of_any_name(spark, data):
+    rows = clashing_rows(data, spark)
+    docs = spark.createDataFrame(rows, CLASHING)
+    order = lambda xs: sorted(map(tuple, xs), key=str)
+    stages = dict(corpus_pipeline.STAGES)
+    out = stages["toxicity"](spark, docs, data)
+    assert out.columns == docs.columns and order(out.collect()) == order(rows)
+    out = stages["line_dedup"](spark, docs, data)
+    line = rows[7][1].split("\n")[0]
+    want = [(r[0], r[1].removeprefix(line + "\n") if r[0] in (6, 7) else r[1], *r[2:]) for r in rows]
+    assert out.columns == docs.columns and order(out.collect()) == order(want)
+    out = stages["near_dedup"](spark, docs, data)
+    kept = out.collect()
+    assert out.columns == docs.columns and order((r["doc_id"], r["text"]) for r in kept) == order({(r[0], r[1]) for r in rows if r[0] not in (2, 4)})
+    assert order(stages["near_dedup"](spark, docs.repartition(3), data).collect()) == order(kept)
+    out = stages["decontaminate"](spark, docs, data)
+    assert out.columns == docs.columns and order(out.collect()) == order(r for r in rows if r[0] != 5)
+    assert stages["tokens"](spark, docs, data).count() == len(rows)
+
+
+def test_stages_of_an_empty_table(spark, data):
+    docs = spark.createDataFrame([], CLASHING)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, data).collect() == []
+
+
 def test_every_operator_is_registered():
     numbers = {int(name[2:].split("_")[0]) for name in registry.QUERIES}
     assert numbers == set(range(1, 11))
