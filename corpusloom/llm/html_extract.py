@@ -1,7 +1,8 @@
 """Main text of web pages by template deduction over a host's pages.
 
 A page is a sequence of tokens: opening tags, told apart by their path of open elements
-and first class or id, and text runs, told apart by path and content.  Pages of a host are
+and first class or id (plain division elements by their number among their like, so that a
+page of nothing but ``div`` has a layout too), and text runs, told apart by path and content.  Pages of a host are
 grouped by layout, the containers that each has once.  Tokens that occur equally often in
 the same pages of a group have the same occurrence vector and form an equivalence class,
 which counts if at least half of the pages have it.  A class is valid if each of its tags
@@ -25,7 +26,6 @@ from __future__ import annotations
 import html as entities
 import json
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.shared import UPPER, LOWER, cut_lineage
+from corpusloom.llm.shared import UPPER, LOWER, cut_lineage, look_up
 
 #: Element and region names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -60,6 +60,10 @@ REJECTED_ROLES = frozenset("navigation banner contentinfo complementary search f
 #: Elements of running text say nothing about a page's layout.
 NO_FRAME = INLINE | frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th pre blockquote figure figcaption address hgroup details summary".split())
 LAYOUT_DEPTH = 5
+#: Without a class or id these say nothing of what they hold; siblings are numbered.
+NUMBERED = frozenset("div section".split())
+#: Deeper down, their number says how long a story is and not how its page is laid out.
+BODY_DEPTH = 3
 
 #: Comments and declarations; tags; tags with a broken quote or no end; text.
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|([^<]+|<)""", re.S)
@@ -79,6 +83,7 @@ class Page:
         self.runs: list[tuple[str, int, str, bool]] = []
         self.tags: list[list] = []
         self.frame: set[str] = set()
+        self.numbers: Counter = Counter()
         # open elements: (name, path, rejected, place in tags, inside an article)
         stack: list[tuple[str, str, bool, int, bool]] = [("", "", False, -1, False)]
         block, at, size = 0, 0, len(source)
@@ -110,6 +115,10 @@ class Page:
                     self._text(" ", stack, block)
                 continue
             path, rejected, article = self._enter(name, m[3], stack[-1])
+            if name in NUMBERED and path.endswith(f"/{name}") and path.count("/") <= LAYOUT_DEPTH:
+                self.numbers[stack[-1][3], name] += 1
+                if (n := self.numbers[stack[-1][3], name]) > 1:
+                    path = f"{path}[{n}]"
             if closed:
                 continue
             if name in EMBEDDED:
@@ -121,7 +130,7 @@ class Page:
                 end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(source, at)
                 at = end.end() if end else size
                 continue
-            if not rejected and not stack[-1][4] and name not in NO_FRAME and path.count("/") <= LAYOUT_DEPTH:
+            if not rejected and not stack[-1][4] and name not in NO_FRAME and path.count("/") <= (BODY_DEPTH if path.endswith("]") else LAYOUT_DEPTH):
                 self.frame.add(path)
             self.tags.append([path, 0])
             stack.append((name, path, rejected, len(self.tags) - 1, article))
@@ -205,11 +214,11 @@ class Page:
     def own_main(self) -> str:
         """The path of the article or main element with most kept text, else of the deepest element with most of the page's."""
         for name in ("article", "main"):
-            held = [(n, path) for path, n in self.tags if path.rsplit("/", 1)[-1].split(".")[0] == name and n]
+            held = [(n, path) for path, n in self.tags if last_name(path) == name and n]
             if held:
                 return max(held, key=lambda x: x[0])[1]
         whole = max((n for _, n in self.tags), default=0)
-        enough = [path for path, n in self.tags if n >= 0.6 * whole and path.rsplit("/", 1)[-1].split(".")[0] not in INLINE | {"p"}]
+        enough = [path for path, n in self.tags if n >= 0.6 * whole and last_name(path) not in INLINE | {"p"}]
         return enough[-1] if enough and whole else ""
 
 
@@ -217,11 +226,19 @@ class Page:
         """A hash, never 0, of the kept containers down to ``LAYOUT_DEPTH`` that the page has once, articles' insides apart."""
         often = Counter(path for path, _ in self.tags)
         once = sorted(path for path, n in often.items() if n == 1 and path in self.frame)
-        return 1 + zlib.crc32("\n".join(once).encode("utf-8", "surrogatepass"))
+        return hash64("\n".join(once)) or 1
+
+
+def hash64(text: str) -> int:
+    """The text's XXH64, signed."""
+    import xxhash
+
+    found = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"))
+    return found - (1 << 64) if found >> 63 else found
 
 
 def run_token(path: str, text: str) -> int:
-    return zlib.crc32(f"{path}\n{' '.join(text.split())}".encode("utf-8", "surrogatepass"))
+    return hash64(f"{path}\n{' '.join(text.split())}")
 
 
 TOKENS = "host string, layout long, kind string, path string, token long, page long, count int, place int, chars long"
@@ -231,7 +248,7 @@ WHOLE = 0
 
 
 def last_name(path: str) -> str:
-    return path.rsplit("/", 1)[-1].split(".")[0]
+    return path.rsplit("/", 1)[-1].split(".")[0].split("[")[0]
 
 
 def tokens_of(pages: DataFrame, *, rows: int = 20_000) -> DataFrame:
@@ -260,7 +277,7 @@ def tokens_of(pages: DataFrame, *, rows: int = 20_000) -> DataFrame:
                 layout = page.layout()
                 out.append((host, layout, "page", "", 0, key, 1, 0, 0))
                 for token, (count, place, chars) in found.items():
-                    out.append((host, layout, token[0], token[1], token[2] if token[0] == "text" else zlib.crc32(token[1].encode("utf-8", "surrogatepass")), key, count, place, chars))
+                    out.append((host, layout, token[0], token[1], token[2] if token[0] == "text" else hash64(token[1]), key, count, place, chars))
                 if len(out) >= rows:
                     yield pd.DataFrame(out, columns=TOKEN_COLUMNS)
                     out = []
@@ -372,8 +389,8 @@ def read_template(template: str) -> dict[int, tuple[str, frozenset[int], frozens
     return {group: (main, frozenset(sure), frozenset(sure) | frozenset(nested)) for group, main, sure, nested in json.loads(template)}
 
 
-def main_text(source: str, template: str | None) -> str:
-    """The page's main text by its layout's template, else by its host's, else by its own elements.
+def main_text(source: str, template: str | None) -> tuple[str, bool]:
+    """(the page's main text by its layout's template, else by its host's, else by its own elements; whether a template gave it).
 
     A page that would lose most of its main slot to the text of nested classes is taken
     for one of several copies and loses only what all pages have.
@@ -390,24 +407,31 @@ def main_text(source: str, template: str | None) -> str:
     if blocks and every != sure:
         fewer = page.blocks(main, every)
         blocks = fewer if 2 * sum(map(len, fewer)) >= sum(map(len, blocks)) else blocks
-    return "\n".join(blocks or page.blocks(page.own_main(), frozenset()))
+    return "\n".join(blocks or page.blocks(page.own_main(), frozenset())), bool(blocks)
 
 
-def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", support: int = 3, broadcast_hosts: int = 20_000) -> DataFrame:
-    """``(page_id, url, text, n_chars)`` per row of ``pages``; ``text`` is empty where nothing is left.
+def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", support: int = 3, broadcast_bytes: int = 1 << 25) -> DataFrame:
+    """``(page_id, url, text, n_chars, by_template)`` per row of ``pages``; ``text`` is empty where nothing is left.
 
     Null and empty html gives an empty text.  Null and malformed URLs form one host, the
-    empty one.  Templates go to all executors if there are at most ``broadcast_hosts`` of
-    them, else they are joined by host.
+    empty one.  Repeated rows have a row each, and other columns of ``pages`` are not read,
+    whatever their names.  ``by_template`` says whether a deduced template gave the text or
+    the page's own elements.  Templates go to all executors if they are counted to have at
+    most ``broadcast_bytes`` characters, else they are joined by host, where a hot host's
+    pages are spread.
     """
     host = F.coalesce(F.translate(F.regexp_extract(url_col, r"(?s)^.*?://([^/?#]*)", 1), UPPER, LOWER), F.lit(""))
     own = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), host.alias("host"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
     known = cut_lineage(templates(own.select("host", F.xxhash64("page_id", "html").alias("page"), "html"), support=support))
-    joined = own.join(F.broadcast(known) if known.count() <= broadcast_hosts else known, "host", "left")
-
-    @F.pandas_udf("string")
-    def text(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    if known.agg(F.coalesce(F.sum(F.char_length("template") + F.char_length("host")), F.lit(0))).first()[0] <= broadcast_bytes:
+        joined = own.join(F.broadcast(known), "host", "left")
+    else:
+        sizes = own.groupBy("host").agg(F.count(F.lit(1)).alias("n"))
+        joined = look_up(own, cut_lineage(known.join(sizes, "host")), ["host"], "n", most_hot=1000)
+
+    @F.pandas_udf("text string, by_template boolean")
+    def read(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for sources, found in batches:
-            yield pd.Series([main_text(source, template) for source, template in zip(sources, found, strict=True)], dtype=object)
+            yield pd.DataFrame([main_text(source, template) for source, template in zip(sources, found, strict=True)], columns=["text", "by_template"])
 
-    return joined.select("page_id", "url", text("html", "template").alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))
+    return joined.select("page_id", "url", read("html", "template").alias("found")).select("page_id", "url", "found.text", F.char_length("found.text").cast("long").alias("n_chars"), "found.by_template")

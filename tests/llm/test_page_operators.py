@@ -25,6 +25,31 @@ def test_extracts_articles(spark):
     assert got == {k: f"Title {k}\nOne & two {k}\nthree four five" for k in range(5)}
 
 
+def test_no_name_is_needed_where_a_template_is_found(spark):
+    import re
+
+    def bare(source):
+        """The page with nothing but ``div`` for elements of meaning and no name that says anything."""
+        plain = re.sub(r"<(/?)(article|nav|footer|section)\b", r"<\1div", source)
+        return re.sub(r'class="(\w+)"', lambda m: f'class="q{sum(m[1].encode())}"', plain)
+
+    rows = [(k, f"http://a.example/{k}", page(k, f"Title {k}", *(f"Paragraph {n} of story {k}, which is a long one" for n in range(1 + k % 4)), extra="<div>Welcome to our paper, dear reader</div>" if k % 2 else "")) for k in range(12)]
+    texts = {k: f"Title {k}\n" + "\n".join(f"Paragraph {n} of story {k}, which is a long one" for n in range(1 + k % 4)) for k in range(12)}
+    assert extract(spark, rows) == texts
+    neutral = [(k, u, bare(h)) for k, u, h in rows]
+    assert not re.search("article|nav|footer|comment|\\bad\\b", "".join(h for _, _, h in neutral).replace("Paragraph", ""))
+    df = spark.createDataFrame([(*r, "x", "h", "b") for r in neutral], PAGE)
+    got = html_extract.extract(df).collect()
+    assert {r["page_id"]: r["text"] for r in got} == texts and all(r["by_template"] for r in got)
+
+
+def test_templates_joined_by_host_are_the_same(spark):
+    rows = [(k, f"http://{'hot' if k % 3 else f'h{k % 4}'}.example/", page(k, f"Title {k}", f"One and two {k}")) for k in range(40)]
+    df = spark.createDataFrame([(*r, "x", "h", "b") for r in rows], PAGE)
+    every = lambda **kw: sorted(map(tuple, html_extract.extract(df, **kw).collect()))
+    assert every() == every(broadcast_bytes=0)
+
+
 def test_extraction_of_odd_pages(spark):
     rows = [(1, None, None), (2, "x", ""), (3, "http://b/", "plain text only"), (4, "http://b/", "<article><p>a<b>b<p>c</article"), (5, "http://b/", "<script>var x='<p>no</p>'</script><p>yes</p>"), (6, "http://c/", page(6, "T", "x" * 200_000)), (6, "http://c/", page(6, "T", "y"))]
     df = spark.createDataFrame([(*r, "x", "h", "b") for r in rows], PAGE)
