@@ -80,17 +80,18 @@ WITH p AS (SELECT page_id, url, coalesce(html, '') AS html, max(page_id) OVER (P
 SELECT page_id, payload_bytes, {BASE32} AS payload_digest, CASE WHEN page_id = keep THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> keep THEN keep END AS refers_to, url FROM h
 """
 
-#: Every window that a shared shingle places is compared; no fingerprints.
+#: Every window with any shingle of the item is compared, and every run of a short item's length; no fingerprints.
 LEAKS_SQL = r"""
 WITH d AS MATERIALIZED (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w FROM documents),
  b AS MATERIALIZED (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w FROM benchmark),
- ds AS MATERIALIZED (SELECT doc_id, m, unnest(s) AS g, generate_subscripts(s, 1) - 1 AS pos FROM (SELECT doc_id, greatest(1, len(w) - 4) AS m, list_transform(range(1, greatest(2, len(w) - 3)), lambda i: array_to_string(list_slice(w, i, i + 4), ' ')) AS s FROM d WHERE len(w) > 0)),
- bs AS MATERIALIZED (SELECT item_id, n, unnest(s) AS g, generate_subscripts(s, 1) - 1 AS off FROM (SELECT item_id, len(w) AS n, list_transform(range(1, greatest(2, len(w) - 3)), lambda i: array_to_string(list_slice(w, i, i + 4), ' ')) AS s FROM b WHERE len(w) > 0)),
- win AS MATERIALIZED (SELECT DISTINCT ds.doc_id, bs.item_id, bs.n, greatest(1, bs.n - 4) AS width, greatest(0, least(ds.pos - bs.off, ds.m - greatest(1, bs.n - 4))) AS start FROM ds JOIN bs ON bs.g = ds.g),
+ ds AS MATERIALIZED (SELECT doc_id, m, unnest(s) AS g, generate_subscripts(s, 1) - 1 AS pos FROM (SELECT doc_id, len(w) - 4 AS m, list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' ')) AS s FROM d WHERE len(w) >= 5)),
+ bs AS MATERIALIZED (SELECT item_id, n, n - 4 AS width, unnest(s) AS g FROM (SELECT item_id, len(w) AS n, list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' ')) AS s FROM b WHERE len(w) >= 5)),
+ bc AS MATERIALIZED (SELECT item_id, n, width, g, count(*) AS c FROM bs GROUP BY ALL),
+ win AS MATERIALIZED (SELECT DISTINCT doc_id, item_id, n, width, unnest(range(greatest(0, pos - width + 1), least(pos, greatest(0, m - width)) + 1)) AS start FROM ds JOIN bc ON bc.g = ds.g),
  ww AS (SELECT win.doc_id, win.item_id, win.n, win.width, win.start, ds.g, count(*) AS c FROM win JOIN ds ON ds.doc_id = win.doc_id AND ds.pos >= win.start AND ds.pos < win.start + win.width GROUP BY ALL),
- t AS (SELECT doc_id, item_id, start, sum(c) AS total FROM ww GROUP BY ALL), bc AS (SELECT item_id, g, count(*) AS c FROM bs GROUP BY ALL),
- sim AS (SELECT ww.doc_id, ww.item_id, ww.n, ww.start, sum(least(ww.c, bc.c)) AS m FROM ww JOIN bc ON bc.item_id = ww.item_id AND bc.g = ww.g GROUP BY ALL),
- r AS (SELECT sim.doc_id, sim.item_id, sim.n, sim.start, m / (t.total + greatest(1, sim.n - 4) - m) AS s FROM sim JOIN t ON t.doc_id = sim.doc_id AND t.item_id = sim.item_id AND t.start = sim.start)
+ sim AS (SELECT ww.doc_id, ww.item_id, ww.n, ww.width, ww.start, sum(ww.c) AS total, sum(CASE WHEN bc.c IS NULL THEN 0 ELSE least(ww.c, bc.c) END) AS m FROM ww LEFT JOIN bc ON bc.item_id = ww.item_id AND bc.g = ww.g GROUP BY ALL),
+ runs AS (SELECT d.doc_id, b.item_id, len(b.w) AS n, d.w AS dw, b.w AS bw, unnest(range(1, len(d.w) - len(b.w) + 2)) AS i FROM d JOIN b ON len(b.w) BETWEEN 1 AND 4),
+ r AS (SELECT doc_id, item_id, n, start, m / (total + width - m) AS s FROM sim UNION ALL SELECT doc_id, item_id, n, i - 1, 1.0 FROM runs WHERE list_slice(dw, i, i + n - 1) = bw)
 SELECT doc_id, item_id, round(s, 6) AS similarity, start::BIGINT AS window_start, n::BIGINT AS window_words FROM r WHERE s >= 0.8 QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY s DESC, start) = 1
 """
 

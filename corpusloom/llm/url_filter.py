@@ -16,7 +16,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.shared import UPPER, LOWER, cut_lineage
+from corpusloom.llm.shared import UPPER, LOWER, cut_lineage, look_up
+
+#: An index of rules is broadcast if it is counted to have at most so many, of some 200 bytes each.
+BROADCAST_RULES = 200_000
 
 
 @dataclass(frozen=True)
@@ -70,28 +73,25 @@ def url_tokens(url: Column) -> Column:
     ))
 
 
-def mine_rules(urls: DataFrame, labels: DataFrame, *, min_support: float = 0.001, min_rows: int = 8, min_confidence: float = 0.5, lift: float = 2.0, longest: int = 3) -> DataFrame:
+def mine_rules(urls: DataFrame, labels: DataFrame, *, min_support: float = 0.001, min_rows: int = 8, min_confidence: float = 0.5, lift: float = 2.0, longest: int = 3, most_tokens: int = 16) -> DataFrame:
     """Rules ``(rule_id, items, confidence, bad)`` that predict a bad URL.
 
     ``urls`` has ``id`` and ``url``; ``labels`` has ``id`` and ``bad`` (boolean).  A rule
     needs support by ``min_rows`` URLs and a share ``min_support`` of all labelled ones, a
     confidence of ``min_confidence`` and of ``lift`` times the base rate, or half way from
     the base rate to 1 if that is less, and more confidence
-    than every rule made of some of its tokens.  FP-growth gives the bad URLs' frequent
+    than every rule made of some of its tokens.  ``frequent_sets`` gives the bad URLs' frequent
     sets; each set's share of bad URLs is counted over all labelled URLs.  The number of
     rules is bounded by the supports: each URL backs at most the sets of ``longest`` tokens
     among its own.
     """
-    from pyspark.ml.fpm import FPGrowth
-
     known = cut_lineage(urls.select("id", F.array_sort(url_tokens(F.col("url"))).alias("items")).join(labels.where(F.col("bad").isNotNull()).select("id", "bad"), "id").where(F.size("items") > 0))
     total = known.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("bad").cast("long")).alias("bad")).first()
     empty = urls.sparkSession.createDataFrame([], "rule_id long, items array<string>, confidence double, bad long")
     if not total["bad"]:
         return empty
     floor = max(min_rows, total["n"] * min_support)
-    sets = FPGrowth(itemsCol="items", minSupport=min(1.0, floor / total["bad"]), minConfidence=0.0).fit(known.where("bad").select("items")).freqItemsets
-    bad_sets = cut_lineage(sets.where(F.size("items") <= longest).select(F.array_sort("items").alias("items"), F.col("freq").alias("bad")).withColumn("rule_id", F.xxhash64("items")))
+    bad_sets = cut_lineage(frequent_sets(known.where("bad").select("items"), total["bad"], floor, longest, most_tokens).withColumn("rule_id", F.xxhash64("items")))
     # URLs alike in their tokens are one row with its number.
     alike = known.groupBy("items").agg(F.count(F.lit(1)).alias("id_n")).withColumn("id", F.struct(F.xxhash64("items"), F.col("id_n").alias("n")))
     every = matches(alike.select("id", "items"), bad_sets.select("rule_id", "items")).groupBy("rule_id").agg(F.sum("id.n").alias("n"))
@@ -103,6 +103,33 @@ def mine_rules(urls: DataFrame, labels: DataFrame, *, min_support: float = 0.001
     return scored.join(surer, "rule_id", "left").where(F.col("of_part").isNull() | (F.col("of_part") < F.col("confidence"))).select("rule_id", "items", "confidence", "bad")
 
 
+def frequent_sets(rows: DataFrame, total: int, floor: float, longest: int, most_tokens: int) -> DataFrame:
+    """``(items, bad)``: sets of at most ``longest`` items that at least ``floor`` of the ``total`` rows have, and how many have them.
+
+    FP-growth finds sets of all sizes, 2^k for k items that enough rows have in common.  So
+    where a row has more than ``most_tokens`` frequent items, sets of up to ``longest`` are
+    counted size by size instead, from rows alike in their items; the result is the same.
+    """
+    from pyspark.ml.fpm import FPGrowth
+
+    alike = rows.groupBy("items").agg(F.count(F.lit(1)).alias("n"))
+    # At least ``floor`` rows have each, so there are fewer than 1 / min_support times the items of a row.
+    often = alike.select("n", F.explode_outer("items").alias("item")).groupBy("item").agg(F.sum("n").alias("often")).where(F.col("often") >= floor).select("item")
+    listed = alike.select(F.xxhash64("items").alias("id"), "items", "n", F.explode_outer("items").alias("item")).join(F.broadcast(often), "item", "left_semi")
+    kept = cut_lineage(listed.groupBy("id", "items", "n").agg(F.array_sort(F.collect_list("item")).alias("own")).groupBy("own").agg(F.sum("n").alias("n")))
+    if (kept.agg(F.max(F.size("own"))).first()[0] or 0) <= most_tokens:
+        found = FPGrowth(itemsCol="items", minSupport=min(1.0, floor / total), minConfidence=0.0).fit(rows).freqItemsets
+        return found.where(F.size("items") <= longest).select(F.array_sort("items").alias("items"), F.col("freq").alias("bad"))
+    sets, out = kept.select("own", "n", F.explode_outer(F.transform("own", lambda x: F.array(x))).alias("items")), None
+    for size in range(1, longest + 1):
+        if size > 1:
+            longer = F.transform(F.filter("own", lambda x: x > F.element_at("items", -1)), lambda x: F.concat("items", F.array(x)))
+            sets = sets.select("own", "n", F.explode(longer).alias("items"))
+        counted = sets.groupBy("items").agg(F.sum("n").alias("bad")).where(F.col("bad") >= floor)
+        out = counted if out is None else out.unionByName(counted)
+    return out
+
+
 def matches(rows: DataFrame, rules: DataFrame) -> DataFrame:
     """``(id, rule_id)`` where all of the rule's items are among the row's.
 
@@ -113,7 +140,8 @@ def matches(rows: DataFrame, rules: DataFrame) -> DataFrame:
     posted = rows.select("id", "items", F.explode_outer(F.array_distinct("items")).alias("item")).where(F.col("item").isNotNull())
     often = posted.groupBy("item").agg(F.count(F.lit(1)).alias("often"))
     listed = rules.select("rule_id", F.col("items").alias("need"), F.explode_outer("items").alias("item")).join(often, "item", "left")
-    index = listed.groupBy("rule_id", "need").agg(F.min_by("item", F.struct(F.coalesce("often", F.lit(0)), "item")).alias("item"))
+    index = cut_lineage(listed.groupBy("rule_id", "need").agg(F.min_by("item", F.struct(F.coalesce("often", F.lit(0)), "item")).alias("item")))
+    index = F.broadcast(index) if index.count() <= BROADCAST_RULES else index
     return posted.join(index, "item").where(F.size(F.array_except("need", "items")) == 0).select("id", "rule_id")
 
 
@@ -123,7 +151,7 @@ def judge(pages: DataFrame, labels: DataFrame, *, id_col: str = "page_id", url_c
     Where no explicit rule fits, a URL is blocked if a mined rule fires for it, with that
     rule's confidence (the highest, if several), else allowed.  URLs are matched once per
     distinct token set.  Null, empty and malformed URLs have an empty host and path, no
-    tokens, and are allowed.
+    tokens, and are allowed.  Repeated rows have a row each; an empty table gives no rows.
     """
     own = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"))
     mined = cut_lineage(mine_rules(own, labels, **limits))
@@ -132,9 +160,9 @@ def judge(pages: DataFrame, labels: DataFrame, *, id_col: str = "page_id", url_c
     if mined.isEmpty():
         return judged.select("id", "host", "path", "rule", F.coalesce("verdict", F.lit("allow")).alias("verdict"), F.lit(None).cast("double").alias("confidence"))
     judged = judged.withColumn("set_id", F.when(F.col("verdict").isNull(), F.concat_ws("\n", "items")))
-    sets = judged.where(F.col("set_id").isNotNull()).groupBy("set_id").agg(F.first("items").alias("items"))
+    sets = cut_lineage(judged.where(F.col("set_id").isNotNull()).groupBy("set_id").agg(F.first("items").alias("items"), F.count(F.lit(1)).alias("n")))
     fired = matches(sets.select(F.col("set_id").alias("id"), "items"), mined.select("rule_id", "items")).join(mined.select("rule_id", "confidence"), "rule_id").groupBy(F.col("id").alias("set_id")).agg(F.max("confidence").alias("confidence"))
-    out = judged.join(fired, "set_id", "left")
+    out = look_up(judged.select("id", "host", "path", "rule", "verdict", "set_id"), cut_lineage(fired.join(sets.select("set_id", "n"), "set_id")), ["set_id"], "n")
     by_method = F.when(F.col("confidence").isNotNull(), F.lit("block")).otherwise(F.lit("allow"))
     return out.select("id", "host", "path", "rule", F.coalesce("verdict", by_method).alias("verdict"), "confidence")
 

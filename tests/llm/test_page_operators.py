@@ -210,6 +210,46 @@ def test_mined_rules_block_what_labels_show(spark):
     assert rules and all(r["confidence"] == 1.0 and len(r["items"]) == 1 for r in rules)
 
 
+def brute_rules(rows, floor, longest=3, least=0.5, lift=2.0):
+    from itertools import combinations
+
+    held, base = {}, sum(b for _, b in rows) / len(rows)
+    for items, bad in rows:
+        for n in range(1, longest + 1):
+            for c in combinations(sorted(items), n):
+                held.setdefault(c, [0, 0])
+                held[c][0] += bad
+                held[c][1] += 1
+    sure = {c: b / n for c, (b, n) in held.items() if b >= floor and b / n >= max(least, min(lift * base, base + (1 - base) / 2))}
+    return {c: (s, held[c][0]) for c, s in sure.items() if not any(sure.get(part, -1) >= s for k in range(1, len(c)) for part in combinations(c, k))}
+
+
+def test_mined_rules_are_an_exhaustive_count(spark):
+    import random
+
+    rnd = random.Random(12)
+    rows = []
+    for i in range(300):
+        items = {f"t{rnd.randint(0, 11)}" for _ in range(rnd.randint(1, 7))}
+        rows.append((i, sorted(items), ({"t1", "t2"} <= items or "t3" in items and rnd.random() < 0.7 or rnd.random() < 0.05)))
+    urls = spark.createDataFrame([(i, "http://h/" + "/".join(x)) for i, x, _ in rows], "id long, url string")
+    labels = spark.createDataFrame([(i, b) for i, _, b in rows], "id long, bad boolean")
+    want = brute_rules([({"h:h", *(f"d:{t}" for t in x)}, b) for _, x, b in rows], 8)
+    assert any(len(c) > 1 for c in want)
+    for most_tokens in (16, 0):
+        got = {tuple(r["items"]): (r["confidence"], r["bad"]) for r in url_filter.mine_rules(urls, labels, most_tokens=most_tokens).collect()}
+        assert got == want
+
+
+def test_urls_with_many_common_tokens_end(spark):
+    many = "&".join(f"k{j}=1" for j in range(60))
+    df = spark.createDataFrame([(i, f"http://bad{'' if i % 2 else '-x'}.com/?{many}" if i < 20 else f"http://h{i}.com/{i}") for i in range(100)] + [(3, "http://other.com/")], "page_id long, url string")
+    labels = spark.createDataFrame([(i, 0 if i < 20 else 1, 0) for i in range(100)], "doc_id long, quality int, toxic int")
+    got = url_filter.verdict_digest(df, labels).collect()
+    assert len(got) == 101 and {r["page_id"] for r in got if r["verdict"] == "block"} == set(range(20))
+    assert url_filter.verdict_digest(df.limit(0), labels).collect() == []
+
+
 def test_rules_are_mined_where_most_urls_are_bad(spark):
     df = spark.createDataFrame([(i, f"http://{'fine-garden' if i % 4 == 0 else 'cheap-pills'}.shop{i % 7}.com/en/{i}") for i in range(400)], "page_id long, url string")
     labels = spark.createDataFrame([(i, 1 if i % 4 == 0 else 0, 0) for i in range(200)], "doc_id long, quality int, toxic int")
