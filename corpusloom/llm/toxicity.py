@@ -8,9 +8,14 @@ softmax are trained jointly in numpy by Adagrad, on the driver, over a bounded s
 labelled documents.  A misspelling that was never seen still shares most n-grams, and so
 most of its vector, with the word it stands for.
 
+Only buckets whose log odds between toxic and other documents differ from none by
+``least_evidence`` standard errors are trained, the others stay 0: with few labels there are
+more n-grams than documents, and those would be learnt by heart.
+
 A text is read in passages of ``passage`` words and has the logit of its most toxic
 passage, in training too (only that passage is learnt from), so a few insults are not
-averaged away by a long text.  For scoring, the trained layers are folded into one number
+averaged away by a long text.  In the first third of the epochs (``early``) the passage is
+the one whose buckets give most evidence.  For scoring, the trained layers are folded into one number
 per bucket, 4 bytes each, which is all that travels to the executors.
 """
 
@@ -44,6 +49,8 @@ class Settings:
     steps: int = 1200
     batch: int = 32
     rate: float = 0.5
+    least_evidence: float = 3.0
+    early: float = 0.34
     seed: int = 7
 
 
@@ -154,15 +161,18 @@ def train(texts: list[str], labels: list[int], s: Settings) -> Model:
         return Model(np.zeros(s.buckets, np.float32), float(np.log(share / (1 - share))), s)
     bucket, sizes = _grouped_features(list(ids), s)
     starts = np.concatenate(([0], np.cumsum(sizes)))
-    table = rng.uniform(-1 / s.dim, 1 / s.dim, (s.buckets, s.dim)).astype(np.float32)
+    evidence = _evidence(docs, y, bucket, starts, s.buckets)
+    # What tells the classes apart no better than chance would only serve to learn documents by heart.
+    known = np.abs(evidence) >= s.least_evidence
+    telling = np.add.reduceat((evidence * known)[bucket], starts[:-1]) / sizes
+    table = rng.uniform(-1 / s.dim, 1 / s.dim, (s.buckets, s.dim)).astype(np.float32) * known[:, None]
     soft, bias = np.array([[-0.1, 0.1]] * s.dim, np.float32), np.zeros(2, np.float32)
     seen, soft_seen, bias_seen = np.full(s.buckets, 1e-3, np.float32), np.full_like(soft, 1e-3), np.full_like(bias, 1e-3)
     epochs = min(s.most_epochs, max(s.epochs, -(-s.steps * s.batch // len(docs))))
     for epoch in range(epochs):
         value = np.add.reduceat((table @ (soft[:, 1] - soft[:, 0]))[bucket], starts[:-1]) / sizes
-        # At first any passage will do, else chance decides which ones are ever looked at.
-        early = epoch < epochs // 3
-        passages = [_worst(value, d, s.passage, rng if early else None) for d in docs]
+        # At first the passages with the words that tell most, else chance decides which ones are ever looked at.
+        passages = [_worst(telling if epoch < s.early * epochs else value, d, s.passage) for d in docs]
         shuffled = rng.permutation(len(docs))
         for at in range(0, len(docs), s.batch):
             chosen = shuffled[at : at + s.batch]
@@ -181,6 +191,7 @@ def train(texts: list[str], labels: list[int], s: Settings) -> Model:
             touched, slot = np.unique(rows, return_inverse=True)
             g_rows = np.zeros((len(touched), s.dim), np.float32)
             np.add.at(g_rows, slot, np.repeat(g_words / sizes[words][:, None], sizes[words], axis=0).astype(np.float32))
+            g_rows *= known[touched][:, None]
             seen[touched] += (g_rows**2).mean(axis=1)
             table[touched] -= s.rate * g_rows / np.sqrt(seen[touched])[:, None]
             for layer, so_far, gradient in ((soft, soft_seen, hidden.T @ error / len(chosen)), (bias, bias_seen, error.mean(axis=0))):
@@ -200,10 +211,19 @@ def _grouped_features(words: list[str], s: Settings, chunk: int = 20_000) -> tup
     return np.concatenate(buckets), np.concatenate(sizes)
 
 
-def _worst(value: np.ndarray, doc: np.ndarray, size: int, rng: np.random.Generator | None) -> tuple[np.ndarray, int]:
-    """(distinct words, number of words) of the passage with the highest value, or of any if there is an ``rng``."""
+def _evidence(docs: list[np.ndarray], y: np.ndarray, bucket: np.ndarray, starts: np.ndarray, buckets: int) -> np.ndarray:
+    """For each bucket, how far the log odds of toxic documents to have it are from those of others, in standard errors."""
+    held = np.full((2, buckets), 0.5)
+    for label, d in zip(y, docs, strict=True):
+        held[label][np.unique(np.concatenate([bucket[starts[w] : starts[w + 1]] for w in np.unique(d)]))] += 1
+    odds = np.log(held / (np.array([(y == 0).sum(), (y == 1).sum()]) + 1.0)[:, None])
+    return (odds[1] - odds[0]) / np.sqrt((1 / held).sum(axis=0))
+
+
+def _worst(value: np.ndarray, doc: np.ndarray, size: int) -> tuple[np.ndarray, int]:
+    """(distinct words, number of words) of the passage with the highest value."""
     edges = passage_edges(len(doc), size)
-    best = int(np.argmax(passage_means(value, doc, size))) if rng is None else int(rng.integers(len(edges) - 1))
+    best = int(np.argmax(passage_means(value, doc, size)))
     passage = doc[edges[best] : edges[best + 1]]
     return np.unique(passage), len(passage)
 
@@ -217,7 +237,8 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
     """Train on at most ``settings.sample`` labelled documents that are not held out, a third of them toxic if there are as many.
 
     Ids are drawn by a hash, so a repeated run draws the same.  Labels other than 0 and 1
-    and ids with both are not learnt from.
+    and ids with both are not learnt from.  Each different text of an id has its label;
+    rows equal in id and text count once, null texts not at all.
     """
     clean = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).where(F.col("toxic") == F.col("most"))
     drawn = []
@@ -233,7 +254,10 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
 
 
 def score(docs: DataFrame, model: Model, *, text_col: str = "text", out: str = "toxicity") -> DataFrame:
-    """``docs`` with the column ``out``, 0 to 1; null and word-less texts get the bias alone."""
+    """``docs`` with the column ``out``, 0 to 1, which takes the place of one of that name; null and word-less texts get the bias alone.
+
+    Whole texts are read, however long.
+    """
     weights, bias, settings = model.weights, model.bias, model.settings
 
     @F.pandas_udf("double")

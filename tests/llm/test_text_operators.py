@@ -295,6 +295,15 @@ def test_decontamination_looks_at_all_starts(spark):
     assert {(r["doc_id"], r["item_id"]): (r["similarity"], r["window_start"]) for r in got} == brute_leaks(docs, items)
 
 
+def test_decontamination_of_long_documents_and_hot_shingles(spark):
+    hot = "this very common run of words stands everywhere"
+    item = f"{hot} " + " ".join(f"own{k}" for k in range(30))
+    docs = [(k, f"{hot} and then document {k} goes its own way {hot}") for k in range(40)] + [(50, f"{hot} " * 20_000 + item), (51, item), (51, item)]
+    items = [(k, f"{hot} " + " ".join(f"item{k}x{n}" for n in range(30))) for k in range(20)] + [(30, item)]
+    got = decontaminate.leak_digest(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {tuple(r) for r in got} == {(50, 30, 1.0, 160_000, 38), (51, 30, 1.0, 0, 38)} and len(got) == 2
+
+
 def test_decontamination_finds_short_items_in_long_documents(spark):
     docs = [(1, "a b c d e f g two words h two words"), (2, "two"), (3, "two words"), (4, "words two and one alone"), (5, None)]
     items = [(1, "Two words"), (2, "alone"), (3, "c d e f"), (4, "two other words")]
@@ -329,6 +338,31 @@ def test_toxicity_learns_and_shares_misspellings(spark):
     assert all(got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0) for i in got)
 
 
+def test_most_toxic_documents_are_found_with_few_labels():
+    import zlib
+
+    import pandas as pd
+
+    read = lambda name: pd.read_parquet(f"/root/testdata/sf0.1/{name}.parquet")
+    rows = read("documents")[["doc_id", "text"]].merge(read("labels")[["doc_id", "toxic"]], on="doc_id").dropna()
+    held = rows["doc_id"].map(lambda i: zlib.crc32(str(i).encode()) % 5 == 0)
+    settings = toxicity.Settings()
+    own = rows[~held & (rows["text"].str.len() <= settings.longest_sampled)]
+    model = toxicity.train(own["text"].tolist(), own["toxic"].astype(int).tolist(), settings)
+    said, true = model.scores(rows[held]["text"]) >= 0.5, rows[held]["toxic"].to_numpy() == 1
+    assert said[true].mean() >= 0.75 and said[~true].mean() <= 0.01
+
+
+def test_toxicity_of_odd_rows(spark):
+    rows = toxic_corpus()
+    docs = spark.createDataFrame([(i, t, "w", "k", "f") for i, t, _ in rows] + [(7, "another text of this id", "", "", ""), (8, rows[8][1], "", "", ""), (950, "garden " * 200_000 + "worthless idiotic pathetic", "", "", "")], DOCS)
+    labels = spark.createDataFrame([(i, 1, y) for i, _, y in rows], "doc_id long, quality int, toxic int")
+    got = toxicity.toxicity_digest(docs, labels).collect()
+    assert len(got) == len(rows) + 3 and len({r["score"] for r in got if r["doc_id"] == 8}) == 1
+    assert [r["predicted"] for r in got if r["doc_id"] == 950] == [1]
+    assert toxicity.toxicity_digest(docs.limit(0), labels).collect() == []
+
+
 def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame([(1, "any text")], "doc_id long, text string")
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
