@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from corpusloom.operators import articles, dataset, reports, scoring, summaries
 from corpusloom.sources import storage
 from corpusloom.sources.config import settings
-from corpusloom.streaming.incremental import stored_so_far
+from corpusloom.streaming.incremental import store, stored_so_far
 
 
 def parser() -> argparse.ArgumentParser:
@@ -48,8 +48,9 @@ def run_ingest(spark: SparkSession, args: argparse.Namespace) -> int:
         rows = rows.where(F.col("source_id").isin(args.source))
     stored = stored_so_far(spark, args.store)
     number = (stored.agg(F.max("batch")).first()[0] or 0) + 1
-    outcomes = storage.cut_lineage(articles.ingest(rows, stored))
-    outcomes.where("outcome = 'inserted'").drop("outcome").write.parquet(f"{args.store}/batch={number}")
+    first = rows.agg(F.min("fetched_at")).first()[0]
+    outcomes = storage.cut_lineage(articles.ingest(rows, stored, as_of=None if first is None else F.lit(first)))
+    store(outcomes, args.store, number)
     report = reports.run_row(reports.crawl_counters(outcomes)).select("source_id", "status", "n_new", "n_skipped", "n_errors", "notes")
     report.show(1000, truncate=False)
     return 0 if report.where("n_new > 0").count() else 1

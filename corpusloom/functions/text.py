@@ -18,13 +18,13 @@ NUMERIC_EDGES = ".,;:%()[]{}"
 
 
 def nfc(text: Column) -> Column:
-    """Unicode NFC; null stays null."""
+    """Unicode NFC; null stays null.  ASCII texts, which it leaves alone, never reach Python."""
 
     @F.pandas_udf("string")
     def composed(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
-    return composed(text)
+    return F.coalesce(composed(F.when(F.octet_length(text) != F.char_length(text), text)), text)
 
 
 def normalized(text: Column) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text as T
 from corpusloom.functions.hashing import simhash64
 from corpusloom.functions.urls import canonical_category, canonical_url, url_category, url_hash
-from corpusloom.operators.dedupe import first_seen, greedy_keep, near_pairs
+from corpusloom.operators.dedupe import first_seen, greedy_keep, near_pairs, near_stored
 from corpusloom.sources.storage import cut_lineage
 
 MIN_WORDS = 50
@@ -95,18 +95,29 @@ def extracted(pages: DataFrame, *, html_col: str = "html", min_words: int = MIN_
     return got.withColumn("article", F.when(enough, F.col("_a"))).drop("_a")
 
 
+def recent(stored: DataFrame, as_of: Column | None, within_days: float) -> DataFrame:
+    """Stored rows that can be near duplicates of rows fetched at ``as_of`` or later; by whole days where the table is kept by ``day``."""
+    if as_of is None:
+        return stored
+    first = as_of - F.make_dt_interval(secs=F.lit(within_days * 86_400))
+    found = stored.where(F.col("fetched_at") >= first)
+    return found.where(F.col("day") >= F.to_date(first)) if "day" in stored.columns else found
+
+
 def or_else(first: Column, *others: Column) -> Column:
     return F.coalesce(*(F.nullif(c, F.lit("")) for c in (first, *others)))
 
 
 def ingest(candidates: DataFrame, stored: DataFrame, *, as_of: Column | None = None, within_days: float = 2.0, threshold: int = 3) -> DataFrame:
-    """Each candidate with its ``outcome`` and, if it is inserted, its article's columns.
+    """Each candidate with its ``outcome`` and, if it is inserted, its article's columns; candidates have different ids.
 
     ``candidates`` has id, source_id, url, title, category, published_at, fetched_at, allowed and html
     (null: the fetch failed), in order of id.  ``stored`` has id, url_hash, simhash and
     fetched_at.  Cheap checks go first: a URL seen earlier in the batch or stored, robots,
-    fetch, extraction; then near duplicates of stored and of earlier kept rows within the
-    window, decided in order of arrival.  A near duplicate is not stored.
+    fetch, extraction; then near duplicates of stored rows, fetched later ones included, and
+    of rows of the batch that are kept and were fetched earlier, within the window.  A near
+    duplicate is not stored.  ``as_of``, the earliest time of the batch, keeps older stored
+    rows from being read but for their URLs.
     """
     keyed = candidates.withColumns({"canonical": canonical_url(F.col("url")), "url_hash": url_hash(F.col("url"))})
     once = first_seen(keyed, "canonical", F.col("id"))
@@ -121,12 +132,9 @@ def ingest(candidates: DataFrame, stored: DataFrame, *, as_of: Column | None = N
         "published_at": F.coalesce(T.to_utc(F.col("article.published")), F.col("published_at")),
         "category": F.coalesce(canonical_category(F.col("category")), F.col("category"), url_category(F.col("url"))),
     }).drop("html", "article", "_early", "_seen"))
-    fresh = rows.where(F.col("early").isNull()).select(F.struct(F.lit(1).alias("batch"), F.col("id").cast("long").alias("id")).alias("key"), "simhash", "fetched_at")
-    recent = stored if as_of is None else stored.where(F.col("fetched_at") >= as_of - F.make_dt_interval(F.lit(int(within_days))))
-    known = recent.where(F.col("simhash").isNotNull()).select(F.struct(F.lit(0).alias("batch"), F.col("id").cast("long").alias("id")).alias("key"), "simhash", "fetched_at")
-    pairs = near_pairs(known.unionByName(fresh), id_col="key", within_days=within_days, threshold=threshold)
-    # Stored rows are there whatever resembles them; only rows of this batch can give way.
-    pairs = pairs.where(F.col("later.batch") == 1)
-    kept = greedy_keep(fresh, pairs, id_col="key").select(F.col("id.id").alias("id"), "kept")
-    out = rows.join(kept, "id", "left")
+    fresh = rows.where(F.col("early").isNull()).select("id", "simhash", "fetched_at")
+    gone = near_stored(fresh, recent(stored, as_of, within_days), within_days=within_days, threshold=threshold)
+    left = cut_lineage(fresh.join(gone, "id", "left_anti"))
+    kept = greedy_keep(left, near_pairs(left, within_days=within_days, threshold=threshold))
+    out = rows.join(kept.select("id", "kept"), "id", "left")
     return out.withColumn("outcome", F.coalesce("early", F.when(F.col("kept"), F.lit("inserted")).otherwise(F.lit("skipped_dupe")))).drop("early", "kept")

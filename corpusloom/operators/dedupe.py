@@ -48,21 +48,37 @@ def near_pairs(articles: DataFrame, *, id_col: str = "id", hash_col: str = "simh
     return near.select("earlier", "later", hamming(F.col("h1"), F.col("h2")).alias("distance"))
 
 
-def greedy_keep(nodes: DataFrame, pairs: DataFrame, *, id_col: str = "id", most_rounds: int = 200) -> DataFrame:
+def near_stored(fresh: DataFrame, stored: DataFrame, *, id_col: str = "id", hash_col: str = "simhash", time_col: str = "fetched_at", within_days: float = 2.0, threshold: int = 3) -> DataFrame:
+    """Ids (column ``id``) of ``fresh`` rows that are near a stored row fetched at most ``within_days`` before them, or after them.
+
+    Only fresh hashes meet stored ones, and each different hash once: a hash is looked up
+    with the latest time at which a stored row had one near it.
+    """
+    if threshold >= BANDS:
+        raise ValueError("four bands guarantee at most 3 differing bits")
+    micros = F.unix_micros(F.col(time_col).cast("timestamp")).alias("t")
+    bands = F.posexplode(F.array(*(F.shiftrightunsigned("h", BAND_BITS * k).bitwiseAND(F.lit(0xFFFF)) for k in range(BANDS)))).alias("band", "key")
+    rows = fresh.select(F.col(id_col).alias("id"), F.col(hash_col).alias("h"), micros).where(F.col("h").isNotNull() & F.col("t").isNotNull())
+    known = stored.select(F.col(hash_col).alias("h"), micros).where(F.col("h").isNotNull() & F.col("t").isNotNull()).groupBy("h").agg(F.max("t").alias("last"))
+    asked = rows.select("h").distinct().select("h", bands)
+    met = asked.join(known.select(F.col("h").alias("held"), "last", bands), ["band", "key"]).where(hamming(F.col("h"), F.col("held")) <= threshold)
+    latest = met.groupBy("h").agg(F.max("last").alias("last"))
+    return rows.join(latest, "h").where(F.col("last") >= F.col("t") - int(within_days * 86_400_000_000)).select("id")
+
+
+def greedy_keep(nodes: DataFrame, pairs: DataFrame, *, id_col: str = "id") -> DataFrame:
     """``(id, kept)``: a row is kept if no earlier kept row is its near duplicate.
 
     What arriving in order gives, computed in rounds: a row with no earlier neighbours left
     undecided is kept, its later neighbours are dropped, and so on.  Each round checkpoints
     the undecided pairs and the decisions; the number of rounds is the length of the longest
-    chain of alternating decisions.
+    chain of alternating decisions, and each decides the earliest undecided row at least.
     """
     from corpusloom.sources.storage import cut_lineage
 
     left = cut_lineage(pairs.select("earlier", "later").distinct())
     dropped = None
-    for _ in range(most_rounds):
-        if left.isEmpty():
-            break
+    while not left.isEmpty():
         waiting = left.select(F.col("later").alias("n")).distinct()
         kept_now = left.select(F.col("earlier").alias("n")).distinct().join(waiting, "n", "left_anti")
         gone = cut_lineage(left.join(kept_now, left["earlier"] == kept_now["n"], "left_semi").select(F.col("later").alias("n")).distinct())
@@ -71,8 +87,6 @@ def greedy_keep(nodes: DataFrame, pairs: DataFrame, *, id_col: str = "id", most_
         rest = left.join(kept_now, left["earlier"] == kept_now["n"], "left_anti")
         rest = rest.join(gone, rest["earlier"] == gone["n"], "left_anti")
         left = cut_lineage(rest.join(gone, rest["later"] == gone["n"], "left_anti"))
-    else:
-        raise RuntimeError(f"undecided after {most_rounds} rounds")
     every = nodes.select(F.col(id_col).alias("id"))
     if dropped is None:
         return every.withColumn("kept", F.lit(True))

@@ -66,8 +66,8 @@ def read_dataset(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def write_dataset(rows: DataFrame, folder: str) -> None:
-    """Rows with a column ``split`` as JSON lines under ``split=…``, ordered by id within a file, nulls written out."""
-    rows.repartition("split").sortWithinPartitions("split", "article_id").write.mode("overwrite").partitionBy("split").option("ignoreNullFields", "false").json(folder)
+    """Rows with a column ``split`` as JSON lines under ``split=…``, nulls written out; files hold ranges of ids, in order."""
+    rows.repartitionByRange("split", "article_id").sortWithinPartitions("split", "article_id").write.mode("overwrite").partitionBy("split").option("ignoreNullFields", "false").json(folder)
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:

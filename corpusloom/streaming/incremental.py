@@ -22,24 +22,31 @@ def stored_so_far(spark: SparkSession, folder: str, before: int | None = None) -
         found = spark.read.parquet(folder)
     except Exception as problem:  # noqa: BLE001
         if "PATH_NOT_FOUND" in str(problem) or "UNABLE_TO_INFER_SCHEMA" in str(problem):
-            return spark.createDataFrame([], STORED + ", batch long")
+            return spark.createDataFrame([], STORED + ", batch long, day date")
         raise
     return found if before is None else found.where(F.col("batch") < before)
 
 
+def store(outcomes: DataFrame, folder: str, batch: int) -> None:
+    """Write a batch's inserted rows to its own sub-folder, by day."""
+    inserted = outcomes.where(F.col("outcome") == "inserted").drop("outcome").withColumn("day", F.to_date("fetched_at"))
+    inserted.write.mode("overwrite").partitionBy("day").parquet(f"{folder}/batch={batch}")
+
+
 def ingest_stream(candidates: DataFrame, folder: str, checkpoint: str, *, processing_time: str | None = None, on_batch: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
     """Start a query that ingests a stream of candidates into ``folder``, one sub-folder per batch.
 
     Without ``processing_time`` it takes what is there and ends.  A batch's rows are
-    written to the batch's own sub-folder, overwriting a failed try's, so each is stored
-    once.  The whole history is checked for URLs; near duplicates within two days of the
-    batch's rows only.
+    written to the batch's own sub-folder, by day, overwriting a failed try's, so each is
+    stored once.  Of the whole history only URL hashes are read; near duplicates are looked
+    for from two days before the batch's first row on, and older days are not opened.
     """
 
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        outcomes = cut_lineage(ingest(batch, stored_so_far(spark, folder, before=number)))
-        outcomes.where(F.col("outcome") == "inserted").drop("outcome").write.mode("overwrite").parquet(f"{folder}/batch={number}")
+        first = batch.agg(F.min("fetched_at")).first()[0]
+        outcomes = cut_lineage(ingest(batch, stored_so_far(spark, folder, before=number), as_of=None if first is None else F.lit(first)))
+        store(outcomes, folder, number)
         if on_batch:
             on_batch(outcomes, number)
 
@@ -76,4 +83,4 @@ def retained(articles: DataFrame, as_of, days: int = 30, taken_down: DataFrame |
     return kept if taken_down is None else kept.join(taken_down.select("id"), "id", "left_anti")
 
 
-__all__ = ["dedupe_stream", "event_windows", "ingest_stream", "retained", "stored_so_far"]
+__all__ = ["dedupe_stream", "event_windows", "ingest_stream", "retained", "store", "stored_so_far"]

@@ -96,3 +96,25 @@ def test_constraints(spark):
 @pytest.mark.parametrize("ddl", [schemas.SOURCES, schemas.ARTICLES, schemas.SUMMARIES, schemas.LABELS, schemas.DATASET_VERSIONS, schemas.CRAWL_RUNS, schemas.MODEL_RUNS, schemas.EXAMPLE])
 def test_schemas_parse(spark, ddl):
     assert spark.createDataFrame([], ddl).count() == 0
+
+
+def test_simhashes_are_brute_force():
+    import random
+    from collections import Counter
+
+    from corpusloom.functions import hashing
+
+    def slow(text):
+        joined = "".join(hashing._WORDS.findall((text or "").lower()))
+        counts = Counter(joined[i : i + 4] for i in range(max(1, len(joined) - 3))) if joined else {}
+        total, out = sum(min(c, 50) for c in counts.values()), 0
+        for bit in range(64):
+            out |= (2 * sum(min(c, 50) for g, c in counts.items() if hashing._gram_hash(g) >> bit & 1) > total) << bit
+        return out - (1 << 64) if out >> 63 else out
+
+    rnd = random.Random(1)
+    texts = [None, "", "ab", "abcd", " x ", "é🎉漢字 zażółć", "ab" * 500] + ["".join(rnd.choice("abc déè漢🎉 ") for _ in range(rnd.randint(0, 300))) for _ in range(60)]
+    assert hashing.simhashes(texts, most_chars=500).tolist() == [slow(t) for t in texts]
+    assert hashing.simhashes([]).size == 0
+    wide = "".join(chr(c) for c in range(0x4E00, 0x9FA6)) + "".join(chr(c) for c in range(0xAC00, 0xD7A4)) + "".join(chr(c) for c in range(0x20000, 0x2A000))
+    assert hashing.simhash_of(wide) == hashing._plain(wide)

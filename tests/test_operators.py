@@ -260,6 +260,28 @@ def test_ingest_outcomes(spark):
     assert first["title"] == "T1" and first["category"] == "x" and first["word_count"] > 50
 
 
+def test_a_copy_fetched_before_a_stored_one_is_dropped(spark):
+    article = f"<article>{BODY}</article>"
+    first = storage.cut_lineage(ingest(candidates(spark, [(60, "https://a.vn/x/60", True, article)]), stored(spark)).where("outcome = 'inserted'"))
+    kept = stored(spark).unionByName(first.select("id", "url_hash", "simhash", "fetched_at"))
+    for as_of in (None, F.lit(NOW)):
+        got = ingest(candidates(spark, [(2, "https://a.vn/x/2", True, article), (3, "https://a.vn/x/3", True, article.replace("river", "harbour").replace("market", "tower"))]), kept, as_of=as_of).collect()
+        assert {r["id"]: r["outcome"] for r in got} == {2: "skipped_dupe", 3: "inserted"}
+
+
+def test_near_stored_is_brute_force(spark):
+    rows, held = hashes(3), [(1000 + i, *r) for i, *r in hashes(3)[::3]] + [(2000 + i, h, t) for i, h, t in hashes(5)]
+    df, known = (spark.createDataFrame(x, "id long, simhash long, fetched_at timestamp") for x in (rows, held))
+    want = {i for i, h, t in rows if any(((h ^ g) & (1 << 64) - 1).bit_count() <= 3 and u >= t - dt.timedelta(days=2) for _, g, u in held)}
+    assert want and {r["id"] for r in dedupe.near_stored(df, known).collect()} == want
+
+
+def test_long_chains_are_decided(spark):
+    pairs = spark.createDataFrame([(k, k + 1) for k in range(30)], "earlier long, later long")
+    got = {r["id"] for r in dedupe.greedy_keep(spark.range(31), pairs).where("kept").collect()}
+    assert got == set(range(0, 31, 2))
+
+
 def test_two_batches_are_one(spark, tmp_path):
     rows = CRAWL + [(9, "https://a.vn/x/9", True, f"<article>{BODY.replace('river', 'harbour').replace('market', 'tower')}</article>")]
     src = tmp_path / "in"
