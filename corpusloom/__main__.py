@@ -1,17 +1,20 @@
-"""Command line: ``python -m corpusloom {ingest,export,evaluate,query} …``."""
+"""Command line: ``python -m corpusloom {ingest,label,export,evaluate,query} …``."""
 
 from __future__ import annotations
 
 import argparse
+import datetime as dt
+import importlib
 import json
 import sys
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.operators import articles, dataset, reports, scoring, summaries
+from corpusloom.functions import text
+from corpusloom.operators import articles, dataset, labelling, reports, scoring, summaries
 from corpusloom.sources import storage
-from corpusloom.sources.config import settings
+from corpusloom.sources.config import load_prompt, settings
 from corpusloom.streaming.incremental import store, stored_so_far
 
 
@@ -22,6 +25,13 @@ def parser() -> argparse.ArgumentParser:
     ingest.add_argument("candidates")
     ingest.add_argument("--store", default=f"{known.warehouse}/articles")
     ingest.add_argument("--source", action="append", default=[])
+    label = sub.add_parser("label", help="label a batch of articles and append the labels; ends with 1 if none was labelled")
+    label.add_argument("--prompt", required=True, help="YAML file of the prompt and its limits")
+    label.add_argument("--model", required=True, help="module:function that answers a prompt's text")
+    label.add_argument("--tables", default=known.warehouse)
+    label.add_argument("--source", action="append", default=[])
+    label.add_argument("--limit", type=int, default=50)
+    label.add_argument("--wait", type=float, default=1.0, help="seconds before a failed call is tried again; doubled each time")
     export = sub.add_parser("export", help="write a dataset version from labels, articles and sources")
     export.add_argument("name")
     export.add_argument("--prompt-version", required=True)
@@ -52,10 +62,31 @@ def run_ingest(spark: SparkSession, args: argparse.Namespace) -> int:
     outcomes = storage.cut_lineage(articles.ingest(rows, stored, as_of=None if first is None else F.lit(first)))
     store(outcomes, args.store, number)
     report = reports.run_row(reports.crawl_counters(outcomes)).select("source_id", "status", "n_new", "n_skipped", "n_errors", "notes")
+    now = F.lit(dt.datetime.now(dt.timezone.utc))
+    report = storage.cut_lineage(report.withColumns({"batch": F.lit(number), "finished_at": now}))
+    report.write.mode("append").parquet(f"{args.store}_runs")
     report.show(1000, truncate=False)
     return 0 if report.where("n_new > 0").count() else 1
 
 
+def run_label(spark: SparkSession, args: argparse.Namespace) -> int:
+    read = lambda name: spark.read.parquet(f"{args.tables}/{name}")
+    prompt, (module, function) = load_prompt(args.prompt), args.model.split(":", 1)
+    call = getattr(importlib.import_module(module), function)
+    sources, labels = read("sources"), read("labels")
+    chosen = labelling.unlabelled(read("articles"), labels, prompt_version=prompt.version, sources=sources, only=args.source, limit=args.limit)
+    named = labelling.named_source(chosen, sources)
+    asked = text.render_prompt(prompt.user_template, title=F.col("title"), category=F.col("category"), source=F.col("source_name"), content=F.col("content_text"))
+    prompts = named.select(F.col("id").alias("article_fk"), text.source_text(F.col("title"), F.col("content_text")).alias("source_text"), asked.alias("prompt"))
+    # Written once: the calls are not made again by whoever reads the outcomes.
+    outcomes = storage.cut_lineage(labelling.label(prompts, call, limits=prompt.limits, wait=args.wait))
+    made = outcomes.where("outcome <> 'error'").select("article_fk", F.col("summary").alias("summary_text"), F.col("qc.passed").alias("qc_passed"))
+    labelling.new_labels(labels, made, prompt_version=prompt.version).write.mode("append").parquet(f"{args.tables}/labels")
+    counts = labelling.label_counts(outcomes).first().asDict()
+    print(json.dumps({"prompt_version": prompt.version, **counts}))
+    return 0 if counts["labelled"] else 1
+
+
 def run_export(spark: SparkSession, args: argparse.Namespace) -> int:
     read = lambda name: spark.read.parquet(f"{args.tables}/{name}")
     rows = storage.cut_lineage(dataset.dataset_rows(read("labels"), read("articles"), read("sources"), prompt_version=args.prompt_version))
@@ -81,6 +112,7 @@ def run_evaluate(spark: SparkSession, args: argparse.Namespace) -> int:
 
 
 def run_query(spark: SparkSession, args: argparse.Namespace) -> int:
+    from corpusloom.plans import lifecycle  # noqa: F401  adds its queries to the catalogue's
     from corpusloom.plans.catalog import QUERIES
 
     if args.name not in QUERIES:
@@ -93,7 +125,7 @@ def run_query(spark: SparkSession, args: argparse.Namespace) -> int:
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     args = parser().parse_args(argv)
     spark = spark or SparkSession.builder.appName("corpusloom").config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    return {"ingest": run_ingest, "export": run_export, "evaluate": run_evaluate, "query": run_query}[args.command](spark, args)
+    return {"ingest": run_ingest, "label": run_label, "export": run_export, "evaluate": run_evaluate, "query": run_query}[args.command](spark, args)
 
 
 if __name__ == "__main__":

@@ -41,16 +41,18 @@ def training_rows(rows: DataFrame, *, text: str = "content_text", target: str =
     return rows.select(F.col(t).alias("text"), F.col(y).alias("target")).where((F.length("text") > 0) & (F.length("target") > 0))
 
 
-def tokenized(rows: DataFrame, make_tokenizer: Callable[[], Callable[[str, int], list[int]]], *, most_text: int = 1024, most_target: int = 128) -> DataFrame:
-    """``input_ids, attention_mask, labels`` of ``(text, target)``; the tokenizer is made once per worker and truncates."""
+def tokenized(rows: DataFrame, make_tokenizer: Callable[[], Callable[[str, int], list[int]]], *, most_text: int = 1024, most_target: int = 128, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``input_ids, attention_mask, labels`` of ``(text, target)``, after the columns ``keep``; the tokenizer is made once per worker and truncates."""
+    kept = rows.select(*keep)
+    ddl = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept.schema.fields)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = make_tokenizer()
         for batch in batches:
             ids = [encode(t, most_text) for t in batch["text"]]
-            yield pd.DataFrame({"input_ids": ids, "attention_mask": [[1] * len(i) for i in ids], "labels": [encode(t, most_target) for t in batch["target"]]})
+            yield pd.DataFrame({**{c: batch[c] for c in keep}, "input_ids": ids, "attention_mask": [[1] * len(i) for i in ids], "labels": [encode(t, most_target) for t in batch["target"]]})
 
-    return rows.select("text", "target").mapInPandas(run, "input_ids array<int>, attention_mask array<int>, labels array<int>")
+    return rows.select(*keep, "text", "target").mapInPandas(run, ddl + "input_ids array<int>, attention_mask array<int>, labels array<int>")
 
 
 def pad_negative(ids, pad: int):

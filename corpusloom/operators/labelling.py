@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -44,15 +46,21 @@ def parse_reply(raw: Column) -> Column:
     return F.struct(summary.alias("summary"), F.coalesce(got["key_entities"], F.array().cast("array<string>")).alias("key_entities"), confidence.alias("confidence"), got["refusal_reason"].alias("refusal_reason"), error.alias("error"))
 
 
-def generate(prompts: DataFrame, call: Callable[[str], str], *, prompt_col: str = "prompt", tries: int = 5, transient: tuple[str, ...] = ("429", "deadline", "unavailable", "timeout", "internal")) -> DataFrame:
-    """``prompts`` with ``reply`` and ``call_error`` from the given callable; transient errors are tried again, others become data."""
+def generate(prompts: DataFrame, call: Callable[[str], str], *, prompt_col: str = "prompt", tries: int = 5, wait: float = 0.0, transient: tuple[str, ...] = ("429", "deadline", "unavailable", "timeout", "internal")) -> DataFrame:
+    """``prompts`` with ``reply`` and ``call_error`` from the given callable.
+
+    Transient errors are tried again, after ``wait`` seconds, then twice as many, and so on, a
+    minute at most; others become data.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             replies, errors = [], []
             for prompt in batch[prompt_col]:
                 reply = error = None
-                for _ in range(tries):
+                for attempt in range(tries):
+                    if attempt and wait:
+                        time.sleep(min(60.0, wait * 2 ** (attempt - 1)) * random.uniform(0.8, 1.2))
                     try:
                         reply, error = call(prompt), None
                         break
@@ -68,15 +76,26 @@ def generate(prompts: DataFrame, call: Callable[[str], str], *, prompt_col: str
     return prompts.mapInPandas(run, f"{fields}, reply string, call_error string")
 
 
-def label(prompts: DataFrame, call: Callable[[str], str], *, limits: Thresholds = Thresholds(), source: str = "source_text") -> DataFrame:
+def label(prompts: DataFrame, call: Callable[[str], str], *, limits: Thresholds = Thresholds(), source: str = "source_text", fuzzy: bool = True, wait: float = 0.0) -> DataFrame:
     """Replies parsed and checked: ``outcome`` is error, failed or passed; ``qc`` is null for errors."""
-    parsed = generate(prompts, call).withColumn("_p", parse_reply(F.col("reply")))
+    parsed = generate(prompts, call, wait=wait).withColumn("_p", parse_reply(F.col("reply")))
     flat = parsed.withColumns({"summary": F.col("_p.summary"), "refusal_reason": F.col("_p.refusal_reason"), "error": F.coalesce("call_error", "_p.error")}).drop("_p")
-    checked = quality(flat, summary="summary", source=source, limits=limits)
+    checked = quality(flat, summary="summary", source=source, limits=limits, fuzzy=fuzzy)
     outcome = F.when(F.col("error").isNotNull(), F.lit("error")).when(F.col("qc.passed"), F.lit("passed")).otherwise(F.lit("failed"))
     return checked.withColumn("outcome", outcome).withColumn("qc", F.when(F.col("outcome") != "error", F.col("qc")))
 
 
+def new_labels(stored: DataFrame, made: DataFrame, *, prompt_version: str, source: str = "llm") -> DataFrame:
+    """The labels ``made`` (article_fk, summary_text, qc_passed) as rows of ``stored``, without articles that have one for the prompt; other columns are null."""
+    done = stored.where((F.col("source") == source) & (F.col("prompt_version") == prompt_version)).select("article_fk")
+    fresh = made.join(done, "article_fk", "left_anti").withColumns({"source": F.lit(source), "prompt_version": F.lit(prompt_version)})
+    return fresh.select(*((F.col(f.name) if f.name in fresh.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in stored.schema.fields))
+
+
+def append_labels(stored: DataFrame, made: DataFrame, *, prompt_version: str, source: str = "llm") -> DataFrame:
+    return stored.unionByName(new_labels(stored, made, prompt_version=prompt_version, source=source))
+
+
 def label_counts(outcomes: DataFrame) -> DataFrame:
     """requested, labelled, qc_passed, qc_failed, llm_errors, qc_pass_rate (0 if none was labelled)."""
     is_ = lambda x: F.count_if(F.col("outcome") == x)

@@ -109,16 +109,19 @@ def label_batch_counts(spark: SparkSession, d: str) -> DataFrame:
     return labelling.label_counts(joined.withColumn("outcome", outcome)).withColumn("qc_pass_rate", F.round("qc_pass_rate", 6))
 
 
-REPLIES = [
-    (1, '{"summary": "a b", "key_entities": ["X"], "confidence": 0.5, "refusal_reason": null}'), (2, '{"summary": "a", "confidence": 10}'),
-    (3, '{"summary": null, "refusal_reason": "none"}'), (4, "not-json"), (5, '{"summary": "s", "confidence": -0.5}'), (6, '{"key_entities": []}'),
-]
+#: Replies by number, where @ is a label's doc_id: whole, over-confident, refused, no JSON, with a confidence out of range, without a summary.
+REPLIES = (
+    '{"summary": "S @", "key_entities": ["X", "@"], "confidence": 0.5, "refusal_reason": null}', '{"summary": "S @", "confidence": 10}', '{"summary": null, "refusal_reason": "none @"}',
+    "not-json @", '{"summary": "S @", "confidence": -0.5}', '{"key_entities": ["@"]}',
+)
 
 
-@query("SELECT * FROM (VALUES (1, 'a b', 1, 0.5::DOUBLE, NULL), (2, 'a', 0, 1.0::DOUBLE, NULL), (3, '', 0, 0.0::DOUBLE, NULL), (4, NULL, 0, 0.0::DOUBLE, 'not valid JSON'), (5, 's', 0, -0.5::DOUBLE, 'confidence is out of range'), (6, NULL, 0, 0.0::DOUBLE, 'summary is missing')) t(id, summary, n_entities, confidence, error)")
+@query("""SELECT doc_id, CASE WHEN doc_id % 6 IN (0, 1, 4) THEN 'S ' || doc_id WHEN doc_id % 6 = 2 THEN '' END AS summary, [2, 0, 0, 0, 0, 1][doc_id % 6 + 1]::INT AS n_entities, [0.5, 1.0, 0.0, 0.0, -0.5, 0.0][doc_id % 6 + 1]::DOUBLE AS confidence,
+ [NULL, NULL, NULL, 'not valid JSON', 'confidence is out of range', 'summary is missing'][doc_id % 6 + 1] AS error FROM labels""")
 def label_json_parse(spark: SparkSession, d: str) -> DataFrame:
-    parsed = spark.createDataFrame(REPLIES, "id int, raw string").withColumn("p", labelling.parse_reply(F.col("raw")))
-    return parsed.select("id", "p.summary", F.size("p.key_entities").alias("n_entities"), "p.confidence", "p.error")
+    raw = F.replace(F.get(F.array(*(F.lit(r) for r in REPLIES)), (F.col("doc_id") % 6).cast("int")), F.lit("@"), F.col("doc_id").cast("string"))
+    parsed = table(spark, d, "labels").select("doc_id", labelling.parse_reply(raw).alias("p"))
+    return parsed.select("doc_id", "p.summary", F.size("p.key_entities").alias("n_entities"), "p.confidence", "p.error")
 
 
 # URLs
@@ -150,10 +153,10 @@ def url_tracking_params(spark: SparkSession, d: str) -> DataFrame:
     return keys.groupBy("k").agg(F.count(F.lit(1)).alias("n")).withColumn("tracking", U.is_tracking(F.col("k")))
 
 
-@query(f"SELECT canonical, min(page_id) AS page_id, count(*) AS n FROM (SELECT page_id, {CANON} AS canonical FROM pages) GROUP BY canonical")
+@query(f"SELECT canonical, min(page_id) AS page_id FROM (SELECT page_id, {CANON} AS canonical FROM pages) GROUP BY canonical")
 def url_first_seen(spark: SparkSession, d: str) -> DataFrame:
     keyed = table(spark, d, "pages").select("page_id", U.canonical_url(F.col("url")).alias("canonical"))
-    return keyed.groupBy("canonical").agg(F.min("page_id").alias("page_id"), F.count(F.lit(1)).alias("n"))
+    return dedupe.first_seen(keyed, "canonical", F.col("page_id"))
 
 
 @query("SELECT page_id, nullif(replace(lower(regexp_extract(url, '^[^/]*//[^/]*/([\\w-]+)/', 1)), '-', '_'), '') AS category FROM pages")
@@ -165,10 +168,11 @@ ALIAS_SQL = "CASE " + " ".join("WHEN " + " OR ".join(f"contains(lower(raw), '{w}
 RAW = ("Thời sự", "kinh-doanh", "the-thao-24h", "xa_hoi", "giải trí", "weather", "so-hoa")
 
 
-@query("SELECT raw, " + ALIAS_SQL + " AS category FROM (VALUES " + ", ".join(f"('{r}')" for r in RAW) + ") t(raw)")
+@query("SELECT doc_id, raw, " + ALIAS_SQL + " AS category FROM (SELECT doc_id, [" + ", ".join(f"'{r}'" for r in RAW) + "][doc_id % 7 + 1] AS raw FROM documents)")
 def category_alias(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame([(r,) for r in RAW], "raw string")
-    return rows.select("raw", U.canonical_category(F.col("raw")).alias("category"))
+    """Documents with one of a few raw categories each."""
+    raw = F.get(F.array(*(F.lit(r) for r in RAW)), (F.col("doc_id") % 7).cast("int"))
+    return table(spark, d, "documents").select("doc_id", raw.alias("raw")).select("doc_id", "raw", U.canonical_category(F.col("raw")).alias("category"))
 
 
 # Text
@@ -213,9 +217,9 @@ def word_tokens(spark: SparkSession, d: str) -> DataFrame:
 SENTENCES = rf"list_filter(list_transform(string_split(regexp_replace(@, '([.!?…]){SPACES}+', '\1' || chr(1), 'g'), chr(1)), lambda s: trim(s, ' ' || chr(9) || chr(10) || chr(13))), lambda s: s <> '')"
 
 
-@query(f"SELECT doc_id, len({SENTENCES.replace('@', 'text')})::INT AS n, sha256(array_to_string({SENTENCES.replace('@', 'text')}, chr(1))) AS sentences FROM documents WHERE text IS NOT NULL")
+@query(f"SELECT doc_id, len({SENTENCES.replace('@', 'text')})::INT AS n, sha256(array_to_string({SENTENCES.replace('@', 'text')}, chr(1))) AS sentences FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)")
 def sentence_split(spark: SparkSession, d: str) -> DataFrame:
-    return _docs(spark, d).where("text IS NOT NULL").withColumn("s", T.sentences(F.col("text"))).select("doc_id", F.size("s").alias("n"), F.sha2(F.array_join("s", "\x01"), 256).alias("sentences"))
+    return _docs(spark, d).withColumn("s", T.sentences(F.col("text"))).select("doc_id", F.size("s").alias("n"), F.sha2(F.array_join("s", "\x01"), 256).alias("sentences"))
 
 
 BITS = " | ".join(f"(CASE WHEN sum(w * ((h >> {b}) & 1)::BIGINT) * 2 > sum(w) THEN {1 << b}::UBIGINT ELSE 0::UBIGINT END)" for b in range(64))
@@ -250,12 +254,6 @@ def near_pairs(spark: SparkSession, d: str) -> DataFrame:
     return dedupe.near_pairs(_timed(spark, d))
 
 
-@query()
-def near_dup_keep(spark: SparkSession, d: str) -> DataFrame:
-    rows = _timed(spark, d)
-    return dedupe.greedy_keep(rows, dedupe.near_pairs(rows))
-
-
 # Quality checks
 
 NUMERICS = r"list_filter(list_transform(regexp_extract_all(@, '\S*\d\S*'), lambda x: trim(x, '.,;:%()[]{}')), lambda x: x <> '')"
@@ -371,16 +369,6 @@ def rouge2(spark: SparkSession, d: str) -> DataFrame:
     return scoring.rouge_n(_pairs(spark, d), 2).withColumn("rouge2", F.round("rouge2", 6))
 
 
-@query()
-def rouge_l(spark: SparkSession, d: str) -> DataFrame:
-    return scoring.rouge_l(_pairs(spark, d))
-
-
-@query()
-def rouge_corpus_mean(spark: SparkSession, d: str) -> DataFrame:
-    return scoring.corpus_scores(_pairs(spark, d))
-
-
 # Pages, runs, streams
 
 
@@ -389,11 +377,11 @@ def article_extract(spark: SparkSession, d: str) -> DataFrame:
     return extracted(table(spark, d, "pages")).select("page_id", "article.title", "article.author", "article.published", "article.text")
 
 
-@query(f"SELECT page_id, NOT starts_with(regexp_extract(url, '^[^:]+://[^/?#]*([^?#]*)', 1), '/de/') AS allowed FROM pages WHERE {HOST} <> ''")
+@query(f"SELECT page_id, NOT starts_with(coalesce(regexp_extract(url, '^[^:]+://[^/?#]*([^?#]*)', 1), ''), '/de/') AND coalesce({HOST}, '') <> '' AS allowed FROM pages")
 def robots_allow(spark: SparkSession, d: str) -> DataFrame:
     pages = table(spark, d, "pages").select("page_id", "url")
     rules = pages.select(U.url_host(F.col("url")).alias("host")).distinct().where("host <> ''").select("host", F.lit("User-agent: *\nDisallow: /de/").alias("body"), F.lit(200).alias("status"))
-    return feeds.robots_allow(pages.where(U.url_host(F.col("url")) != ""), rules).select("page_id", "allowed")
+    return feeds.robots_allow(pages, rules).select("page_id", "allowed")
 
 
 def _outcomes(spark: SparkSession, d: str) -> DataFrame:

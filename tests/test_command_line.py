@@ -42,3 +42,29 @@ def test_configuration(tmp_path):
     path.write_text("run_name: r\ndataset: {text_column: body, odd: 1}\ntraining: {seed: 7}\n")
     assert (load_training(str(path)).text_column, load_training(str(path)).seed, load_training(str(path)).target_column) == ("body", 7, "summary")
     assert settings({"CORPUSLOOM_WAREHOUSE": "w"}).warehouse == "w"
+
+
+def answer(prompt):
+    """A model for the test: refuses one article, fails for another."""
+    import json
+
+    if "Title 3" in prompt:
+        raise ValueError("no answer")
+    return json.dumps({"summary": "The river runs by the market. The road goes home.", "key_entities": [], "confidence": 0.9, "refusal_reason": "none" if "Title 2" in prompt else None})
+
+
+def test_labels_are_appended(spark, tmp_path, capsys):
+    import json
+
+    text = "The river runs by the market. The road goes home."
+    spark.createDataFrame([(k, 1, "cleaned", f"Title {k}", "c", text, None) for k in range(1, 5)], "id long, source_fk long, status string, title string, category string, content_text string, published_at timestamp").write.parquet(f"{tmp_path}/articles")
+    spark.createDataFrame([(1, "s", "S")], "id long, source_id string, name string").write.parquet(f"{tmp_path}/sources")
+    spark.createDataFrame([(4, "llm", "v9", "old", True, None)], "article_fk long, source string, prompt_version string, summary_text string, qc_passed boolean, note string").write.parquet(f"{tmp_path}/labels")
+    (tmp_path / "p.yaml").write_text("version: v9\nuser_template: '{title} ({category}, {source}): {content_text}'\nqc: {min_words: 3, max_words: 30, min_sentences: 1, max_sentences: 4}\n")
+    args = ["label", "--prompt", f"{tmp_path}/p.yaml", "--model", "tests.test_command_line:answer", "--tables", str(tmp_path), "--wait", "0"]
+    assert main(args, spark) == 0
+    report = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
+    assert (report["requested"], report["qc_passed"], report["qc_failed"], report["llm_errors"]) == (3, 1, 1, 1)
+    assert {(r["article_fk"], r["qc_passed"]) for r in spark.read.parquet(f"{tmp_path}/labels").collect()} == {(4, True), (1, True), (2, False)}
+    assert main(args, spark) == 1
+    assert spark.read.parquet(f"{tmp_path}/labels").count() == 3
