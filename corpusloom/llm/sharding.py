@@ -1,10 +1,10 @@
 """Sharding by sampled splitters.
 
-A record's place is its key: the hash of its text, then the hash of its id, so equal texts
-are neighbours.  A size-weighted sample of keys is drawn (bounded in expectation), its
+A record's place is its key: the hash of its text, then the hash of its id, then that of its
+place in the table, so equal texts are neighbours and no two records have one key.  A size-weighted sample of keys is drawn (bounded in expectation), its
 quantiles cut the key space into ranges, and every record is counted in its range exactly.
 A range that holds more than its share, as one hot text makes, is cut again inside by the
-second half of the key; other cuts fall between texts.  Shards are runs of consecutive
+rest of the key; other cuts fall between texts.  Shards are runs of consecutive
 ranges whose exact bytes are nearest to equal; one more sample inside the ranges that a
 shard's ideal edge crosses makes the edges finer.  All data pass DataFrame code only; the
 driver sees the sample and one row per range.
@@ -28,13 +28,17 @@ def _hex(value: Column) -> Column:
 
 
 def sized(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, size, text_crc32, key)`` per row; a null text counts as empty."""
+    """``(id, size, text_crc32, key)`` per row; a null text counts as empty.
+
+    The last part of the key is of use only once the rows are written somewhere: it tells
+    rows apart that are equal in id and text, so many of them can be cut into ranges too.
+    """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     return docs.select(
         F.col(id_col).alias("id"),
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.concat(_hex(F.xxhash64(text)), _hex(F.xxhash64(F.lit("id"), F.col(id_col)))).alias("key"),
+        F.concat(_hex(F.xxhash64(text)), _hex(F.xxhash64(F.lit("id"), F.col(id_col))), _hex(F.xxhash64(F.monotonically_increasing_id()))).alias("key"),
     )
 
 
@@ -102,7 +106,8 @@ def shard_by_bytes(docs: DataFrame, *, shards: int = 16, id_col: str = "doc_id",
     and ``sample`` bound what reaches the driver.  Slots are gapless from 0 in each shard,
     in key order; they come from exact counts of earlier ranges and a row number within
     the range, so no task orders a whole shard.  Rows equal in id and text are ordered
-    arbitrarily but hold different slots.  An empty table gives no rows.
+    arbitrarily but hold different slots.  Null ids are ids like others; columns that are
+    not named are not read; an empty table gives no rows.
     """
     records = cut_lineage(sized(docs, id_col=id_col, text_col=text_col))
     whole = records.agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows")).first()

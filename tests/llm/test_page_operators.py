@@ -278,6 +278,18 @@ def test_shards_by_bytes(spark):
     assert sharding.shard_digest(df.limit(0)).collect() == []
 
 
+def test_one_repeated_row_is_cut_into_many_ranges(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.range(6000).select(F.when(F.col("id") < 4000, F.lit(7)).otherwise(F.col("id")).alias("doc_id"), F.when(F.col("id") < 4000, F.lit("the same row")).otherwise(F.col("id").cast("string")).alias("text"))
+    out = sharding.shard_by_bytes(df, ranges=64)
+    got = out.collect()
+    sizes = {k: sum(r["size"] for r in got if r["shard"] == k) for k in range(16)}
+    assert max(sizes.values()) - min(sizes.values()) <= 0.05 * sum(sizes.values()) / 16
+    assert len({(r["shard"], r["slot"]) for r in got}) == 6000
+    assert len({r["shard"] for r in got if r["id"] == 7}) >= 10
+
+
 @pytest.fixture(scope="module")
 def vectors(spark):
     rng = np.random.default_rng(2)
