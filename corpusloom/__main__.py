@@ -1,4 +1,4 @@
-"""Command line: ``python -m corpusloom {ingest,label,export,evaluate,query} …``."""
+"""Command line: ``python -m corpusloom {crawl,ingest,label,export,evaluate,query} …``."""
 
 from __future__ import annotations
 
@@ -6,14 +6,17 @@ import argparse
 import datetime as dt
 import importlib
 import json
+import os
 import sys
+import time
+from collections.abc import Callable
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text
-from corpusloom.operators import articles, dataset, labelling, reports, scoring, summaries
-from corpusloom.sources import storage
+from corpusloom.operators import articles, crawl, dataset, labelling, reports, scoring, summaries
+from corpusloom.sources import feeds, storage
 from corpusloom.sources.config import load_prompt, settings
 from corpusloom.streaming.incremental import store, stored_so_far
 
@@ -21,6 +24,16 @@ from corpusloom.streaming.incremental import store, stored_so_far
 def parser() -> argparse.ArgumentParser:
     own, known = argparse.ArgumentParser(prog="corpusloom", description=__doc__), settings()
     sub = own.add_subparsers(dest="command", required=True)
+    crawling = sub.add_parser("crawl", help="crawl the catalogue's feeds; ends with 1 if nothing is new, with 2 without a catalogue")
+    crawling.add_argument("--config", default="sources.yaml", help="YAML file of the sources")
+    crawling.add_argument("--fetch", required=True, help="module:function that gives (status, text) of a URL")
+    crawling.add_argument("--store", default=f"{known.warehouse}/articles")
+    crawling.add_argument("--source", action="append", default=[])
+    crawling.add_argument("--delay", type=float, default=1.0, help="seconds between two calls to one host")
+    crawling.add_argument("--wait", type=float, default=1.0, help="seconds before a failed call is tried again; doubled each time")
+    crawling.add_argument("--schedule", action="store_true", help="crawl again and again")
+    crawling.add_argument("--interval", type=float, default=30.0, help="minutes between two crawls")
+    crawling.add_argument("--rounds", type=int, help="end after so many crawls")
     ingest = sub.add_parser("ingest", help="ingest a Parquet table of fetched candidates; ends with 1 if nothing is new")
     ingest.add_argument("candidates")
     ingest.add_argument("--store", default=f"{known.warehouse}/articles")
@@ -45,6 +58,9 @@ def parser() -> argparse.ArgumentParser:
     evaluate.add_argument("--max-words", type=int, default=70)
     evaluate.add_argument("--max-sentences", type=int, default=4)
     evaluate.add_argument("--limit", type=int)
+    evaluate.add_argument("--model", help="module:function that makes a model, instead of a baseline")
+    evaluate.add_argument("--scorer", help="module:function that scores lists of predictions and references")
+    evaluate.add_argument("--metrics", help="folder of the metrics table to append to")
     query = sub.add_parser("query", help="run a registered query and write its result as Parquet")
     query.add_argument("name")
     query.add_argument("tables")
@@ -52,6 +68,38 @@ def parser() -> argparse.ArgumentParser:
     return own
 
 
+def imported(target: str) -> Callable:
+    module, function = target.split(":", 1)
+    return getattr(importlib.import_module(module), function)
+
+
+def keep_run(spark: SparkSession, outcomes: DataFrame, folder: str, number: int) -> int:
+    """Store what a batch inserted and a row of counters for each source; the number of new articles."""
+    store(outcomes, folder, number)
+    report = reports.run_row(reports.crawl_counters(outcomes)).select("source_id", "status", "n_new", "n_skipped", "n_errors", "notes")
+    report = storage.cut_lineage(report.withColumns({"batch": F.lit(number), "finished_at": F.lit(dt.datetime.now(dt.timezone.utc))}))
+    report.write.mode("append").parquet(f"{folder}_runs")
+    report.show(1000, truncate=False)
+    return report.agg(F.coalesce(F.sum("n_new"), F.lit(0))).first()[0]
+
+
+def run_crawl(spark: SparkSession, args: argparse.Namespace) -> int:
+    if not os.path.exists(args.config):
+        print(f"no such catalogue: {args.config}", file=sys.stderr)
+        return 2
+    sources, get, new, done = feeds.catalogue(spark, args.config), imported(args.fetch), 0, 0
+    robots = spark.createDataFrame([], feeds.ROBOTS)
+    while True:
+        stored = stored_so_far(spark, args.store)
+        number = (stored.agg(F.max("batch")).first()[0] or 0) + 1
+        now = F.lit(dt.datetime.now(dt.timezone.utc))
+        outcomes, robots = crawl.crawl(sources, stored, robots, get, now=now, batch=number, only=args.source, interval=args.delay, jitter=0.05, wait=args.wait)
+        new, done = keep_run(spark, storage.cut_lineage(outcomes), args.store, number), done + 1
+        if not args.schedule or done == args.rounds:
+            return 0 if new else 1
+        time.sleep(60 * args.interval)
+
+
 def run_ingest(spark: SparkSession, args: argparse.Namespace) -> int:
     rows = spark.read.parquet(args.candidates)
     if args.source:
@@ -60,19 +108,12 @@ def run_ingest(spark: SparkSession, args: argparse.Namespace) -> int:
     number = (stored.agg(F.max("batch")).first()[0] or 0) + 1
     first = rows.agg(F.min("fetched_at")).first()[0]
     outcomes = storage.cut_lineage(articles.ingest(rows, stored, as_of=None if first is None else F.lit(first)))
-    store(outcomes, args.store, number)
-    report = reports.run_row(reports.crawl_counters(outcomes)).select("source_id", "status", "n_new", "n_skipped", "n_errors", "notes")
-    now = F.lit(dt.datetime.now(dt.timezone.utc))
-    report = storage.cut_lineage(report.withColumns({"batch": F.lit(number), "finished_at": now}))
-    report.write.mode("append").parquet(f"{args.store}_runs")
-    report.show(1000, truncate=False)
-    return 0 if report.where("n_new > 0").count() else 1
+    return 0 if keep_run(spark, outcomes, args.store, number) else 1
 
 
 def run_label(spark: SparkSession, args: argparse.Namespace) -> int:
     read = lambda name: spark.read.parquet(f"{args.tables}/{name}")
-    prompt, (module, function) = load_prompt(args.prompt), args.model.split(":", 1)
-    call = getattr(importlib.import_module(module), function)
+    prompt, call = load_prompt(args.prompt), imported(args.model)
     sources, labels = read("sources"), read("labels")
     chosen = labelling.unlabelled(read("articles"), labels, prompt_version=prompt.version, sources=sources, only=args.source, limit=args.limit)
     named = labelling.named_source(chosen, sources)
@@ -104,10 +145,16 @@ def run_evaluate(spark: SparkSession, args: argparse.Namespace) -> int:
     if args.limit is not None:
         rows = rows.orderBy("article_id", "url").limit(args.limit)
     options = summaries.Options(graph=args.baseline, max_words=args.max_words, max_sentences=args.max_sentences)
-    made = summaries.with_summary(rows.withColumnRenamed("summary", "reference"), text_col="content_text", options=options, out="prediction")
+    asked = rows.withColumnRenamed("summary", "reference")
+    if args.model:
+        made = summaries.generated(asked, imported(args.model), text_col="content_text", out="prediction")
+    else:
+        made = summaries.with_summary(asked, text_col="content_text", options=options, out="prediction")
     pairs = storage.cut_lineage(made.select(F.concat_ws(":", "article_id", "url").alias("id"), "prediction", "reference"))
-    scores = scoring.corpus_scores(pairs).first().asDict()
-    print(json.dumps({"baseline": args.baseline, "split": args.split, **scores}, ensure_ascii=False))
+    scores = scoring.corpus_scores(pairs, scorer=imported(args.scorer) if args.scorer else None).first().asDict()
+    if args.metrics:
+        storage.metrics_row(spark, args.metrics, f"{args.dataset}-{args.split}", {"model": args.model or args.baseline, "max_words": args.max_words}, scores)
+    print(json.dumps({"baseline": args.model or args.baseline, "split": args.split, **scores}, ensure_ascii=False))
     return 0
 
 
@@ -125,7 +172,7 @@ def run_query(spark: SparkSession, args: argparse.Namespace) -> int:
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     args = parser().parse_args(argv)
     spark = spark or SparkSession.builder.appName("corpusloom").config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    return {"ingest": run_ingest, "label": run_label, "export": run_export, "evaluate": run_evaluate, "query": run_query}[args.command](spark, args)
+    return {"crawl": run_crawl, "ingest": run_ingest, "label": run_label, "export": run_export, "evaluate": run_evaluate, "query": run_query}[args.command](spark, args)
 
 
 if __name__ == "__main__":

@@ -26,6 +26,8 @@ _VOID = frozenset("area base br col embed hr img input link meta source track wb
 class _Reader(HTMLParser):
     """Text of paragraphs and headings outside skipped elements, apart for what stands inside an article."""
 
+    skipped_names = _SKIPPED
+
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.meta: dict[str, str] = {}
@@ -39,14 +41,14 @@ class _Reader(HTMLParser):
                 self.meta.setdefault((found.get("property") or found.get("name") or "").lower(), found["content"])
         self.in_title |= tag == "title"
         if tag not in _VOID:
-            self.skipped += tag in _SKIPPED
+            self.skipped += tag in self.skipped_names
             self.article += tag == "article"
         if tag in _BLOCKS:
             self._add("\n")
 
     def handle_endtag(self, tag):
         self.in_title &= tag != "title"
-        if tag in _SKIPPED:
+        if tag in self.skipped_names:
             self.skipped = max(0, self.skipped - 1)
         self.article = max(0, self.article - (tag == "article"))
         if tag in _BLOCKS:
@@ -65,14 +67,31 @@ class _Reader(HTMLParser):
                 self.inside.append(data)
 
 
-def read_article(html: str | None) -> tuple | None:
-    """(title, author, published, text) of a page, None where nothing can be read."""
+class _LooseReader(_Reader):
+    """For pages whose story stands where the first reader does not look: only scripts, styles and the head are skipped."""
+
+    skipped_names = frozenset("script style noscript template svg head button select".split())
+
+
+def read_article(html: str | None, min_words: int = 0) -> tuple | None:
+    """(title, author, published, text) of a page, None where nothing can be read.
+
+    If the text has fewer than ``min_words`` words, a second, looser reading takes its
+    place where that has enough.
+    """
     if not html:
         return None
-    reader = _Reader()
+    found = _read(html, _Reader())
+    if len((found[3] or "").split()) < min_words:
+        loose = _read(html, _LooseReader())
+        found = loose if len(loose[3].split()) >= min_words else found
+    return found
+
+
+def _read(html: str, reader: _Reader) -> tuple:
     reader.feed(html)
     reader.close()
-    text = "".join(reader.inside if "".join(reader.inside).strip() else reader.whole)
+    text = "".join(reader.inside if "".join(reader.inside).strip() and not isinstance(reader, _LooseReader) else reader.whole)
     lines = [" ".join(x.split()) for x in text.split("\n")]
     meta = reader.meta
     return (
@@ -87,7 +106,7 @@ def extracted(pages: DataFrame, *, html_col: str = "html", min_words: int = MIN_
     @F.pandas_udf(ARTICLE)
     def read(sources: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in sources:
-            rows = [read_article(h) or (None, None, None, None) for h in batch]
+            rows = [read_article(h, min_words) or (None, None, None, None) for h in batch]
             yield pd.DataFrame(rows, columns=["title", "author", "published", "text"])
 
     got = pages.withColumn("_a", read(F.col(html_col)))

@@ -5,11 +5,15 @@ Networks are adapters: a fetcher is a callable that the caller gives.
 
 from __future__ import annotations
 
+import html
+import random
+import re
+import time
 from collections.abc import Callable, Iterator
 from urllib.robotparser import RobotFileParser
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import first_date
@@ -36,27 +40,54 @@ def enabled_sources(sources: DataFrame, only: list[str] | None = None) -> DataFr
     return sources.where(wanted & F.col("source_id").isin(only) if only else wanted)
 
 
+_ITEM = re.compile(r"<(item|entry)\b[^>]*>(.*?)(?=</\1\s*>|<\1\b|\Z)", re.S | re.I)
+_FIELD = re.compile(r"<([\w:]+)\b([^>]*?)(?:/>|>(.*?)</\1\s*>)", re.S)
+_ATTRIBUTE = re.compile(r"""(href|term)\s*=\s*["']([^"']*)["']""")
+
+
+def _loose_items(text: str) -> list[list[tuple[str, str | None]]]:
+    """(name, value) pairs of each item of a document that no XML parser takes: tags as they stand, CDATA unwrapped."""
+    out = []
+    for _, inside in _ITEM.findall(text):
+        pairs = []
+        for name, attributes, value in _FIELD.findall(inside):
+            given = dict(_ATTRIBUTE.findall(attributes))
+            name = name.rsplit(":", 1)[-1]
+            plain = re.sub(r"<!\[CDATA\[(.*?)\]\]>", lambda m: html.escape(m[1]), value, flags=re.S)
+            chosen = given.get({"link": "href", "category": "term"}.get(name, "")) or re.sub(r"<[^>]*>", "", plain)
+            pairs.append((name, html.unescape(chosen)))
+        out.append(pairs)
+    return out
+
+
 def parse_feeds(feeds: DataFrame) -> DataFrame:
-    """Items of RSS and Atom documents in ``feeds(source_id, feed, xml)``; malformed or null documents give none."""
+    """Items of RSS and Atom documents in ``feeds(source_id, feed, xml)``.
+
+    A document that is no well-formed XML is read loosely, tag by tag; null documents, and
+    those without items, give none.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xml.etree.ElementTree as ET
 
         local = lambda e: e.tag.rsplit("}", 1)[-1]
+        named = {"link": "href", "category": "term"}
+
+        def items_of(text: str) -> list[list[tuple[str, str | None]]]:
+            try:
+                items = [e for e in ET.fromstring(text).iter() if local(e) in ("item", "entry")]
+            except ET.ParseError:
+                return _loose_items(text)
+            return [[(local(c), c.get(named.get(local(c), "")) or c.text) for c in item] for item in items]
+
         for batch in batches:
             out = []
             for source, feed, text in zip(batch["source_id"], batch["feed"], batch["xml"], strict=True):
-                try:
-                    items = [e for e in ET.fromstring(text or "").iter() if local(e) in ("item", "entry")]
-                except ET.ParseError:
-                    continue
-                for pos, item in enumerate(items):
+                for pos, pairs in enumerate(items_of(text or "")):
                     got: dict[str, str] = {}
-                    for child in item:
-                        value = child.get("href") if local(child) == "link" and child.get("href") else child.get("term") if local(child) == "category" and child.get("term") else child.text
-                        name = "dc_date" if local(child) == "date" else local(child)
+                    for name, value in pairs:
                         if value and value.strip():
-                            got.setdefault(name, value.strip())
+                            got.setdefault("dc_date" if name == "date" else name, value.strip())
                     out.append((source, feed, pos, *(got.get(k) for k in ("title", "link", "category", "published", "updated", "pubDate", "dc_date"))))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in FEED_ITEM.split(", ")])
 
@@ -99,30 +130,66 @@ def robots_allow(urls: DataFrame, robots: DataFrame, *, url_col: str = "url", ag
     return joined.withColumn("allowed", (F.col("_h") != "") & allow(F.col(url_col), F.col("_body"))).drop("_h", "_host", "_body")
 
 
-def fetch(urls: DataFrame, get: Callable[[str], tuple[int, str]], *, url_col: str = "url", tries: int = 3) -> DataFrame:
-    """``urls`` with ``status``, ``body`` and ``error`` from the given callable.
+class Polite:
+    """Calls that keep ``interval`` seconds, and up to ``jitter`` more, between two of one host, and try again what may pass.
+
+    A call that raises, or answers 429 or 5xx, is tried ``tries`` times in all, after
+    ``wait`` seconds, then twice as many, and so on, ``most_wait`` at most.
+    """
 
-    One host's URLs go to one task, so a callable that waits between calls keeps its rate.
-    A call that raises, or answers 429 or 5xx, is tried ``tries`` times in all.
+    def __init__(self, get: Callable, *, tries: int = 3, interval: float = 0.0, jitter: float = 0.0, wait: float = 0.0, most_wait: float = 15.0, headers: dict[str, str] | None = None, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep):
+        self.get, self.tries, self.interval, self.jitter, self.wait, self.most_wait, self.headers = get, tries, interval, jitter, wait, most_wait, headers
+        self.clock, self.sleep, self.last = clock, sleep, {}
+
+    def __call__(self, url: str, host: str) -> tuple[int | None, str | None, str | None]:
+        """(status, body, error)."""
+        answer = (None, None, "not tried")
+        for attempt in range(self.tries):
+            if attempt and self.wait:
+                self.sleep(min(self.most_wait, self.wait * 2 ** (attempt - 1)))
+            if self.interval and host in self.last:
+                left = self.interval - (self.clock() - self.last[host])
+                if left > 0:
+                    self.sleep(left + random.uniform(0, self.jitter))
+            self.last[host] = self.clock()
+            try:
+                status, body = self.get(url) if self.headers is None else self.get(url, self.headers)
+            except Exception as problem:  # noqa: BLE001  the adapter's errors are data
+                answer = (None, None, f"{type(problem).__name__}: {problem}")
+                continue
+            answer = (status, body, None if status < 429 else f"status {status}")
+            if status != 429 and status < 500:
+                break
+        return answer
+
+
+def fetch(urls: DataFrame, get: Callable, *, url_col: str = "url", **manners) -> DataFrame:
+    """``urls`` with ``status``, ``body`` and ``error`` from the given callable, called as ``Polite`` says (``manners``).
+
+    One host's URLs go to one task, so the interval between its calls is kept.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        call = Polite(get, **manners)
         for batch in batches:
-            answers = []
-            for url in batch[url_col]:
-                answer = (None, None, "not tried")
-                for _ in range(tries):
-                    try:
-                        status, body = get(url)
-                    except Exception as problem:  # noqa: BLE001  the adapter's errors are data
-                        answer = (None, None, f"{type(problem).__name__}: {problem}")
-                        continue
-                    answer = (status, body, None if status < 429 else f"status {status}")
-                    if status != 429 and status < 500:
-                        break
-                answers.append(answer)
-            yield batch.assign(status=pd.array([a[0] for a in answers], dtype="Int32"), body=[a[1] for a in answers], error=[a[2] for a in answers])
+            answers = [call(url, host) for url, host in zip(batch[url_col], batch["_host"], strict=True)]
+            yield batch.drop(columns="_host").assign(status=pd.array([a[0] for a in answers], dtype="Int32"), body=[a[1] for a in answers], error=[a[2] for a in answers])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in urls.schema.fields)
-    return urls.repartition(url_host(F.col(url_col))).mapInPandas(run, f"{fields}, status int, body string, error string")
+    hosted = urls.withColumn("_host", F.coalesce(url_host(F.col(url_col)), F.lit("")))
+    return hosted.repartition("_host").mapInPandas(run, f"{fields}, status int, body string, error string")
+
 
+ROBOTS = "host string, body string, status int, checked_at timestamp"
+
+
+def refresh_robots(urls: DataFrame, known: DataFrame, get: Callable, *, now: Column, ttl_seconds: int = 3600, url_col: str = "url", scheme: str = "https", **manners) -> DataFrame:
+    """``(host, body, status, checked_at)`` for the hosts of ``urls``: rows of ``known`` younger than the TTL, others fetched anew.
+
+    A host whose robots text cannot be fetched has status 0, which allows all, until the TTL ends.
+    """
+    hosts = urls.select(url_host(F.col(url_col)).alias("host")).where(F.coalesce("host", F.lit("")) != "").distinct()
+    fresh = known.where(F.col("checked_at") >= now - F.make_dt_interval(secs=F.lit(float(ttl_seconds)))).select("host", "body", "status", "checked_at").join(hosts, "host", "left_semi")
+    wanted = hosts.join(fresh, "host", "left_anti").withColumn("url", F.concat(F.lit(f"{scheme}://"), "host", F.lit("/robots.txt")))
+    fetched = fetch(wanted, get, **manners).select("host", "body", F.coalesce("status", F.lit(0)).alias("status"), now.cast("timestamp").alias("checked_at"))
+    return fresh.unionByName(fetched)

@@ -46,16 +46,12 @@ def test_configuration(tmp_path):
 
 def answer(prompt):
     """A model for the test: refuses one article, fails for another."""
-    import json
-
     if "Title 3" in prompt:
         raise ValueError("no answer")
     return json.dumps({"summary": "The river runs by the market. The road goes home.", "key_entities": [], "confidence": 0.9, "refusal_reason": "none" if "Title 2" in prompt else None})
 
 
 def test_labels_are_appended(spark, tmp_path, capsys):
-    import json
-
     text = "The river runs by the market. The road goes home."
     spark.createDataFrame([(k, 1, "cleaned", f"Title {k}", "c", text, None) for k in range(1, 5)], "id long, source_fk long, status string, title string, category string, content_text string, published_at timestamp").write.parquet(f"{tmp_path}/articles")
     spark.createDataFrame([(1, "s", "S")], "id long, source_id string, name string").write.parquet(f"{tmp_path}/sources")
@@ -68,3 +64,44 @@ def test_labels_are_appended(spark, tmp_path, capsys):
     assert {(r["article_fk"], r["qc_passed"]) for r in spark.read.parquet(f"{tmp_path}/labels").collect()} == {(4, True), (1, True), (2, False)}
     assert main(args, spark) == 1
     assert spark.read.parquet(f"{tmp_path}/labels").count() == 3
+
+
+def web(url):
+    """A small web for the test: a feed, robots rules, and pages."""
+    words = " ".join(f"word{k}" for k in range(60))
+    if url.endswith("/feed"):
+        items = "".join(f"<item><title>Story {k}</title><link>https://a.vn/{'private' if k == 2 else 'news'}/{k}</link></item>" for k in range(6))
+        return 200, f"<rss><channel>{items}</channel></rss>"
+    if url.endswith("/robots.txt"):
+        return 200, "User-agent: *\nDisallow: /private/"
+    assert "/private/" not in url
+    return {"0": (200, f"<article><p>{words}</p></article>"), "1": (404, ""), "3": (200, "<p>short</p>")}.get(url[-1], (200, f"<article><p>{words.replace('word', 'term')} {words}</p></article>"))
+
+
+def test_crawl(spark, tmp_path):
+    (tmp_path / "s.yaml").write_text("defaults: {max_items_per_feed: 5}\nsources:\n- {source_id: a, domain: a.vn, rss: ['https://a.vn/feed']}\n- {source_id: b, enabled: false, rss: ['https://b.vn/feed']}\n")
+    args = ["crawl", "--config", f"{tmp_path}/s.yaml", "--fetch", "tests.test_command_line:web", "--store", f"{tmp_path}/store", "--delay", "0", "--wait", "0"]
+    assert main(args, spark) == 0 and main(args, spark) == 1
+    assert {r["title"] for r in spark.read.parquet(f"{tmp_path}/store").collect()} == {"Story 0", "Story 4"}
+    runs = {r["batch"]: r for r in spark.read.parquet(f"{tmp_path}/store_runs").collect()}
+    assert (runs[1]["n_new"], runs[1]["n_skipped"], runs[1]["n_errors"], runs[1]["status"]) == (2, 1, 2, "success")
+    assert (runs[2]["n_new"], runs[2]["n_skipped"], runs[2]["n_errors"], runs[2]["status"]) == (0, 3, 2, "partial")
+    assert main(["crawl", "--config", f"{tmp_path}/none.yaml", "--fetch", "tests.test_command_line:web"], spark) == 2
+
+
+def a_model():
+    return lambda texts: [t.split(".")[0] for t in texts]
+
+
+def a_scorer(predictions, references):
+    return [float(p in r) for p, r in zip(predictions, references, strict=True)]
+
+
+def test_evaluate_a_model(spark, tmp_path, capsys):
+    text = "The river rose. The market closed early."
+    rows = spark.createDataFrame([(i, "s", f"u{i}", "t", None, None, text, text, "v1", s) for i, s in enumerate(("train", "val", "test"))], "article_id long, source string, url string, title string, category string, published_at string, content_text string, summary string, prompt_version string, split string")
+    write_dataset(rows, f"{tmp_path}/v1")
+    assert main(["evaluate", "--dataset-root", str(tmp_path), "--model", "tests.test_command_line:a_model", "--scorer", "tests.test_command_line:a_scorer", "--metrics", f"{tmp_path}/m"], spark) == 0
+    out = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
+    assert out["scorer_f1"] == 1.0 and 0 < out["rouge1"] < 1
+    assert spark.read.parquet(f"{tmp_path}/m").first()["metrics"]["scorer_f1"] == "1.0"

@@ -213,6 +213,48 @@ def test_feeds(spark):
     assert [(r["title"], r["url"], r["category"], r["published_at"]) for r in got] == [("A", "https://a.vn/kinh-te/1", "kinh_te", dt.datetime(2024, 1, 2, 5))]
 
 
+def test_broken_feeds_are_read_loosely(spark):
+    broken = "<rss><channel><item><title><![CDATA[ A & <b>B</b> ]]></title><link>https://a.vn/kinh-te/1?a=1&b=2</link><category>x</category><pubDate>Tue, 02 Jan 2024 12:00:00 +0700</pubDate></item><item><title>C &amp; D</title><link href='https://a.vn/2'/></channel>"
+    df = spark.createDataFrame([("s", "f", broken), ("s", "g", "no feed at all <")], "source_id string, feed string, xml string")
+    got = feeds.candidates(feeds.parse_feeds(df)).orderBy("item_pos").collect()
+    assert [(r["title"], r["url"], r["category"]) for r in got] == [("A & <b>B</b>", "https://a.vn/kinh-te/1?a=1&b=2", "x"), ("C & D", "https://a.vn/2", None)]
+    assert got[0]["published_at"] == dt.datetime(2024, 1, 2, 5)
+
+
+def test_polite_calls_keep_their_distance():
+    now, slept, calls = [0.0], [], []
+
+    def sleep(s):
+        slept.append(s)
+        now[0] += s
+
+    def get(url, headers):
+        calls.append((url, now[0], headers["User-Agent"]))
+        return (503, "") if len(calls) == 2 else (200, "x")
+
+    call = feeds.Polite(get, interval=1.0, jitter=0.0, wait=4.0, headers={"User-Agent": "loom"}, clock=lambda: now[0], sleep=sleep)
+    assert [call(u, h)[0] for u, h in (("a1", "a"), ("a2", "a"), ("b1", "b"), ("a3", "a"))] == [200] * 4
+    assert [(u, t) for u, t, _ in calls] == [("a1", 0.0), ("a2", 1.0), ("a2", 5.0), ("b1", 5.0), ("a3", 6.0)] and slept == [1.0, 4.0, 1.0]
+
+
+def test_robots_are_kept_for_their_time(spark):
+    df = spark.createDataFrame([("https://a.vn/1",), ("https://b.vn/1",), ("https://c.vn/1",)], "url string")
+    known = spark.createDataFrame([("a.vn", "old", 200, NOW - dt.timedelta(hours=2)), ("b.vn", "kept", 200, NOW - dt.timedelta(minutes=5)), ("z.vn", "x", 200, NOW)], feeds.ROBOTS)
+
+    def get(url):
+        if "c.vn" in url:
+            raise OSError("down")
+        return 200, f"text of {url}"
+
+    got = {r["host"]: (r["body"], r["status"]) for r in feeds.refresh_robots(df, known, get, now=F.lit(NOW)).collect()}
+    assert got == {"a.vn": ("text of https://a.vn/robots.txt", 200), "b.vn": ("kept", 200), "c.vn": (None, 0)}
+
+
+def test_a_looser_reading_takes_over(spark):
+    aside = f"<html><title>T</title><body><article><p>Too short.</p></article><aside>{BODY}</aside></body></html>"
+    assert "river" in spark.createDataFrame([(aside,)], "html string").transform(extracted).first()["article"]["text"]
+
+
 def test_robots_and_fetch(spark):
     df = spark.createDataFrame([("https://a.vn/private/1",), ("https://a.vn/1",), ("https://b.vn/private/1",), ("nohost",)], "url string")
     rules = spark.createDataFrame([("a.vn", "User-agent: *\nDisallow: /private/", 200), ("b.vn", "User-agent: *\nDisallow: /", 404)], "host string, body string, status int")
