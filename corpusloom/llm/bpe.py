@@ -111,7 +111,10 @@ def default_ranks() -> tuple[str, str]:
 
 
 def encode_texts(docs: DataFrame, *, text_col: str = "text", path: str, pattern: str, leaf: int = LEAF) -> DataFrame:
-    """``docs`` with a column ``token_ids`` (array<long>): the ids of the whole text, [] for null or empty."""
+    """``docs`` with a column ``token_ids`` (array<long>): the ids of the whole text, [] for null or empty.
+
+    A column of that name gives way; other columns and repeated rows stay as they are.
+    """
 
     @F.pandas_udf("array<long>")
     def ids(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -123,7 +126,7 @@ def encode_texts(docs: DataFrame, *, text_col: str = "text", path: str, pattern:
 
 
 def decode_ids(tokens: DataFrame, *, ids_col: str = "token_ids", path: str, pattern: str, leaf: int = LEAF) -> DataFrame:
-    """``tokens`` with a column ``decoded`` (binary): the bytes of the ids; empty for null or no ids."""
+    """``tokens`` with a column ``decoded`` (binary), which gives way if it is there: the bytes of the ids; empty for null or no ids."""
 
     @F.pandas_udf("binary")
     def decoded(arrays: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -141,7 +144,9 @@ def token_digest(docs: DataFrame, *, path: str, pattern: str, leaf: int = LEAF)
     """Per row of ``docs``: id, number of tokens and hashes of the ids and of the bytes that they decode to.
 
     Ids and bytes are hashed in the worker that made them, so neither is sent anywhere.  A
-    null text is an empty one.  Columns other than ``doc_id`` and ``text`` are not read.
+    null text is an empty one.  Repeated rows have a row each, and an empty table has none;
+    a very long text takes the memory of its own tokens.  Columns other than ``doc_id`` and
+    ``text`` are not read, whatever their names.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

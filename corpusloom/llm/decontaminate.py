@@ -95,7 +95,9 @@ def contaminated(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", i
     word-less texts and items match nothing.  Items equal in words each match.  Documents
     with one id are told apart by their text and reported under that id, best window
     first; with ``by_text`` each text has its own rows, and ``sig``, the XXH64 of the text
-    (of an empty one for null), is the last column.  ``radius`` is the number of differing fingerprint bits searched exhaustively.
+    (of an empty one for null), is the last column.  ``radius`` is the number of differing
+    fingerprint bits searched exhaustively.  Repeated rows count once, other columns are not
+    read, and either table may be empty.
     """
     bench = with_shingles(items.select(F.col(item_id).alias("item_id"), F.col(text_col).alias("text")), "text", size)
     item = cut_lineage(bench.select("item_id", F.size("w").alias("n"), F.posexplode_outer("hs").alias("off", "h")))

@@ -43,6 +43,56 @@ def test_no_name_is_needed_where_a_template_is_found(spark):
     assert {r["page_id"]: r["text"] for r in got} == texts and all(r["by_template"] for r in got)
 
 
+def brute_templates(rows, support=3, share=0.02):
+    """What ``deduce`` finds from occurrence vectors written out in full, for each group of pages."""
+    groups = {}
+    for key, host, source in rows:
+        read = html_extract.Page(source or "")
+        if not read.tags:
+            continue
+        found = {}
+        for place, (path, chars) in enumerate(read.tags):
+            own = found.setdefault(("tag", path, html_extract.hash64(path)), [0, place, 0])
+            own[0] += 1
+            own[2] += chars
+        for place, (path, _, text, rejected) in enumerate(read.runs):
+            if not rejected and not text.isspace():
+                own = found.setdefault(("text", path, html_extract.run_token(path, text)), [0, place, 0])
+                own[0] += 1
+                own[2] += len(text) - text.count(" ")
+        for group in (read.layout(), html_extract.WHOLE):
+            groups.setdefault((host, group), {})[key] = found
+    out = {}
+    for (host, group), pages in groups.items():
+        if len(pages) < max(support, share * len(groups[host, html_extract.WHOLE])):
+            continue
+        vectors, names = {}, {}
+        for key, found in pages.items():
+            for token, (count, place, chars) in found.items():
+                vectors.setdefault(token, []).append((key, count, place, chars))
+        tokens = []
+        for (kind, path, token), seen in vectors.items():
+            if 2 * len(seen) >= len(pages):
+                vector = names.setdefault(frozenset((k, c) for k, c, _, _ in seen), len(names))
+                counts = [c for _, c, _, _ in seen]
+                tokens.append(html_extract.Token(kind, path, token, len(seen), vector, min(counts), max(counts), min(p for _, _, p, _ in seen), sum(n for *_, n in seen), sum(counts)))
+        if tokens:
+            out[host, group] = html_extract.deduce(tokens)
+    return out
+
+
+def test_templates_are_those_of_full_occurrence_vectors(spark, data):
+    from pyspark.sql import functions as F
+
+    given = [(r["page_id"], r["url"], r["html"]) for r in spark.read.parquet(f"{data}/pages.parquet").collect()]
+    rows = [(i, f"h{i % 4}", h) for i, _, h in given]
+    rows += [(1000 + k, "made", page(k, f"Title {k}", *(f"Paragraph {n} of {k}" for n in range(k % 4)), extra="<div class='box'>Subscribe to us</div>" if k % 3 else "")) for k in range(20)] + [(2000, "made", None), (2001, "one", "<p>alone</p>")]
+    df = spark.createDataFrame([(h, i, s or "") for i, h, s in rows], "host string, page long, html string")
+    got = {(r["host"], group): (main, sure, nested) for r in html_extract.templates(df).collect() for group, main, sure, nested in __import__("json").loads(r["template"])}
+    want = brute_templates(rows)
+    assert got == want and any(main for main, _, _ in got.values()) and df.select(F.count("page")).first()[0] == len(rows)
+
+
 def test_templates_joined_by_host_are_the_same(spark):
     rows = [(k, f"http://{'hot' if k % 3 else f'h{k % 4}'}.example/", page(k, f"Title {k}", f"One and two {k}")) for k in range(40)]
     df = spark.createDataFrame([(*r, "x", "h", "b") for r in rows], PAGE)

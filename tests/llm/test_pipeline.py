@@ -1,5 +1,12 @@
+import hashlib
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+from test_text_operators import brute_components, brute_lines
+
 import corpus_pipeline
-from corpusloom.llm import registry
+from corpusloom.llm import bpe, registry, toxicity
 
 
 def test_stages(spark, data):
@@ -36,6 +43,65 @@ def test_rows_are_told_apart_by_text_too(spark, data):
     assert order((r["doc_id"], r["text"]) for r in out.collect()) == order([(None, words("a")), (5, words("c")), (6, None), (None, None)])
 
 
+def words_of(text):
+    return [w for w in re.split(r"[\W_]+", (text or "").lower()) if w]
+
+
+def holds(text, items, size=5, least=0.8):
+    """Whether any window of an item's length is similar enough to it; items have five words or more."""
+    words = words_of(text)
+    grams = [tuple(words[k : k + size]) for k in range(max(1, len(words) - size + 1))] if words else []
+    for own, shingles in items:
+        at = [k for k, g in enumerate(grams) if g in own]
+        wide = min(shingles, len(grams))
+        for start in {s for k in at for s in range(max(0, k - wide + 1), min(k, len(grams) - wide) + 1)}:
+            window = Counter(grams[start : start + wide])
+            shared = (window & own).total()
+            if shared >= least * (window.total() + own.total() - shared):
+                return True
+    return False
+
+
+def test_the_pipeline_is_its_stages_by_brute_force(spark, data):
+    """Every stage after the classifier against plain Python, each on what the stage before kept; the classifier against its own model."""
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    model = toxicity.fit(docs, spark.read.parquet(f"{data}/labels.parquet"))
+    rows = [r for r in rows if model.scores([r[1]])[0] < 0.5]
+    after = [rows]
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    key = lambda line: line.strip(" \t\n\x0b\x0c\r").translate(low)
+    held = defaultdict(set)
+    for i, t in rows:
+        for line in (t or "").split("\n"):
+            held[key(line)].add(i)
+    lost = lambda i, line: len(key(line)) >= 20 and len(held[key(line)]) >= 3 and max(held[key(line)]) != i
+    rows = [(i, t if t is None else "\n".join(x for x in t.split("\n") if not lost(i, x))) for i, t in rows]
+    digests = {r[0]: r[3] for r in brute_lines(after[0])}
+    assert all(hashlib.sha256((t or "").encode()).hexdigest() == digests[i] for i, t in rows)
+    after.append(rows)
+    least = {i for i, _, c in brute_components(rows) if i == c}
+    rows = [r for r in rows if r[0] in least]
+    after.append(rows)
+    items = []
+    for r in spark.read.parquet(f"{data}/benchmark.parquet").collect():
+        words = words_of(r["text"])
+        assert len(words) >= 5
+        grams = Counter(tuple(words[k : k + 5]) for k in range(len(words) - 4))
+        items.append((grams, grams.total()))
+    rows = [r for r in rows if not holds(r[1], items)]
+    after.append(rows)
+    assert len(after[0]) > len(after[2]) > len(after[3]) > 0
+    given = docs
+    for (_, stage), want in zip(corpus_pipeline.STAGES[:-1], after, strict=True):
+        out = stage(spark, given, data).collect()
+        assert sorted(((r["doc_id"], r["text"]) for r in out), key=str) == sorted(want, key=str)
+        given = spark.createDataFrame(out, docs.schema)
+    enc = bpe.encoding(*bpe.default_ranks())
+    want = [(i, len(ids := enc.encode_ordinary(t or "")), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()) for i, t in rows]
+    assert sorted(map(tuple, corpus_pipeline.run(spark, data).collect())) == sorted(want)
+
+
 CLASHING = "doc_id long, text string, score double, _score double, row string, id long, sig long, _kept string, _hot string, leak string, label int, fp string"
 
 
