@@ -41,14 +41,14 @@ def parser() -> argparse.ArgumentParser:
     label = sub.add_parser("label", help="label a batch of articles and append the labels; ends with 1 if none was labelled")
     label.add_argument("--prompt", required=True, help="YAML file of the prompt and its limits")
     label.add_argument("--model", required=True, help="module:function that answers a prompt's text")
-    label.add_argument("--tables", default=known.warehouse)
+    label.add_argument("--tables", default=known.warehouse, help="folder of Parquet tables or JDBC URL")
     label.add_argument("--source", action="append", default=[])
     label.add_argument("--limit", type=int, default=50)
     label.add_argument("--wait", type=float, default=1.0, help="seconds before a failed call is tried again; doubled each time")
     export = sub.add_parser("export", help="write a dataset version from labels, articles and sources")
     export.add_argument("name")
     export.add_argument("--prompt-version", required=True)
-    export.add_argument("--tables", default=known.warehouse)
+    export.add_argument("--tables", default=known.warehouse, help="folder of Parquet tables or JDBC URL")
     export.add_argument("--dataset-root", default=known.dataset_root)
     evaluate = sub.add_parser("evaluate", help="score an extractive summariser on a split; ends with 2 without the dataset")
     evaluate.add_argument("--baseline", choices=("lexrank", "textrank"), default="lexrank")
@@ -112,7 +112,7 @@ def run_ingest(spark: SparkSession, args: argparse.Namespace) -> int:
 
 
 def run_label(spark: SparkSession, args: argparse.Namespace) -> int:
-    read = lambda name: spark.read.parquet(f"{args.tables}/{name}")
+    read = lambda name: storage.load(spark, args.tables, name)
     prompt, call = load_prompt(args.prompt), imported(args.model)
     sources, labels = read("sources"), read("labels")
     chosen = labelling.unlabelled(read("articles"), labels, prompt_version=prompt.version, sources=sources, only=args.source, limit=args.limit)
@@ -122,14 +122,14 @@ def run_label(spark: SparkSession, args: argparse.Namespace) -> int:
     # Written once: the calls are not made again by whoever reads the outcomes.
     outcomes = storage.cut_lineage(labelling.label(prompts, call, limits=prompt.limits, wait=args.wait))
     made = outcomes.where("outcome <> 'error'").select("article_fk", F.col("summary").alias("summary_text"), F.col("qc.passed").alias("qc_passed"))
-    labelling.new_labels(labels, made, prompt_version=prompt.version).write.mode("append").parquet(f"{args.tables}/labels")
+    storage.save(storage.cut_lineage(labelling.new_labels(labels, made, prompt_version=prompt.version)), args.tables, "labels")
     counts = labelling.label_counts(outcomes).first().asDict()
     print(json.dumps({"prompt_version": prompt.version, **counts}))
     return 0 if counts["labelled"] else 1
 
 
 def run_export(spark: SparkSession, args: argparse.Namespace) -> int:
-    read = lambda name: spark.read.parquet(f"{args.tables}/{name}")
+    read = lambda name: storage.load(spark, args.tables, name)
     rows = storage.cut_lineage(dataset.dataset_rows(read("labels"), read("articles"), read("sources"), prompt_version=args.prompt_version))
     storage.write_dataset(rows, f"{args.dataset_root}/{args.name}")
     dataset.split_sizes(rows).show()

@@ -20,44 +20,58 @@ _TOKEN = re.compile(r"[\wÀ-ỹ]+")
 
 @dataclass(frozen=True)
 class Options:
+    """``sentences`` and ``words`` take the place of the patterns, as a segmenter for a language would."""
+
     graph: str = "lexrank"
     threshold: float = 0.1
     damping: float = 0.85
     max_sentences: int = 4
     max_words: int = 70
+    sentences: Callable[[str], list[str]] | None = None
+    words: Callable[[str], list[str]] | None = None
+
+
+def _products(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, n: int, width: int = 1024) -> np.ndarray:
+    """The products of all pairs of ``n`` sparse rows, made from ``width`` columns at a time."""
+    out = np.zeros((n, n))
+    order = np.argsort(columns, kind="stable")
+    rows, columns, values = rows[order], columns[order], values[order]
+    edges = np.searchsorted(columns, np.arange(0, (columns[-1] if len(columns) else -1) + 1 + width, width))
+    for k, (lo, hi) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+        block = np.zeros((n, width))
+        block[rows[lo:hi], columns[lo:hi] - k * width] = values[lo:hi]
+        out += block @ block.T
+    return out
+
+
+def _sparse(sentences: list[dict[str, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(row, column, value) of each word of each sentence, and the number of columns."""
+    ids: dict[str, int] = {}
+    columns = [ids.setdefault(t, len(ids)) for s in sentences for t in s]
+    rows = np.repeat(np.arange(len(sentences)), [len(s) for s in sentences])
+    return rows, np.array(columns, np.int64), np.array([k for s in sentences for k in s.values()], np.float64), len(ids)
 
 
 def overlap_graph(tokens: list[list[str]]) -> np.ndarray:
     """Shared distinct words over the sum of the logs of one plus the sentence lengths; nothing on the diagonal."""
     n = len(tokens)
-    ids: dict[str, int] = {}
-    member = np.zeros((n, len({t for s in tokens for t in s})))
-    for i, s in enumerate(tokens):
-        member[i, [ids.setdefault(t, len(ids)) for t in set(s)]] = 1
+    rows, columns, values, _ = _sparse([dict.fromkeys(s, 1) for s in tokens])
     weight = np.log1p([len(s) for s in tokens])
     total = weight[:, None] + weight[None, :]
-    graph = np.divide(member @ member.T, total, out=np.zeros((n, n)), where=total > 0)
+    graph = np.divide(_products(rows, columns, values, n), total, out=np.zeros((n, n)), where=total > 0)
     np.fill_diagonal(graph, 0.0)
     return graph
 
 
 def cosine_graph(tokens: list[list[str]], threshold: float) -> np.ndarray:
     """Cosine of smoothed TF-IDF rows, below the threshold 0; without any word, the identity."""
-    n, ids = len(tokens), {}
-    counts = [Counter(t.lower() for t in s) for s in tokens]
-    for c in counts:
-        for t in c:
-            ids.setdefault(t, len(ids))
-    if not ids:
+    n = len(tokens)
+    rows, columns, tf, width = _sparse([Counter(t.lower() for t in s) for s in tokens])
+    if not width:
         return np.eye(n)
-    tf = np.zeros((n, len(ids)))
-    for i, c in enumerate(counts):
-        for t, k in c.items():
-            tf[i, ids[t]] = k
-    rows = tf * (np.log((1 + n) / (1 + (tf > 0).sum(axis=0))) + 1)
-    norm = np.linalg.norm(rows, axis=1, keepdims=True)
-    rows = np.divide(rows, norm, out=np.zeros_like(rows), where=norm > 0)
-    graph = rows @ rows.T
+    values = tf * (np.log((1 + n) / (1 + np.bincount(columns, minlength=width))) + 1)[columns]
+    norm = np.sqrt(np.bincount(rows, values**2, n))
+    graph = _products(rows, columns, values / norm[rows], n)
     if threshold > 0:
         graph[graph < threshold] = 0.0
     np.fill_diagonal(graph, 0.0)
@@ -81,9 +95,10 @@ def rank(graph: np.ndarray, damping: float = 0.85, rounds: int = 100, tolerance:
 
 def summarize(text: str | None, o: Options = Options()) -> str:
     """The best-ranked sentences in their order, cut to the word limit; ties go to the earlier sentence."""
-    parts = [s.strip() for s in _SENTENCE_END.split((text or "").strip()) if s.strip()]
+    split, cut = o.sentences or _SENTENCE_END.split, o.words or _TOKEN.findall
+    parts = [s.strip() for s in split((text or "").strip()) if s.strip()]
     if len(parts) > 1:
-        tokens = [[t.lower() for t in _TOKEN.findall(s)] for s in parts]
+        tokens = [[t.lower() for t in cut(s)] for s in parts]
         scores = rank(cosine_graph(tokens, o.threshold) if o.graph == "lexrank" else overlap_graph(tokens), o.damping)
         parts = [parts[i] for i in sorted(np.argsort(-scores, kind="stable")[: o.max_sentences])]
     joined = " ".join(parts)

@@ -94,6 +94,16 @@ def load_training(path: str) -> Training:
     return Training(**{f.name: flat[f.name] for f in fields(Training) if f.name in flat})
 
 
-def settings(environment: dict[str, str] | None = None) -> Settings:
-    env = os.environ if environment is None else environment
+def dotenv(path: str = ".env") -> dict[str, str]:
+    """Names and values of a file of ``NAME=value`` lines; comments, blank lines and a missing file give nothing."""
+    if not os.path.exists(path):
+        return {}
+    with open(path, encoding="utf-8") as text:
+        pairs = (line.strip().removeprefix("export ").partition("=") for line in text if "=" in line and not line.lstrip().startswith("#"))
+        return {name.strip(): value.strip().strip("\"'") for name, _, value in pairs}
+
+
+def settings(environment: dict[str, str] | None = None, file: str = ".env") -> Settings:
+    """From the environment, else from the file, else the defaults."""
+    env = dotenv(file) | dict(os.environ) if environment is None else environment
     return Settings(**{f.name: env[key] for f in fields(Settings) if (key := f"CORPUSLOOM_{f.name.upper()}") in env})

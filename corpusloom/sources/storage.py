@@ -16,6 +16,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def load(spark: SparkSession, place: str, name: str, **options) -> DataFrame:
+    """The table ``name`` of a folder of Parquet tables, or of a database if ``place`` is a JDBC URL.
+
+    For a database, ``options`` are the reader's; with ``partitionColumn``, ``lowerBound``,
+    ``upperBound`` and ``numPartitions`` it is read in parallel.
+    """
+    if place.startswith("jdbc:"):
+        return spark.read.format("jdbc").options(url=place, dbtable=name, **options).load()
+    return spark.read.parquet(f"{place}/{name}")
+
+
+def save(rows: DataFrame, place: str, name: str, *, mode: str = "append", **options) -> None:
+    """Write ``rows`` to where ``load`` finds them."""
+    if place.startswith("jdbc:"):
+        rows.write.format("jdbc").options(url=place, dbtable=name, **options).mode(mode).save()
+    else:
+        rows.write.mode(mode).parquet(f"{place}/{name}")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all of the cluster sees: the session's own setting.
 

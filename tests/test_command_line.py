@@ -42,6 +42,8 @@ def test_configuration(tmp_path):
     path.write_text("run_name: r\ndataset: {text_column: body, odd: 1}\ntraining: {seed: 7}\n")
     assert (load_training(str(path)).text_column, load_training(str(path)).seed, load_training(str(path)).target_column) == ("body", 7, "summary")
     assert settings({"CORPUSLOOM_WAREHOUSE": "w"}).warehouse == "w"
+    (tmp_path / ".env").write_text("# a comment\nexport CORPUSLOOM_WAREHOUSE='from file'\n\nODD\n")
+    assert settings(file=f"{tmp_path}/.env").warehouse == "from file" and settings(file=f"{tmp_path}/none").warehouse == "warehouse"
 
 
 def answer(prompt):

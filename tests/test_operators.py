@@ -149,6 +149,20 @@ def test_summaries(graph):
     assert summaries.summarize("one two three four five", summaries.Options(graph, max_words=4)) == "one two three four"
 
 
+def test_summaries_by_a_segmenter_of_ones_own():
+    o = summaries.Options(max_sentences=1, sentences=lambda t: t.split("|"), words=lambda s: s.split("_"))
+    assert summaries.summarize("a_b_c | a_b_d | x_y", o) in ("a_b_c", "a_b_d")
+
+
+def test_tables_of_a_database(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string")
+    for place in (f"jdbc:derby:{tmp_path}/db;create=true", str(tmp_path / "tables")):
+        storage.save(rows, place, "things", mode="overwrite")
+        storage.save(rows.where("id = 2"), place, "things")
+        got = storage.load(spark, place, "things").collect()
+        assert sorted((r[0], r[1]) for r in got) == [(1, "a"), (2, "b"), (2, "b")]
+
+
 def test_graphs_and_rank():
     tokens = [s.lower().split() for s in TEXT.split(". ")]
     for graph in (summaries.overlap_graph(tokens), summaries.cosine_graph(tokens, 0.0)):
