@@ -91,10 +91,6 @@ def features(words: list[str], s: Settings) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(owners), ((mixed * MIX) >> np.uint64(40)).astype(np.int64) % s.buckets
 
 
-def _means(rows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    return np.add.reduceat(rows, np.concatenate(([0], np.cumsum(sizes)[:-1])), axis=0) / sizes[:, None]
-
-
 def word_values(words: list[str], weights: np.ndarray, s: Settings) -> np.ndarray:
     """Each word's mean over its buckets."""
     owner, bucket = features(words, s)
@@ -164,34 +160,39 @@ def train(texts: list[str], labels: list[int], s: Settings) -> Model:
     evidence = _evidence(docs, y, bucket, starts, s.buckets)
     # What tells the classes apart no better than chance would only serve to learn documents by heart.
     known = np.abs(evidence) >= s.least_evidence
-    telling = np.add.reduceat((evidence * known)[bucket], starts[:-1]) / sizes
+    owner = np.repeat(np.arange(len(sizes)), sizes)[known[bucket]]
+    bucket = bucket[known[bucket]]
+    starts = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=len(sizes)))))
+    word_mean = lambda of_bucket: np.bincount(owner, of_bucket[bucket], len(sizes)) / sizes
+    # Words without a known bucket add nothing to a passage but its length.
+    passages = Passages(docs, s.passage, np.diff(starts) > 0)
+    telling = word_mean(evidence)
     table = rng.uniform(-1 / s.dim, 1 / s.dim, (s.buckets, s.dim)).astype(np.float32) * known[:, None]
     soft, bias = np.array([[-0.1, 0.1]] * s.dim, np.float32), np.zeros(2, np.float32)
     seen, soft_seen, bias_seen = np.full(s.buckets, 1e-3, np.float32), np.full_like(soft, 1e-3), np.full_like(bias, 1e-3)
     epochs = min(s.most_epochs, max(s.epochs, -(-s.steps * s.batch // len(docs))))
     for epoch in range(epochs):
-        value = np.add.reduceat((table @ (soft[:, 1] - soft[:, 0]))[bucket], starts[:-1]) / sizes
-        # At first the passages with the words that tell most, else chance decides which ones are ever looked at.
-        passages = [_worst(telling if epoch < s.early * epochs else value, d, s.passage) for d in docs]
+        # At first the passages with the buckets that tell most, else chance decides which ones are ever looked at.
+        worst = passages.worst(telling if epoch < s.early * epochs else word_mean(table @ (soft[:, 1] - soft[:, 0])))
         shuffled = rng.permutation(len(docs))
         for at in range(0, len(docs), s.batch):
             chosen = shuffled[at : at + s.batch]
-            lengths = np.array([len(passages[i][0]) for i in chosen])
-            whole = np.array([passages[i][1] for i in chosen])
-            words, flat = np.unique(np.concatenate([passages[i][0] for i in chosen]), return_inverse=True)
-            rows = np.concatenate([bucket[starts[w] : starts[w + 1]] for w in words])
-            vectors = _means(table[rows], sizes[words])
-            hidden = _means(vectors[flat], lengths) * (lengths / whole)[:, None]
+            held, lengths = passages.words_of(worst[chosen])
+            whole = passages.length[worst[chosen]]
+            words, flat = np.unique(held, return_inverse=True)
+            per_word = np.diff(starts)[words]
+            rows = np.concatenate([bucket[starts[w] : starts[w + 1]] for w in words] or [bucket[:0]])
+            of_word = np.repeat(np.arange(len(words)), per_word)
+            of_doc = np.repeat(np.arange(len(chosen)), lengths)
+            vectors = _sums(table[rows] / sizes[words][of_word][:, None], of_word, len(words))
+            hidden = _sums(vectors[flat], of_doc, len(chosen)) / whole[:, None]
             logits = hidden @ soft + bias
             p = np.exp(logits - logits.max(axis=1, keepdims=True))
             error = p / p.sum(axis=1, keepdims=True)
             error[np.arange(len(chosen)), y[chosen]] -= 1
-            g_words = np.zeros((len(words), s.dim))
-            np.add.at(g_words, flat, np.repeat(error @ soft.T / whole[:, None], lengths, axis=0))
+            g_words = _sums((error @ soft.T / whole[:, None])[of_doc], flat, len(words))
             touched, slot = np.unique(rows, return_inverse=True)
-            g_rows = np.zeros((len(touched), s.dim), np.float32)
-            np.add.at(g_rows, slot, np.repeat(g_words / sizes[words][:, None], sizes[words], axis=0).astype(np.float32))
-            g_rows *= known[touched][:, None]
+            g_rows = _sums((g_words / sizes[words][:, None])[of_word], slot, len(touched))
             seen[touched] += (g_rows**2).mean(axis=1)
             table[touched] -= s.rate * g_rows / np.sqrt(seen[touched])[:, None]
             for layer, so_far, gradient in ((soft, soft_seen, hidden.T @ error / len(chosen)), (bias, bias_seen, error.mean(axis=0))):
@@ -220,12 +221,32 @@ def _evidence(docs: list[np.ndarray], y: np.ndarray, bucket: np.ndarray, starts:
     return (odds[1] - odds[0]) / np.sqrt((1 / held).sum(axis=0))
 
 
-def _worst(value: np.ndarray, doc: np.ndarray, size: int) -> tuple[np.ndarray, int]:
-    """(distinct words, number of words) of the passage with the highest value."""
-    edges = passage_edges(len(doc), size)
-    best = int(np.argmax(passage_means(value, doc, size)))
-    passage = doc[edges[best] : edges[best + 1]]
-    return np.unique(passage), len(passage)
+def _sums(rows: np.ndarray, group: np.ndarray, groups: int) -> np.ndarray:
+    """The sum of the rows of each group."""
+    return np.stack([np.bincount(group, rows[:, k], groups) for k in range(rows.shape[1])], axis=1)
+
+
+class Passages:
+    """The passages of all documents, numbered on, with the distinct words of each that ``counts`` marks."""
+
+    def __init__(self, docs: list[np.ndarray], size: int, counts: np.ndarray):
+        edges = [passage_edges(len(d), size) for d in docs]
+        self.length = np.concatenate([np.diff(e) for e in edges])
+        self.first = np.concatenate(([0], np.cumsum([len(e) - 1 for e in edges])))
+        words = np.concatenate(docs)
+        passage = np.repeat(np.arange(len(self.length)), self.length)[counts[words]]
+        once = np.unique((passage << 32) | words[counts[words]])
+        self.passage, self.word = once >> 32, once & 0xFFFFFFFF
+        self.start = np.searchsorted(self.passage, np.arange(len(self.length) + 1))
+
+    def worst(self, value: np.ndarray) -> np.ndarray:
+        """The number of each document's passage with the highest value, the first of several."""
+        means = np.bincount(self.passage, value[self.word], len(self.length)) / self.length
+        return np.array([lo + means[lo:hi].argmax() for lo, hi in zip(self.first[:-1], self.first[1:], strict=True)])
+
+    def words_of(self, passages: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The words of some passages, one passage after the other, and how many each has."""
+        return np.concatenate([self.word[self.start[p] : self.start[p + 1]] for p in passages]), self.start[passages + 1] - self.start[passages]
 
 
 def held_out(doc_id) -> object:
