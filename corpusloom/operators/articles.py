@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text as T
 from corpusloom.functions.hashing import simhash64
 from corpusloom.functions.urls import canonical_category, canonical_url, url_category, url_hash
-from corpusloom.operators.dedupe import first_seen, greedy_keep, near_pairs, near_stored
+from corpusloom.operators.dedupe import first_seen, keep_first, near_stored
 from corpusloom.sources.storage import cut_lineage
 
 MIN_WORDS = 50
@@ -154,6 +154,6 @@ def ingest(candidates: DataFrame, stored: DataFrame, *, as_of: Column | None = N
     fresh = rows.where(F.col("early").isNull()).select("id", "simhash", "fetched_at")
     gone = near_stored(fresh, recent(stored, as_of, within_days), within_days=within_days, threshold=threshold)
     left = cut_lineage(fresh.join(gone, "id", "left_anti"))
-    kept = greedy_keep(left, near_pairs(left, within_days=within_days, threshold=threshold))
+    kept = keep_first(left, within_days=within_days, threshold=threshold)
     out = rows.join(kept.select("id", "kept"), "id", "left")
     return out.withColumn("outcome", F.coalesce("early", F.when(F.col("kept"), F.lit("inserted")).otherwise(F.lit("skipped_dupe")))).drop("early", "kept")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -66,6 +68,50 @@ def near_stored(fresh: DataFrame, stored: DataFrame, *, id_col: str = "id", hash
     return rows.join(latest, "h").where(F.col("last") >= F.col("t") - int(within_days * 86_400_000_000)).select("id")
 
 
+def _linked(rows: DataFrame, threshold: int) -> DataFrame:
+    """``(a, b)``: the different hashes of ``rows(h, slot)`` within the threshold that occur in the same or in neighbouring slots, both ways round."""
+    band = F.posexplode(F.array(*(F.shiftrightunsigned("h", BAND_BITS * k).bitwiseAND(F.lit(0xFFFF)) for k in range(BANDS)))).alias("band", "key")
+    classes = rows.select("h", "slot").distinct()
+    left = classes.select(F.col("h").alias("a"), "slot", band)
+    right = classes.select(F.col("h").alias("b"), band, F.explode(F.array(F.col("slot") - 1, F.col("slot"), F.col("slot") + 1)).alias("slot"))
+    met = left.join(right, ["band", "key", "slot"]).where((F.col("a") != F.col("b")) & (hamming(F.col("a"), F.col("b")) <= threshold))
+    return met.select("a", "b").distinct()
+
+
+def keep_first(articles: DataFrame, *, id_col: str = "id", hash_col: str = "simhash", time_col: str = "fetched_at", within_days: float = 2.0, threshold: int = 3) -> DataFrame:
+    """``(id, kept)``: in order of time, then id, a row is kept unless a kept row not over ``within_days`` before it is near.
+
+    Copies are handled as classes of one hash, so many of them make no pairs.  In each
+    round the earliest open row of a class is kept if no linked class has an earlier one;
+    that closes all later rows of its class and of linked ones within the window.  The
+    earliest open row of all is always decided, so the rounds end.  Rows without a time or
+    a hash are kept.
+    """
+    from corpusloom.sources.storage import cut_lineage
+
+    if threshold >= BANDS:
+        raise ValueError("four bands guarantee at most 3 differing bits")
+    span = int(within_days * 86_400_000_000)
+    rows = articles.select(F.col(id_col).alias("id"), F.col(hash_col).alias("h"), F.unix_micros(F.col(time_col).cast("timestamp")).alias("t"))
+    left = cut_lineage(rows.where(F.col("h").isNotNull() & F.col("t").isNotNull()))
+    links = cut_lineage(_linked(left.withColumn("slot", F.floor(F.col("t") / F.lit(max(1, span)))), threshold))
+    rounds: list[DataFrame] = []
+    while not left.isEmpty():
+        heads = left.groupBy("h").agg(F.min(F.struct("t", "id")).alias("head"))
+        behind = links.join(heads.withColumnRenamed("h", "a"), "a").join(heads.select(F.col("h").alias("b"), F.col("head").alias("earlier")), "b")
+        behind = behind.where(F.col("earlier") < F.col("head")).select(F.col("a").alias("h")).distinct()
+        chosen = cut_lineage(heads.join(behind, "h", "left_anti").select("h", "head.t", "head.id"))
+        rounds.append(chosen.select("id"))
+        if len(rounds) > 20:
+            rounds = [cut_lineage(functools.reduce(DataFrame.unionByName, rounds))]
+        # All open rows of these classes come after the rows that were chosen now.
+        reach = links.join(chosen.withColumnRenamed("h", "a"), "a").select(F.col("b").alias("h"), "t").unionByName(chosen.select("h", "t")).groupBy("h").agg(F.max("t").alias("_last"))
+        left = cut_lineage(left.join(reach, "h", "left").where(F.col("_last").isNull() | (F.col("t") > F.col("_last") + span)).drop("_last"))
+    plain = rows.where(F.col("h").isNull() | F.col("t").isNull()).select("id")
+    every = functools.reduce(DataFrame.unionByName, rounds, plain)
+    return rows.select("id").join(every.withColumn("_kept", F.lit(True)), "id", "left").select("id", F.col("_kept").isNotNull().alias("kept"))
+
+
 def greedy_keep(nodes: DataFrame, pairs: DataFrame, *, id_col: str = "id") -> DataFrame:
     """``(id, kept)``: a row is kept if no earlier kept row is its near duplicate.
 

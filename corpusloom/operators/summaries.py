@@ -33,7 +33,7 @@ class Options:
 
 def _products(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, n: int, width: int = 1024) -> np.ndarray:
     """The products of all pairs of ``n`` sparse rows, made from ``width`` columns at a time."""
-    out = np.zeros((n, n))
+    out, width = np.zeros((n, n)), max(1, min(width, int(columns.max(initial=0)) + 1))
     order = np.argsort(columns, kind="stable")
     rows, columns, values = rows[order], columns[order], values[order]
     edges = np.searchsorted(columns, np.arange(0, (columns[-1] if len(columns) else -1) + 1 + width, width))

@@ -119,8 +119,7 @@ SELECT id, keep AS kept FROM r WHERE k > 0
 
 @query(KEEP_SQL)
 def near_dup_keep(spark: SparkSession, d: str) -> DataFrame:
-    rows = _timed(spark, d)
-    return dedupe.greedy_keep(rows, dedupe.near_pairs(rows))
+    return dedupe.keep_first(_timed(spark, d))
 
 
 @query(f"WITH {WITH} SELECT id, CASE WHEN id % 11 = 0 THEN 'unknown status' WHEN id % 7 = 0 THEN 'word_count is negative' END AS violation FROM art")

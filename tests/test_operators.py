@@ -42,6 +42,15 @@ def test_near_pairs_and_greedy_keep(spark, seed):
         if not any((j, i) in near for j in kept):
             kept.add(i)
     assert {r["id"] for r in dedupe.greedy_keep(df, pairs).where("kept").collect()} == kept
+    assert {r["id"] for r in dedupe.keep_first(df).where("kept").collect()} == kept
+
+
+def test_many_copies_make_no_pairs(spark):
+    df = spark.range(20_000).select("id", F.lit(7).cast("long").alias("simhash"), (F.lit(NOW) + F.make_dt_interval(mins=F.col("id").cast("int"))).alias("fetched_at"))
+    df = df.unionByName(spark.createDataFrame([(30_000, None, NOW), (30_001, 7, None)], "id long, simhash long, fetched_at timestamp"))
+    # A copy is kept as soon as the last kept one is more than two days back.
+    assert {r["id"] for r in dedupe.keep_first(df).where("kept").collect()} == {30_000, 30_001, *range(0, 20_000, 2881)}
+    assert dedupe.keep_first(df.limit(0)).collect() == []
 
 
 def test_first_seen_and_caps(spark):
