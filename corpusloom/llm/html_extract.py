@@ -369,8 +369,11 @@ def templates(pages: DataFrame, *, support: int = 3, share: float = 0.02) -> Dat
     totals = kept.where((F.col("kind") == "page") & (F.col("pages") >= support)).select("host", "group", F.col("pages").alias("total"))
     hosts = totals.where(F.col("group") == WHOLE).select("host", F.col("total").alias("all"))
     sizes = totals.join(hosts, "host").where(F.col("total") >= share * F.col("all")).select("host", "group", "total")
+    # Rarer tokens of a hot host are as many as its pages are; they are told from frequent ones without meeting in one task.
+    weights = kept.groupBy("host", "group").agg(F.count(F.lit(1)).alias("n"))
+    known = cut_lineage(sizes.join(weights, ["host", "group"]))
     # A frequent token is on at least half of its group's pages, so a group has at most twice as many as a page.
-    frequent = kept.where(F.col("kind") != "page").join(sizes, ["host", "group"]).where(F.col("pages") * 2 >= F.col("total"))
+    frequent = look_up(kept.where(F.col("kind") != "page"), known, ["host", "group"], "n").where(F.col("pages") * 2 >= F.col("total"))
     grouped = frequent.groupBy("host", "group").agg(F.collect_list(F.struct(*Token._fields)).alias("tokens"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
