@@ -18,7 +18,7 @@ from corpusloom.functions import text
 from corpusloom.operators import articles, crawl, dataset, labelling, reports, scoring, summaries
 from corpusloom.sources import feeds, storage
 from corpusloom.sources.config import load_prompt, settings
-from corpusloom.streaming.incremental import store, stored_so_far
+from corpusloom.streaming.incremental import store, stored_so_far, stored_urls
 
 
 def parser() -> argparse.ArgumentParser:
@@ -44,13 +44,14 @@ def parser() -> argparse.ArgumentParser:
     label.add_argument("--tables", default=known.warehouse, help="folder of Parquet tables or JDBC URL")
     label.add_argument("--source", action="append", default=[])
     label.add_argument("--limit", type=int, default=50)
+    label.add_argument("--concurrency", type=int, default=1, help="calls under way at a time in each task")
     label.add_argument("--wait", type=float, default=1.0, help="seconds before a failed call is tried again; doubled each time")
     export = sub.add_parser("export", help="write a dataset version from labels, articles and sources")
     export.add_argument("name")
     export.add_argument("--prompt-version", required=True)
     export.add_argument("--tables", default=known.warehouse, help="folder of Parquet tables or JDBC URL")
     export.add_argument("--dataset-root", default=known.dataset_root)
-    evaluate = sub.add_parser("evaluate", help="score an extractive summariser on a split; ends with 2 without the dataset")
+    evaluate = sub.add_parser("evaluate", help="score a summariser on a split; ends with 2 without the dataset, the model or the scorer")
     evaluate.add_argument("--baseline", choices=("lexrank", "textrank"), default="lexrank")
     evaluate.add_argument("--dataset", default="v1")
     evaluate.add_argument("--dataset-root", default=known.dataset_root)
@@ -93,7 +94,7 @@ def run_crawl(spark: SparkSession, args: argparse.Namespace) -> int:
         stored = stored_so_far(spark, args.store)
         number = (stored.agg(F.max("batch")).first()[0] or 0) + 1
         now = F.lit(dt.datetime.now(dt.timezone.utc))
-        outcomes, robots = crawl.crawl(sources, stored, robots, get, now=now, batch=number, only=args.source, interval=args.delay, jitter=0.05, wait=args.wait)
+        outcomes, robots = crawl.crawl(sources, stored, robots, get, now=now, batch=number, only=args.source, known=stored_urls(spark, args.store).known, interval=args.delay, jitter=0.05, wait=args.wait)
         new, done = keep_run(spark, storage.cut_lineage(outcomes), args.store, number), done + 1
         if not args.schedule or done == args.rounds:
             return 0 if new else 1
@@ -107,7 +108,7 @@ def run_ingest(spark: SparkSession, args: argparse.Namespace) -> int:
     stored = stored_so_far(spark, args.store)
     number = (stored.agg(F.max("batch")).first()[0] or 0) + 1
     first = rows.agg(F.min("fetched_at")).first()[0]
-    outcomes = storage.cut_lineage(articles.ingest(rows, stored, as_of=None if first is None else F.lit(first)))
+    outcomes = storage.cut_lineage(articles.ingest(rows, stored, as_of=None if first is None else F.lit(first), known=stored_urls(spark, args.store).known))
     return 0 if keep_run(spark, outcomes, args.store, number) else 1
 
 
@@ -120,9 +121,11 @@ def run_label(spark: SparkSession, args: argparse.Namespace) -> int:
     asked = text.render_prompt(prompt.user_template, title=F.col("title"), category=F.col("category"), source=F.col("source_name"), content=F.col("content_text"))
     prompts = named.select(F.col("id").alias("article_fk"), text.source_text(F.col("title"), F.col("content_text")).alias("source_text"), asked.alias("prompt"))
     # Written once: the calls are not made again by whoever reads the outcomes.
-    outcomes = storage.cut_lineage(labelling.label(prompts, call, limits=prompt.limits, wait=args.wait))
+    outcomes = storage.cut_lineage(labelling.label(prompts, call, limits=prompt.limits, wait=args.wait, concurrency=args.concurrency))
     made = outcomes.where("outcome <> 'error'").select("article_fk", F.col("summary").alias("summary_text"), F.col("qc.passed").alias("qc_passed"))
     storage.save(storage.cut_lineage(labelling.new_labels(labels, made, prompt_version=prompt.version)), args.tables, "labels")
+    passed = outcomes.where("outcome = 'passed'").select(F.col("article_fk").alias("id"), F.lit("summarized").alias("status"))
+    storage.update(spark, passed, args.tables, "articles", "id")
     counts = labelling.label_counts(outcomes).first().asDict()
     print(json.dumps({"prompt_version": prompt.version, **counts}))
     return 0 if counts["labelled"] else 1
@@ -142,16 +145,21 @@ def run_evaluate(spark: SparkSession, args: argparse.Namespace) -> int:
     except FileNotFoundError as missing:
         print(f"no such dataset: {missing}", file=sys.stderr)
         return 2
+    try:
+        model, scorer = (imported(t) if t else None for t in (args.model, args.scorer))
+    except (ImportError, AttributeError, ValueError) as missing:
+        print(f"no such model or scorer: {missing}", file=sys.stderr)
+        return 2
     if args.limit is not None:
         rows = rows.orderBy("article_id", "url").limit(args.limit)
     options = summaries.Options(graph=args.baseline, max_words=args.max_words, max_sentences=args.max_sentences)
     asked = rows.withColumnRenamed("summary", "reference")
-    if args.model:
-        made = summaries.generated(asked, imported(args.model), text_col="content_text", out="prediction")
+    if model:
+        made = summaries.generated(asked, model, text_col="content_text", out="prediction")
     else:
         made = summaries.with_summary(asked, text_col="content_text", options=options, out="prediction")
     pairs = storage.cut_lineage(made.select(F.concat_ws(":", "article_id", "url").alias("id"), "prediction", "reference"))
-    scores = scoring.corpus_scores(pairs, scorer=imported(args.scorer) if args.scorer else None).first().asDict()
+    scores = scoring.corpus_scores(pairs, scorer=scorer).first().asDict()
     if args.metrics:
         storage.metrics_row(spark, args.metrics, f"{args.dataset}-{args.split}", {"model": args.model or args.baseline, "max_words": args.max_words}, scores)
     print(json.dumps({"baseline": args.model or args.baseline, "split": args.split, **scores}, ensure_ascii=False))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -127,7 +127,7 @@ def or_else(first: Column, *others: Column) -> Column:
     return F.coalesce(*(F.nullif(c, F.lit("")) for c in (first, *others)))
 
 
-def ingest(candidates: DataFrame, stored: DataFrame, *, as_of: Column | None = None, within_days: float = 2.0, threshold: int = 3) -> DataFrame:
+def ingest(candidates: DataFrame, stored: DataFrame, *, as_of: Column | None = None, known: Callable[[DataFrame], DataFrame] | None = None, within_days: float = 2.0, threshold: int = 3) -> DataFrame:
     """Each candidate with its ``outcome`` and, if it is inserted, its article's columns; candidates have different ids.
 
     ``candidates`` has id, source_id, url, title, category, published_at, fetched_at, allowed and html
@@ -136,11 +136,13 @@ def ingest(candidates: DataFrame, stored: DataFrame, *, as_of: Column | None = N
     fetch, extraction; then near duplicates of stored rows, fetched later ones included, and
     of rows of the batch that are kept and were fetched earlier, within the window.  A near
     duplicate is not stored.  ``as_of``, the earliest time of the batch, keeps older stored
-    rows from being read but for their URLs.
+    rows from being read but for their URLs; with ``known``, which gives those of some URL
+    hashes (``url_hash``) that are stored (as ``key``), even these are not.
     """
     keyed = candidates.withColumns({"canonical": canonical_url(F.col("url")), "url_hash": url_hash(F.col("url"))})
     once = first_seen(keyed, "canonical", F.col("id"))
-    seen = once.join(stored.select("url_hash", F.lit(True).alias("_seen")).distinct(), "url_hash", "left")
+    before = stored.select("url_hash").distinct() if known is None else known(once.select("url_hash")).withColumnRenamed("key", "url_hash")
+    seen = once.join(before.withColumn("_seen", F.lit(True)), "url_hash", "left")
     early = F.when(F.col("_seen"), F.lit("skipped_seen")).when(~F.coalesce("allowed", F.lit(True)), F.lit("skipped_robots")).when(F.col("html").isNull(), F.lit("fetch_failed"))
     marked = seen.withColumn("_early", early)
     read = extracted(marked.withColumn("html", F.when(F.col("_early").isNull(), F.col("html"))))

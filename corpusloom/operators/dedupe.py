@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import functools
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -78,14 +81,63 @@ def _linked(rows: DataFrame, threshold: int) -> DataFrame:
     return met.select("a", "b").distinct()
 
 
-def keep_first(articles: DataFrame, *, id_col: str = "id", hash_col: str = "simhash", time_col: str = "fetched_at", within_days: float = 2.0, threshold: int = 3) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
+    """``(a, comp)``: the smallest value that each value of ``links(a, b)``, given both ways round, is joined to.
+
+    In each round a value takes the least label of its neighbours and then that label's own,
+    so the rounds grow with the logarithm of the longest chain or little more.
+    """
+    from corpusloom.sources.storage import cut_lineage
+
+    labels = cut_lineage(links.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("comp")))
+    while True:
+        seen = links.join(labels.select(F.col("a").alias("b"), "comp"), "b").groupBy("a").agg(F.min("comp").alias("least"))
+        lower = labels.join(seen, "a").select("a", F.col("comp").alias("was"), F.least("comp", "least").alias("label"))
+        own = labels.select(F.col("a").alias("label"), "comp")
+        new = cut_lineage(lower.join(own, "label").select("a", F.least("label", "comp").alias("comp"), "was"))
+        labels = new.select("a", "comp")
+        if new.where("comp <> was").isEmpty():
+            return labels
+
+
+def _swept(rows: DataFrame, links: DataFrame, span: int) -> DataFrame:
+    """Ids of the rows of ``rows(comp, id, h, t)`` that are kept, by one pass over each component in order of time.
+
+    ``links(comp, a, b)`` come before a component's rows and are what the pass holds; the rows stream by.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        comp, linked, closed = None, {}, {}
+        for batch in batches:
+            kept = np.zeros(batch.num_rows, bool)
+            for k, (own, a, b, h, t) in enumerate(zip(*(batch.column(c).to_numpy().tolist() for c in ("comp", "a", "b", "h", "t")), strict=True)):
+                if own != comp:
+                    comp, linked, closed = own, {}, {}
+                if t < 0:
+                    linked.setdefault(a, []).append(b)
+                elif t > closed.get(h, -1):
+                    kept[k] = True
+                    closed[h] = t + span
+                    for other in linked.get(h, ()):
+                        closed[other] = t + span
+            yield batch.select(["id"]).filter(pa.array(kept))
+
+    # Times are counted from the first one on, so that -1 comes before all of them.
+    zero, none = F.lit(0).cast("long"), F.lit(None).cast(rows.schema["id"].dataType)
+    first = rows.agg(F.min("t")).first()[0]
+    heads = links.select("comp", "a", "b", zero.alias("h"), F.lit(-1).cast("long").alias("t"), none.alias("id"))
+    every = heads.unionByName(rows.select("comp", zero.alias("a"), zero.alias("b"), "h", (F.col("t") - (first or 0)).alias("t"), "id"))
+    return every.repartition("comp").sortWithinPartitions("comp", "t", "id").mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}")
+
+
+def keep_first(articles: DataFrame, *, id_col: str = "id", hash_col: str = "simhash", time_col: str = "fetched_at", within_days: float = 2.0, threshold: int = 3, most: int = 5_000_000) -> DataFrame:
     """``(id, kept)``: in order of time, then id, a row is kept unless a kept row not over ``within_days`` before it is near.
 
-    Copies are handled as classes of one hash, so many of them make no pairs.  In each
-    round the earliest open row of a class is kept if no linked class has an earlier one;
-    that closes all later rows of its class and of linked ones within the window.  The
-    earliest open row of all is always decided, so the rounds end.  Rows without a time or
-    a hash are kept.
+    Hashes that are near each other within the window, directly or by others, are a
+    component, and nothing outside decides its rows: each is swept once in order of time, in
+    one pass whatever the time covered.  Components of more than ``most`` rows, which would
+    hold up one task, are decided in rounds instead (``_in_rounds``).  Rows without a time
+    or a hash are kept.
     """
     from corpusloom.sources.storage import cut_lineage
 
@@ -93,9 +145,34 @@ def keep_first(articles: DataFrame, *, id_col: str = "id", hash_col: str = "simh
         raise ValueError("four bands guarantee at most 3 differing bits")
     span = int(within_days * 86_400_000_000)
     rows = articles.select(F.col(id_col).alias("id"), F.col(hash_col).alias("h"), F.unix_micros(F.col(time_col).cast("timestamp")).alias("t"))
-    left = cut_lineage(rows.where(F.col("h").isNotNull() & F.col("t").isNotNull()))
-    links = cut_lineage(_linked(left.withColumn("slot", F.floor(F.col("t") / F.lit(max(1, span)))), threshold))
-    rounds: list[DataFrame] = []
+    timed = cut_lineage(rows.where(F.col("h").isNotNull() & F.col("t").isNotNull()))
+    links = cut_lineage(_linked(timed.withColumn("slot", F.floor(F.col("t") / F.lit(max(1, span)))), threshold))
+    of = components(links)
+    sizes = timed.groupBy("h").agg(F.count(F.lit(1)).alias("n")).join(of.withColumnRenamed("a", "h"), "h", "left").withColumn("comp", F.coalesce("comp", "h"))
+    # At most one for every ``most`` rows.
+    large = F.broadcast(cut_lineage(sizes.groupBy("comp").agg(F.sum("n").alias("n")).where(F.col("n") > most).select("comp", F.lit(True).alias("large"))))
+    placed = sizes.select("h", "comp").join(large, "comp", "left")
+    known = timed.join(placed, "h")
+    kept = _swept(known.where("large IS NULL").drop("large"), links.join(of, "a").join(large, "comp", "left_anti"), span)
+    if not large.isEmpty():
+        hot = cut_lineage(known.where("large").select("id", "h", "t"))
+        kept = kept.unionByName(_in_rounds(hot, links.join(hot.select(F.col("h").alias("a")).distinct(), "a", "left_semi"), span))
+    kept = kept.unionByName(rows.where(F.col("h").isNull() | F.col("t").isNull()).select("id"))
+    return rows.select("id").join(kept.withColumn("_kept", F.lit(True)), "id", "left").select("id", F.col("_kept").isNotNull().alias("kept"))
+
+
+def _in_rounds(left: DataFrame, links: DataFrame, span: int) -> DataFrame:
+    """Ids of the rows of ``left(id, h, t)`` that are kept.
+
+    Copies are handled as classes of one hash, so many of them make no pairs.  In each
+    round the earliest open row of a class is kept if no linked class has an earlier one;
+    that closes all later rows of its class and of linked ones within the window.  The
+    earliest open row of all is always decided, so the rounds end; their number grows with
+    the time covered.
+    """
+    from corpusloom.sources.storage import cut_lineage
+
+    links, rounds = cut_lineage(links), [left.select("id").limit(0)]
     while not left.isEmpty():
         heads = left.groupBy("h").agg(F.min(F.struct("t", "id")).alias("head"))
         behind = links.join(heads.withColumnRenamed("h", "a"), "a").join(heads.select(F.col("h").alias("b"), F.col("head").alias("earlier")), "b")
@@ -107,33 +184,4 @@ def keep_first(articles: DataFrame, *, id_col: str = "id", hash_col: str = "simh
         # All open rows of these classes come after the rows that were chosen now.
         reach = links.join(chosen.withColumnRenamed("h", "a"), "a").select(F.col("b").alias("h"), "t").unionByName(chosen.select("h", "t")).groupBy("h").agg(F.max("t").alias("_last"))
         left = cut_lineage(left.join(reach, "h", "left").where(F.col("_last").isNull() | (F.col("t") > F.col("_last") + span)).drop("_last"))
-    plain = rows.where(F.col("h").isNull() | F.col("t").isNull()).select("id")
-    every = functools.reduce(DataFrame.unionByName, rounds, plain)
-    return rows.select("id").join(every.withColumn("_kept", F.lit(True)), "id", "left").select("id", F.col("_kept").isNotNull().alias("kept"))
-
-
-def greedy_keep(nodes: DataFrame, pairs: DataFrame, *, id_col: str = "id") -> DataFrame:
-    """``(id, kept)``: a row is kept if no earlier kept row is its near duplicate.
-
-    What arriving in order gives, computed in rounds: a row with no earlier neighbours left
-    undecided is kept, its later neighbours are dropped, and so on.  Each round checkpoints
-    the undecided pairs and the decisions; the number of rounds is the length of the longest
-    chain of alternating decisions, and each decides the earliest undecided row at least.
-    """
-    from corpusloom.sources.storage import cut_lineage
-
-    left = cut_lineage(pairs.select("earlier", "later").distinct())
-    dropped = None
-    while not left.isEmpty():
-        waiting = left.select(F.col("later").alias("n")).distinct()
-        kept_now = left.select(F.col("earlier").alias("n")).distinct().join(waiting, "n", "left_anti")
-        gone = cut_lineage(left.join(kept_now, left["earlier"] == kept_now["n"], "left_semi").select(F.col("later").alias("n")).distinct())
-        dropped = gone if dropped is None else cut_lineage(dropped.unionByName(gone))
-        # Pairs from a kept row are settled; so are all pairs of a dropped one.
-        rest = left.join(kept_now, left["earlier"] == kept_now["n"], "left_anti")
-        rest = rest.join(gone, rest["earlier"] == gone["n"], "left_anti")
-        left = cut_lineage(rest.join(gone, rest["later"] == gone["n"], "left_anti"))
-    every = nodes.select(F.col(id_col).alias("id"))
-    if dropped is None:
-        return every.withColumn("kept", F.lit(True))
-    return every.join(dropped.select(F.col("n").alias("id"), F.lit(False).alias("_gone")), "id", "left").select("id", F.col("_gone").isNull().alias("kept"))
+    return functools.reduce(DataFrame.unionByName, rounds)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -46,39 +47,40 @@ def parse_reply(raw: Column) -> Column:
     return F.struct(summary.alias("summary"), F.coalesce(got["key_entities"], F.array().cast("array<string>")).alias("key_entities"), confidence.alias("confidence"), got["refusal_reason"].alias("refusal_reason"), error.alias("error"))
 
 
-def generate(prompts: DataFrame, call: Callable[[str], str], *, prompt_col: str = "prompt", tries: int = 5, wait: float = 0.0, transient: tuple[str, ...] = ("429", "deadline", "unavailable", "timeout", "internal")) -> DataFrame:
+def generate(prompts: DataFrame, call: Callable[[str], str], *, prompt_col: str = "prompt", tries: int = 5, wait: float = 0.0, concurrency: int = 1, transient: tuple[str, ...] = ("429", "deadline", "unavailable", "timeout", "internal")) -> DataFrame:
     """``prompts`` with ``reply`` and ``call_error`` from the given callable.
 
     Transient errors are tried again, after ``wait`` seconds, then twice as many, and so on, a
-    minute at most; others become data.
+    minute at most; others become data.  Each task has ``concurrency`` calls under way at
+    a time; answers keep the order of their prompts.
     """
 
+    def ask(prompt: str) -> tuple[str | None, str | None]:
+        error = None
+        for attempt in range(tries):
+            if attempt and wait:
+                time.sleep(min(60.0, wait * 2 ** (attempt - 1)) * random.uniform(0.8, 1.2))
+            try:
+                return call(prompt), None
+            except Exception as problem:  # noqa: BLE001  the adapter's errors are data
+                error = f"{type(problem).__name__}: {problem}"
+                if not any(word in error.lower() for word in transient):
+                    break
+        return None, error
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            replies, errors = [], []
-            for prompt in batch[prompt_col]:
-                reply = error = None
-                for attempt in range(tries):
-                    if attempt and wait:
-                        time.sleep(min(60.0, wait * 2 ** (attempt - 1)) * random.uniform(0.8, 1.2))
-                    try:
-                        reply, error = call(prompt), None
-                        break
-                    except Exception as problem:  # noqa: BLE001  the adapter's errors are data
-                        error = f"{type(problem).__name__}: {problem}"
-                        if not any(word in error.lower() for word in transient):
-                            break
-                replies.append(reply)
-                errors.append(error)
-            yield batch.assign(reply=replies, call_error=errors)
+        with ThreadPoolExecutor(max(1, concurrency)) as pool:
+            for batch in batches:
+                answers = list(pool.map(ask, batch[prompt_col]))
+                yield batch.assign(reply=[a for a, _ in answers], call_error=[e for _, e in answers])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in prompts.schema.fields)
     return prompts.mapInPandas(run, f"{fields}, reply string, call_error string")
 
 
-def label(prompts: DataFrame, call: Callable[[str], str], *, limits: Thresholds = Thresholds(), source: str = "source_text", fuzzy: bool = True, wait: float = 0.0) -> DataFrame:
+def label(prompts: DataFrame, call: Callable[[str], str], *, limits: Thresholds = Thresholds(), source: str = "source_text", fuzzy: bool = True, wait: float = 0.0, concurrency: int = 1) -> DataFrame:
     """Replies parsed and checked: ``outcome`` is error, failed or passed; ``qc`` is null for errors."""
-    parsed = generate(prompts, call, wait=wait).withColumn("_p", parse_reply(F.col("reply")))
+    parsed = generate(prompts, call, wait=wait, concurrency=concurrency).withColumn("_p", parse_reply(F.col("reply")))
     flat = parsed.withColumns({"summary": F.col("_p.summary"), "refusal_reason": F.col("_p.refusal_reason"), "error": F.coalesce("call_error", "_p.error")}).drop("_p")
     checked = quality(flat, summary="summary", source=source, limits=limits, fuzzy=fuzzy)
     outcome = F.when(F.col("error").isNotNull(), F.lit("error")).when(F.col("qc.passed"), F.lit("passed")).otherwise(F.lit("failed"))

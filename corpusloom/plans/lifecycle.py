@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import json
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,8 +17,10 @@ from corpusloom.plans import domain
 from corpusloom.plans.catalog import ASCII, BITS, CANON, CHECKED, HASHES, HOST, LIMITS, NORMALIZED, WORDS, _pairs, _timed, query
 from corpusloom.plans.domain import WITH
 from corpusloom.sources import feeds, storage
+from corpusloom.sources.keys import KeyStore
 from corpusloom.sources.storage import table
-from corpusloom.streaming import incremental
+from corpusloom.sources.versions import Table
+from corpusloom.streaming import incremental, near_state
 
 # Discovery
 
@@ -122,6 +126,29 @@ def near_dup_keep(spark: SparkSession, d: str) -> DataFrame:
     return dedupe.keep_first(_timed(spark, d))
 
 
+@query(KEEP_SQL)
+def streaming_near_keep(spark: SparkSession, d: str) -> DataFrame:
+    """The same from a stream: the middle third of the time comes first, then the first, then the last, and a beat far ahead that lets the rest go."""
+    folder = f"{storage.shared_dir(spark)}/near-{uuid.uuid4().hex}"
+    rows = _timed(spark, d)
+    low, high = rows.agg(F.min("fetched_at"), F.max("fetched_at")).first()
+    if low is None:
+        return rows.select("id", F.lit(True).alias("kept"))
+    span = high - low + dt.timedelta(seconds=1)
+    put = lambda part, name: part.write.parquet(f"{folder}/in/{name}")
+    third = lambda k: rows.where((F.col("fetched_at") >= F.lit(low + k * span / 3)) & (F.col("fetched_at") < F.lit(low + (k + 1) * span / 3)))
+    put(third(1), "1")
+    stream = spark.readStream.schema(rows.schema).parquet(f"{folder}/in/*")
+    running = near_state.near_keep_stream(stream, folder, f"{folder}/state", late=f"{int(span.total_seconds() * 2 / 3) + 1} seconds")
+    for k in (0, 2):
+        running.processAllAvailable()
+        put(third(k), str(k))
+    running.processAllAvailable()
+    put(spark.createDataFrame([(-1, 0, high + dt.timedelta(days=1000))], rows.schema), "beat")
+    near_state.settle(running)
+    return spark.read.schema("id long, kept boolean").parquet(f"{folder}/decided").where("id >= 0").select("id", "kept")
+
+
 @query(f"WITH {WITH} SELECT id, CASE WHEN id % 11 = 0 THEN 'unknown status' WHEN id % 7 = 0 THEN 'word_count is negative' END AS violation FROM art")
 def article_violations(spark: SparkSession, d: str) -> DataFrame:
     rows = domain.articles(spark, d).withColumns({"url_hash": U.url_hash(F.col("url")), "status": F.when(F.col("id") % 11 == 0, F.lit("lost")).otherwise(F.col("status")), "word_count": F.when(F.col("id") % 7 == 0, F.lit(-1)).otherwise(F.lit(1))})
@@ -145,6 +172,31 @@ def articles_insert(spark: SparkSession, d: str) -> DataFrame:
     return fresh.select("page_id", F.lit(False).alias("skipped")).unionByName(skipped.select("page_id", F.lit(True).alias("skipped"))).distinct()
 
 
+@query(f"WITH p AS (SELECT page_id, {CANON} AS canonical FROM pages WHERE {CANON} IS NOT NULL) SELECT page_id, canonical IN (SELECT canonical FROM p WHERE page_id % 4 <> 3) AS known FROM p WHERE page_id % 4 = 3")
+def urls_known(spark: SparkSession, d: str) -> DataFrame:
+    """Three quarters of the pages are stored in batches; which URLs of the last quarter are among them."""
+    rows = table(spark, d, "pages").select("page_id", U.url_hash(F.col("url")).alias("url_hash")).where("url_hash IS NOT NULL")
+    store = KeyStore(spark, f"{storage.shared_dir(spark)}/urls-{uuid.uuid4().hex}", buckets=16)
+    for batch in range(3):
+        store.add(rows.where(F.col("page_id") % 4 == batch).select("url_hash"), batch)
+    asked = rows.where("page_id % 4 = 3")
+    found = store.known(asked.select("url_hash")).select(F.col("key").alias("url_hash"), F.lit(True).alias("known"))
+    return asked.join(found, "url_hash", "left").select("page_id", F.coalesce("known", F.lit(False)).alias("known"))
+
+
+@query("SELECT o.c_custkey AS k, o.c_name AS name, CASE WHEN c_custkey % 2 = 0 THEN -1.0 WHEN c_custkey % 3 = 0 THEN NULL ELSE o.c_acctbal END AS balance FROM (SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_name END AS c_name, c_acctbal FROM customer) o WHERE c_custkey % 7 <> 0 AND (c_custkey % 3 <> 0 OR c_custkey % 2 = 0)")
+def customers_versioned(spark: SparkSession, d: str) -> DataFrame:
+    """Appended, merged, taken down and vacuumed in a versioned table, then read from its files."""
+    rows = table(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"))
+    kept = Table(spark, f"{storage.shared_dir(spark)}/customers-{uuid.uuid4().hex}", "k", "k long, name string, balance double", buckets=16)
+    kept.append(rows.where("k % 3 <> 0"))
+    kept.merge(rows.where("k % 2 = 0").select("k", F.lit(-1.0).alias("balance")))
+    kept.delete(rows.where("k % 7 = 0").select("k"))
+    kept.compact(most_files=1)
+    kept.vacuum()
+    return kept.read()
+
+
 @query(f"WITH {WITH} SELECT id FROM art WHERE fetched_at >= (SELECT max(fetched_at) FROM art) - INTERVAL 1 DAY AND id % 7 <> 0")
 def articles_retained(spark: SparkSession, d: str) -> DataFrame:
     rows = domain.articles(spark, d)

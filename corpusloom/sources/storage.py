@@ -35,6 +35,39 @@ def save(rows: DataFrame, place: str, name: str, *, mode: str = "append", **opti
         rows.write.mode(mode).parquet(f"{place}/{name}")
 
 
+def update(spark: SparkSession, rows: DataFrame, place: str, name: str, key: str) -> None:
+    """Set the columns of ``rows`` in the rows of a stored table that have their key.
+
+    A database is updated in place, a row of ``rows`` at a time from the driver, so give it
+    a batch's worth.  Of a folder, the files that hold one of the keys are written anew and
+    then deleted; who must never see a half-done change keeps the table as ``versions.Table``.
+    """
+    if place.startswith("jdbc:"):
+        columns = [c for c in rows.columns if c != key]
+        connection = spark._jvm.java.sql.DriverManager.getConnection(place)
+        try:
+            connection.setAutoCommit(False)
+            quoted = spark._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(place).quoteIdentifier
+            change = connection.prepareStatement(f"UPDATE {name} SET {', '.join(f'{quoted(c)} = ?' for c in columns)} WHERE {quoted(key)} = ?")
+            for row in rows.toLocalIterator():
+                for k, c in enumerate((*columns, key), 1):
+                    change.setObject(k, row[c])
+                change.executeUpdate()
+            connection.commit()
+        finally:
+            connection.close()
+        return
+    folder = f"{place}/{name}"
+    stored = spark.read.parquet(folder)
+    rows = cut_lineage(rows.join(stored.select(key), key, "left_semi"))
+    held = [r[0] for r in stored.select(key, F.col("_metadata.file_path").alias("_file")).join(rows.select(key), key, "left_semi").select("_file").distinct().collect()]
+    if held:
+        upsert(spark.read.schema(stored.schema).parquet(*held), rows, key).write.mode("append").parquet(folder)
+        for path in held:
+            hadoop = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(path))
+            hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, False)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all of the cluster sees: the session's own setting.
 
@@ -58,7 +91,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
 
@@ -69,7 +102,7 @@ def read_split(spark: SparkSession, folder: str, split: str) -> DataFrame:
     Blank lines go, a missing file raises ``FileNotFoundError``; null texts become '', a
     missing id 0, an id that is no number raises; category and published_at stay null.
     """
-    path = next((p for p in (f"{folder}/{split}.jsonl", f"{folder}/split={split}") if _exists(spark, p)), None)
+    path = next((p for p in (f"{folder}/{split}.jsonl", f"{folder}/split={split}") if exists(spark, p)), None)
     if path is None:
         raise FileNotFoundError(f"{folder}/{split}.jsonl")
     raw = spark.read.schema(EXAMPLE.replace("article_id bigint", "article_id string")).json(path)

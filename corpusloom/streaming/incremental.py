@@ -11,25 +11,29 @@ from pyspark.sql.streaming import StreamingQuery
 
 from corpusloom.functions.text import normalized
 from corpusloom.operators.articles import ingest
-from corpusloom.sources.storage import cut_lineage
+from corpusloom.sources.keys import KeyStore
+from corpusloom.sources.storage import cut_lineage, exists
 
 STORED = "id long, url_hash string, simhash long, fetched_at timestamp"
 
 
 def stored_so_far(spark: SparkSession, folder: str, before: int | None = None) -> DataFrame:
     """What earlier batches stored; a batch that runs again does not see its own first try."""
-    try:
-        found = spark.read.parquet(folder)
-    except Exception as problem:  # noqa: BLE001
-        if "PATH_NOT_FOUND" in str(problem) or "UNABLE_TO_INFER_SCHEMA" in str(problem):
-            return spark.createDataFrame([], STORED + ", batch long, day date")
-        raise
+    if not exists(spark, folder):
+        return spark.createDataFrame([], STORED + ", batch long, day date")
+    found = spark.read.parquet(folder)
     return found if before is None else found.where(F.col("batch") < before)
 
 
+def stored_urls(spark: SparkSession, folder: str) -> KeyStore:
+    """The URL hashes of what ``folder`` holds, beside it."""
+    return KeyStore(spark, f"{folder}_urls")
+
+
 def store(outcomes: DataFrame, folder: str, batch: int) -> None:
-    """Write a batch's inserted rows to its own sub-folder, by day."""
+    """Write a batch's inserted rows to its own sub-folder, by day, and their URL hashes to the store of these."""
     inserted = outcomes.where(F.col("outcome") == "inserted").drop("outcome").withColumn("day", F.to_date("fetched_at"))
+    stored_urls(outcomes.sparkSession, folder).add(inserted.select("url_hash"), batch)
     inserted.write.mode("overwrite").partitionBy("day").parquet(f"{folder}/batch={batch}")
 
 
@@ -38,14 +42,15 @@ def ingest_stream(candidates: DataFrame, folder: str, checkpoint: str, *, proces
 
     Without ``processing_time`` it takes what is there and ends.  A batch's rows are
     written to the batch's own sub-folder, by day, overwriting a failed try's, so each is
-    stored once.  Of the whole history only URL hashes are read; near duplicates are looked
-    for from two days before the batch's first row on, and older days are not opened.
+    stored once.  Of the whole history only those files of URL hashes are opened that may hold
+    one of the batch (``KeyStore``); near duplicates are looked for from two days before the batch's first row on, and older days are not opened.
     """
 
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         first = batch.agg(F.min("fetched_at")).first()[0]
-        outcomes = cut_lineage(ingest(batch, stored_so_far(spark, folder, before=number), as_of=None if first is None else F.lit(first)))
+        urls = stored_urls(spark, folder)
+        outcomes = cut_lineage(ingest(batch, stored_so_far(spark, folder, before=number), as_of=None if first is None else F.lit(first), known=lambda keys: urls.known(keys, before=number)))
         store(outcomes, folder, number)
         if on_batch:
             on_batch(outcomes, number)
@@ -55,19 +60,19 @@ def ingest_stream(candidates: DataFrame, folder: str, checkpoint: str, *, proces
 
 
 def dedupe_stream(rows: DataFrame, folder: str, checkpoint: str, *, id_col: str = "doc_id", text_col: str = "text") -> StreamingQuery:
-    """Append the rows whose normalised text no earlier row has, the smallest id of a batch first."""
+    """Append the rows whose normalised text no earlier row has, the smallest id of a batch first.
+
+    The hashes of all texts so far are a ``KeyStore`` beside ``folder``, of which a batch
+    opens only files that may hold one of its own.
+    """
 
     def step(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
         keyed = batch.withColumn("key", F.sha2(normalized(F.col(text_col)), 256))
         ranked = keyed.withColumn("_rank", F.row_number().over(W.partitionBy("key").orderBy(id_col))).where(F.col("_rank") == 1).drop("_rank")
-        try:
-            known = spark.read.parquet(folder).where(F.col("batch") < number).select("key")
-            ranked = ranked.join(known, "key", "left_anti")
-        except Exception as problem:  # noqa: BLE001
-            if "PATH_NOT_FOUND" not in str(problem) and "UNABLE_TO_INFER_SCHEMA" not in str(problem):
-                raise
-        ranked.write.mode("overwrite").parquet(f"{folder}/batch={number}")
+        first, keys = cut_lineage(ranked), KeyStore(batch.sparkSession, f"{folder}_keys")
+        fresh = cut_lineage(first.join(keys.known(first.select("key"), before=number), "key", "left_anti"))
+        keys.add(fresh.select("key"), number)
+        fresh.write.mode("overwrite").parquet(f"{folder}/batch={number}")
 
     return rows.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -83,4 +88,4 @@ def retained(articles: DataFrame, as_of, days: int = 30, taken_down: DataFrame |
     return kept if taken_down is None else kept.join(taken_down.select("id"), "id", "left_anti")
 
 
-__all__ = ["dedupe_stream", "event_windows", "ingest_stream", "retained", "store", "stored_so_far"]
+__all__ = ["dedupe_stream", "event_windows", "ingest_stream", "retained", "store", "stored_so_far", "stored_urls"]

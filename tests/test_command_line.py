@@ -64,8 +64,10 @@ def test_labels_are_appended(spark, tmp_path, capsys):
     report = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
     assert (report["requested"], report["qc_passed"], report["qc_failed"], report["llm_errors"]) == (3, 1, 1, 1)
     assert {(r["article_fk"], r["qc_passed"]) for r in spark.read.parquet(f"{tmp_path}/labels").collect()} == {(4, True), (1, True), (2, False)}
-    assert main(args, spark) == 1
-    assert spark.read.parquet(f"{tmp_path}/labels").count() == 3
+    status = lambda: {r["id"]: r["status"] for r in spark.read.parquet(f"{tmp_path}/articles").collect()}
+    assert status() == {1: "summarized", 2: "cleaned", 3: "cleaned", 4: "cleaned"} and spark.read.parquet(f"{tmp_path}/articles").where("content_text IS NULL").count() == 0
+    assert main([*args, "--concurrency", "3"], spark) == 1
+    assert spark.read.parquet(f"{tmp_path}/labels").count() == 3 and status()[1] == "summarized"
 
 
 def web(url):
@@ -103,6 +105,8 @@ def test_evaluate_a_model(spark, tmp_path, capsys):
     text = "The river rose. The market closed early."
     rows = spark.createDataFrame([(i, "s", f"u{i}", "t", None, None, text, text, "v1", s) for i, s in enumerate(("train", "val", "test"))], "article_id long, source string, url string, title string, category string, published_at string, content_text string, summary string, prompt_version string, split string")
     write_dataset(rows, f"{tmp_path}/v1")
+    for missing in ("no_such_module:f", "tests.test_command_line:no_such", "nothing"):
+        assert main(["evaluate", "--dataset-root", str(tmp_path), "--model", missing], spark) == 2
     assert main(["evaluate", "--dataset-root", str(tmp_path), "--model", "tests.test_command_line:a_model", "--scorer", "tests.test_command_line:a_scorer", "--metrics", f"{tmp_path}/m"], spark) == 0
     out = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
     assert out["scorer_f1"] == 1.0 and 0 < out["rouge1"] < 1

@@ -41,8 +41,8 @@ def test_near_pairs_and_greedy_keep(spark, seed):
     for i, _, _ in sorted(rows, key=lambda r: (r[2], r[0])):
         if not any((j, i) in near for j in kept):
             kept.add(i)
-    assert {r["id"] for r in dedupe.greedy_keep(df, pairs).where("kept").collect()} == kept
-    assert {r["id"] for r in dedupe.keep_first(df).where("kept").collect()} == kept
+    for most in (5_000_000, 10, 0):
+        assert {r["id"] for r in dedupe.keep_first(df, most=most).where("kept").collect()} == kept
 
 
 def test_many_copies_make_no_pairs(spark):
@@ -341,10 +341,31 @@ def test_near_stored_is_brute_force(spark):
     assert want and {r["id"] for r in dedupe.near_stored(df, known).collect()} == want
 
 
-def test_long_chains_are_decided(spark):
-    pairs = spark.createDataFrame([(k, k + 1) for k in range(30)], "earlier long, later long")
-    got = {r["id"] for r in dedupe.greedy_keep(spark.range(31), pairs).where("kept").collect()}
-    assert got == set(range(0, 31, 2))
+def test_the_sweep_takes_as_many_steps_for_400_days_as_for_40(spark, monkeypatch):
+    def rows(days):
+        at = F.lit(NOW) + F.make_dt_interval(hours=(F.col("id") * 3).cast("int"))
+        # Three hashes in a chain, each two bits from the next, and one alone.
+        return spark.range(8 * days).select("id", F.element_at(F.array(*(F.lit(h).cast("long") for h in (0, 3, 15, 1 << 40))), (F.col("id") % 4 + 1).cast("int")).alias("simhash"), at.alias("fetched_at"))
+
+    count, cut = {}, storage.cut_lineage
+    for days in (40, 400):
+        got, count[days] = cut(rows(days)), []
+        monkeypatch.setattr(storage, "cut_lineage", lambda df, seen=count[days]: [cut(df), seen.append(1)][0])
+        have = [(r["id"], r["simhash"], r["fetched_at"]) for r in got.collect()]
+        kept, want = {}, set()
+        for i, h, t in sorted(have, key=lambda r: (r[2], r[0])):
+            if not any((g ^ h).bit_count() <= 3 and t - u <= dt.timedelta(2) for g, u in kept.items()):
+                kept[h] = t
+                want.add(i)
+        assert {r["id"] for r in dedupe.keep_first(got).where("kept").collect()} == want
+    assert 0 < len(count[40]) == len(count[400])
+
+
+def test_components_of_long_chains(spark):
+    pairs = [(k, k + 1) for k in range(60)] + [(100, 101), (101, 102), (100, 102)]
+    df = spark.createDataFrame(pairs + [(b, a) for a, b in pairs], "a long, b long")
+    assert {r["a"]: r["comp"] for r in dedupe.components(df).collect()} == {**dict.fromkeys(range(61), 0), 100: 100, 101: 100, 102: 100}
+    assert dedupe.components(df.limit(0)).collect() == []
 
 
 def test_two_batches_are_one(spark, tmp_path):
