@@ -8,7 +8,6 @@ import importlib
 import json
 import os
 import sys
-import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +17,7 @@ from corpusloom.functions import text
 from corpusloom.operators import articles, crawl, dataset, labelling, reports, scoring, summaries
 from corpusloom.sources import feeds, storage
 from corpusloom.sources.config import load_prompt, settings
+from corpusloom.sources.feed_stream import rounds
 from corpusloom.streaming.incremental import store, stored_so_far, stored_urls
 
 
@@ -31,7 +31,7 @@ def parser() -> argparse.ArgumentParser:
     crawling.add_argument("--source", action="append", default=[])
     crawling.add_argument("--delay", type=float, default=1.0, help="seconds between two calls to one host")
     crawling.add_argument("--wait", type=float, default=1.0, help="seconds before a failed call is tried again; doubled each time")
-    crawling.add_argument("--schedule", action="store_true", help="crawl again and again")
+    crawling.add_argument("--schedule", action="store_true", help="crawl again and again; rounds missed meanwhile are one")
     crawling.add_argument("--interval", type=float, default=30.0, help="minutes between two crawls")
     crawling.add_argument("--rounds", type=int, help="end after so many crawls")
     ingest = sub.add_parser("ingest", help="ingest a Parquet table of fetched candidates; ends with 1 if nothing is new")
@@ -88,17 +88,17 @@ def run_crawl(spark: SparkSession, args: argparse.Namespace) -> int:
     if not os.path.exists(args.config):
         print(f"no such catalogue: {args.config}", file=sys.stderr)
         return 2
-    sources, get, new, done = feeds.catalogue(spark, args.config), imported(args.fetch), 0, 0
+    sources, get, new = feeds.catalogue(spark, args.config), imported(args.fetch), 0
     robots = spark.createDataFrame([], feeds.ROBOTS)
-    while True:
+    for done, _ in enumerate(rounds(60 * args.interval), 1):
         stored = stored_so_far(spark, args.store)
         number = (stored.agg(F.max("batch")).first()[0] or 0) + 1
         now = F.lit(dt.datetime.now(dt.timezone.utc))
         outcomes, robots = crawl.crawl(sources, stored, robots, get, now=now, batch=number, only=args.source, known=stored_urls(spark, args.store).known, interval=args.delay, jitter=0.05, wait=args.wait)
-        new, done = keep_run(spark, storage.cut_lineage(outcomes), args.store, number), done + 1
+        new += keep_run(spark, storage.cut_lineage(outcomes), args.store, number)
         if not args.schedule or done == args.rounds:
-            return 0 if new else 1
-        time.sleep(60 * args.interval)
+            break
+    return 0 if new else 1
 
 
 def run_ingest(spark: SparkSession, args: argparse.Namespace) -> int:

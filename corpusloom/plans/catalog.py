@@ -377,10 +377,16 @@ def article_extract(spark: SparkSession, d: str) -> DataFrame:
     return extracted(table(spark, d, "pages")).select("page_id", "article.title", "article.author", "article.published", "article.text")
 
 
-@query(f"SELECT page_id, NOT starts_with(coalesce(regexp_extract(url, '^[^:]+://[^/?#]*([^?#]*)', 1), ''), '/de/') AND coalesce({HOST}, '') <> '' AS allowed FROM pages")
+#: By the length of the host: two files of rules, and none.
+ROBOTS = ("User-agent: *\nDisallow: /de/", "User-agent: other\nDisallow: /\n\nUser-agent: *\nAllow: /fr/a\nDisallow: /fr/\nDisallow: /en/")
+AFTER_HOST = "coalesce(regexp_extract(url, '^[^:]+://[^/?#]*(.*)$', 1), '')"
+
+
+@query(f"SELECT page_id, host <> '' AND CASE length(host) % 3 WHEN 0 THEN NOT starts_with(path, '/de/') WHEN 1 THEN starts_with(path, '/fr/a') OR NOT (starts_with(path, '/fr/') OR starts_with(path, '/en/')) ELSE true END AS allowed FROM (SELECT page_id, coalesce({HOST}, '') AS host, {AFTER_HOST} AS path FROM pages)")
 def robots_allow(spark: SparkSession, d: str) -> DataFrame:
     pages = table(spark, d, "pages").select("page_id", "url")
-    rules = pages.select(U.url_host(F.col("url")).alias("host")).distinct().where("host <> ''").select("host", F.lit("User-agent: *\nDisallow: /de/").alias("body"), F.lit(200).alias("status"))
+    kind = F.length("host") % 3
+    rules = pages.select(U.url_host(F.col("url")).alias("host")).distinct().where("host <> ''").select("host", F.when(kind == 0, F.lit(ROBOTS[0])).otherwise(F.lit(ROBOTS[1])).alias("body"), F.when(kind == 2, F.lit(404)).otherwise(F.lit(200)).alias("status"))
     return feeds.robots_allow(pages, rules).select("page_id", "allowed")
 
 

@@ -16,7 +16,7 @@ from corpusloom.operators import articles, dataset, dedupe, labelling, scoring,
 from corpusloom.plans import domain
 from corpusloom.plans.catalog import ASCII, BITS, CANON, CHECKED, HASHES, HOST, LIMITS, NORMALIZED, WORDS, _pairs, _timed, query
 from corpusloom.plans.domain import WITH
-from corpusloom.sources import feeds, storage
+from corpusloom.sources import feed_stream, feeds, storage
 from corpusloom.sources.keys import KeyStore
 from corpusloom.sources.storage import table
 from corpusloom.sources.versions import Table
@@ -43,9 +43,8 @@ SELECT source_id, source_id || '/' || (page_id // 100) AS feed, (row_number() OV
 """
 
 
-@query(FEED_SQL)
-def feed_items(spark: SparkSession, d: str) -> DataFrame:
-    """Feeds of at most 100 items each are written as RSS, parsed, and read as candidates."""
+def _rss(spark: SparkSession, d: str) -> DataFrame:
+    """``(source_id, feed, xml)``: pages as RSS feeds of at most 100 items each."""
     # Of a fixed hour, so that only the zone has to be read right.
     at = F.date_format(F.make_timestamp_ntz(F.lit(2024), F.lit(1), F.lit(1), F.lit(12), F.lit(0), F.lit(0)) + F.make_dt_interval(mins=F.col("page_id").cast("int")), "EEE, dd MMM yyyy HH:mm:ss")
     date = F.when(F.col("page_id") % 4 == 0, F.lit("")).otherwise(F.concat(F.lit("<pubDate>"), at, F.lit(" +0700</pubDate>")))
@@ -53,11 +52,33 @@ def feed_items(spark: SparkSession, d: str) -> DataFrame:
     item = F.concat(F.lit("<item><title> Page "), F.col("page_id").cast("string"), F.lit("\n</title><link>"), _xml(F.col("url")), F.lit("</link>"), tag, date, F.lit("</item>"))
     feed = F.concat("host", F.lit("/"), F.floor(F.col("page_id") / 100).cast("string"))
     made = _stories(spark, d).select(F.col("host").alias("source_id"), feed.alias("feed"), "page_id", item.alias("item")).groupBy("source_id", "feed").agg(F.array_sort(F.collect_list(F.struct("page_id", "item"))).alias("items"))
-    whole = made.select("source_id", "feed", F.concat(F.lit("<rss><channel>"), F.array_join(F.col("items.item"), ""), F.lit("</channel></rss>")).alias("xml"))
-    found = feeds.candidates(feeds.parse_feeds(whole))
+    return made.select("source_id", "feed", F.concat(F.lit("<rss><channel>"), F.array_join(F.col("items.item"), ""), F.lit("</channel></rss>")).alias("xml"))
+
+
+@query(FEED_SQL)
+def feed_items(spark: SparkSession, d: str) -> DataFrame:
+    """Feeds are written as RSS, parsed, and read as candidates."""
+    found = feeds.candidates(feeds.parse_feeds(_rss(spark, d)))
     return found.withColumn("published_at", F.col("published_at").cast("timestamp_ntz"))
 
 
+@query(f"SELECT source_id, item_pos, title, url, category, published_at FROM ({FEED_SQL})")
+def feed_stream_items(spark: SparkSession, d: str) -> DataFrame:
+    """The same feeds, stored as documents that a stream polls for one round."""
+    folder = f"{storage.shared_dir(spark)}/feeds-{uuid.uuid4().hex}"
+    stored = _rss(spark, d).withColumn("name", F.hex(F.xxhash64("feed")))
+    storage.cut_lineage(stored).repartition("name").select("xml", "name").write.partitionBy("name").text(f"{folder}/documents")
+    stored.select("source_id", F.concat(F.lit(f"{folder}/documents/name="), "name").alias("feed")).write.parquet(f"{folder}/catalogue")
+    feed_stream.register(spark)
+    polled = spark.readStream.format("feeds").options(feeds=f"{folder}/catalogue", fetch="corpusloom.sources.feed_stream:stored", interval="1000000000", since="0").load()
+    write = lambda batch, number: batch.write.mode("overwrite").parquet(f"{folder}/round={number}")
+    running = polled.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/state").start()
+    running.processAllAvailable()
+    running.stop()
+    got = spark.read.schema(feed_stream.FEEDS).parquet(f"{folder}/round=*")
+    return feeds.candidates(feeds.parse_feeds(got)).drop("feed").withColumn("published_at", F.col("published_at").cast("timestamp_ntz"))
+
+
 @query(f"SELECT page_id, host FROM (SELECT page_id, coalesce({HOST}, '') AS host FROM pages WHERE coalesce(url, '') <> '') QUALIFY row_number() OVER (PARTITION BY host ORDER BY page_id) <= 3")
 def feed_caps(spark: SparkSession, d: str) -> DataFrame:
     return dedupe.cap_items(_stories(spark, d).select("page_id", "host"), 3, by=["host"], order="page_id")

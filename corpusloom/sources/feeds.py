@@ -10,7 +10,6 @@ import random
 import re
 import time
 from collections.abc import Callable, Iterator
-from urllib.robotparser import RobotFileParser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -100,34 +99,94 @@ def candidates(items: DataFrame) -> DataFrame:
     return named.select("source_id", "feed", "item_pos", F.trim("title").alias("title"), F.col("link").alias("url"), F.coalesce(F.nullif("category", F.lit("")), url_category(F.col("link"))).alias("category"), first_date(*(F.col(c) for c in ("published", "updated", "pubDate", "dc_date"))).alias("published_at"))
 
 
-def robots_allow(urls: DataFrame, robots: DataFrame, *, url_col: str = "url", agent: str = "*") -> DataFrame:
-    """``urls`` with ``allowed``: by the host's robots text in ``robots(host, body, status)``.
+RULES = "array<struct<allow:boolean,path:string>>"
 
-    A host without a row, with another status than 200, or with an unreadable body allows
-    all; a URL without a host is not allowed.
-    """
-    held = robots.select(F.col("host").alias("_host"), F.when(F.col("status") == 200, F.col("body")).alias("_body"))
 
-    @F.pandas_udf("boolean")
-    def allow(found: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        parsers: dict[str, RobotFileParser] = {}
-        for targets, bodies in found:
-            out = []
-            for url, body in zip(targets, bodies, strict=True):
-                if body is None:
-                    out.append(True)
-                    continue
-                if body not in parsers:
-                    if len(parsers) > 10_000:
-                        parsers.clear()
-                    parsers[body] = RobotFileParser()
-                    parsers[body].parse(body.splitlines())
-                out.append(parsers[body].can_fetch(agent, url))
-            yield pd.Series(out)
+def unquoted(text: Column) -> Column:
+    """Percent signs decoded; a text with broken ones stays as it is."""
+    return F.coalesce(F.try_url_decode(F.replace(text, F.lit("+"), F.lit("%2B"))), text)
+
+
+def _bare(path: Column) -> Column:
+    """Without a question mark or a hash that nothing follows."""
+    return F.regexp_replace(F.regexp_replace(path, r"#$", ""), r"\?(?=#|$)", "")
+
 
+def robots_rules(robots: DataFrame, *, agent: str = "*") -> DataFrame:
+    """``(host, rules)``: of each host's robots text the rules of the first group for ``agent``, else of the first for all, in their order.
+
+    ``robots`` has host, body and status; only bodies of status 200 are read, others give
+    null.  Groups begin with lines of agents and end at an empty line or at the next agent
+    after a rule; comments, unknown fields, and rules before any agent are passed over.  An
+    agent's name is found if a group's is part of it, whatever the case.  A rule
+    without a path allows all.
+    """
+    name = agent.split("/", 1)[0].lower()
+    line = lambda x: F.trim(F.regexp_replace(F.split_part(x, F.lit("#"), F.lit(1)), r"\s", " "))
+    field = lambda x: F.lower(F.trim(F.split_part(x, F.lit(":"), F.lit(1))))
+    value = lambda x: unquoted(F.trim(F.regexp_extract(x, "^[^:]*:(.*)$", 1)))
+    read = F.transform(F.split("body", "\r\n|\r|\n", -1), lambda x: F.struct((x == "").alias("empty"), F.when(F.contains(line(x), F.lit(":")), field(line(x))).otherwise(F.lit("")).alias("field"), value(line(x)).alias("value")))
+    # Only these lines change anything; an empty one closes a group.
+    known = F.filter(read, lambda x: x["empty"] | x["field"].isin("user-agent", "allow", "disallow", "crawl-delay", "request-rate"))
+    none = F.lit(None).cast(RULES)
+    empty = F.array().cast(RULES)
+    # state: 0 outside groups, 1 after agents, 2 after rules; mine and all are set once.
+    start = F.struct(F.lit(0).alias("state"), F.lit(False).alias("named"), F.lit(False).alias("star"), empty.alias("rules"), none.alias("mine"), none.alias("all"))
+
+    def then(acc: Column, x: Column) -> Column:
+        agent_line, rule = x["field"] == "user-agent", x["field"].isin("allow", "disallow")
+        over = (acc["state"] == 2) & (x["empty"] | agent_line)
+        fresh = over | (x["empty"] & (acc["state"] == 1))
+        inside = acc["state"] > 0
+        path = _bare(x["value"])
+        is_star = (x["value"] == "*") & agent_line
+        is_named = agent_line & (x["value"] != "*") & F.contains(F.lit(name), F.lower(x["value"]))
+        return F.struct(
+            F.when(x["empty"], F.lit(0)).when(agent_line, F.lit(1)).when(inside, F.lit(2)).otherwise(acc["state"]).alias("state"),
+            (F.when(fresh, F.lit(False)).otherwise(acc["named"]) | is_named).alias("named"),
+            (F.when(fresh, F.lit(False)).otherwise(acc["star"]) | is_star).alias("star"),
+            F.when(fresh, empty).when(rule & inside, F.array_append(acc["rules"], F.struct(((x["field"] == "allow") | (path == "")).alias("allow"), path.alias("path")))).otherwise(acc["rules"]).alias("rules"),
+            F.when(over & ~acc["star"] & acc["named"], F.coalesce(acc["mine"], acc["rules"])).otherwise(acc["mine"]).alias("mine"),
+            F.when(over & acc["star"], F.coalesce(acc["all"], acc["rules"])).otherwise(acc["all"]).alias("all"),
+        )
+
+    # One more empty line closes the last group.
+    closed = F.array_append(known, F.struct(F.lit(True).alias("empty"), F.lit("").alias("field"), F.lit("").alias("value")))
+    found = F.aggregate(closed, start, then, lambda acc: F.coalesce(acc["mine"], acc["all"], empty))
+    return robots.select("host", F.when((F.col("status") == 200) & F.col("body").isNotNull(), found).alias("rules"))
+
+
+def robots_path(url: Column) -> Column:
+    """What robots rules are held against: all that follows the host, decoded; a slash if nothing does."""
+    rest = _bare(F.regexp_extract(unquoted(url), r"(?s)^[^:/?#]+://[^/?#]*(.*)$", 1))
+    return F.when(rest == "", F.lit("/")).otherwise(rest)
+
+
+def _glob(path: Column) -> Column:
+    """A rule's path as a regular expression: a star is anything, a dollar at its end the end."""
+    quoted = F.regexp_replace(path, r"([\\.\[\]{}()+?^|$])", r"\\$1")
+    return F.concat(F.lit("(?s)^"), F.regexp_replace(F.replace(quoted, F.lit("*"), F.lit(".*")), r"\\\$$", "\\$"))
+
+
+def robots_allow(urls: DataFrame, robots: DataFrame, *, url_col: str = "url", agent: str = "*", longest: bool = False) -> DataFrame:
+    """``urls`` with ``allowed``: by the host's robots text in ``robots(host, body, status)``.
+
+    The first rule whose path begins the URL's decides; with ``longest`` the longest one
+    does (of equally long ones one that allows), and stars and a final dollar are read as
+    patterns.  A host without a row, with another status than 200, or without a rule that fits allows
+    all; a URL without a host is not allowed.  Rules are read once for each host, and a host
+    that many URLs share is a skewed join, which Spark splits.
+    """
+    rules = robots_rules(robots, agent=agent).select(F.col("host").alias("_host"), F.col("rules").alias("_rules"))
+    path = robots_path(F.col(url_col))
+    if longest:
+        fits = F.filter("_rules", lambda r: F.when(r["path"].rlike("[*]|[$]$"), F.regexp_like(F.col("_path"), _glob(r["path"]))).otherwise(F.startswith(F.col("_path"), r["path"])))
+        chosen = F.array_max(F.transform(fits, lambda r: F.struct(F.length(r["path"]).alias("n"), r["allow"].alias("allow"))))["allow"]
+    else:
+        chosen = F.get(F.filter("_rules", lambda r: F.startswith(F.col("_path"), r["path"])), 0)["allow"]
     host = F.coalesce(url_host(F.col(url_col)), F.lit(""))
-    joined = urls.withColumn("_h", host).join(held, F.col("_h") == F.col("_host"), "left")
-    return joined.withColumn("allowed", (F.col("_h") != "") & allow(F.col(url_col), F.col("_body"))).drop("_h", "_host", "_body")
+    joined = urls.withColumn("_h", host).join(rules, F.col("_h") == F.col("_host"), "left").withColumn("_path", path)
+    return joined.withColumn("allowed", (F.col("_h") != "") & F.coalesce(chosen, F.lit(True))).drop("_h", "_host", "_rules", "_path")
 
 
 class Polite:
