@@ -78,28 +78,95 @@ def cosine_graph(tokens: list[list[str]], threshold: float) -> np.ndarray:
     return graph
 
 
-def rank(graph: np.ndarray, damping: float = 0.85, rounds: int = 100, tolerance: float = 1e-6) -> np.ndarray:
-    """PageRank by power iteration; a row without weight passes nothing on."""
-    n = len(graph)
-    if not n:
-        return np.zeros(0)
-    total = graph.sum(axis=1, keepdims=True)
-    move = (graph / np.where(total == 0, 1.0, total)).T * damping
-    scores = np.full(n, 1 / n)
-    for _ in range(rounds):
-        before, scores = scores, (1 - damping) / n + move @ scores
-        if np.abs(scores - before).sum() < tolerance:
-            break
+#: Sentences up to which a text's graph is a matrix.
+DENSE = 1024
+Spread = Callable[[np.ndarray], np.ndarray]
+
+
+def overlap_spread(tokens: list[list[str]]) -> Spread:
+    """What each sentence gets if each passes its score on along ``overlap_graph``, without that graph.
+
+    A weight depends on the words shared and on the two lengths only, so the scores are
+    summed by word for the sentences of each length, and each sentence picks up what its words hold.
+    """
+    n = len(tokens)
+    rows, columns, _, width = _sparse([dict.fromkeys(s, 1) for s in tokens])
+    size = np.log1p([len(s) for s in tokens])
+    lengths, of = np.unique(size, return_inverse=True)
+    parts = [np.flatnonzero(of[rows] == k) for k in range(len(lengths))]
+    own = np.divide(np.bincount(rows, minlength=n), 2 * size, out=np.zeros(n), where=size > 0)
+
+    def spread(scores: np.ndarray) -> np.ndarray:
+        out = -own * scores
+        for length, part in zip(lengths, parts, strict=True):
+            if len(part):
+                held = np.bincount(columns[part], scores[rows[part]], width)
+                out += np.bincount(rows, held[columns], n) / np.where(size + length > 0, size + length, 1.0)
+        return out
+
+    return spread
+
+
+def cosine_links(tokens: list[list[str]], threshold: float, block: int = 512) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(i, j, weight)``, i < j, of ``cosine_graph``, from ``block`` sentences against ``block`` at a time."""
+    n = len(tokens)
+    rows, columns, tf, width = _sparse([Counter(t.lower() for t in s) for s in tokens])
+    if not width:
+        return np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0)
+    values = tf * (np.log((1 + n) / (1 + np.bincount(columns, minlength=width))) + 1)[columns]
+    values /= np.sqrt(np.bincount(rows, values**2, n))[rows]
+    edges = np.searchsorted(rows, np.arange(0, n + block, block))
+    found = []
+    for k, (lo, hi) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+        used = np.unique(columns[lo:hi])
+        mine = np.zeros((block, len(used)))
+        mine[rows[lo:hi] - k * block, np.searchsorted(used, columns[lo:hi])] = values[lo:hi]
+        for m in range(k, len(edges) - 1):
+            a, b = edges[m], edges[m + 1]
+            at = np.minimum(np.searchsorted(used, columns[a:b]), len(used) - 1) if len(used) else np.zeros(b - a, int)
+            known = used[at] == columns[a:b] if len(used) else np.zeros(b - a, bool)
+            other = np.zeros((block, len(used)))
+            other[rows[a:b][known] - m * block, at[known]] = values[a:b][known]
+            i, j = np.nonzero(products := mine @ other.T)
+            weight = products[i, j]
+            good = (weight >= threshold if threshold > 0 else weight != 0) & (i + k * block < j + m * block)
+            found.append(((i[good] + k * block).astype(np.int32), (j[good] + m * block).astype(np.int32), weight[good]))
+    return tuple(np.concatenate(parts) for parts in zip(*found, strict=True))
+
+
+def cosine_spread(tokens: list[list[str]], threshold: float) -> Spread:
+    """What ``cosine_graph`` passes on, along its links only."""
+    n = len(tokens)
+    i, j, weight = cosine_links(tokens, threshold)
+    return lambda scores: np.bincount(i, weight * scores[j], n) + np.bincount(j, weight * scores[i], n)
+
+
+def rank(n: int, spread: Spread, damping: float = 0.85, rounds: int = 100, tolerance: float = 1e-6) -> np.ndarray:
+    """PageRank of a symmetric graph that is known by what it passes on; a sentence without weight passes on nothing."""
+    scores, degree = np.full(n, 1 / max(1, n)), spread(np.ones(n))
+    share = np.divide(damping, degree, out=np.zeros(n), where=degree > 0)
+    moved = np.inf
+    while n and rounds and moved >= tolerance:
+        new = spread(share * scores) + (1 - damping) / n
+        moved, scores, rounds = np.abs(new - scores).sum(), new, rounds - 1
     return scores
 
 
+def spread_of(tokens: list[list[str]], o: Options, dense: int = DENSE) -> Spread:
+    """By a matrix for texts of up to ``dense`` sentences, and without one for longer ones."""
+    if len(tokens) <= dense:
+        graph = cosine_graph(tokens, o.threshold) if o.graph == "lexrank" else overlap_graph(tokens)
+        return lambda scores: graph @ scores
+    return cosine_spread(tokens, o.threshold) if o.graph == "lexrank" else overlap_spread(tokens)
+
+
 def summarize(text: str | None, o: Options = Options()) -> str:
-    """The best-ranked sentences in their order, cut to the word limit; ties go to the earlier sentence."""
+    """The best-ranked sentences in their order, cut to the word limit; ties, to nine digits, go to the earlier sentence."""
     split, cut = o.sentences or _SENTENCE_END.split, o.words or _TOKEN.findall
     parts = [s.strip() for s in split((text or "").strip()) if s.strip()]
     if len(parts) > 1:
         tokens = [[t.lower() for t in cut(s)] for s in parts]
-        scores = rank(cosine_graph(tokens, o.threshold) if o.graph == "lexrank" else overlap_graph(tokens), o.damping)
+        scores = np.round(rank(len(tokens), spread_of(tokens, o), o.damping), 9)
         parts = [parts[i] for i in sorted(np.argsort(-scores, kind="stable")[: o.max_sentences])]
     joined = " ".join(parts)
     words = joined.split()

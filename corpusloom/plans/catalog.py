@@ -335,6 +335,39 @@ def lexrank_edges(spark: SparkSession, d: str) -> DataFrame:
     return summaries.cosine_edges(_user_sentences(spark, d)).withColumn("weight", F.round("weight", 6))
 
 
+def _summary_sql(edges: str) -> str:
+    """Ranks by iteration, all items a round at a time, until an item's scores move less than 1e-6 together."""
+    return f"""WITH RECURSIVE {SENT}, e AS MATERIALIZED ({edges}), both_ways AS (SELECT id, i, j, weight FROM e UNION ALL SELECT id, j, i, weight FROM e),
+ degree AS (SELECT id, i, sum(weight) AS total FROM both_ways GROUP BY id, i), move AS MATERIALIZED (SELECT b.id, b.i, b.j, 0.85 * b.weight / d.total AS part FROM both_ways b JOIN degree d ON d.id = b.id AND d.i = b.i),
+ size AS (SELECT id, count(*) AS n FROM t GROUP BY id),
+ r AS (SELECT t.id, t.pos, 0 AS step, 1.0::DOUBLE / n AS score, 1.0::DOUBLE AS moved FROM t JOIN size ON size.id = t.id
+  UNION ALL SELECT id, pos, step, score, sum(abs(score - was)) OVER (PARTITION BY id) FROM (SELECT r.id, r.pos, r.step + 1 AS step, any_value(r.score) AS was, 0.15 / any_value(n) + coalesce(sum(m.part * f.score), 0) AS score FROM r JOIN size ON size.id = r.id LEFT JOIN move m ON m.id = r.id AND m.j = r.pos LEFT JOIN r f ON f.id = m.id AND f.pos = m.i WHERE r.moved >= 1e-6 AND r.step < 100 GROUP BY r.id, r.pos, r.step)),
+ last AS (SELECT id, pos, score FROM r QUALIFY step = max(step) OVER (PARTITION BY id)),
+ top AS (SELECT id, pos FROM last QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(score, 9) DESC, pos) <= 4),
+ joined AS (SELECT s.id, string_agg(s.x, ' ' ORDER BY s.pos) AS x FROM top JOIN s ON s.id = top.id AND s.pos = top.pos GROUP BY s.id)
+ SELECT id, CASE WHEN len({WORDS.replace('@', 'x')}) <= 70 THEN x ELSE array_to_string(list_slice({WORDS.replace('@', 'x')}, 1, 70), ' ') END AS summary FROM joined"""
+
+
+OVERLAPS = "SELECT a.id, a.pos AS i, b.pos AS j, count(*) / (ln(1 + a.n) + ln(1 + b.n)) AS weight FROM (SELECT id, pos, len(tokens) AS n, unnest(list_distinct(tokens)) AS t FROM t) a JOIN (SELECT id, pos, len(tokens) AS n, unnest(list_distinct(tokens)) AS t FROM t) b ON a.id = b.id AND a.t = b.t AND a.pos < b.pos GROUP BY a.id, a.pos, b.pos, a.n, b.n"
+COSINES = """WITH n AS (SELECT id, count(*) AS n FROM t GROUP BY id), f AS (SELECT id, pos, t, count(*) AS tf FROM (SELECT id, pos, unnest(tokens) AS t FROM t) GROUP BY ALL), d AS (SELECT id, t, count(*) AS df FROM f GROUP BY ALL),
+ w AS (SELECT f.id, f.pos, f.t, f.tf * (ln((1 + n.n) / (1 + d.df)) + 1) AS w FROM f JOIN d ON d.id = f.id AND d.t = f.t JOIN n ON n.id = f.id), u AS (SELECT id, pos, t, w / sqrt(sum(w * w) OVER (PARTITION BY id, pos)) AS w FROM w)
+ SELECT a.id, a.pos AS i, b.pos AS j, sum(a.w * b.w) AS weight FROM u a JOIN u b ON a.id = b.id AND a.t = b.t AND a.pos < b.pos GROUP BY a.id, a.pos, b.pos HAVING sum(a.w * b.w) >= 0.1"""
+
+
+def _items(spark: SparkSession, d: str, graph: str) -> DataFrame:
+    return summaries.with_summary(table(spark, d, "benchmark"), options=summaries.Options(graph=graph)).select(F.col("item_id").alias("id"), "summary")
+
+
+@query(_summary_sql(OVERLAPS))
+def textrank_of_items(spark: SparkSession, d: str) -> DataFrame:
+    return _items(spark, d, "textrank")
+
+
+@query(_summary_sql(COSINES))
+def lexrank_of_items(spark: SparkSession, d: str) -> DataFrame:
+    return _items(spark, d, "lexrank")
+
+
 @query()
 def textrank_summary(spark: SparkSession, d: str) -> DataFrame:
     return summaries.with_summary(_docs(spark, d), options=summaries.Options(graph="textrank")).select("doc_id", "summary")

@@ -177,7 +177,41 @@ def test_graphs_and_rank():
     for graph in (summaries.overlap_graph(tokens), summaries.cosine_graph(tokens, 0.0)):
         assert np.allclose(graph, graph.T) and not np.diag(graph).any()
     assert np.allclose(summaries.cosine_graph([[], []], 0.1), np.eye(2))
-    assert np.allclose(summaries.rank(np.ones((4, 4)) - np.eye(4)), 0.25) and summaries.rank(np.zeros((0, 0))).size == 0
+    assert np.allclose(summaries.rank(4, lambda s: s.sum() - s), 0.25) and summaries.rank(0, lambda s: s).size == 0
+    assert np.allclose(summaries.rank(3, lambda s: 0 * s), 0.05)
+
+
+def long_text(n, words=3000, seed=2):
+    rnd = random.Random(seed)
+    pick = lambda: f"w{int(words * rnd.random() ** 3)}"
+    return [[pick() for _ in range(rnd.choice((0, 1, 5, 8, 12, 20)))] for _ in range(n)]
+
+
+def ranked(graph, damping=0.85):
+    """By solving the equations instead of iterating."""
+    n, degree = len(graph), graph.sum(axis=1)
+    move = graph / np.where(degree > 0, degree, 1)
+    return np.linalg.solve(np.eye(n) - damping * move, np.full(n, (1 - damping) / n))
+
+
+@pytest.mark.parametrize("graph", ["lexrank", "textrank"])
+def test_ranks_without_a_matrix_are_those_of_the_matrix(graph):
+    for n, threshold in ((2, 0.1), (5, 0.0), (700, 0.1), (700, 0.0), (1300, 0.3)):
+        tokens, o = long_text(n, 300), summaries.Options(graph=graph, threshold=threshold)
+        matrix = summaries.cosine_graph(tokens, threshold) if graph == "lexrank" else summaries.overlap_graph(tokens)
+        sparse = summaries.spread_of(tokens, o, dense=0)
+        scores = np.random.default_rng(1).random(n)
+        if any(tokens):
+            assert np.allclose(sparse(scores), matrix @ scores)
+            assert np.allclose(summaries.rank(n, sparse), ranked(matrix), atol=1e-6)
+    assert np.allclose(summaries.spread_of([[], []], summaries.Options(graph=graph), dense=0)(np.ones(2)), 0)
+
+
+def test_a_text_of_fifty_thousand_sentences_ends():
+    text = ". ".join(" ".join(s) or "x" for s in long_text(50_000)) + "."
+    made = summaries.summarize(text, summaries.Options(graph="textrank"))
+    assert 0 < len(made.split()) <= 70
+    assert 0 < len(summaries.summarize(text[:600_000], summaries.Options(threshold=0.3)).split()) <= 70
 
 
 def test_edges_are_the_graphs(spark):
