@@ -46,7 +46,7 @@ def parser() -> argparse.ArgumentParser:
     label.add_argument("--limit", type=int, default=50)
     label.add_argument("--concurrency", type=int, default=1, help="calls under way at a time in each task")
     label.add_argument("--wait", type=float, default=1.0, help="seconds before a failed call is tried again; doubled each time")
-    export = sub.add_parser("export", help="write a dataset version from labels, articles and sources")
+    export = sub.add_parser("export", help="write a dataset version from labels, articles and sources; ends with 2 if there is one of that name")
     export.add_argument("name")
     export.add_argument("--prompt-version", required=True)
     export.add_argument("--tables", default=known.warehouse, help="folder of Parquet tables or JDBC URL")
@@ -133,8 +133,13 @@ def run_label(spark: SparkSession, args: argparse.Namespace) -> int:
 
 def run_export(spark: SparkSession, args: argparse.Namespace) -> int:
     read = lambda name: storage.load(spark, args.tables, name)
+    kept = f"{args.dataset_root}/{args.name}_manifest"
+    if storage.exists(spark, kept):
+        print(f"there is a version of that name: {args.name}", file=sys.stderr)
+        return 2
     rows = storage.cut_lineage(dataset.dataset_rows(read("labels"), read("articles"), read("sources"), prompt_version=args.prompt_version))
     storage.write_dataset(rows, f"{args.dataset_root}/{args.name}")
+    dataset.manifest(rows, args.name).write.parquet(kept)
     dataset.split_sizes(rows).show()
     return 0
 

@@ -35,6 +35,45 @@ def version_row(rows: DataFrame, name: str, description: str = "") -> DataFrame:
     return rows.agg(F.lit(name).alias("name"), F.lit(description).alias("description"), *(ids(s).alias(f"{s}_ids") for s in ("train", "val", "test")))
 
 
+#: Fixed value: how many ids a bitmap of Spark's has room for.
+BITMAP_BITS = 32_768
+
+
+def manifest(rows: DataFrame, name: str) -> DataFrame:
+    """``(name, split, bucket, ids)``: which articles each split has, as bitmaps of 32,768 ids, a row for each bucket.
+
+    However many ids there are, no row and no task holds more than a bucket of them.  An
+    article with several rows counts once.
+    """
+    id_ = F.col("article_id").cast("long")
+    kept = rows.where(id_.isNotNull()).select("split", F.bitmap_bucket_number(id_).alias("bucket"), F.bitmap_bit_position(id_).alias("bit"))
+    return kept.groupBy("split", "bucket").agg(F.bitmap_construct_agg("bit").alias("ids")).select(F.lit(name).alias("name"), "split", "bucket", "ids")
+
+
+def manifest_counts(manifest: DataFrame) -> DataFrame:
+    return manifest.groupBy("name", "split").agg(F.sum(F.bitmap_count("ids")).alias("n"))
+
+
+def manifest_ids(manifest: DataFrame) -> DataFrame:
+    """``(name, split, article_id)`` from the bitmaps; ids from 1 on count up from their bucket's start, others down from it."""
+    digits = F.split(F.hex("ids"), "(?<=\\G..)")
+    octets = F.transform(digits, lambda x: F.conv(x, 16, 10).cast("int"))
+    set_ = F.filter(F.sequence(F.lit(0), F.lit(BITMAP_BITS - 1)), lambda p: F.getbit(F.coalesce(F.get(F.col("_octets"), F.floor(p / 8).cast("int")), F.lit(0)), p % 8) == 1)
+    spread = manifest.withColumn("_octets", octets).select("name", "split", "bucket", F.explode(set_).alias("bit"))
+    up = (F.col("bucket") - 1) * BITMAP_BITS + F.col("bit") + 1
+    return spread.select("name", "split", F.when(F.col("bucket") > 0, up).otherwise(F.col("bucket") * BITMAP_BITS - F.col("bit")).alias("article_id"))
+
+
+def split_of(ids: DataFrame, manifest: DataFrame, *, id_col: str = "article_id") -> DataFrame:
+    """``ids`` with ``split``: where a version's manifest has them, null where it does not; bitmaps are joined by bucket, and stay whole."""
+    id_ = F.col(id_col).cast("long")
+    placed = ids.withColumns({"_bucket": F.bitmap_bucket_number(id_), "_bit": F.bitmap_bit_position(id_)})
+    held = manifest.groupBy(F.col("bucket").alias("_bucket")).agg(F.map_from_entries(F.collect_list(F.struct("split", "ids"))).alias("_maps"))
+    octet = lambda ids_: F.conv(F.hex(F.substring(ids_, F.floor(F.col("_bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    has = F.filter(F.map_entries("_maps"), lambda e: F.getbit(octet(e["value"]), (F.col("_bit") % 8).cast("int")) == 1)
+    return placed.join(held, "_bucket", "left").withColumn("split", F.get(has, 0)["key"]).drop("_bucket", "_bit", "_maps")
+
+
 def training_rows(rows: DataFrame, *, text: str = "content_text", target: str = "summary", fallback: tuple[str, str] = ("content_text", "summary")) -> DataFrame:
     """``(text, target)`` where neither is empty; a column that is not there gives way to its default."""
     t, y = (c if c in rows.columns else d for c, d in zip((text, target), fallback, strict=True))

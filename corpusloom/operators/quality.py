@@ -62,14 +62,56 @@ def partial_ratio(short: str, long: str) -> float:
     return best
 
 
+def window_starts(short: str, long: str, ratio: float) -> list[int]:
+    """Where windows of ``long`` begin that can reach ``ratio`` with ``short``, the shorter text; the others cannot.
+
+    A window that reaches it leaves at most ``errors`` letters of both unmatched.  Each
+    breaks one of ``errors + 1`` pieces of the shorter text at most, so one piece stands whole in
+    the window, no further than that from its own place; at the longer text's edges, where
+    windows are shorter, no further than twice that.
+    """
+    n, m = len(short), len(long)
+    errors = int(2 * n * (1 - ratio) + 1e-9)
+    if errors + 1 > n:
+        return list(range(1 - n, m))
+    starts: set[int] = set()
+    for k in range(errors + 1):
+        at, end = k * n // (errors + 1), (k + 1) * n // (errors + 1)
+        piece, x = short[at:end], long.find(short[at:end])
+        while x >= 0:
+            starts.update(range(max(1 - n, x - at - 2 * errors), min(m, x - at + errors + 1)))
+            x = long.find(piece, x + 1)
+    return sorted(starts)
+
+
+def reaches(short: str, long: str, ratio: float) -> bool:
+    """Whether ``partial_ratio`` is ``100 * ratio`` or more, from windows that hold a piece of the shorter text only."""
+    if len(short) > len(long):
+        short, long = long, short
+    if not short:
+        return not long or ratio <= 0
+    n = len(short)
+    return any(200.0 * lcs(short, w) / (n + len(w)) >= 100 * ratio for s in window_starts(short, long, ratio) if (w := long[max(0, s) : s + n]))
+
+
 def _fuzzy(ratio: float):
     @F.pandas_udf("array<string>")
     def missing(sources: pd.Series, names: pd.Series) -> pd.Series:
-        return pd.Series([[n for n in ns if partial_ratio(n, s) < 100 * ratio] for s, ns in zip(sources, names, strict=True)])
+        return pd.Series([[n for n in ns if not reaches(n, s, ratio)] for s, ns in zip(sources, names, strict=True)])
 
     return missing
 
 
+def fuzzy_reached(name: Column, source: Column, ratio: float = 0.85) -> Column:
+    """Whether some window of ``source`` is as like ``name`` as ``ratio`` asks; null texts count as empty."""
+
+    @F.pandas_udf("boolean")
+    def reached(names: pd.Series, sources: pd.Series) -> pd.Series:
+        return pd.Series([reaches(n, s, ratio) for n, s in zip(names, sources, strict=True)], dtype=bool)
+
+    return reached(F.coalesce(name, F.lit("")), F.coalesce(source, F.lit("")))
+
+
 def quality(rows: DataFrame, *, summary: str = "summary", source: str = "source_text", refusal: str | None = "refusal_reason", limits: Thresholds = Thresholds(), fuzzy: bool = True) -> DataFrame:
     """``rows`` with ``qc``: passed, reasons, word and sentence counts, missing numbers and entities.
 

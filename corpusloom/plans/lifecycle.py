@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from corpusloom import schemas
 from corpusloom.functions import text as T
 from corpusloom.functions import urls as U
-from corpusloom.operators import articles, dataset, dedupe, labelling, scoring, summaries
+from corpusloom.operators import articles, dataset, dedupe, labelling, quality, scoring, summaries
 from corpusloom.plans import domain
-from corpusloom.plans.catalog import ASCII, BITS, CANON, CHECKED, HASHES, HOST, LIMITS, NORMALIZED, WORDS, _pairs, _timed, query
+from corpusloom.plans.catalog import ASCII, BITS, CANON, CHECKED, DATASET, HASHES, HOST, LIMITS, NORMALIZED, WORDS, _dataset, _pairs, _timed, query
 from corpusloom.plans.domain import WITH
 from corpusloom.sources import feed_stream, feeds, storage
 from corpusloom.sources.keys import KeyStore
@@ -205,14 +205,14 @@ def urls_known(spark: SparkSession, d: str) -> DataFrame:
     return asked.join(found, "url_hash", "left").select("page_id", F.coalesce("known", F.lit(False)).alias("known"))
 
 
-@query("SELECT o.c_custkey AS k, o.c_name AS name, CASE WHEN c_custkey % 2 = 0 THEN -1.0 WHEN c_custkey % 3 = 0 THEN NULL ELSE o.c_acctbal END AS balance FROM (SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_name END AS c_name, c_acctbal FROM customer) o WHERE c_custkey % 7 <> 0 AND (c_custkey % 3 <> 0 OR c_custkey % 2 = 0)")
-def customers_versioned(spark: SparkSession, d: str) -> DataFrame:
+@query("SELECT page_id, CASE WHEN page_id % 3 <> 0 THEN url END AS url, CASE WHEN page_id % 2 = 0 THEN -1 ELSE length(url) END::BIGINT AS n FROM pages WHERE page_id % 7 <> 0 AND (page_id % 3 <> 0 OR page_id % 2 = 0)")
+def pages_versioned(spark: SparkSession, d: str) -> DataFrame:
     """Appended, merged, taken down and vacuumed in a versioned table, then read from its files."""
-    rows = table(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"))
-    kept = Table(spark, f"{storage.shared_dir(spark)}/customers-{uuid.uuid4().hex}", "k", "k long, name string, balance double", buckets=16)
-    kept.append(rows.where("k % 3 <> 0"))
-    kept.merge(rows.where("k % 2 = 0").select("k", F.lit(-1.0).alias("balance")))
-    kept.delete(rows.where("k % 7 = 0").select("k"))
+    rows = table(spark, d, "pages").select("page_id", "url", F.length("url").cast("long").alias("n"))
+    kept = Table(spark, f"{storage.shared_dir(spark)}/pages-{uuid.uuid4().hex}", "page_id", "page_id long, url string, n long", buckets=16)
+    kept.append(rows.where("page_id % 3 <> 0"))
+    kept.merge(rows.where("page_id % 2 = 0").select("page_id", F.lit(-1).cast("long").alias("n")))
+    kept.delete(rows.where("page_id % 7 = 0").select("page_id"))
     kept.compact(most_files=1)
     kept.vacuum()
     return kept.read()
@@ -262,6 +262,15 @@ def labels_appended(spark: SparkSession, d: str) -> DataFrame:
 # Data sets, models and scores
 
 
+@query(f"{DATASET} SELECT split, CASE WHEN article_id > 0 THEN 1 + (article_id - 1) // 32768 ELSE article_id // 32768 END AS bucket, count(DISTINCT article_id) AS n, sum(DISTINCT article_id)::BIGINT AS id_sum, bit_xor(DISTINCT article_id * article_id) AS mixed FROM ds GROUP BY ALL")
+def dataset_manifest(spark: SparkSession, d: str) -> DataFrame:
+    """The ids of a version as bitmaps, and what they are, read back from these."""
+    made = storage.cut_lineage(dataset.manifest(_dataset(spark, d), "v1"))
+    ids = dataset.manifest_ids(made).withColumn("bucket", F.bitmap_bucket_number("article_id"))
+    sums = ids.groupBy("split", "bucket").agg(F.sum("article_id").alias("id_sum"), F.bit_xor(F.col("article_id") * F.col("article_id")).alias("mixed"))
+    return made.select("split", "bucket", F.bitmap_count("ids").alias("n")).join(sums, ["split", "bucket"])
+
+
 @query(f"WITH {WITH} SELECT turns.conv_id, turns.turn, list_transform(string_split(user_text, ' '), lambda w: length(w)::INT)[1:16]::VARCHAR AS ids, list_transform(string_split(reply, ' '), lambda w: length(w)::INT)[1:8]::VARCHAR AS labels FROM turns WHERE user_text <> '' AND reply <> ''")
 def tokenized_turns(spark: SparkSession, d: str) -> DataFrame:
     """By an injected tokenizer that says how long the words are."""
@@ -305,6 +314,29 @@ def _mean_sql(n: int) -> str:
  m{n} AS (SELECT a.id, sum(least(a.c, b.c)) AS m FROM p{n} a JOIN r{n} b ON a.id = b.id AND a.x = b.x GROUP BY a.id), f{n} AS (SELECT g.id, CASE WHEN coalesce(m.m, 0) = 0 THEN 0.0 ELSE 2.0 * m.m / (len(p) + len(r)) END AS f FROM g{n} g LEFT JOIN m{n} m ON m.id = g.id)"""
 
 
+#: Every window of the longer text against the shorter one, by their longest common subsequences.
+FUZZY_SQL = f"""
+WITH RECURSIVE {WITH}, p AS MATERIALIZED (SELECT conv_id, turn, user_text AS source, CASE WHEN turn % 4 = 0 THEN substr(user_text, 21, 4) || substr(user_text, 26, 7) ELSE substr(reply, 1, 12) END AS name FROM turns),
+ o AS (SELECT conv_id, turn, CASE WHEN length(name) <= length(source) THEN name ELSE source END AS a, CASE WHEN length(name) <= length(source) THEN source ELSE name END AS b FROM p),
+ w AS (SELECT conv_id, turn, a, substr(b, greatest(0, s) + 1, s + length(a) - greatest(0, s)) AS w FROM (SELECT *, unnest(range(1 - length(a), length(b))) AS s FROM o WHERE a <> '')),
+ k AS MATERIALIZED (SELECT DISTINCT a, w, list_filter(string_split(a, ''), lambda c: c <> '') AS p, list_filter(string_split(w, ''), lambda c: c <> '') AS r FROM w),
+ l AS (SELECT a, w, p, r, 0 AS i, list_transform(range(0, len(r) + 1), lambda x: 0::BIGINT) AS was FROM k
+       UNION ALL SELECT a, w, p, r, i + 1, list_reduce(list_transform(range(1, len(r) + 1), lambda j: [j]), lambda acc, j: list_append(acc, CASE WHEN p[i + 1] = r[j[1]] THEN was[j[1]] + 1 ELSE greatest(acc[-1], was[j[1] + 1]) END), [0::BIGINT]) FROM l WHERE i < len(p)),
+ scored AS (SELECT a, w, 200.0::DOUBLE * was[-1] / (len(p) + len(r)) AS score FROM l WHERE i = len(p)),
+ best AS (SELECT conv_id, turn, max(score) AS score FROM w JOIN scored USING (a, w) GROUP BY conv_id, turn)
+SELECT o.conv_id, o.turn, CASE WHEN a = '' THEN b = '' ELSE best.score >= 85 END AS supported FROM o LEFT JOIN best ON best.conv_id = o.conv_id AND best.turn = o.turn
+"""
+
+
+@query(FUZZY_SQL)
+def fuzzy_support(spark: SparkSession, d: str) -> DataFrame:
+    """Pieces of the question with a letter left out, and beginnings of the answer, looked for in the question."""
+    text = F.col("user_text")
+    piece = F.concat(F.substring(text, 21, 4), F.substring(text, 26, 7))
+    name = F.when(F.col("turn") % 4 == 0, piece).otherwise(F.substring("reply", 1, 12))
+    return domain.turns(spark, d).select("conv_id", "turn", quality.fuzzy_reached(name, text).alias("supported"))
+
+
 @query(f"""WITH RECURSIVE {WITH}, {LCS_SQL}, {_mean_sql(1)}, {_mean_sql(2)}
  SELECT (SELECT round(avg(f), 4) FROM f1) AS rouge1, (SELECT round(avg(f), 4) FROM f2) AS rouge2, (SELECT round(avg(f), 4) FROM scored) AS "rougeL", (SELECT round(avg(CASE WHEN length(reply) > length(user_text) THEN 1.0 ELSE 0.0 END), 4) FROM turns) AS scorer_f1, (SELECT count(*) FROM turns) AS n""")
 def rouge_corpus_mean(spark: SparkSession, d: str) -> DataFrame:

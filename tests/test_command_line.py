@@ -70,6 +70,17 @@ def test_labels_are_appended(spark, tmp_path, capsys):
     assert spark.read.parquet(f"{tmp_path}/labels").count() == 3 and status()[1] == "summarized"
 
 
+def test_export_names_a_version_once(spark, tmp_path, data):
+    from corpusloom.plans import domain
+
+    for name, rows in (("labels", domain.labels(spark, data)), ("articles", domain.articles(spark, data)), ("sources", domain.sources(spark, data))):
+        rows.write.parquet(f"{tmp_path}/{name}")
+    args = ["export", "first", "--prompt-version", "v1", "--tables", str(tmp_path), "--dataset-root", f"{tmp_path}/sets"]
+    assert main(args, spark) == 0 and main(args, spark) == 2
+    kept = spark.read.parquet(f"{tmp_path}/sets/first_manifest")
+    assert kept.selectExpr("sum(bitmap_count(ids))").first()[0] == spark.read.json(f"{tmp_path}/sets/first").select("article_id").distinct().count() > 0
+
+
 def web(url):
     """A small web for the test: a feed, robots rules, and pages."""
     words = " ".join(f"word{k}" for k in range(60))

@@ -99,6 +99,35 @@ def test_partial_ratio_is_exhaustive():
         assert quality.partial_ratio(a, b) == pytest.approx(slow(a, b))
 
 
+def test_seeds_miss_no_window():
+    rnd = random.Random(6)
+    words = lambda n, letters: "".join(rnd.choice(letters) for _ in range(n))
+    hits, looked, every = 0, 0, 0
+    for _ in range(3000):
+        letters = rnd.choice(("ab", "abcd ", "abcdefghijklmnop "))
+        long, short = words(rnd.randint(0, 60), letters), words(rnd.randint(0, 14), letters)
+        if long and rnd.random() < 0.6:
+            at = rnd.randrange(len(long))
+            short = list(long[at : at + rnd.randint(1, 20)])
+            for _ in range(rnd.randint(0, 3)):
+                place = rnd.randrange(len(short) + 1)
+                short[place : place + rnd.randint(0, 1)] = words(rnd.randint(0, 1), letters)
+            short = "".join(short)
+        ratio = rnd.choice((0.6, 0.75, 0.85, 0.9, 1.0, 0.3))
+        assert quality.reaches(short, long, ratio) == (quality.partial_ratio(short, long) >= 100 * ratio), (short, long, ratio)
+        hits += quality.reaches(short, long, ratio)
+        if ratio == 0.85 and len(letters) > 10 and 0 < len(short) <= len(long):
+            looked, every = looked + len(quality.window_starts(short, long, ratio)), every + len(long) + len(short) - 1
+    assert 500 < hits < 2500 and looked < every
+
+
+def test_work_follows_the_seeds():
+    text = "The river runs by the market, and the long road goes home past it. " * 300
+    assert quality.window_starts("Quetzal Xylophone", text, 0.85) == []
+    one = text[:9000] + " Quetzal Xylofone " + text[9000:]
+    assert len(quality.window_starts("Quetzal Xylophone", one, 0.85)) < 60 and quality.reaches("Quetzal Xylophone", one, 0.85)
+
+
 def test_label_batch(spark):
     good = json.dumps({"summary": "Đội tuyển thắng hôm qua.", "key_entities": [], "confidence": 0.9})
     df = spark.createDataFrame([(1, "good", SOURCE), (2, "bad", SOURCE), (3, "boom", SOURCE), (4, "garbage", SOURCE)], "id int, prompt string, source_text string")
@@ -138,6 +167,20 @@ def test_dataset_files(spark, tmp_path):
     assert '"category":null' in next((tmp_path / "out/split=train").glob("*.json")).read_text()
 
 
+def test_manifest_of_bitmaps(spark):
+    ids = [-70_000, -32_768, -1, 0, 1, 2, 32_768, 32_769, 98_304, 98_305, 10**12]
+    rows = spark.createDataFrame([(i, ("train", "val", "test")[k % 3]) for k, i in enumerate(ids)] + [(2, "test"), (None, "val"), (1, "val"), (1, "val")], "article_id long, split string")
+    made = storage.cut_lineage(dataset.manifest(rows, "v1"))
+    want = {(s, i) for i, s in rows.collect() if i is not None}
+    got = [(r["split"], r["article_id"]) for r in dataset.manifest_ids(made).collect()]
+    assert set(got) == want and len(got) == len(want) and {r["name"] for r in made.collect()} == {"v1"}
+    assert {r["split"]: r["n"] for r in dataset.manifest_counts(made).collect()} == {s: sum(x == s for x, _ in want) for s in ("train", "val", "test")}
+    asked = spark.createDataFrame([(i,) for i in (*ids, 3, 99, -2, None)], "article_id long")
+    found = {r["article_id"]: r["split"] for r in dataset.split_of(asked, made).collect()}
+    assert {i for i, s in found.items() if s is None} == {3, 99, -2, None} and all((s, i) in want for i, s in found.items() if s)
+    assert dataset.manifest_ids(dataset.manifest(rows.limit(0), "v1")).collect() == []
+
+
 def test_tokenized_and_training_rows(spark):
     df = spark.createDataFrame([("a b c", "x"), ("", "y"), ("d", "")], "content_text string, summary string")
     rows = dataset.training_rows(df, text="missing")
