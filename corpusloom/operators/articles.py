@@ -73,16 +73,99 @@ class _LooseReader(_Reader):
     skipped_names = frozenset("script style noscript template svg head button select".split())
 
 
+#: Parts of class names and ids of what stands beside a story.
+_BESIDE = re.compile(r"(?i)(?:^|[\s_-])(?:nav|menu|sidebar|footer|header|breadcrumbs?|comments?|related|recommend\w*|share|social|promo\w*|advert\w*|ads?|banner|cookie\w*|newsletter|subscribe|popup|widget|toolbar|pagination)(?:$|[\s_-])")
+_CONTAINERS = frozenset("html body div section article main ul ol dl table tbody tr td th blockquote center figure".split())
+_STORY = frozenset(("article", "main"))
+
+
+class _Tree(_Reader):
+    """The page as containers with blocks of text; the container whose blocks hold most text outside links is the story's.
+
+    A block counts by its letters less three times those in links, and little if it is short
+    and ends like no sentence.  A container counts what its own blocks do and nine tenths of what the
+    containers in it do, so it wins over one of them only if others add to it.
+    """
+
+    def __init__(self) -> None:
+        super().__init__()
+        #: Of each container: the one around it, and whether it is an article or in one.
+        self.around, self.in_story = [0], [False]
+        #: (container, text, letters in links)
+        self.blocks: list[tuple[int, str, int]] = []
+        self.open: list[tuple[str, int, bool]] = [("", 0, False)]
+        self.held, self.linked, self.link = [], 0, 0
+
+    def handle_starttag(self, tag, attrs):
+        if tag in _VOID or tag == "title":
+            super().handle_starttag(tag, attrs)
+            return
+        if tag == "a":
+            self.link += 1
+        if tag in _BLOCKS:
+            self._close()
+        if tag in _CONTAINERS or tag in _SKIPPED:
+            _, node, hidden = self.open[-1]
+            named = " ".join(v for k, v in attrs if k in ("class", "id", "role") and v)
+            # What names the whole page says nothing of it.
+            hidden = hidden or tag in _SKIPPED or (tag not in ("html", "body", *_STORY) and bool(_BESIDE.search(named)))
+            self.around.append(node)
+            self.in_story.append(self.in_story[node] or tag in _STORY)
+            self.open.append((tag, len(self.around) - 1, hidden))
+
+    def handle_endtag(self, tag):
+        self.in_title &= tag != "title"
+        if tag == "a":
+            self.link = max(0, self.link - 1)
+        if tag in _BLOCKS or tag in _SKIPPED:
+            self._close()
+        if any(tag == name for name, *_ in self.open[1:]):
+            while self.open.pop()[0] != tag:
+                pass
+
+    def _add(self, data: str) -> None:
+        if data == "\n" or not self.open[-1][2]:
+            self.held.append(data)
+            self.linked += len(data.strip()) if self.link else 0
+
+    def _close(self) -> None:
+        text = "".join(self.held)
+        if text.strip():
+            self.blocks.append((self.open[-1][1], text, self.linked))
+        self.held, self.linked, self.link = [], 0, 0
+
+    def story(self) -> str:
+        self._close()
+        total = [0.0] * len(self.around)
+        for node, text, linked in self.blocks:
+            n = len(text.strip())
+            total[node] += max(0.0, n - 3.0 * linked) * (1.0 if n >= 40 or text.rstrip()[-1] in ".!?…:;”\"" else 0.2)
+        for node in range(len(total) - 1, 0, -1):
+            total[self.around[node]] += 0.9 * total[node]
+        wanted = [k for k, inside in enumerate(self.in_story) if inside] or range(len(total))
+        top = max(wanted, key=lambda k: (total[k], -k))
+        if not total[top]:
+            return ""
+        within = [k == top for k in range(len(total))]
+        for node in range(1, len(total)):
+            within[node] |= within[self.around[node]]
+        return "\n".join(text for node, text, linked in self.blocks if within[node] and 2 * linked <= len(text.strip()))
+
+
 def read_article(html: str | None, min_words: int = 0) -> tuple | None:
     """(title, author, published, text) of a page, None where nothing can be read.
 
-    If the text has fewer than ``min_words`` words, a second, looser reading takes its
-    place where that has enough.
+    The text is that of the container with the most text outside links, of an article or
+    main element if there is one.  If it has fewer than ``min_words`` words, all text
+    outside menus and the like takes its place where that has more, and then a looser reading where that has enough.
     """
     if not html:
         return None
-    found = _read(html, _Reader())
-    if len((found[3] or "").split()) < min_words:
+    found = _read(html, _Tree())
+    if len(found[3].split()) < min_words:
+        plain = _read(html, _Reader())
+        found = plain if len(plain[3].split()) > len(found[3].split()) else found
+    if len(found[3].split()) < min_words:
         loose = _read(html, _LooseReader())
         found = loose if len(loose[3].split()) >= min_words else found
     return found
@@ -91,7 +174,7 @@ def read_article(html: str | None, min_words: int = 0) -> tuple | None:
 def _read(html: str, reader: _Reader) -> tuple:
     reader.feed(html)
     reader.close()
-    text = "".join(reader.inside if "".join(reader.inside).strip() and not isinstance(reader, _LooseReader) else reader.whole)
+    text = reader.story() if isinstance(reader, _Tree) else "".join(reader.inside if "".join(reader.inside).strip() and not isinstance(reader, _LooseReader) else reader.whole)
     lines = [" ".join(x.split()) for x in text.split("\n")]
     meta = reader.meta
     return (

@@ -463,6 +463,38 @@ def test_extraction_gate(spark):
     assert got[0]["title"] == "T" and "menu" not in got[0]["text"] and got[1:] == [None] * 3
 
 
+def made_page(rnd):
+    """(page, its story's paragraphs): no article element, no name that says anything."""
+    word = lambda: "".join(rnd.choice("aeioulnrst") for _ in range(rnd.randint(2, 9)))
+    sentence = lambda n: " ".join(word() for _ in range(n)).capitalize() + "."
+    links = lambda n: "<ul>" + "".join(f"<li><a href='/{word()}'>{word()} {word()} {word()}</a></li>" for _ in range(n)) + "</ul>"
+    story = [" ".join(sentence(rnd.randint(8, 16)) for _ in range(rnd.randint(1, 4))) for _ in range(rnd.randint(4, 9))]
+    inside = "".join(f"<p>{p}</p>" + (f"<div>{links(3)}</div>" if rnd.random() < 0.3 else "") for p in story)
+    if rnd.random() < 0.5:
+        half = len(story) // 2
+        inside = "<div>" + "".join(f"<p>{p}" for p in story[:half]) + "</div><div>" + "".join(f"<p>{p}" for p in story[half:]) + "</div>"
+    around = [f"<div><h1>{word()}</h1>{inside}</div>", f"<div>{links(rnd.randint(5, 60))}</div>", f"<div>{word()} {word()} {links(4)}</div>", f"<div><a href='/'>{sentence(9)}</a><a href='/x'>{sentence(30)}</a></div>", f"<div><span>{word()}</span></div>", f"<div class='comments'><p>{sentence(40)}</p></div>"]
+    rnd.shuffle(around)
+    body = "".join(around)
+    for _ in range(rnd.randint(0, 3)):
+        body = f"<div>{body}</div>"
+    return f"<html><head><title>T</title><script>var x = '<p>no</p>'</script></head><body>{body}</body></html>", story
+
+
+def test_a_story_is_found_by_the_density_of_its_links():
+    from corpusloom.operators.articles import read_article
+
+    rnd = random.Random(3)
+    for _ in range(150):
+        page, story = made_page(rnd)
+        lines = read_article(page)[3].split("\n")
+        heading = [x for x in lines if x not in story]
+        assert [x for x in lines if x in story] == story and len(heading) <= 1 and all(" " not in h for h in heading), page
+    within = f"<div>{'<p>' + 'Outside words stand here, more of them than in the article itself. ' * 9}</div><article><p>Inside.</p></article>"
+    assert read_article(within)[3] == "Inside." and read_article("")is None and read_article("<ul><li><a>x</a></ul>")[3] == ""
+    assert read_article("<div>a<br>b</div> c")[3] == "a\nb\nc" and read_article("<p>x</div></p></section><p>y")[3] == "x\ny"
+
+
 def test_upsert_and_insert(spark):
     old = spark.createDataFrame([(1, "a", 1), (2, "b", 2)], "k int, v string, w int")
     new = spark.createDataFrame([(2, "B"), (3, "c")], "k int, v string")
