@@ -1,4 +1,4 @@
-"""Command line: ``python -m corpusloom {crawl,ingest,label,export,evaluate,query} …``."""
+"""Command line: ``python -m corpusloom {crawl,ingest,retire,label,export,evaluate,query} …``."""
 
 from __future__ import annotations
 
@@ -18,7 +18,8 @@ from corpusloom.operators import articles, crawl, dataset, labelling, reports, s
 from corpusloom.sources import feeds, storage
 from corpusloom.sources.config import load_prompt, settings
 from corpusloom.sources.feed_stream import rounds
-from corpusloom.streaming.incremental import store, stored_so_far, stored_urls
+from corpusloom.sources.versions import Table
+from corpusloom.streaming.incremental import expire, store, stored_so_far, stored_urls
 
 
 def parser() -> argparse.ArgumentParser:
@@ -38,6 +39,11 @@ def parser() -> argparse.ArgumentParser:
     ingest.add_argument("candidates")
     ingest.add_argument("--store", default=f"{known.warehouse}/articles")
     ingest.add_argument("--source", action="append", default=[])
+    retire = sub.add_parser("retire", help="delete stored articles that are too old, or taken down; ends with 1 if nothing is left")
+    retire.add_argument("--store", default=f"{known.warehouse}/articles")
+    retire.add_argument("--days", type=int, default=30)
+    retire.add_argument("--taken-down", help="Parquet table with the ids of articles to take down")
+    retire.add_argument("--today", type=dt.date.fromisoformat, help="the day to count from")
     label = sub.add_parser("label", help="label a batch of articles and append the labels; ends with 1 if none was labelled")
     label.add_argument("--prompt", required=True, help="YAML file of the prompt and its limits")
     label.add_argument("--model", required=True, help="module:function that answers a prompt's text")
@@ -90,6 +96,7 @@ def run_crawl(spark: SparkSession, args: argparse.Namespace) -> int:
         return 2
     sources, get, new = feeds.catalogue(spark, args.config), imported(args.fetch), 0
     robots = spark.createDataFrame([], feeds.ROBOTS)
+    Table(spark, f"{args.store}_sources", "source_id", feeds.CATALOGUE, buckets=1).merge(sources)
     for done, _ in enumerate(rounds(60 * args.interval), 1):
         stored = stored_so_far(spark, args.store)
         number = (stored.agg(F.max("batch")).first()[0] or 0) + 1
@@ -112,6 +119,15 @@ def run_ingest(spark: SparkSession, args: argparse.Namespace) -> int:
     return 0 if keep_run(spark, outcomes, args.store, number) else 1
 
 
+def run_retire(spark: SparkSession, args: argparse.Namespace) -> int:
+    today = args.today or dt.datetime.now(dt.timezone.utc).date()
+    taken = spark.read.parquet(args.taken_down) if args.taken_down else None
+    gone = expire(spark, args.store, today - dt.timedelta(args.days), taken)
+    left = stored_so_far(spark, args.store).count()
+    print(json.dumps({"days_deleted": gone, "articles": left}))
+    return 0 if left else 1
+
+
 def run_label(spark: SparkSession, args: argparse.Namespace) -> int:
     read = lambda name: storage.load(spark, args.tables, name)
     prompt, call = load_prompt(args.prompt), imported(args.model)
@@ -185,7 +201,7 @@ def run_query(spark: SparkSession, args: argparse.Namespace) -> int:
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     args = parser().parse_args(argv)
     spark = spark or SparkSession.builder.appName("corpusloom").config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    return {"crawl": run_crawl, "ingest": run_ingest, "label": run_label, "export": run_export, "evaluate": run_evaluate, "query": run_query}[args.command](spark, args)
+    return {"crawl": run_crawl, "ingest": run_ingest, "retire": run_retire, "label": run_label, "export": run_export, "evaluate": run_evaluate, "query": run_query}[args.command](spark, args)
 
 
 if __name__ == "__main__":

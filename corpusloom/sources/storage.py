@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,12 +61,38 @@ def update(spark: SparkSession, rows: DataFrame, place: str, name: str, key: str
     folder = f"{place}/{name}"
     stored = spark.read.parquet(folder)
     rows = cut_lineage(rows.join(stored.select(key), key, "left_semi"))
-    held = [r[0] for r in stored.select(key, F.col("_metadata.file_path").alias("_file")).join(rows.select(key), key, "left_semi").select("_file").distinct().collect()]
-    if held:
-        upsert(spark.read.schema(stored.schema).parquet(*held), rows, key).write.mode("append").parquet(folder)
-        for path in held:
-            hadoop = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(path))
-            hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, False)
+    _rewritten(spark, folder, _holding(stored, rows, key), lambda old: upsert(old, rows, key))
+
+
+def remove(spark: SparkSession, folder: str, keys: DataFrame, key: str, *, partitioned: tuple[str, ...] = ()) -> int:
+    """Take the rows with a key of ``keys`` out of a folder of Parquet files, off the disk; how many files were written anew."""
+    stored = spark.read.parquet(folder)
+    keys = cut_lineage(keys.select(F.col(key).cast(stored.schema[key].dataType)).distinct())
+    held = _holding(stored, keys, key)
+    _rewritten(spark, folder, held, lambda old: old.join(keys, key, "left_anti"), partitioned)
+    return len(held)
+
+
+def _holding(stored: DataFrame, keys: DataFrame, key: str) -> list[str]:
+    """The files of ``stored`` that hold one of the keys."""
+    return [r[0] for r in stored.select(key, F.col("_metadata.file_path").alias("_file")).join(keys.select(key), key, "left_semi").select("_file").distinct().collect()]
+
+
+def _rewritten(spark: SparkSession, folder: str, held: list[str], change: Callable[[DataFrame], DataFrame], partitioned: tuple[str, ...] = ()) -> None:
+    """Write the rows of some files anew as ``change`` makes them, then delete the files."""
+    if not held:
+        return
+    schema = spark.read.parquet(folder).schema
+    changed = change(spark.read.schema(schema).option("basePath", folder).parquet(*held))
+    changed.write.mode("append").partitionBy(*partitioned).parquet(folder) if partitioned else changed.write.mode("append").parquet(folder)
+    for path in held:
+        delete(spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> bool:
+    """Delete a file, or a folder and all in it, by its address."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(path)) if "%" in path else spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,16 +14,20 @@ from pyspark.sql.streaming import StreamingQuery
 from corpusloom.functions.text import normalized
 from corpusloom.operators.articles import ingest
 from corpusloom.sources.keys import KeyStore
-from corpusloom.sources.storage import cut_lineage, exists
+from corpusloom.sources.storage import cut_lineage, delete, exists, remove
 
 STORED = "id long, url_hash string, simhash long, fetched_at timestamp"
 
 
 def stored_so_far(spark: SparkSession, folder: str, before: int | None = None) -> DataFrame:
     """What earlier batches stored; a batch that runs again does not see its own first try."""
-    if not exists(spark, folder):
+    try:
+        found = spark.read.parquet(folder)
+    except AnalysisException as problem:
+        # The folder is not there, or holds batches without rows only.
+        if problem.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
         return spark.createDataFrame([], STORED + ", batch long, day date")
-    found = spark.read.parquet(folder)
     return found if before is None else found.where(F.col("batch") < before)
 
 
@@ -82,10 +88,36 @@ def event_windows(events: DataFrame, *, late: str = "10 minutes", size: str = "1
     return events.withWatermark("ts", late).groupBy(F.window("ts", size).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
 
+def expire(spark: SparkSession, folder: str, before: dt.date, taken_down: DataFrame | None = None) -> int:
+    """Delete the days of ``folder`` that lie before a date, and the rows whose id ``taken_down`` has; how many days' folders went.
+
+    Days are folders of their own, so nothing is read or written to drop them; of the rest
+    only files that hold a row to be taken down are written anew.  URL hashes stay, so what
+    is gone is not fetched again.
+    """
+    if not exists(spark, folder):
+        return 0
+    gone = 0
+    for place in _folders(spark, folder, "batch="):
+        for day in _folders(spark, place, "day="):
+            if day.rsplit("day=", 1)[1] < before.isoformat():
+                gone += delete(spark, day)
+    left = [d for place in _folders(spark, folder, "batch=") for d in _folders(spark, place, "day=")]
+    if taken_down is not None and left:
+        remove(spark, folder, taken_down, "id", partitioned=("batch", "day"))
+    return gone
+
+
+def _folders(spark: SparkSession, folder: str, start: str) -> list[str]:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
+    return [f.getPath().toString() for f in found if f.isDirectory() and f.getPath().getName().startswith(start)]
+
+
 def retained(articles: DataFrame, as_of, days: int = 30, taken_down: DataFrame | None = None) -> DataFrame:
     """Articles not older than ``days``, without those taken down (by ``id``)."""
     kept = articles.where(F.col("fetched_at") >= as_of - F.make_dt_interval(F.lit(days)))
     return kept if taken_down is None else kept.join(taken_down.select("id"), "id", "left_anti")
 
 
-__all__ = ["dedupe_stream", "event_windows", "ingest_stream", "retained", "store", "stored_so_far", "stored_urls"]
+__all__ = ["dedupe_stream", "event_windows", "expire", "ingest_stream", "retained", "store", "stored_so_far", "stored_urls"]

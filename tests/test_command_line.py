@@ -3,8 +3,10 @@ import json
 import pytest
 
 from corpusloom.__main__ import main
+from corpusloom.sources import feeds
 from corpusloom.sources.config import load_prompt, load_training, settings
 from corpusloom.sources.storage import write_dataset
+from corpusloom.sources.versions import Table
 
 
 def test_evaluate(spark, tmp_path, capsys):
@@ -31,6 +33,27 @@ def test_ingest_twice(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/store").count() == 1
 
 
+def test_retired_articles_are_in_no_file(spark, tmp_path, capsys):
+    import datetime as dt
+
+    from corpusloom.streaming import incremental
+
+    store = f"{tmp_path}/store"
+    for batch, days in ((1, (1, 2, 20)), (2, (3, 20, 21))):
+        rows = [(10 * batch + d, f"h{batch}{d}", d, dt.datetime(2024, 1, d), "inserted") for d in days]
+        incremental.store(spark.createDataFrame(rows, "id long, url_hash string, simhash long, fetched_at timestamp, outcome string"), store, batch)
+    spark.createDataFrame([(41,), (999,)], "id int").write.parquet(f"{tmp_path}/down")
+    args = ["retire", "--store", store, "--days", "10", "--today", "2024-01-22"]
+    on_disk = lambda: {r["id"] for r in spark.read.option("recursiveFileLookup", "true").parquet(store).collect()}
+    assert on_disk() == {11, 12, 30, 23, 40, 41}
+    assert main([*args, "--taken-down", f"{tmp_path}/down"], spark) == 0
+    assert json.loads(capsys.readouterr().out.strip().splitlines()[-1]) == {"days_deleted": 3, "articles": 2}
+    assert on_disk() == {30, 40} and {r["batch"] for r in incremental.stored_so_far(spark, store).collect()} == {1, 2}
+    known = incremental.stored_urls(spark, store).known(spark.createDataFrame([("h11",), ("h221",), ("x",)], "u string"))
+    assert {r["key"] for r in known.collect()} == {"h11", "h221"}
+    assert main(["retire", "--store", store, "--days", "0", "--today", "2024-02-22"], spark) == 1 and main(["retire", "--store", f"{tmp_path}/none"], spark) == 1
+
+
 def test_configuration(tmp_path):
     path = tmp_path / "p.yaml"
     path.write_text("version: 1.2.0\nqc: {max_words: 80, entity_fuzzy_min_ratio: 0.9}\ngeneration_config: {temperature: 0.5}\n")
@@ -101,6 +124,8 @@ def test_crawl(spark, tmp_path):
     runs = {r["batch"]: r for r in spark.read.parquet(f"{tmp_path}/store_runs").collect()}
     assert (runs[1]["n_new"], runs[1]["n_skipped"], runs[1]["n_errors"], runs[1]["status"]) == (2, 1, 2, "success")
     assert (runs[2]["n_new"], runs[2]["n_skipped"], runs[2]["n_errors"], runs[2]["status"]) == (0, 3, 2, "partial")
+    known = Table(spark, f"{tmp_path}/store_sources", "source_id", feeds.CATALOGUE, buckets=1)
+    assert {(r["source_id"], r["enabled"]) for r in known.read().collect()} == {("a", True), ("b", False)} and known.snapshot().version == 2
     assert main(["crawl", "--config", f"{tmp_path}/none.yaml", "--fetch", "tests.test_command_line:web"], spark) == 2
 
 
