@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +15,9 @@ from pyspark.sql import functions as F
 from corpusloom.functions.hashing import hamming
 
 BANDS, BAND_BITS = 4, 16
+#: Four of a hash's eight bytes whose numbers make zero together: 14 choices, and for any
+#: three bytes one that has none of them, so hashes at three differing bits or fewer agree in one.
+BYTE_SETS = [s for s in itertools.combinations(range(8), 4) if s[0] ^ s[1] ^ s[2] ^ s[3] == 0]
 
 
 def first_seen(rows: DataFrame, key: str, *order: Column) -> DataFrame:
@@ -30,6 +34,16 @@ def cap_items(items: DataFrame, most: int | None, *, by: list[str], order: str)
     return ranked.where(F.col("_rank") <= most).drop("_rank")
 
 
+def keys_of(h: Column) -> Column:
+    """Generator of ``(band, key)``: the 32 bits of a hash in each of the 14 choices of four bytes.
+
+    With 32 bits instead of 16, hashes that are not near hardly ever meet, however many there are.
+    """
+    octet = lambda k: F.shiftrightunsigned(h, 8 * k).bitwiseAND(F.lit(0xFF))
+    word = lambda s: functools.reduce(lambda a, b: a.bitwiseOR(b), (F.shiftleft(octet(k), 8 * place) for place, k in enumerate(s)))
+    return F.posexplode(F.array(*(word(s) for s in BYTE_SETS))).alias("band", "key")
+
+
 def near_pairs(articles: DataFrame, *, id_col: str = "id", hash_col: str = "simhash", time_col: str = "fetched_at", within_days: float = 2.0, threshold: int = 3) -> DataFrame:
     """``(earlier, later, distance)``: pairs at ``threshold`` (3 at most) or fewer differing bits, not over ``within_days`` apart.
 
@@ -60,20 +74,19 @@ def near_stored(fresh: DataFrame, stored: DataFrame, *, id_col: str = "id", hash
     with the latest time at which a stored row had one near it.
     """
     if threshold >= BANDS:
-        raise ValueError("four bands guarantee at most 3 differing bits")
+        raise ValueError("the choices of bytes guarantee at most 3 differing bits")
     micros = F.unix_micros(F.col(time_col).cast("timestamp")).alias("t")
-    bands = F.posexplode(F.array(*(F.shiftrightunsigned("h", BAND_BITS * k).bitwiseAND(F.lit(0xFFFF)) for k in range(BANDS)))).alias("band", "key")
     rows = fresh.select(F.col(id_col).alias("id"), F.col(hash_col).alias("h"), micros).where(F.col("h").isNotNull() & F.col("t").isNotNull())
     known = stored.select(F.col(hash_col).alias("h"), micros).where(F.col("h").isNotNull() & F.col("t").isNotNull()).groupBy("h").agg(F.max("t").alias("last"))
-    asked = rows.select("h").distinct().select("h", bands)
-    met = asked.join(known.select(F.col("h").alias("held"), "last", bands), ["band", "key"]).where(hamming(F.col("h"), F.col("held")) <= threshold)
+    asked = rows.select("h").distinct().select("h", keys_of(F.col("h")))
+    met = asked.join(known.select(F.col("h").alias("held"), "last", keys_of(F.col("h"))), ["band", "key"]).where(hamming(F.col("h"), F.col("held")) <= threshold)
     latest = met.groupBy("h").agg(F.max("last").alias("last"))
     return rows.join(latest, "h").where(F.col("last") >= F.col("t") - int(within_days * 86_400_000_000)).select("id")
 
 
 def _linked(rows: DataFrame, threshold: int) -> DataFrame:
     """``(a, b)``: the different hashes of ``rows(h, slot)`` within the threshold that occur in the same or in neighbouring slots, both ways round."""
-    band = F.posexplode(F.array(*(F.shiftrightunsigned("h", BAND_BITS * k).bitwiseAND(F.lit(0xFFFF)) for k in range(BANDS)))).alias("band", "key")
+    band = keys_of(F.col("h"))
     classes = rows.select("h", "slot").distinct()
     left = classes.select(F.col("h").alias("a"), "slot", band)
     right = classes.select(F.col("h").alias("b"), band, F.explode(F.array(F.col("slot") - 1, F.col("slot"), F.col("slot") + 1)).alias("slot"))

@@ -45,6 +45,21 @@ def test_near_pairs_and_greedy_keep(spark, seed):
         assert {r["id"] for r in dedupe.keep_first(df, most=most).where("kept").collect()} == kept
 
 
+def test_near_hashes_agree_in_four_bytes(spark):
+    assert len(dedupe.BYTE_SETS) == 14 and all(any(not set(three) & set(s) for s in dedupe.BYTE_SETS) for three in itertools.combinations(range(8), 3))
+    rnd = random.Random(9)
+    rows = []
+    for _ in range(300):
+        a = rnd.getrandbits(64)
+        b = a
+        for bit in rnd.sample(range(64), 3):
+            b ^= 1 << bit
+        rows.append(tuple(x - (1 << 64) if x >> 63 else x for x in (a, b)))
+    df = spark.createDataFrame(rows, "a long, b long").withColumn("n", F.monotonically_increasing_id())
+    one, two = (df.select("n", dedupe.keys_of(F.col(c))) for c in "ab")
+    assert one.join(two, ["n", "band", "key"]).select("n").distinct().count() == 300 and one.select("key").where("key >= 0").count() == 300 * 14
+
+
 def test_many_copies_make_no_pairs(spark):
     df = spark.range(20_000).select("id", F.lit(7).cast("long").alias("simhash"), (F.lit(NOW) + F.make_dt_interval(mins=F.col("id").cast("int"))).alias("fetched_at"))
     df = df.unionByName(spark.createDataFrame([(30_000, None, NOW), (30_001, 7, None)], "id long, simhash long, fetched_at timestamp"))
