@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.core import let
+from corpusloom.operators.dataset import pad_negative
 from corpusloom.operators.quality import lcs
 
 _ASCII = re.compile(r"[^a-z0-9]+")
@@ -85,6 +86,23 @@ def corpus_scores(pairs: DataFrame, *, id_col: str = "id", scorer: Callable[[lis
     return each.agg(*wanted)
 
 
+def token_scores(rows: DataFrame, make_decoder: Callable[[], Callable[[list[list[int]]], list[str]]], *, pad: int, id_col: str = "id", digits: int = 12) -> DataFrame:
+    """``corpus_scores`` of token ids, ``predictions`` against ``labels``, as they are scored while a model trains.
+
+    Negative ids, which fill up ragged rows and mark what a loss skips, become ``pad`` before they are
+    decoded.  The decoder is made once per worker and takes a list of rows; null rows are empty.
+    """
+
+    @F.pandas_udf("string")
+    def decoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        decode = make_decoder()
+        for ids in batches:
+            yield pd.Series(decode([list(map(int, row)) for row in ids]), dtype=object)
+
+    text = lambda c: decoded(F.coalesce(pad_negative(F.col(c), pad), F.array().cast("array<int>")))
+    return corpus_scores(rows.select(F.col(id_col).alias("id"), text("predictions").alias("prediction"), text("labels").alias("reference")), digits=digits)
+
+
 def paired(predictions: DataFrame, references: DataFrame, key: str = "id") -> DataFrame:
     """Predictions and references by key; raises if either side lacks a key of the other."""
     both = predictions.select(key, "prediction").join(references.select(key, "reference"), key, "full_outer")

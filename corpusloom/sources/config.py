@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 from dataclasses import dataclass, field, fields
 from typing import Any
@@ -107,3 +108,19 @@ def settings(environment: dict[str, str] | None = None, file: str = ".env") -> S
     """From the environment, else from the file, else the defaults."""
     env = dotenv(file) | dict(os.environ) if environment is None else environment
     return Settings(**{f.name: env[key] for f in fields(Settings) if (key := f"CORPUSLOOM_{f.name.upper()}") in env})
+
+
+def model_parts(folder: str) -> dict[str, str | None]:
+    """``base``, ``adapter`` and ``tokenizer`` of a model's folder, or of a name that is no folder.
+
+    A folder with ``adapter_config.json`` is an adapter of the base model that the file
+    names (it must), with the tokenizer of the folder if it has one, else of the base.
+    """
+    described = os.path.join(folder, "adapter_config.json")
+    if not os.path.exists(described):
+        return {"base": folder, "adapter": None, "tokenizer": folder}
+    with open(described, encoding="utf-8") as text:
+        base = json.load(text).get("base_model_name_or_path")
+    if not base:
+        raise ValueError(f"{described} names no base_model_name_or_path")
+    return {"base": str(base), "adapter": folder, "tokenizer": folder if os.path.exists(os.path.join(folder, "tokenizer.json")) else str(base)}

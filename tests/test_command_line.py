@@ -4,7 +4,7 @@ import pytest
 
 from corpusloom.__main__ import main
 from corpusloom.sources import feeds
-from corpusloom.sources.config import load_prompt, load_training, settings
+from corpusloom.sources.config import load_prompt, load_training, model_parts, settings
 from corpusloom.sources.storage import write_dataset
 from corpusloom.sources.versions import Table
 
@@ -69,6 +69,18 @@ def test_configuration(tmp_path):
     assert settings(file=f"{tmp_path}/.env").warehouse == "from file" and settings(file=f"{tmp_path}/none").warehouse == "warehouse"
 
 
+def test_model_folders(tmp_path):
+    assert model_parts("some/name") == {"base": "some/name", "adapter": None, "tokenizer": "some/name"}
+    own = str(tmp_path)
+    (tmp_path / "adapter_config.json").write_text('{"base_model_name_or_path": "big/base"}')
+    assert model_parts(own) == {"base": "big/base", "adapter": own, "tokenizer": "big/base"}
+    (tmp_path / "tokenizer.json").write_text("{}")
+    assert model_parts(own)["tokenizer"] == own
+    (tmp_path / "adapter_config.json").write_text("{}")
+    with pytest.raises(ValueError, match="base_model"):
+        model_parts(own)
+
+
 def answer(prompt):
     """A model for the test: refuses one article, fails for another."""
     if "Title 3" in prompt:

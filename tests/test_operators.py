@@ -309,6 +309,23 @@ def test_rouge(spark):
         scoring.paired(df.select("id", "prediction"), df.where("id > 1").select("id", "reference")).collect()
 
 
+def test_scores_of_token_ids(spark):
+    words = ["<pad>", "the", "cat", "sat", "down", "there"]
+    rows = [(1, [1, 2, 3, -100], [1, 2, 3]), (2, [1, 2, -100, -100], [1, 2, 3, 4]), (3, None, [1, -100])]
+    df = spark.createDataFrame(rows, "id int, predictions array<int>, labels array<int>")
+
+    def decoder():
+        def decode(batch):
+            assert all(i >= 0 for row in batch for i in row)
+            return [" ".join(words[i] for i in row if i) for row in batch]
+
+        return decode
+
+    got = scoring.token_scores(df, decoder, pad=0).first().asDict()
+    assert got == {"rouge1": pytest.approx((1 + 2 / 3) / 3), "rouge2": pytest.approx((1 + 0.5) / 3), "rougeL": pytest.approx((1 + 2 / 3) / 3), "n": 3}
+    assert scoring.token_scores(df.limit(0), decoder, pad=0).first()["n"] == 0
+
+
 def test_reports(spark):
     rows = [("a", o) for o in ("inserted", "skipped_seen", "fetch_failed")] + [("b", "skipped_dupe"), ("c", "extract_failed")]
     runs = {r["source_id"]: r for r in reports.run_row(reports.crawl_counters(spark.createDataFrame(rows, "source_id string, outcome string"))).collect()}
