@@ -31,7 +31,12 @@ from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 from corpusloom.operators.dedupe import BAND_BITS, BANDS, keep_first
 from corpusloom.sources.storage import cut_lineage
 
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: A batch writes what it changed in the state, not the whole state; no disk is set aside for each partition beforehand.
+SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 FEEDBACK = "h long, t long, at timestamp"
 #: kind: row (of a group without a band), ask and kept (of a band).
 MESSAGE = "band int, key long, kind string, id long, h long, t long, until long, at timestamp"
@@ -172,7 +177,9 @@ def near_keep_stream(rows: DataFrame, folder: str, checkpoint: str, *, id_col: s
     found = sent.groupBy("band", "key").transformWithStateInPandas(KeptState(span, threshold), FOUND, "Append", "EventTime")
 
     def step(batch: DataFrame, number: int) -> None:
-        held = cut_lineage(batch)
+        # By way of files, whose sizes the optimizer knows; of a checkpoint of a stream's batch it would think that it is small enough to broadcast.
+        batch.write.mode("overwrite").parquet(f"{folder}/found")
+        held = batch.sparkSession.read.schema(FOUND).parquet(f"{folder}/found")
         news = held.agg(F.max(F.when(F.col("kind") == "seen", F.floor(F.col("t") / 1000))).alias("seen"), F.max("mark").alias("mark"), F.count_if(F.col("kind") == "row").alias("n")).first()
         if not news["n"]:
             return
@@ -189,14 +196,15 @@ def near_keep_stream(rows: DataFrame, folder: str, checkpoint: str, *, id_col: s
         if on_batch:
             on_batch(decided, number)
 
-    setting = "spark.sql.streaming.stateStore.providerClass"
-    known = spark.conf.get(setting, None)
+    known = {name: spark.conf.get(name, None) for name in SETTINGS}
     # A query keeps the settings that it was started with.
-    spark.conf.set(setting, ROCKS)
+    for name, value in SETTINGS.items():
+        spark.conf.set(name, value)
     try:
         return found.writeStream.foreachBatch(step).outputMode("append").option("checkpointLocation", checkpoint).start()
     finally:
-        spark.conf.set(setting, known) if known else spark.conf.unset(setting)
+        for name, value in known.items():
+            spark.conf.set(name, value) if value else spark.conf.unset(name)
 
 
 def settle(query: StreamingQuery, quiet: int = 2) -> None:
