@@ -141,4 +141,4 @@ def test_stages_of_an_empty_table(spark, data):
 
 def test_every_operator_is_registered():
     numbers = {int(name[2:].split("_")[0]) for name in registry.QUERIES}
-    assert numbers == set(range(1, 11))
+    assert numbers == set(range(1, 14))
