@@ -76,9 +76,10 @@ def dedupe_stream(rows: DataFrame, folder: str, checkpoint: str, *, id_col: str
         keyed = batch.withColumn("key", F.sha2(normalized(F.col(text_col)), 256))
         ranked = keyed.withColumn("_rank", F.row_number().over(W.partitionBy("key").orderBy(id_col))).where(F.col("_rank") == 1).drop("_rank")
         first, keys = cut_lineage(ranked), KeyStore(batch.sparkSession, f"{folder}_keys")
-        fresh = cut_lineage(first.join(keys.known(first.select("key"), before=number), "key", "left_anti"))
-        keys.add(fresh.select("key"), number)
+        fresh = first.join(keys.known(first.select("key"), before=number), "key", "left_anti")
         fresh.write.mode("overwrite").parquet(f"{folder}/batch={number}")
+        # The keys are read from what was written, so that texts are written once.
+        keys.add(batch.sparkSession.read.schema(fresh.schema).parquet(f"{folder}/batch={number}").select("key"), number)
 
     return rows.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
