@@ -66,9 +66,11 @@ def feed_items(spark: SparkSession, d: str) -> DataFrame:
 def feed_stream_items(spark: SparkSession, d: str) -> DataFrame:
     """The same feeds, stored as documents that a stream polls for one round."""
     folder = f"{storage.shared_dir(spark)}/feeds-{uuid.uuid4().hex}"
-    stored = _rss(spark, d).withColumn("name", F.hex(F.xxhash64("feed")))
-    storage.cut_lineage(stored).repartition("name").select("xml", "name").write.partitionBy("name").text(f"{folder}/documents")
-    stored.select("source_id", F.concat(F.lit(f"{folder}/documents/name="), "name").alias("feed")).write.parquet(f"{folder}/catalogue")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    stored = storage.cut_lineage(_rss(spark, d).withColumn("bucket", F.pmod(F.xxhash64("feed"), F.lit(parts)).cast("int")))
+    stored.repartition(parts, "bucket").select(F.col("feed").alias("name"), F.col("xml").alias("text"), "bucket").write.partitionBy("bucket").parquet(f"{folder}/documents")
+    address = F.concat(F.lit(f"{folder}/documents/bucket="), "bucket", F.lit("#"), "feed")
+    stored.select("source_id", address.alias("feed"), "bucket").repartition(parts, "bucket").sortWithinPartitions("bucket").drop("bucket").write.parquet(f"{folder}/catalogue")
     feed_stream.register(spark)
     polled = spark.readStream.format("feeds").options(feeds=f"{folder}/catalogue", fetch="corpusloom.sources.feed_stream:stored", interval="1000000000", since="0").load()
     write = lambda batch, number: batch.write.mode("overwrite").parquet(f"{folder}/round={number}")

@@ -16,6 +16,7 @@ folder keeps them in one file.
 
 from __future__ import annotations
 
+import functools
 import importlib
 import json
 import math
@@ -133,10 +134,28 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(FeedSource)
 
 
+@functools.lru_cache(maxsize=2)
+def _named(folder: str) -> dict[str, str]:
+    """The texts of a folder of Parquet files by their names."""
+    import pyarrow.parquet as pq
+
+    system, _ = opened(folder)
+    held = [pq.read_table(f, filesystem=system, columns=["name", "text"], partitioning=None) for f in files_of(folder)]
+    return {n: t for part in held for n, t in zip(part["name"].to_pylist(), part["text"].to_pylist(), strict=True)}
+
+
 def stored(address: str) -> tuple[int, str]:
-    """A fetcher of documents kept as text files in a folder: ``file:``, ``hdfs:``, and what else pyarrow opens."""
-    system, _ = opened(address)
-    found = files_of(address)
+    """A fetcher of kept documents: ``folder`` of text files, or ``folder#name`` for a row of its Parquet files ``(name, text)``.
+
+    Addresses are ``file:``, ``hdfs:``, and what else pyarrow opens.  A folder of rows is read
+    once for the addresses in it that follow each other, so it should fit a task.
+    """
+    folder, _, name = address.partition("#")
+    if name:
+        text = _named(folder).get(name)
+        return (404, "") if text is None else (200, text)
+    system, _ = opened(folder)
+    found = files_of(folder)
     return (200, "\n".join(system.open_input_file(f).read().decode() for f in found)) if found else (404, "")
 
 

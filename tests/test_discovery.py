@@ -113,6 +113,8 @@ def test_a_list_of_feeds_in_files(spark, tmp_path):
 
 def test_stored_documents_as_a_web(spark, tmp_path):
     spark.createDataFrame([("one",), ("two",)], "value string").coalesce(1).write.text(f"file://{tmp_path}/doc")
+    spark.createDataFrame([("a/1", "x"), ("b", "y")], "name string, text string").write.parquet(f"file://{tmp_path}/rows/bucket=3")
+    assert [feed_stream.stored(f"file://{tmp_path}/rows/bucket=3#{n}") for n in ("a/1", "b", "c")] == [(200, "x"), (200, "y"), (404, "")]
     assert feed_stream.stored(f"file://{tmp_path}/doc") == (200, "one\ntwo\n") and feed_stream.stored(f"file://{tmp_path}/none") == (404, "")
 
 
