@@ -290,12 +290,6 @@ def qc_battery(spark: SparkSession, d: str) -> DataFrame:
     return _checked(spark, d).select("conv_id", "turn", F.col("qc.word_count").alias("words"), F.col("qc.sentence_count").alias("sentences"), names.alias("reasons"), "qc.passed")
 
 
-@query()
-def qc_battery_fuzzy(spark: SparkSession, d: str) -> DataFrame:
-    out = quality.quality(domain.turns(spark, d), summary="reply", source="user_text", refusal=None, limits=LIMITS)
-    return out.select("conv_id", "turn", F.to_json("qc").alias("qc"))
-
-
 @query(f"{CHECKED} SELECT reason, count(*) AS n FROM (SELECT unnest(reasons) AS reason FROM r) GROUP BY reason")
 def qc_reason_histogram(spark: SparkSession, d: str) -> DataFrame:
     return reports.reason_histogram(_checked(spark, d))

@@ -330,6 +330,29 @@ SELECT o.conv_id, o.turn, CASE WHEN a = '' THEN b = '' ELSE best.score >= 85 END
 """
 
 
+#: The whole check with its fuzzy clause: names that no window of the source is like enough, as JSON.
+QC_SQL = f"""{CHECKED.replace("WITH ", "WITH RECURSIVE ", 1)},
+ named AS (SELECT conv_id, turn, user_text AS source, unnest(missing_e) AS name, generate_subscripts(missing_e, 1) AS i FROM q),
+ o AS (SELECT DISTINCT name, source, CASE WHEN length(name) <= length(source) THEN name ELSE source END AS a, CASE WHEN length(name) <= length(source) THEN source ELSE name END AS b FROM named),
+ w AS (SELECT name, source, a, substr(b, greatest(0, s) + 1, s + length(a) - greatest(0, s)) AS w FROM (SELECT *, unnest(range(1 - length(a), length(b))) AS s FROM o WHERE a <> '')),
+ k AS MATERIALIZED (SELECT DISTINCT a, w, list_filter(string_split(a, ''), lambda c: c <> '') AS p, list_filter(string_split(w, ''), lambda c: c <> '') AS r FROM w),
+ l AS (SELECT a, w, p, r, 0 AS i, list_transform(range(0, len(r) + 1), lambda x: 0::BIGINT) AS was FROM k
+       UNION ALL SELECT a, w, p, r, i + 1, list_reduce(list_transform(range(1, len(r) + 1), lambda j: [j]), lambda acc, j: list_append(acc, CASE WHEN p[i + 1] = r[j[1]] THEN was[j[1]] + 1 ELSE greatest(acc[-1], was[j[1] + 1]) END), [0::BIGINT]) FROM l WHERE i < len(p)),
+ found AS (SELECT DISTINCT w.name, w.source FROM w JOIN l ON l.a = w.a AND l.w = w.w WHERE l.i = len(l.p) AND 200.0::DOUBLE * l.was[-1] / (len(l.p) + len(l.r)) >= 85),
+ lost AS (SELECT n.conv_id, n.turn, list(n.name ORDER BY n.i) AS names FROM named n LEFT JOIN found f ON f.name = n.name AND f.source = n.source WHERE f.name IS NULL GROUP BY n.conv_id, n.turn),
+ j AS (SELECT q.conv_id, q.turn, q.w, q.k, q.missing_n, coalesce(lost.names, []::VARCHAR[]) AS missing FROM q LEFT JOIN lost ON lost.conv_id = q.conv_id AND lost.turn = q.turn)
+SELECT conv_id, turn, to_json({{'passed': len(reasons) = 0, 'reasons': reasons, 'word_count': w::INT, 'sentence_count': k::INT, 'missing_numbers': missing_n, 'missing_entities': missing}})::VARCHAR AS qc FROM (SELECT *, list_filter([
+ CASE WHEN w < 10 THEN 'too_short:' || w || '<10' END, CASE WHEN w > 60 THEN 'too_long:' || w || '>60' END, CASE WHEN k < 1 THEN 'too_few_sentences:' || k || '<1' END, CASE WHEN k > 6 THEN 'too_many_sentences:' || k || '>6' END,
+ CASE WHEN len(missing_n) > 0 THEN 'unsupported_numbers:' || array_to_string(missing_n[1:5], ',') END, CASE WHEN len(missing) > 0 THEN 'unsupported_entities:' || array_to_string(missing[1:5], ',') END], lambda x: x IS NOT NULL) AS reasons FROM j)
+"""
+
+
+@query(QC_SQL)
+def qc_battery_fuzzy(spark: SparkSession, d: str) -> DataFrame:
+    out = quality.quality(domain.turns(spark, d), summary="reply", source="user_text", refusal=None, limits=LIMITS)
+    return out.select("conv_id", "turn", F.to_json("qc").alias("qc"))
+
+
 @query(FUZZY_SQL)
 def fuzzy_support(spark: SparkSession, d: str) -> DataFrame:
     """Pieces of the question with a letter left out, and beginnings of the answer, looked for in the question."""

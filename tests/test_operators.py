@@ -114,6 +114,25 @@ def test_partial_ratio_is_exhaustive():
         assert quality.partial_ratio(a, b) == pytest.approx(slow(a, b))
 
 
+def test_the_whole_check_agrees_with_sql(spark, tmp_path):
+    import duckdb
+
+    from corpusloom.plans import catalog, lifecycle  # noqa: F401  the second adds its queries
+
+    source = "Nguyen Van Anh met Tran Quoc Bao in 2019 near the \"old\" market, and 1.500 people came. " * 2
+    replies = ["Nguyen Van Anhh met Tran Quoc Baoo near the market and many people came to see them.", "Pham Xyz Quoz Jqk met Tren Qoc Beo; 77 people, 2019.", "Short.", "One. Two. Three. Four. Five. Six. Seven words and more follow here.", "Zqx Wvv Kkj Pqq and Hjj Ffw Xxz Qqk came in 1.500 and 9.999.", "word " * 70, ""]
+    rows = [r for k, reply in enumerate(replies) for r in ((k, 0, "user", source[: 60 + 40 * k]), (k, 1, "assistant", reply))]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {(r["conv_id"], r["turn"]): r["qc"] for r in catalog.QUERIES["qc_battery_fuzzy"](spark, str(tmp_path)).collect()}
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    for name, columns in (("documents", "0 AS doc_id, '' AS text, 'src1' AS source, '' AS lang"), ("events", "0 AS event_id, TIMESTAMP '2024-01-01' AS ts"), ("labels", "0 AS doc_id, 0 AS quality")):
+        db.execute(f"CREATE VIEW {name} AS SELECT {columns}")
+    want = {(c, t): qc for c, t, qc in db.execute(f"SELECT conv_id, turn, qc FROM ({lifecycle.QC_SQL})").fetchall()}
+    assert got == want and len(got) == len(replies)
+    assert json.loads(got[0, 0])["missing_entities"] == [] and len(json.loads(got[4, 0])["missing_entities"]) == 2
+
+
 def test_seeds_miss_no_window():
     rnd = random.Random(6)
     words = lambda n, letters: "".join(rnd.choice(letters) for _ in range(n))
