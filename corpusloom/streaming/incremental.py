@@ -32,8 +32,11 @@ def stored_so_far(spark: SparkSession, folder: str, before: int | None = None) -
 
 
 def stored_urls(spark: SparkSession, folder: str) -> KeyStore:
-    """The URL hashes of what ``folder`` holds, beside it."""
-    return KeyStore(spark, f"{folder}_urls")
+    """The URL hashes of what ``folder`` holds, beside it; made from its rows if they are not there yet."""
+    store = KeyStore(spark, f"{folder}_urls")
+    if exists(spark, folder) and not exists(spark, f"{folder}_urls"):
+        store.add(stored_so_far(spark, folder).select("url_hash"), -1)
+    return store
 
 
 def store(outcomes: DataFrame, folder: str, batch: int) -> None:

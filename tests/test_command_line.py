@@ -1,4 +1,5 @@
 import json
+import shutil
 
 import pytest
 
@@ -51,6 +52,10 @@ def test_retired_articles_are_in_no_file(spark, tmp_path, capsys):
     assert on_disk() == {30, 40} and {r["batch"] for r in incremental.stored_so_far(spark, store).collect()} == {1, 2}
     known = incremental.stored_urls(spark, store).known(spark.createDataFrame([("h11",), ("h221",), ("x",)], "u string"))
     assert {r["key"] for r in known.collect()} == {"h11", "h221"}
+    # Of a folder without hashes beside it they are made from its rows.
+    shutil.rmtree(f"{store}_urls")
+    asked = spark.createDataFrame([("h120",), ("h220",), ("h11",)], "u string")
+    assert {r["key"] for r in incremental.stored_urls(spark, store).known(asked, before=1).collect()} == {"h120", "h220"}
     assert main(["retire", "--store", store, "--days", "0", "--today", "2024-02-22"], spark) == 1 and main(["retire", "--store", f"{tmp_path}/none"], spark) == 1
 
 
