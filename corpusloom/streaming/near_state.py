@@ -156,15 +156,17 @@ def _messages(groups: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.Dat
     return run
 
 
-def near_keep_stream(rows: DataFrame, folder: str, checkpoint: str, *, id_col: str = "id", hash_col: str = "simhash", time_col: str = "fetched_at", within_days: float = 2.0, threshold: int = 3, late: str = "1 day", groups: int = 64, on_batch: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
+def near_keep_stream(rows: DataFrame, folder: str, checkpoint: str, *, id_col: str = "id", hash_col: str = "simhash", time_col: str = "fetched_at", within_days: float = 2.0, threshold: int = 3, late: str = "1 day", groups: int = 64, partitions: int | None = None, on_batch: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
     """Start a query that writes ``(id, h, t, kept)`` of the stream ``rows`` to ``folder/decided``, a sub-folder for each batch.
 
     A row is decided when rows ``late`` newer than it have been seen, and rows that come
     later than that are left out, as by any watermark; rows without a time or a hash are
     too, and have nothing to be compared.  Ids are whole numbers.  State is dealt into
     ``groups`` for the rows and as many for each band; a batch reads those it touches, so a
-    long stream wants more of them (65,536 at most) and a short one fewer.  Stop the query, or wait by
-    ``settle``; started again with the same folders it goes on.
+    long stream wants more of them (65,536 at most) and a short one fewer.  The groups lie in
+    ``partitions`` parts, of which every batch starts a Python worker and opens a store: twice
+    the cores unless given, and no more than the session's shuffle partitions; a checkpoint keeps the number
+    it was made with.  Stop the query, or wait by ``settle``; started again with the same folders it goes on.
     """
     if threshold >= BANDS:
         raise ValueError("four bands guarantee at most 3 differing bits")
@@ -178,8 +180,9 @@ def near_keep_stream(rows: DataFrame, folder: str, checkpoint: str, *, id_col: s
 
     def step(batch: DataFrame, number: int) -> None:
         # By way of files, whose sizes the optimizer knows; of a checkpoint of a stream's batch it would think that it is small enough to broadcast.
+        # They are read by the caller's session: in a batch's own one adaptive execution is off, where each of many small shuffles is as many tasks as the state has partitions.
         batch.write.mode("overwrite").parquet(f"{folder}/found")
-        held = batch.sparkSession.read.schema(FOUND).parquet(f"{folder}/found")
+        held = spark.read.schema(FOUND).parquet(f"{folder}/found")
         news = held.agg(F.max(F.when(F.col("kind") == "seen", F.floor(F.col("t") / 1000))).alias("seen"), F.max("mark").alias("mark"), F.count_if(F.col("kind") == "row").alias("n")).first()
         if not news["n"]:
             return
@@ -196,9 +199,11 @@ def near_keep_stream(rows: DataFrame, folder: str, checkpoint: str, *, id_col: s
         if on_batch:
             on_batch(decided, number)
 
-    known = {name: spark.conf.get(name, None) for name in SETTINGS}
+    parts = partitions or min(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    settings = SETTINGS | {"spark.sql.shuffle.partitions": str(parts)}
+    known = {name: spark.conf.get(name, None) for name in settings}
     # A query keeps the settings that it was started with.
-    for name, value in SETTINGS.items():
+    for name, value in settings.items():
         spark.conf.set(name, value)
     try:
         return found.writeStream.foreachBatch(step).outputMode("append").option("checkpointLocation", checkpoint).start()

@@ -72,3 +72,20 @@ def test_copies_ask_once_and_make_one_row_of_state(spark):
     assert (sent["kind"] == "row").sum() == 1000 and (sent["kind"] == "ask").sum() == 4
     assert set(map(tuple, sent[sent["kind"] == "ask"][["h", "t", "until"]].to_numpy().tolist())) == {(7, 0, 999)}
     assert near_state._merged(np.array([[7, 3, 9], [5, 1, 1], [7, 2, 4]])).tolist() == [[5, 1, 1], [7, 2, 9]]
+
+
+def test_decisions_run_adaptively_and_state_has_the_partitions_of_the_cores(spark, tmp_path):
+    spark.createDataFrame(hashes(3, 40), ROW).coalesce(1).write.parquet(f"{tmp_path}/in/0")
+    seen, before = [], spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "31")
+    look = lambda decided, number: seen.append((decided.sparkSession.conf.get("spark.sql.adaptive.enabled"), decided.rdd.getNumPartitions()))
+    try:
+        query = near_state.near_keep_stream(spark.readStream.schema(ROW).parquet(f"{tmp_path}/in/*"), str(tmp_path), f"{tmp_path}/state", late="1 second", groups=4, on_batch=look)
+        query.processAllAvailable()
+        near_state.settle(query)
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "31"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    # A batch's own session is not adaptive, and there the few rows would come in 31 parts.
+    assert seen and {adaptive for adaptive, _ in seen} == {"true"} and max(parts for _, parts in seen) < 31
+    assert {p["stateOperators"][0]["numShufflePartitions"] for p in query.recentProgress if p["stateOperators"]} == {8}
