@@ -89,25 +89,28 @@ def _linked(rows: DataFrame, threshold: int) -> DataFrame:
     band = keys_of(F.col("h"))
     classes = rows.select("h", "slot").distinct()
     left = classes.select(F.col("h").alias("a"), "slot", band)
-    right = classes.select(F.col("h").alias("b"), band, F.explode(F.array(F.col("slot") - 1, F.col("slot"), F.col("slot") + 1)).alias("slot"))
+    right = classes.select(F.col("h").alias("b"), band, F.explode(F.array(F.col("slot") - 1, F.col("slot"))).alias("slot"))
     met = left.join(right, ["band", "key", "slot"]).where((F.col("a") != F.col("b")) & (hamming(F.col("a"), F.col("b")) <= threshold))
-    return met.select("a", "b").distinct()
+    # The right one is of the same slot or the next.
+    return met.select(F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
     """``(a, comp)``: the smallest value that each value of ``links(a, b)``, given both ways round, is joined to.
 
-    In each round a value takes the least label of its neighbours and then that label's own,
-    so the rounds grow with the logarithm of the longest chain or little more.
+    In each round a value takes the least label that its neighbours' labels have, and its own
+    label's own, and tells that to the value that was its label, which so joins two trees of
+    labels as wholes.  The rounds grow with the logarithm of the longest chain or less.
     """
     from corpusloom.sources.storage import cut_lineage
 
     labels = cut_lineage(links.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("comp")))
     while True:
-        seen = links.join(labels.select(F.col("a").alias("b"), "comp"), "b").groupBy("a").agg(F.min("comp").alias("least"))
-        lower = labels.join(seen, "a").select("a", F.col("comp").alias("was"), F.least("comp", "least").alias("label"))
-        own = labels.select(F.col("a").alias("label"), "comp")
-        new = cut_lineage(lower.join(own, "label").select("a", F.least("label", "comp").alias("comp"), "was"))
+        up = labels.join(labels.select(F.col("a").alias("comp"), F.col("comp").alias("up")), "comp").select("a", "comp", "up")
+        seen = links.join(up.select(F.col("a").alias("b"), "up"), "b").select("a", F.lit(None).cast(up.schema["comp"].dataType).alias("comp"), "up")
+        least = seen.unionByName(up).groupBy("a").agg(F.max("comp").alias("was"), F.min("up").alias("least"))
+        told = least.select("least", F.inline(F.array(F.struct(F.col("a").alias("to"), "was"), F.struct(F.col("was").alias("to"), F.lit(None).cast(up.schema["comp"].dataType).alias("was")))))
+        new = cut_lineage(told.groupBy(F.col("to").alias("a")).agg(F.min("least").alias("comp"), F.max("was").alias("was")))
         labels = new.select("a", "comp")
         if new.where("comp <> was").isEmpty():
             return labels

@@ -36,7 +36,12 @@ SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    # For all stores of an executor together; else each column of each store may fill two buffers of 64 MB.
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
 }
+#: Of the 48 bits outside a band: three differing bits leave one of four pieces equal.
+PIECES, PIECE_BITS = 4, 12
 FEEDBACK = "h long, t long, at timestamp"
 #: kind: row (of a group without a band), ask and kept (of a band).
 MESSAGE = "band int, key long, kind string, id long, h long, t long, until long, at timestamp"
@@ -122,19 +127,38 @@ def band_key(h: np.ndarray, band: int) -> np.ndarray:
     return (h.astype(np.uint64) >> np.uint64(BAND_BITS * band) & np.uint64(0xFFFF)).astype(np.int64)
 
 
-def last_near(asked: np.ndarray, kept: np.ndarray, band: int, threshold: int) -> np.ndarray:
-    """For each hash of ``asked`` the most ``t`` of ``kept(h, t)`` that shares its band and is near, else -1."""
-    kept = kept[np.argsort(band_key(kept[:, 0], band), kind="stable")]
-    keys, own = band_key(kept[:, 0], band), band_key(asked, band)
-    lo, hi = np.searchsorted(keys, own), np.searchsorted(keys, own, "right")
-    asking = np.repeat(np.arange(len(asked)), hi - lo)
-    held = np.arange(len(asking)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + np.repeat(lo, hi - lo)
-    near = np.bitwise_count((asked[asking] ^ kept[held, 0]).astype(np.uint64)) <= threshold
+def last_near(asked: np.ndarray, kept: np.ndarray, band: int, threshold: int, most: int = 1 << 18) -> np.ndarray:
+    """For each hash of ``asked`` the most ``t`` of ``kept(h, t)`` that shares its band and is near, else -1.
+
+    Texts of one kind share many bits, so a band's number can have thousands of hashes on both
+    sides.  Near ones also agree in one of four pieces of the other 48 bits; those that do are compared
+    ``most`` pairs at a time, or all of one hash, so memory follows the hashes and not their pairs.
+    """
     out = np.full(len(asked), -1, np.int64)
-    np.maximum.at(out, asking[near], kept[held[near], 1])
+    for piece in range(PIECES):
+        keys, own = _piece_key(kept[:, 0], band, piece), _piece_key(asked, band, piece)
+        order = np.argsort(keys, kind="stable")
+        lo, hi = np.searchsorted(keys, own, sorter=order), np.searchsorted(keys, own, "right", sorter=order)
+        ends, begin = np.cumsum(hi - lo), 0
+        while begin < len(asked):
+            done = ends[begin - 1] if begin else 0
+            end = max(begin + 1, int(np.searchsorted(ends, done + most, "right")))
+            n = (hi - lo)[begin:end]
+            asking = np.repeat(np.arange(begin, end), n)
+            held = order[np.arange(len(asking)) + np.repeat(lo[begin:end] - (ends[begin:end] - n - done), n)]
+            near = np.bitwise_count((asked[asking] ^ kept[held, 0]).astype(np.uint64)) <= threshold
+            np.maximum.at(out, asking[near], kept[held[near], 1])
+            begin = end
     return out
 
 
+def _piece_key(h: np.ndarray, band: int, piece: int) -> np.ndarray:
+    """The bits of a band and of a piece of the rest, which is counted from the band upwards and around."""
+    h = h.astype(np.uint64)
+    turned = h >> np.uint64(BAND_BITS * band) | h << np.uint64(64 - BAND_BITS * band) if band else h
+    return turned & np.uint64(0xFFFF) | (turned >> np.uint64(BAND_BITS + PIECE_BITS * piece) & np.uint64((1 << PIECE_BITS) - 1)) << np.uint64(BAND_BITS)
+
+
 def _found(rows: list[tuple]) -> pd.DataFrame:
     made = pd.DataFrame(rows, columns=["kind", "id", "h", "t", "mark"])
     return made.astype({"kind": object, "id": "Int64", "h": "Int64", "t": "Int64", "mark": "Int64"})

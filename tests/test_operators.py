@@ -496,6 +496,16 @@ def test_components_of_long_chains(spark):
     assert dedupe.components(df.limit(0)).collect() == []
 
 
+def test_components_of_a_shuffled_chain_take_few_rounds(spark, monkeypatch):
+    names = random.Random(3).sample(range(1000), 500)
+    pairs = list(itertools.pairwise(names))
+    df, rounds, cut = spark.createDataFrame(pairs + [(b, a) for a, b in pairs], "a long, b long"), [], storage.cut_lineage
+    monkeypatch.setattr(storage, "cut_lineage", lambda df: [cut(df), rounds.append(1)][0])
+    assert {r["a"]: r["comp"] for r in dedupe.components(df).collect()} == dict.fromkeys(names, min(names))
+    # A label that told only its neighbours would go along the chain in some 150.
+    assert len(rounds) <= 12
+
+
 def test_two_batches_are_one(spark, tmp_path):
     rows = CRAWL + [(9, "https://a.vn/x/9", True, f"<article>{BODY.replace('river', 'harbour').replace('market', 'tower')}</article>")]
     src = tmp_path / "in"

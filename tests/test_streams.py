@@ -35,6 +35,27 @@ def test_last_kept_near_a_hash():
     assert near_state.last_near(asked[:0], kept, 0, 3).size == 0 and near_state.last_near(asked, kept[:0], 0, 3).max() == -1
 
 
+def test_a_band_that_many_hashes_share_is_compared_in_stretches():
+    import tracemalloc
+
+    rnd = np.random.default_rng(5)
+    # All share band 2; every tenth kept hash is one to three bits from an asked one, by any bits outside the band.
+    asked, far = (rnd.integers(0, 1 << 63, n, np.uint64) & ~np.uint64(0xFFFF << 32) | np.uint64(77 << 32) for n in (4000, 4000))
+    for k in range(0, 4000, 10):
+        far[k] = asked[k] ^ np.bitwise_or.reduce(np.uint64(1) << rnd.choice([*range(32), *range(48, 64)], k // 10 % 3 + 1, replace=False).astype(np.uint64))
+    asked, kept = asked.view(np.int64), np.column_stack((far.view(np.int64), rnd.permutation(4000)))
+    want = [int(max(kept[np.bitwise_count((kept[:, 0] ^ h).view(np.uint64)) <= 3, 1], default=-1)) for h in asked]
+    tracemalloc.start()
+    got = near_state.last_near(asked, kept, 2, 3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # All pairs at once would be 16 million.
+    assert got.tolist() == want and sum(t >= 0 for t in want) >= 400 and peak < 32 << 20
+    # Nor does a piece that all share take more, or one stretch for each pair other results.
+    assert near_state.last_near(np.full(4000, 7), np.column_stack((np.full(4000, 7), np.arange(4000))), 2, 3).tolist() == [3999] * 4000
+    assert near_state.last_near(asked[:100], kept, 2, 3, most=1).tolist() == want[:100]
+
+
 def test_a_stream_in_any_order_keeps_what_a_batch_keeps(spark, tmp_path):
     rows = sorted(hashes(1), key=lambda r: r[2])
     odd = [(None, 1, NOW), (1, None, NOW), (2, 1, None)]
